@@ -5,17 +5,31 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import simhash_golay
+from . import line_spread, secret_links, simhash_golay
 from .common import table
 
 
+def op2_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_spread.drop_boilerplate(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_spread", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op7_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_golay.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_links.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_line_spread": op2_line_spread,
     "op7_simhash_golay": op7_simhash_golay,
+    "op8_secret_links": op8_secret_links,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_line_spread": line_spread.oracle(),
+}

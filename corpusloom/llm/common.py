@@ -55,3 +55,20 @@ def slices(offsets: np.ndarray, most_bytes: int) -> list[tuple[int, int]]:
         out.append((lo, min(hi, n)))
         lo = hi
     return out
+
+
+class Remembered(dict):
+    """What a task has computed per key, in two generations of at most most entries each.
+
+    A key met again in the newer generation's time moves into it, so that common
+    keys stay while rare ones go, and memory is bounded.
+    """
+
+    def __init__(self, most: int):
+        self.most, self.older = most, {}
+
+    def put(self, key, value) -> None:
+        if len(self) >= self.most:
+            self.older = self.copy()
+            self.clear()
+        self[key] = value

@@ -7,15 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_spread, secret_links, simhash_golay
+from . import bpe_prefix, line_spread, packing, secret_links, simhash_golay
 from .common import table
 
 
+def vocabulary(name: str) -> str:
+    """Where a public tokenizer's file is; the package is installed on every executor."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op2_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_spread.drop_boilerplate(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_spread", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 def op7_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_golay.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -24,10 +35,16 @@ def op8_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_links.report(table(spark, sf_dir, "documents"))
 
 
+def op10_bpe_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_prefix.digests(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_spread": op2_line_spread,
+    "op5_packing": op5_packing,
     "op7_simhash_golay": op7_simhash_golay,
     "op8_secret_links": op8_secret_links,
+    "op10_bpe_prefix": op10_bpe_prefix,
 }
 
 ORACLES: dict[str, str] = {

@@ -47,8 +47,8 @@ def _sited(docs: DataFrame, site_col: str, id_col: str, text_col: str) -> DataFr
     return plain_docs(docs, id_col=id_col, text_col=text_col, keep=(F.coalesce(F.col(site_col).cast("string"), F.lit("")).alias("site"),))
 
 
-def drop_boilerplate(docs: DataFrame, *, site_col: str = "source", id_col: str = "doc_id", text_col: str = "text", min_sites: int = MIN_SITES, min_contexts: int = MIN_CONTEXTS, most_share: float = MOST_SHARE) -> DataFrame:
-    """docs with boilerplate lines taken out of text_col, and n_lines, n_spread, n_removed (longs) added.
+def drop_boilerplate(docs: DataFrame, *, site_col: str = "source", id_col: str = "doc_id", text_col: str = "text", min_sites: int = MIN_SITES, min_contexts: int = MIN_CONTEXTS, most_share: float = MOST_SHARE, counts: bool = True) -> DataFrame:
+    """docs with boilerplate lines taken out of text_col; if counts, with n_lines, n_spread, n_removed (longs) added in place of columns of these names.
 
     Lines are compared without blanks at their ends; blank lines always stay. A
     null text gives an empty one, a null site is a site of its own, repeated rows
@@ -66,7 +66,10 @@ def drop_boilerplate(docs: DataFrame, *, site_col: str = "source", id_col: str =
     total = F.aggregate("_lines", F.lit(0), lambda n, x: n + F.length(F.trim(x)))
     lines = lines.withColumn("_out", F.when(F.col("_chars") <= most_share * total, F.col("_spread")))
     kept = F.when(F.col("_out").isNull(), F.col("_text")).otherwise(F.array_join(F.filter("_lines", lambda _, i: ~F.array_contains(F.col("_out"), i)), "\n"))
-    return lines.select(*(kept.alias(c) if c == text_col else F.col(c) for c in docs.columns), F.size("_lines").cast("long").alias("n_lines"), F.coalesce(F.size("_spread"), F.lit(0)).cast("long").alias("n_spread"), F.coalesce(F.size("_out"), F.lit(0)).cast("long").alias("n_removed"))
+    if not counts:
+        return lines.select(*(kept.alias(c) if c == text_col else F.col(c) for c in docs.columns))
+    new = {"n_lines": F.size("_lines"), "n_spread": F.coalesce(F.size("_spread"), F.lit(0)), "n_removed": F.coalesce(F.size("_out"), F.lit(0))}
+    return lines.select(*(kept.alias(c) if c == text_col else F.col(c) for c in docs.columns if c not in new), *(x.cast("long").alias(c) for c, x in new.items()))
 
 
 def oracle(min_sites: int = MIN_SITES, min_contexts: int = MIN_CONTEXTS, most_share: float = MOST_SHARE) -> str:

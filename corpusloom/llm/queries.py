@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_prefix, line_spread, packing, secret_links, simhash_golay
+from . import bpe_prefix, line_spread, packing, quality_knn, secret_links, simhash_golay
 from .common import table
 
 
@@ -23,6 +23,11 @@ def op2_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_spread", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op4_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality_knn.score(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
@@ -39,12 +44,20 @@ def op10_bpe_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_prefix.digests(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_spread": op2_line_spread,
+    "op4_quality_knn": op4_quality_knn,
     "op5_packing": op5_packing,
     "op7_simhash_golay": op7_simhash_golay,
     "op8_secret_links": op8_secret_links,
     "op10_bpe_prefix": op10_bpe_prefix,
+    "pipeline": pipeline,
 }
 
 ORACLES: dict[str, str] = {

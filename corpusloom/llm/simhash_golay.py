@@ -73,14 +73,14 @@ def _decoder(spark: SparkSession) -> DataFrame:
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, fp): one row per input row; fp is the fingerprint's 64 bits as a long."""
+    """(doc_id, hash, fp): one row per input row, with the text's xxhash64; fp is the fingerprint's 64 bits as a long."""
 
     def run(batches):
         for batch in batches:
             fps = np.array([fingerprint(t, words) for t in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64), pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps.view(np.int64), pa.int64())], ["doc_id", "hash", "fp"])
 
-    return plain_docs(docs, id_col=id_col, text_col=text_col).mapInArrow(run, "doc_id long, fp long")
+    return plain_docs(docs, id_col=id_col, text_col=text_col).withColumn("hash", F.xxhash64("text")).mapInArrow(run, "doc_id long, hash long, fp long")
 
 
 def links(fps: DataFrame) -> DataFrame:
@@ -162,3 +162,15 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     ids = fps.groupBy("fp").agg(F.min("doc_id").alias("least")).join(root, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = ids.join(ids.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that stand for their class of near duplicates: of each, the one with the smallest id (null last), then text hash. Other columns are kept as they are."""
+    keyed = docs.withColumn("_hash", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    fps = cut(fingerprints(docs, id_col=id_col, text_col=text_col))
+    root = components(links(fps)).select(F.col("node").alias("fp"), "root")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")
+    best = fps.groupBy("fp").agg(F.min(order).alias("best")).join(root, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("best").alias("best"))
+    chosen = best.select(F.col("best.doc_id").alias("_id"), F.col("best.hash").alias("_chosen"))
+    kept = keyed.join(chosen, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_chosen")), "left_semi")
+    return kept.dropDuplicates([id_col, "_hash"]).select(*docs.columns)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_prefix, line_spread, packing, quality_knn, secret_links, simhash_golay
+from . import bpe_prefix, line_spread, packing, phrase_fingerprints, quality_knn, secret_links, simhash_golay
 from .common import table
 
 
@@ -18,6 +18,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_phrase_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_fingerprints.with_neighbours(table(spark, sf_dir, "documents"))
+
+
 def op2_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_spread.drop_boilerplate(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_spread", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
@@ -51,6 +55,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_phrase_fingerprints": op1_phrase_fingerprints,
     "op2_line_spread": op2_line_spread,
     "op4_quality_knn": op4_quality_knn,
     "op5_packing": op5_packing,

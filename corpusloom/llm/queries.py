@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_prefix, line_spread, packing, phrase_fingerprints, quality_knn, secret_links, simhash_golay
+from . import bpe_prefix, line_spread, packing, phrase_fingerprints, quality_knn, repeat_spans, secret_links, simhash_golay
 from .common import table
 
 
@@ -36,6 +36,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op6_repeat_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_spans.without_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op7_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_golay.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_spread": op2_line_spread,
     "op4_quality_knn": op4_quality_knn,
     "op5_packing": op5_packing,
+    "op6_repeat_spans": op6_repeat_spans,
     "op7_simhash_golay": op7_simhash_golay,
     "op8_secret_links": op8_secret_links,
     "op10_bpe_prefix": op10_bpe_prefix,

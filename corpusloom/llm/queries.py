@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_prefix, line_spread, packing, phrase_fingerprints, quality_knn, repeat_spans, secret_links, simhash_golay
+from . import bpe_prefix, line_spread, packing, phrase_fingerprints, quality_knn, repeat_spans, secret_links, simhash_golay, webp_media
 from .common import table
 
 
@@ -27,6 +27,10 @@ def op2_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_spread", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op3_webp_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return webp_media.read_back(webp_media.store(table(spark, sf_dir, "documents")))
+
+
 def op4_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality_knn.score(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return scored.select("doc_id", "held_out", "score", "predicted")
@@ -61,6 +65,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_phrase_fingerprints": op1_phrase_fingerprints,
     "op2_line_spread": op2_line_spread,
+    "op3_webp_media": op3_webp_media,
     "op4_quality_knn": op4_quality_knn,
     "op5_packing": op5_packing,
     "op6_repeat_spans": op6_repeat_spans,

@@ -103,10 +103,13 @@ class PrefixEncoder(Remembered):
     def __missing__(self, run: str) -> bytes:
         out = self.older.get(run)
         if out is None:
-            ids = []
-            for piece in self.pieces.findall(run):
-                ids += self.word_ids(piece.encode().decode("latin-1").translate(self.letters))
-            out = pack(f"<{len(ids)}I", *ids)
+            pieces = self.pieces.findall(run)
+            if len(pieces) > 1:
+                # words that differ in the mark after them share a piece
+                out = b"".join(map(self.__getitem__, pieces))
+            else:
+                ids = self.word_ids(run.encode().decode("latin-1").translate(self.letters))
+                out = pack(f"<{len(ids)}I", *ids)
         self.put(run, out)
         return out
 

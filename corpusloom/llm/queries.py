@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_prefix, line_spread, packing, phrase_fingerprints, quality_knn, repeat_spans, secret_links, simhash_golay, webp_media
+from . import bpe_prefix, line_spread, packing, page_wrapper, phrase_fingerprints, quality_knn, repeat_spans, secret_links, simhash_golay, webp_media
 from .common import table
 
 
@@ -52,6 +52,10 @@ def op8_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_links.report(table(spark, sf_dir, "documents"))
 
 
+def op9_page_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_wrapper.main_texts(table(spark, sf_dir, "pages"))
+
+
 def op10_bpe_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_prefix.digests(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_repeat_spans": op6_repeat_spans,
     "op7_simhash_golay": op7_simhash_golay,
     "op8_secret_links": op8_secret_links,
+    "op9_page_wrapper": op9_page_wrapper,
     "op10_bpe_prefix": op10_bpe_prefix,
     "pipeline": pipeline,
 }

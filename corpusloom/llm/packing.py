@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import Remembered, cut, plain_docs
 
-LENGTH, END_ID, GROUP_ROWS, MOST_WORDS = 4096, 1, 16_384, 700_000
+LENGTH, END_ID, GROUP_ROWS, MOST_WORDS = 4096, 1, 16_384, 250_000
 #: Python splits at these four besides Unicode's white space.
 _CONTROLS = re.compile("[\x1c-\x1f]")
 _RUNS = re.compile("[^\t\n\x0b\x0c\r \x85\xa0  -     　]+")

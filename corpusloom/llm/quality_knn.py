@@ -20,7 +20,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import flat, plain_docs, slices
 
-SAMPLE, DIMS, NEIGHBOURS, SHARPNESS, ACCEPT, BLOCK = 6000, 40, 15, 4.0, 0.3, 512
+SAMPLE, DIMS, NEIGHBOURS, SHARPNESS, ACCEPT, BLOCK = 4000, 40, 15, 4.0, 0.3, 512
 WORD_DIMS, REPEAT_DIMS, CLASSES = 512, 24, 13
 GRAM_DIMS = CLASSES**3
 TERMS = GRAM_DIMS + WORD_DIMS + REPEAT_DIMS

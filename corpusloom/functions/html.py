@@ -1,0 +1,77 @@
+"""A light element tree over the standard library's HTML parser, for extraction that needs context."""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+from html.parser import HTMLParser
+
+VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+_CLOSED_BY = {"p": frozenset("p div ul ol li table h1 h2 h3 h4 h5 h6 section article blockquote dl dd dt".split()), "li": frozenset({"li"}), "td": frozenset({"td", "th", "tr"}), "th": frozenset({"td", "th", "tr"}), "tr": frozenset({"tr"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"})}
+
+
+class Element:
+    __slots__ = ("attrs", "children", "tag")
+
+    def __init__(self, tag: str, attrs: dict[str, str]):
+        self.tag, self.attrs, self.children = tag, attrs, []
+
+    @property
+    def classes(self) -> set[str]:
+        return set(self.attrs.get("class", "").split())
+
+    def walk(self) -> Iterator[Element]:
+        for c in self.children:
+            if isinstance(c, Element):
+                yield c
+                yield from c.walk()
+
+    def find(self, tag: str | None = None, cls: str | None = None) -> Element | None:
+        return next(self.find_all(tag, cls), None)
+
+    def find_all(self, tag: str | None = None, cls: str | None = None) -> Iterator[Element]:
+        return (e for e in self.walk() if (tag is None or e.tag == tag) and (cls is None or cls in e.classes))
+
+    def strings(self) -> Iterator[str]:
+        for c in self.children:
+            if isinstance(c, str):
+                yield c
+            elif c.tag not in ("script", "style"):
+                yield from c.strings()
+
+    def text(self) -> str:
+        return re.sub(r"\s+", " ", " ".join(s.strip() for s in self.strings() if s.strip())).strip()
+
+
+class _Builder(HTMLParser):
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.root = Element("#root", {})
+        self.open = [self.root]
+
+    def handle_starttag(self, tag, attrs):
+        while len(self.open) > 1 and tag in _CLOSED_BY.get(self.open[-1].tag, ()):
+            self.open.pop()
+        e = Element(tag, {k: v or "" for k, v in attrs})
+        self.open[-1].children.append(e)
+        if tag not in VOID:
+            self.open.append(e)
+
+    def handle_startendtag(self, tag, attrs):
+        self.open[-1].children.append(Element(tag, {k: v or "" for k, v in attrs}))
+
+    def handle_endtag(self, tag):
+        for depth in range(len(self.open) - 1, 0, -1):
+            if self.open[depth].tag == tag:
+                del self.open[depth:]
+                return
+
+    def handle_data(self, data):
+        self.open[-1].children.append(data)
+
+
+def parse(html: str | None) -> Element:
+    builder = _Builder()
+    builder.feed(html or "")
+    builder.close()
+    return builder.root

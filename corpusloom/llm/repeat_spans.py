@@ -22,12 +22,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, flat, plain_docs, slices
 
-LENGTH, GRAM, GROUP_ROWS, CHUNK_ROWS, BLOCK_BYTES = 400, 128, 65_536, 16_384, 1 << 20
+LENGTH, GRAM, GROUP_ROWS, CHUNK_ROWS, BLOCK_BYTES, STRINGS_AT_ONCE = 400, 128, 65_536, 16_384, 1 << 20, 1_000_000
 _BASES = (0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1)
 _PLACE_BITS = 24
 
@@ -90,6 +91,17 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 _KEY = ["key", "h1", "h2"]
 
 
+def _packed(rows: DataFrame) -> DataFrame:
+    """rows with their texts compressed, for joins that move them: (doc_id, key, h1, h2, blob)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([press(t.encode()) for t in batch.column(4).to_pylist()], pa.binary())], ["doc_id", *_KEY, "blob"])
+
+    return rows.mapInArrow(run, "doc_id long, key long, h1 long, h2 long, blob binary")
+
+
 def _found(rows: DataFrame, length: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling = _Rolling(_BASES[0])
@@ -118,44 +130,80 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     each = stored.select(*_KEY, F.explode(F.arrays_zip("place", "first", "last", "code")).alias("x")).select(*_KEY, "x.*")
     shared = each.groupBy("code").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("code", (F.col("n") > group_rows).alias("many"))
     hits = each.join(shared, "code").groupBy(*_KEY).agg(F.collect_list(F.struct("place", "first", "last", "code", "many")).alias("hits"))
-    placed = rows.select(*_KEY, "text").join(hits, _KEY)
+    placed = _packed(rows).drop("doc_id").join(hits, _KEY)
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolls = [_Rolling(b) for b in _BASES]
-        names = [*_KEY, "code", "place", "left", "right", "w1", "w2", "start"]
+        names = [*_KEY, "code", "place", "left", "right", "w1", "w2", "start", "stop"]
+        plain = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            out, size = [], 0
-            for key, h1, h2, text, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                raw = text.encode()
+            out, size, strings, waiting = [], 0, [], 0
+            for key, h1, h2, blob, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                raw = plain(blob)
                 safe = raw.replace(b"\0", b"\xff")  # no byte of UTF-8, and zero is for padding
-                hashed = None
+                many = [h for h in found if h["many"]]
+                if many:
+                    hashed = [r(np.frombuffer(raw, np.uint8), length).view(np.int64) for r in rolls]
+                    at = np.concatenate([np.arange(h["first"], h["last"] + 1) for h in many])
+                    strings.append((np.full(len(at), key), np.full(len(at), h1), np.full(len(at), h2), hashed[0][at], hashed[1][at], at))
+                    waiting += len(at)
+                    if waiting > STRINGS_AT_ONCE:
+                        out += _counted([np.concatenate(x) for x in zip(*strings, strict=True)], length)
+                        strings, waiting = [], 0
                 for h in found:
                     first, place, last = h["first"], h["place"], h["last"]
-                    if h["many"]:
-                        if hashed is None:
-                            hashed = [r(np.frombuffer(raw, np.uint8), length).view(np.int64) for r in rolls]
-                        for at in range(first, last + 1):
-                            out.append((key, h1, h2, None, None, None, None, int(hashed[0][at]), int(hashed[1][at]), at))
-                    else:
-                        out.append((key, h1, h2, h["code"], place, safe[first:place][::-1], safe[place : last + length], None, None, None))
+                    if not h["many"]:
+                        out.append((key, h1, h2, h["code"], place, safe[first:place][::-1], safe[place : last + length], None, None, None, None))
                         size += last + length - first
                 if size > 4 << 20 or len(out) > 20_000:
                     yield pa.RecordBatch.from_arrays(_columns(out), names)
                     out, size = [], 0
+            if strings:
+                out += _counted([np.concatenate(x) for x in zip(*strings, strict=True)], length)
             if out:
                 yield pa.RecordBatch.from_arrays(_columns(out), names)
 
-    seen = placed.mapInArrow(contexts, "key long, h1 long, h2 long, code long, place int, left binary, right binary, w1 long, w2 long, start int")
+    seen = placed.mapInArrow(contexts, "key long, h1 long, h2 long, code long, place int, left binary, right binary, w1 long, w2 long, start int, stop int")
     few = seen.where("code is not null").select(*_KEY, "code", "place", "left", "right").repartition("code").sortWithinPartitions("code", *_KEY, "place")
     spans = few.mapInArrow(_intervals(length), "key long, h1 long, h2 long, start int, stop int, repeat long")
-    single = seen.where("w1 is not null").select(*_KEY, "w1", "w2", "start")
-    twice = single.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w1", "w2")
-    each_string = single.join(twice, ["w1", "w2"]).select(*_KEY, "start", (F.col("start") + length).cast("int").alias("stop"), F.col("w1").alias("repeat"))
-    return texts, spans.unionByName(each_string)
+    certain = seen.where("code is null and stop is not null").select(*_KEY, "start", "stop", F.col("w1").alias("repeat"))
+    strings = seen.where("code is null and stop is null")
+    twice = strings.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w1", "w2")
+    single = strings.where("start is not null").join(twice, ["w1", "w2"]).select(*_KEY, "start", (F.col("start") + length).cast("int").alias("stop"), F.col("w1").alias("repeat"))
+    return texts, spans.unionByName(certain).unionByName(single)
+
+
+def _counted(strings: list[np.ndarray], length: int) -> list[tuple]:
+    """Rows for strings (key, h1, h2, w1, w2, start) of one batch.
+
+    A string met once is put out with its place, to be counted with the other
+    batches'. One met again is certain to repeat: its places come out as spans,
+    run by run, and its hash once without a place, for the others.
+    """
+    key, h1, h2, w1, w2, start = strings
+    order = np.lexsort((start, w2, w1))
+    a, b = w1[order], w2[order]
+    fresh = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
+    at = np.flatnonzero(fresh)
+    count = np.diff(np.r_[at, len(a)])
+    once = order[at[count == 1]]
+    out = [(*x[:3], None, None, None, None, *x[3:], None) for x in zip(*(c[once].tolist() for c in (key, h1, h2, w1, w2, start)), strict=True)]
+    told = order[at[count > 1]]
+    out += [(None, None, None, None, None, None, None, x, y, None, None) for x, y in zip(w1[told].tolist(), w2[told].tolist(), strict=True)]
+    again = np.zeros(len(key), bool)
+    again[order] = np.repeat(count > 1, count)
+    again = np.flatnonzero(again)
+    if len(again):
+        again = again[np.lexsort((start[again], h2[again], h1[again], key[again]))]
+        k, x, y, s = key[again], h1[again], h2[again], start[again]
+        head = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1]) | (s[1:] > s[:-1] + 1)])
+        tail = np.r_[head[1:], len(s)] - 1
+        out += [(*r[:3], None, None, None, None, r[3], None, r[4], r[5] + length) for r in zip(*(c.tolist() for c in (k[head], x[head], y[head], w1[again][head], s[head], s[tail])), strict=True)]
+    return out
 
 
 def _columns(rows: list[tuple]) -> list[pa.Array]:
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int32())
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
     return [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
 
 
@@ -271,13 +319,13 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     texts, found = repeats(docs, id_col=id_col, text_col=text_col, length=length, gram=gram, group_rows=group_rows)
     spans = found.select(*_KEY, "start", "stop").distinct().groupBy(*_KEY).agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     info = texts.join(spans, _KEY, "left")
-    rows = _keyed(docs, id_col, text_col).join(info, _KEY, "left").select("doc_id", "text", "copies", "spans")
+    rows = _packed(_keyed(docs, id_col, text_col)).join(info, _KEY, "left").select("doc_id", "blob", "copies", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc, text, copies, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                raw = text.encode()
+            for doc, blob, copies, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                raw = zstandard.decompress(blob)
                 # only the one row that stands for a text met its entry
                 gone = ([(0, len(raw))] if len(raw) >= length else []) if copies != 1 else merged([(s["start"], s["stop"]) for s in found or ()])
                 kept, at = hashlib.sha256(), 0

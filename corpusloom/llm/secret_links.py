@@ -69,7 +69,8 @@ def secret_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     short = (F.col("kind") == names.index("assign")) & (F.col("inner") < KINDS["assign"][2])
     rows = rows.withColumn("kind", F.when(short, names.index("short")).otherwise(F.col("kind")))
     least = F.coalesce(*(F.when(F.col("kind") == i, F.lit(KINDS[n][2])) for i, n in enumerate(names)), F.lit(0))
-    rows = rows.where(F.col("kind").isNull() | (F.col("inner") >= least))
+    # what is too short is no span, but its row still stands for its document
+    rows = rows.withColumn("kind", F.when(F.col("inner") >= least, F.col("kind")))
     role = F.coalesce(*(F.when(F.col("kind") == i, F.lit(KINDS[n][3])) for i, n in enumerate(names)))
     rows = rows.withColumn("role", role).withColumn("scope", F.count(F.when(F.col("kind") == blank, 1)).over(own.orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, 0)))
     scope = Window.partitionBy("doc_id", "text_hash", "scope")

@@ -566,7 +566,7 @@ def lockstep(jobs: list[_Job]) -> tuple[list[np.ndarray], np.ndarray]:
             red = next_symbol(1, some)
             blue = next_symbol(2, some)
             alpha = next_symbol(3, some)
-            out[target[some]] = alpha << 24 | red << 16 | symbols << 8 | blue
+            out[target[some]] = alpha.astype(np.int64) << 24 | red << 16 | symbols << 8 | blue
         busy = np.flatnonzero(left[:m] > 0)
         copying = len(busy) > 0
         if copying:

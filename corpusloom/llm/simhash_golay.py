@@ -16,7 +16,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, plain_docs
@@ -25,28 +25,34 @@ from .graphs import components
 #: The ASCII white space of a word boundary, and the generator polynomial of the binary Golay code.
 SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 GOLAY = 0b101011100011
-SHINGLE_WORDS, MAX_BITS, LINK_BLOCK = 3, 3, 2048
+SHINGLE_WORDS, MAX_BITS, LINK_BLOCK, SMALL_KEY = 3, 3, 2048, 8
+#: For classes by similarity: words of a shingle, fingerprints, and bits of 64 x COUNT that texts of which 0.8 of all shingles are shared mostly stay within.
+SIMILAR_WORDS, COUNT, SIMILAR_BITS = 5, 2, 25
 
 _LOWER = {c: c + 32 for c in range(65, 91)}
 _BREAK = {ord(c): " " for c in SPACE}
 
 
-def fingerprint(text: str, words: int = SHINGLE_WORDS) -> int:
-    """Majority of the bits of the shingles' XXH64, as an unsigned number."""
+def fingerprint(text: str, words: int = SHINGLE_WORDS, count: int = 1) -> list[int]:
+    """Majorities of the bits of the shingles' XXH64, as an unsigned number; further ones, of the same hashes mixed anew."""
     parts = [w for w in text.translate(_LOWER).translate(_BREAK).split(" ") if w]
     if not parts:
-        return 0
+        return [0] * count
     if len(parts) <= words:
         shingles = [" ".join(parts)]
     else:
         shingles = map(" ".join, zip(*(parts[i:] for i in range(words)), strict=False))
     digest = xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(s, 42) for s in map(str.encode, shingles)), np.uint64)
-    ones = np.zeros(64, np.int64)
+    ones = np.zeros((count, 64), np.int64)
     for lo in range(0, len(hashes), 65536):
         part = hashes[lo : lo + 65536]
-        ones += np.unpackbits(part.view(np.uint8).reshape(len(part), 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
+        for k in range(count):
+            if k:
+                part = (part ^ (part >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+                part ^= part >> np.uint64(29)
+            ones[k] += np.unpackbits(part.view(np.uint8).reshape(len(part), 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
+    return np.packbits(2 * ones > len(hashes), axis=1, bitorder="little").view(np.uint64).ravel().tolist()
 
 
 @lru_cache(1)
@@ -66,85 +72,149 @@ def codeword_keys() -> list[list[int]]:
     return out
 
 
-def _decoder(spark: SparkSession) -> DataFrame:
-    """(segment, codes): 65,536 rows, whatever the input."""
+@lru_cache(1)
+def _key_table() -> tuple[np.ndarray, np.ndarray]:
+    """codeword_keys as an array padded to six, and how many each segment has."""
     keys = codeword_keys()
-    return spark.createDataFrame(pa.table({"segment": pa.array(range(65536), pa.int32()), "codes": pa.array(keys, pa.list_(pa.int32()))}))
-
-
-def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, hash, fp): one row per input row, with the text's xxhash64; fp is the fingerprint's 64 bits as a long."""
+    size = np.array(list(map(len, keys)))
+    out = np.zeros((65536, 6), np.int64)
+    out[np.arange(6) < size[:, None]] = np.concatenate(keys)
+    return out, size
+
+
+def exact_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) such that rows within three bits share a key: an exact segment and a codeword near its neighbour."""
+    table, size = _key_table()
+    rows, keys = [], []
+    for side in range(4):
+        near, exact = (prints[:, 0] >> np.uint64(16 * x) & np.uint64(0xFFFF) for x in (side, side ^ 1))
+        near = near.astype(np.int64)
+        row, which = np.nonzero(np.arange(6) < size[near][:, None])
+        rows.append(row)
+        keys.append(((side << 12) + table[near[row], which] << 16) + exact.astype(np.int64)[row])
+    return np.concatenate(rows), np.concatenate(keys)
+
+
+def similar_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of the codewords near each two segments of each fingerprint: rows that differ in a sixth of their bits share one in nineteen cases of twenty."""
+    table, size = _key_table()
+    rows, keys = [], []
+    for k in range(prints.shape[1]):
+        segments = [(prints[:, k] >> np.uint64(16 * x) & np.uint64(0xFFFF)).astype(np.int64) for x in range(4)]
+        for a in range(4):
+            for b in range(a):
+                x, y = segments[a], segments[b]
+                row, i, j = np.nonzero((np.arange(6) < size[x][:, None])[:, :, None] & (np.arange(6) < size[y][:, None])[:, None, :])
+                rows.append(row)
+                keys.append((((k * 4 + a) * 4 + b << 12) + table[x[row], i] << 12) + table[y[row], j])
+    return np.concatenate(rows), np.concatenate(keys)
+
+
+def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, count: int = 1) -> DataFrame:
+    """(doc_id, hash, node, f0, f1, ...): one row per input row, with the text's xxhash64; fingerprints are the bits of longs, node stands for all of a row's."""
+    names = [f"f{k}" for k in range(count)]
 
     def run(batches):
         for batch in batches:
-            fps = np.array([fingerprint(t, words) for t in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps.view(np.int64), pa.int64())], ["doc_id", "hash", "fp"])
+            prints = np.array([fingerprint(t, words, count) for t in batch.column(1).to_pylist()], np.uint64).reshape(-1, count)
+            columns = [pa.array(np.ascontiguousarray(c).view(np.int64)) for c in (_node(prints), *prints.T)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], ["doc_id", "hash", "node", *names])
 
-    return plain_docs(docs, id_col=id_col, text_col=text_col).withColumn("hash", F.xxhash64("text")).mapInArrow(run, "doc_id long, hash long, fp long")
+    return plain_docs(docs, id_col=id_col, text_col=text_col).withColumn("hash", F.xxhash64("text")).mapInArrow(run, "doc_id long, hash long, node long, " + ", ".join(f"{n} long" for n in names))
 
 
-def links(fps: DataFrame) -> DataFrame:
-    """Links (a, b) between the distinct fingerprints of fps(fp) that differ in at most three bits.
+def _node(prints: np.ndarray) -> np.ndarray:
+    """One number for a row of fingerprints: a single one itself."""
+    out = prints[:, 0].copy()
+    for k in range(1, prints.shape[1]):
+        out = (out ^ (out >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93) ^ prints[:, k]
+    return out
 
-    The links connect every class that the full relation connects: rows of one
-    key are compared in blocks, and each row is linked to the earliest row within
-    reach of each block it meets, and blocks to blocks, so that a key with n rows
-    gives about n links for each pair of blocks and never all pairs.
+
+def links(prints: DataFrame, *, similar: bool = False) -> DataFrame:
+    """Links (a, b) between the nodes of prints(node, f0, ...) whose fingerprints differ in at most MAX_BITS bits, or SIMILAR_BITS if similar.
+
+    The links connect every class that the rows sharing keys connect: a key with
+    few rows gives its pairs; one with many is compared in blocks, each giving a
+    spanning forest, so that n rows give about n links for each pair of blocks
+    and never all pairs.
     """
-    spark = fps.sparkSession
-    own = fps.select("fp").distinct()
-    segments = [F.shiftrightunsigned("fp", 16 * i).bitwiseAND(F.lit(0xFFFF)).cast("int") for i in range(4)]
-    sides = own.select("fp", F.explode(F.array(*(F.struct(F.lit(near).alias("side"), segments[near].alias("segment"), segments[near ^ 1].alias("exact")) for near in range(4)))).alias("s")).select("fp", "s.*")
-    keyed = sides.join(F.broadcast(_decoder(spark)), "segment").select("fp", F.explode("codes").alias("code"), "side", "exact")
-    keyed = keyed.select("fp", ((F.col("side").cast("long") * 4096 + F.col("code")) * 65536 + F.col("exact")).alias("key"))
-    return keyed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_links, "a long, b long").distinct()
-
-
-def _links(batches):
-    key, kept = None, []
-    for batch in batches:
-        keys, fps = batch.column("key").to_numpy(), batch.column("fp").to_numpy()
-        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        pairs = []
-        for lo, hi in zip(starts, np.r_[starts[1:], len(keys)], strict=True):
-            if keys[lo] != key:
-                key, kept = keys[lo], []
-            if hi - lo == 1 and not kept:
-                kept = [fps[lo:hi]]
+    names = [c for c in prints.columns if c[0] == "f" and c[1:].isdigit()]
+    own = prints.select("node", *names).distinct()
+    limit, keys_of = (SIMILAR_BITS, similar_keys) if similar else (MAX_BITS, exact_keys)
+
+    def keyed(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1024):
+                columns = [np.asarray(c).astype(np.int64) for c in batch.slice(lo, 1024).columns[1:]]
+                row, key = keys_of(np.stack(columns, axis=1).view(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(c[row]) for c in columns)], ["key", *names])
+
+    def linked(batches):
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            for at in range(lo, hi, LINK_BLOCK):
-                block = fps[at : min(at + LINK_BLOCK, hi)]
-                pairs += [x for earlier in kept for x in _near(earlier, block)]
-                pairs += _near(block, block)
-                kept = [*kept, block]
-        a, b = (np.array([p[i] for p in pairs], np.int64) for i in (0, 1))
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-
-def _near(left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of the links between two blocks, found on their distance matrix."""
-    if not len(left) or not len(right):
-        return []
-    same = left is right
-    close = np.bitwise_count(left.view(np.uint64)[:, None] ^ right.view(np.uint64)[None, :]) <= MAX_BITS
-    i, j = np.nonzero(np.triu(close, 1) if same else close)
-    if not len(i):
-        return []
-    shift = 0 if same else len(left)
-    parent = list(range(shift + len(right)))
+            key = np.asarray(batch.column(0))
+            found = np.stack([np.asarray(c) for c in batch.columns[1:]], axis=1).view(np.uint64)
+            if held is not None:
+                key, found = np.concatenate([held[0], key]), np.concatenate([held[1], found])
+            last = int(np.argmax(key == key[-1]))
+            yield _batch(key[:last], found[:last], limit)
+            held = key[last:], found[last:]
+        if held is not None:
+            yield _batch(*held, limit)
+
+    longs = ", ".join(f"{n} long" for n in names)
+    return own.mapInArrow(keyed, f"key long, {longs}").repartition("key").sortWithinPartitions("key", *names).mapInArrow(linked, "a long, b long").distinct()
+
+
+def _apart(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(left ^ right).sum(axis=-1, dtype=np.int64)
+
+
+def _batch(key: np.ndarray, found: np.ndarray, limit: int) -> pa.RecordBatch:
+    """Links among the rows of each of some whole keys, in order of key."""
+    node = _node(found).view(np.int64)
+    start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
+    size = np.diff(np.r_[start, len(key)])
+    small = np.repeat(size <= SMALL_KEY, size)
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for step in range(1, SMALL_KEY):
+        at = np.flatnonzero(small[:-step] & (key[step:] == key[:-step]))
+        at = at[_apart(found[at], found[at + step]) <= limit]
+        left.append(node[at])
+        right.append(node[at + step])
+    for lo, n in zip(start[size > SMALL_KEY], size[size > SMALL_KEY], strict=True):
+        blocks = [np.arange(x, min(x + LINK_BLOCK, lo + n)) for x in range(lo, lo + n, LINK_BLOCK)]
+        for i, b in enumerate(blocks):
+            for a in blocks[: i + 1]:
+                x, y = _forest(found, a, b, limit)
+                left.append(node[x])
+                right.append(node[y])
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
+
+
+def _forest(found: np.ndarray, a: np.ndarray, b: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links between two blocks of rows (or within one), found on their distance matrix."""
+    close = sum(np.bitwise_count(found[a, k][:, None] ^ found[b, k][None, :]).astype(np.int16) for k in range(found.shape[1])) <= limit
+    if a is b:
+        close = np.triu(close, 1)
+    i, j = np.nonzero(close)
+    parent: dict[int, int] = {}
 
     def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = x = parent[parent[x]]
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent.setdefault(up, up)
         return x
 
-    out = []
-    for x, y in zip(i.tolist(), (j + shift).tolist(), strict=True):
+    kept = []
+    for n, (x, y) in enumerate(zip(a[i].tolist(), b[j].tolist(), strict=True)):
         p, q = root(x), root(y)
         if p != q:
             parent[max(p, q)] = min(p, q)
-            out.append((int(left[x]), int(right[y - shift])))
-    return out
+            kept.append(n)
+    return a[i[kept]], b[j[kept]]
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS) -> DataFrame:
@@ -157,20 +227,26 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     has no other. Copies share a fingerprint, so only distinct fingerprints are
     keyed and linked.
     """
-    fps = cut(fingerprints(docs, id_col=id_col, text_col=text_col, words=words))
-    root = components(links(fps)).select(F.col("node").alias("fp"), "root")
-    ids = fps.groupBy("fp").agg(F.min("doc_id").alias("least")).join(root, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = ids.join(ids.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    found = cut(fingerprints(docs, id_col=id_col, text_col=text_col, words=words))
+    root = components(links(found)).select("node", "root")
+    ids = found.groupBy("node").agg(F.min("doc_id").alias("least")).join(root, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    named = ids.join(ids.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
+    return found.join(named, "node").select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
+
 
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = SIMILAR_WORDS, count: int = COUNT) -> DataFrame:
+    """The rows of docs that stand for their class of near duplicates, other columns as they are.
 
-def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stand for their class of near duplicates: of each, the one with the smallest id (null last), then text hash. Other columns are kept as they are."""
+    Texts are near duplicates if their fingerprints over shingles of words words
+    differ in at most SIMILAR_BITS of 64 x count bits, which is how far texts with
+    a similarity of 0.8 are apart. Of each class the row with the smallest id
+    (null last), then text hash, stays; of rows repeated exactly one.
+    """
     keyed = docs.withColumn("_hash", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    fps = cut(fingerprints(docs, id_col=id_col, text_col=text_col))
-    root = components(links(fps)).select(F.col("node").alias("fp"), "root")
+    found = cut(fingerprints(docs, id_col=id_col, text_col=text_col, words=words, count=count))
+    root = components(links(found, similar=True)).select("node", "root")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")
-    best = fps.groupBy("fp").agg(F.min(order).alias("best")).join(root, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("best").alias("best"))
+    best = found.groupBy("node").agg(F.min(order).alias("best")).join(root, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best"))
     chosen = best.select(F.col("best.doc_id").alias("_id"), F.col("best.hash").alias("_chosen"))
     kept = keyed.join(chosen, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_chosen")), "left_semi")
     return kept.dropDuplicates([id_col, "_hash"]).select(*docs.columns)

@@ -69,14 +69,14 @@ def _segments(url: Column) -> Column:
 
 
 def _without_file(parts: Column) -> Column:
-    return F.when(F.coalesce(F.element_at(parts, -1), F.lit("")).contains("."), F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))).otherwise(parts)
+    return F.when(F.coalesce(F.try_element_at(parts, F.lit(-1)), F.lit("")).contains("."), F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))).otherwise(parts)
 
 
 def source_type_of_url(url: Column) -> Column:
     """Pdf, html or unknown by the address' last segment."""
     path = url_path(url)
-    last = F.element_at(F.split(path, "/"), -1)
-    ending = F.lower(F.element_at(F.split(last, r"\."), -1))
+    last = F.try_element_at(F.split(path, "/"), F.lit(-1))
+    ending = F.lower(F.try_element_at(F.split(last, r"\."), F.lit(-1)))
     return F.when(path == "", "unknown").when(~last.contains("."), "html").when(ending == "pdf", "pdf").when(ending.isin("html", "htm"), "html").otherwise("unknown")
 
 
@@ -149,7 +149,7 @@ def link_kind(url: Column, domains: tuple[str, ...]) -> Column:
 
 def hub_key(url: Column) -> Column:
     """Slug of an address' last segment, with a letter before a leading digit."""
-    slug = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(F.element_at(_without_file(_segments(url)), -1), F.lit(""))), r"[^a-z0-9]+", "_"), r"^_+|_+$", "")
+    slug = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(F.try_element_at(_without_file(_segments(url)), F.lit(-1)), F.lit(""))), r"[^a-z0-9]+", "_"), r"^_+|_+$", "")
     return F.when(slug == "", "hub").when(slug.rlike(r"^\d"), F.concat(F.lit("h_"), slug)).otherwise(slug)
 
 
@@ -162,7 +162,7 @@ def markdown_title(text: Column) -> Column:
 
 
 def title_or_tail(text: Column, url: Column) -> Column:
-    return F.coalesce(markdown_title(text), _nonempty(F.element_at(_segments(url), -1)), url)
+    return F.coalesce(markdown_title(text), _nonempty(F.try_element_at(_segments(url), F.lit(-1))), url)
 
 
 def qa_title(text: Column) -> Column:

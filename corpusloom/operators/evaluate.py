@@ -142,10 +142,8 @@ def citations(nodes: DataFrame, *, by: str = "run_id") -> DataFrame:
 
 def claim_citations(claims: DataFrame, cited: DataFrame) -> DataFrame:
     """The citation of each claim reference(run_id, claim_no, chunk_id, source_url): by chunk id, else by address; the first of several, each once per claim."""
-    first = lambda c: cited.where(F.col(c).isNotNull() & (F.col(c) != "")).groupBy("run_id", F.col(c).alias(f"_{c}")).agg(F.min("place").alias(f"_by_{c}"))
-    a, b = first("chunk_id"), first("source_url")
-    joined = claims.join(a, (claims["run_id"] == a["run_id"]) & (claims["chunk_id"] == a["_chunk_id"]), "left").drop(a["run_id"])
-    joined = joined.join(b, (joined["run_id"] == b["run_id"]) & (joined["source_url"] == b["_source_url"]), "left").drop(b["run_id"])
+    first = lambda c: cited.where(F.col(c).isNotNull() & (F.col(c) != "")).groupBy("run_id", c).agg(F.min("place").alias(f"_by_{c}"))
+    joined = claims.join(first("chunk_id"), ["run_id", "chunk_id"], "left").join(first("source_url"), ["run_id", "source_url"], "left")
     return joined.select("run_id", "claim_no", F.coalesce("_by_chunk_id", "_by_source_url").alias("place")).where("place is not null").distinct()
 
 

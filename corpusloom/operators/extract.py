@@ -50,7 +50,7 @@ def markdown_qa(docs: DataFrame, *, url: str = "url", markdown: str = "markdown"
     strip = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
     own = docs.select(F.col(url).alias("source_url"), text.alias("text"), body.alias("body")).where(F.col("source_url").isNotNull())
     pairs = own.select("source_url", "text", F.posexplode(F.arrays_zip(numbers.alias("n"), titles.alias("q"), F.slice(answers, 2, F.greatest(F.size(answers) - 1, F.lit(0))).alias("a"))).alias("pos", "x"))
-    rows = pairs.select("source_url", "text", "pos", F.col("x")["0"].cast("int").alias("seq"), strip(F.replace(F.col("x")["1"], F.lit("*"), F.lit(""))).alias("question"), strip(clean(F.col("x")["2"])).alias("answer")).where("question <> '' and answer <> ''")
+    rows = pairs.select("source_url", "text", "pos", F.col("x")["n"].cast("int").alias("seq"), strip(F.replace(F.col("x")["q"], F.lit("*"), F.lit(""))).alias("question"), strip(clean(F.col("x")["a"])).alias("answer")).where("question <> '' and answer <> ''")
     rows = rows.withColumn("qa_id", S.qa_id(F.col("source_url"), F.col("question")))
     records = rows.select("source_url", "pos", "seq", "qa_id", "question", "answer", F.lit("pdf").alias("source_type"), S.qa_title(F.col("text")).alias("source_title"), S.loose_reference(F.col("text")).alias("reference_number"), S.short_revision(F.col("text")).alias("revision"), S.topic_path_short(F.col("source_url")).alias("topic_path"), S.confidence(F.col("question"), pdf=True).alias("extraction_confidence"))
     return records.join(cross_references(records), ["source_url", "pos"], "left").withColumn("cross_refs", F.coalesce("cross_refs", F.array().cast("array<string>")))

@@ -17,13 +17,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Materialise df in the shared checkpoint folder and cut its lineage.
 
-    The folder is the one named by ``spark.checkpoint.dir``; only a session
-    without one (unit tests, notebooks) gets a folder of its own.
+    The folder is the one named by ``spark.checkpoint.dir``. Without one a local
+    session (unit tests, notebooks) gets a temporary folder of its own, any other
+    a folder in its warehouse, which all executors share.
     """
-    sc = df.sparkSession.sparkContext
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="corpusloom-checkpoint-"))
+        alone = sc.master.startswith("local") and not sc.master.startswith("local-cluster")
+        sc.setCheckpointDir(named or (tempfile.mkdtemp(prefix="corpusloom-checkpoint-") if alone else f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"))
     return df.checkpoint(eager=True)
 
 

@@ -8,8 +8,15 @@ from pyspark.sql import DataFrame
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """df checkpointed in the folder that spark.checkpoint.dir names; a session without one (tests) gets its own."""
-    sc = df.sparkSession.sparkContext
+    """df checkpointed in the folder that spark.checkpoint.dir names.
+
+    Without one a local session (tests, notebooks) gets a temporary folder, any
+    other a folder in its warehouse, which all executors share.
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="corpusloom-"))
+        alone = sc.master.startswith("local") and not sc.master.startswith("local-cluster")
+        folder = tempfile.mkdtemp(prefix="corpusloom-") if alone else f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or folder)
     return df.checkpoint(eager=True)

@@ -110,6 +110,40 @@ def similar_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(keys)
 
 
+def _least_shared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The least codeword near both of two rows of segments; a large number if there is none."""
+    table, size = _key_table()
+    a, b = (np.where(np.arange(6) < size[v][:, None], table[v], none) for v, none in ((x, -1), (y, -2)))
+    return np.where((a[:, :, None] == b[:, None, :]).any(axis=2), a, 1 << 40).min(axis=1)
+
+
+def _segments(prints: np.ndarray, k: int) -> list[np.ndarray]:
+    return [(prints[:, k] >> np.uint64(16 * i) & np.uint64(0xFFFF)).astype(np.int64) for i in range(4)]
+
+
+def least_exact_key(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The least of the keys that rows of x and y share by exact_keys."""
+    own, other = _segments(x, 0), _segments(y, 0)
+    out = np.full(len(x), np.iinfo(np.int64).max)
+    for side in range(4):
+        code = _least_shared(own[side], other[side])
+        both = (own[side ^ 1] == other[side ^ 1]) & (code < 4096)
+        out = np.minimum(out, np.where(both, ((side << 12) + code << 16) + own[side ^ 1], out))
+    return out
+
+
+def least_similar_key(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The least of the keys that rows of x and y share by similar_keys."""
+    out = np.full(len(x), np.iinfo(np.int64).max)
+    for k in range(x.shape[1]):
+        code = [_least_shared(a, b) for a, b in zip(_segments(x, k), _segments(y, k), strict=True)]
+        for a in range(4):
+            for b in range(a):
+                both = (code[a] < 4096) & (code[b] < 4096)
+                out = np.minimum(out, np.where(both, (((k * 4 + a) * 4 + b << 12) + code[a] << 12) + code[b], out))
+    return out
+
+
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, count: int = 1) -> DataFrame:
     """(doc_id, hash, node, f0, f1, ...): one row per input row, with the text's xxhash64; fingerprints are the bits of longs, node stands for all of a row's."""
     names = [f"f{k}" for k in range(count)]
@@ -137,11 +171,12 @@ def links(prints: DataFrame, *, similar: bool = False) -> DataFrame:
     The links connect every class that the rows sharing keys connect: a key with
     few rows gives its pairs; one with many is compared in blocks, each giving a
     spanning forest, so that n rows give about n links for each pair of blocks
-    and never all pairs.
+    and never all pairs. Of the keys that two rows share only the least gives
+    their link: there they are compared as well, so what links them stays.
     """
     names = [c for c in prints.columns if c[0] == "f" and c[1:].isdigit()]
     own = prints.select("node", *names).distinct()
-    limit, keys_of = (SIMILAR_BITS, similar_keys) if similar else (MAX_BITS, exact_keys)
+    limit, keys_of, least = (SIMILAR_BITS, similar_keys, least_similar_key) if similar else (MAX_BITS, exact_keys, least_exact_key)
 
     def keyed(batches):
         for batch in batches:
@@ -160,10 +195,10 @@ def links(prints: DataFrame, *, similar: bool = False) -> DataFrame:
             if held is not None:
                 key, found = np.concatenate([held[0], key]), np.concatenate([held[1], found])
             last = int(np.argmax(key == key[-1]))
-            yield _batch(key[:last], found[:last], limit)
+            yield _batch(key[:last], found[:last], limit, least)
             held = key[last:], found[last:]
         if held is not None:
-            yield _batch(*held, limit)
+            yield _batch(*held, limit, least)
 
     longs = ", ".join(f"{n} long" for n in names)
     return own.mapInArrow(keyed, f"key long, {longs}").repartition("key").sortWithinPartitions("key", *names).mapInArrow(linked, "a long, b long").distinct()
@@ -173,7 +208,7 @@ def _apart(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return np.bitwise_count(left ^ right).sum(axis=-1, dtype=np.int64)
 
 
-def _batch(key: np.ndarray, found: np.ndarray, limit: int) -> pa.RecordBatch:
+def _batch(key: np.ndarray, found: np.ndarray, limit: int, least) -> pa.RecordBatch:
     """Links among the rows of each of some whole keys, in order of key."""
     node = _node(found).view(np.int64)
     start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
@@ -183,16 +218,18 @@ def _batch(key: np.ndarray, found: np.ndarray, limit: int) -> pa.RecordBatch:
     for step in range(1, SMALL_KEY):
         at = np.flatnonzero(small[:-step] & (key[step:] == key[:-step]))
         at = at[_apart(found[at], found[at + step]) <= limit]
-        left.append(node[at])
-        right.append(node[at + step])
+        left.append(at)
+        right.append(at + step)
     for lo, n in zip(start[size > SMALL_KEY], size[size > SMALL_KEY], strict=True):
         blocks = [np.arange(x, min(x + LINK_BLOCK, lo + n)) for x in range(lo, lo + n, LINK_BLOCK)]
         for i, b in enumerate(blocks):
             for a in blocks[: i + 1]:
                 x, y = _forest(found, a, b, limit)
-                left.append(node[x])
-                right.append(node[y])
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
+                left.append(x)
+                right.append(y)
+    x, y = np.concatenate(left), np.concatenate(right)
+    here = key[x] == least(found[x], found[y])
+    return pa.RecordBatch.from_arrays([pa.array(node[x[here]]), pa.array(node[y[here]])], ["a", "b"])
 
 
 def _forest(found: np.ndarray, a: np.ndarray, b: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:

@@ -341,6 +341,20 @@ def test_wrappers_find_the_slot_without_names(spark):
         assert got[i] == f"About {i}\nSome words that differ: {words(i, 40)}"
 
 
+def _texts(spark, page, n=8):
+    pages = [(i, f"http://e.example/{i}", page.replace("{i}", str(i)).replace("{w}", words(i, 40))) for i in range(n)]
+    got = page_wrapper.main_texts(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    return [r["text"] for r in sorted(got, key=lambda r: r["page_id"])]
+
+
+def test_wrappers_take_template_nodes_out_of_articles(spark):
+    page = """<html><body><nav>x</nav><article><h1>T {i}</h1><div class="zz-box"><p>Join our club today</p></div><div class="body"><p>{w}</p><p>Thanks.</p></div><ul><li>one</ul></article></body></html>"""
+    assert _texts(spark, page) == [f"T {i}\n{words(i, 40)}\nThanks.\none" for i in range(8)]
+    # the same article under other navigation is no template
+    page = """<html><body><div class="top">{i}</div><article><div class="body"><p>All of the text</p></div></article></body></html>"""
+    assert all("All of the text" in t for t in _texts(spark, page))
+
+
 def test_tree_matching():
     a, b = (page_wrapper.outline([page_wrapper.tree(x)]) for x in ("<div><p>a</p><ul><li>x</ul></div>", "<div><h1>t</h1><p>b</p><ul><li>y<li>z</ul></div>"))
     size, pairs = page_wrapper.match(a, b)

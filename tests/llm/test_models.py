@@ -355,6 +355,18 @@ def test_wrappers_take_template_nodes_out_of_articles(spark):
     assert all("All of the text" in t for t in _texts(spark, page))
 
 
+def test_wrappers_keep_all_slots(spark):
+    page = """<html><body><div class="page"><h1>Title {i}</h1><div class="lead">Lead {i}</div><div class="body"><p>{w}</p></div></div><div class="end">All rights reserved</div></body></html>"""
+    assert _texts(spark, page) == [f"Title {i}\nLead {i}\n{words(i, 40)}" for i in range(8)]
+
+
+def test_all_articles_of_a_page_are_joined(spark):
+    page = """<html><body><article>Part one {i} {w}</article><div class="ad">Buy</div><article>Part two {i}</article><aside><article>Teaser {i}</article></aside></body></html>"""
+    want = [f"Part one {i} {words(i, 40)}\nPart two {i}" for i in range(8)]
+    assert _texts(spark, page) == want
+    assert _texts(spark, page, 1) == want[:1]
+
+
 def test_tree_matching():
     a, b = (page_wrapper.outline([page_wrapper.tree(x)]) for x in ("<div><p>a</p><ul><li>x</ul></div>", "<div><h1>t</h1><p>b</p><ul><li>y<li>z</ul></div>"))
     size, pairs = page_wrapper.match(a, b)

@@ -26,24 +26,36 @@ from .graphs import components
 SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 GOLAY = 0b101011100011
 SHINGLE_WORDS, MAX_BITS, LINK_BLOCK, SMALL_KEY = 3, 3, 2048, 8
-#: For classes by similarity: words of a shingle, fingerprints, and bits of 64 x COUNT that texts of which 0.8 of all shingles are shared mostly stay within.
-SIMILAR_WORDS, COUNT, SIMILAR_BITS = 5, 2, 25
+#: For classes by similarity: words of a shingle, fingerprints, and bits of 64 x COUNT that nearly all texts of which 0.8 of all shingles are shared stay within.
+SIMILAR_WORDS, COUNT, SIMILAR_BITS = 5, 3, 44
+#: Texts of one block of candidates, of which each pair is verified.
+VERIFY_BLOCK = 256
 
 _LOWER = {c: c + 32 for c in range(65, 91)}
 _BREAK = {ord(c): " " for c in SPACE}
 
 
-def fingerprint(text: str, words: int = SHINGLE_WORDS, count: int = 1) -> list[int]:
-    """Majorities of the bits of the shingles' XXH64, as an unsigned number; further ones, of the same hashes mixed anew."""
+def shingle_hashes(text: str, words: int) -> np.ndarray:
+    """XXH64 of each shingle of a text, in order; a text of fewer words is one shingle, one without words has none."""
     parts = [w for w in text.translate(_LOWER).translate(_BREAK).split(" ") if w]
     if not parts:
-        return [0] * count
+        return np.zeros(0, np.uint64)
     if len(parts) <= words:
         shingles = [" ".join(parts)]
     else:
         shingles = map(" ".join, zip(*(parts[i:] for i in range(words)), strict=False))
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(s, 42) for s in map(str.encode, shingles)), np.uint64)
+    return np.fromiter((digest(s, 42) for s in map(str.encode, shingles)), np.uint64)
+
+
+def fingerprint(text: str, words: int = SHINGLE_WORDS, count: int = 1) -> list[int]:
+    """Majorities of the bits of the shingles' XXH64, as an unsigned number; further ones, of the same hashes mixed anew."""
+    return _majorities(shingle_hashes(text, words), count)
+
+
+def _majorities(hashes: np.ndarray, count: int) -> list[int]:
+    if not len(hashes):
+        return [0] * count
     ones = np.zeros((count, 64), np.int64)
     for lo in range(0, len(hashes), 65536):
         part = hashes[lo : lo + 65536]
@@ -271,19 +283,116 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return found.join(named, "node").select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _with_sets(docs: DataFrame, id_col: str, text_col: str, words: int, count: int) -> DataFrame:
+    """fingerprints of docs, with set: a hash of the text's set of shingles."""
+    names = [f"f{k}" for k in range(count)]
+
+    def run(batches):
+        for batch in batches:
+            found = [shingle_hashes(t, words) for t in batch.column(1).to_pylist()]
+            prints = np.array([_majorities(h, count) for h in found], np.uint64).reshape(-1, count)
+            sets = np.array([xxhash.xxh64_intdigest(np.unique(h).tobytes()) for h in found], np.uint64)
+            columns = [pa.array(np.ascontiguousarray(c).view(np.int64)) for c in (sets, _node(prints), *prints.T)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], ["doc_id", "hash", "set", "node", *names])
+
+    return plain_docs(docs, id_col=id_col, text_col=text_col).withColumn("hash", F.xxhash64("text")).mapInArrow(run, "doc_id long, hash long, set long, node long, " + ", ".join(f"{n} long" for n in names))
+
+
+def verified(block: list[tuple], limit: int = SIMILAR_BITS) -> list[tuple[int, int]]:
+    """Links among the rows (set, block, fingerprints, shingles) of one or two blocks that connect all pairs, of different blocks if there are two, within limit bits whose shingles have a Jaccard similarity of 0.8 or more."""
+    names, blocks = [r[0] for r in block], np.array([r[1] for r in block])
+    prints = np.array([r[2] for r in block], np.int64).view(np.uint64)
+    sets = [np.frombuffer(r[3], np.uint64) for r in block]
+    apart = sum(np.bitwise_count(prints[:, k][:, None] ^ prints[:, k][None, :]).astype(np.int16) for k in range(prints.shape[1]))
+    wanted = np.triu(apart <= limit, 1)
+    if blocks.min() != blocks.max():
+        wanted &= blocks[:, None] != blocks[None, :]
+    # of the shared shingles of two sets there are at most as many as the smaller has
+    size = np.array(list(map(len, sets)))
+    wanted &= 5 * np.minimum.outer(size, size) >= 4 * np.maximum.outer(size, size)
+    i, j = np.nonzero(wanted)
+    order = np.argsort(apart[i, j], kind="stable")
+    parent = list(range(len(block)))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    out = []
+    for x, y in zip(i[order].tolist(), j[order].tolist(), strict=True):
+        p, q = root(x), root(y)
+        if p != q and 9 * len(np.intersect1d(sets[x], sets[y], assume_unique=True)) >= 4 * (len(sets[x]) + len(sets[y])):
+            parent[q] = p
+            out.append((names[x], names[y]))
+    return out
+
+
+def similar_links(docs: DataFrame, found: DataFrame, *, words: int = SIMILAR_WORDS) -> DataFrame:
+    """Links (a, b) between the shingle sets of found(doc_id, hash, set, node, f0, ...) that are similar by 0.8 or more.
+
+    Candidates are the texts of a component of links by fingerprint; their sets
+    are cut into blocks, and each pair of blocks of a component is verified.
+    docs(doc_id, hash, text) are the texts.
+    """
+    names = [c for c in found.columns if c[0] == "f" and c[1:].isdigit()]
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash", "node", *names)).alias("x")
+    own = cut(found.groupBy("set").agg(one).select("set", "x.doc_id", "x.hash", "x.node", *(f"x.{n}" for n in names)))
+    root = components(links(own, similar=True)).select("node", "root")
+    classed = own.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    counted = classed.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    n_blocks = F.ceil(F.col("n") / VERIFY_BLOCK).cast("int")
+    members = classed.join(counted, "root").select("root", "set", "doc_id", "hash", *names, n_blocks.alias("n_blocks"))
+    members = members.withColumn("block", F.pmod(F.xxhash64("set"), F.col("n_blocks")).cast("int"))
+    # rows repeated with their id have equal texts
+    texts = docs.join(members.withColumnRenamed("doc_id", "_id").withColumnRenamed("hash", "_hash"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash")))
+
+    def shingled(batches):
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t, words)).tobytes() for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(sets, pa.binary())], [*batch.schema.names[1:], "shingles"])
+
+    longs = ", ".join(f"{n} long" for n in names)
+    sets = texts.select("text", "root", "set", "block", "n_blocks", *names).mapInArrow(shingled, f"root long, set long, block int, n_blocks int, {longs}, shingles binary")
+    other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other")
+    paired = sets.select("root", "set", "block", *names, "shingles", other).select("root", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "set", "block", *names, "shingles")
+
+    def checked(batches):
+        at, held = None, []
+
+        def told():
+            # rows repeated with their id come once
+            got = verified(list({r[0]: r for r in held}.values()))
+            return pa.RecordBatch.from_arrays([pa.array([x[c] for x in got], pa.int64()) for c in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns]
+            for root, lo, hi, name, block, *prints, blob in zip(*columns, strict=True):
+                if (root, lo, hi) != at:
+                    if held:
+                        yield told()
+                    at, held = (root, lo, hi), []
+                held.append((name, block, prints, blob))
+        if held:
+            yield told()
+
+    return paired.repartition("root", "lo", "hi").sortWithinPartitions("root", "lo", "hi").mapInArrow(checked, "a long, b long")
+
+
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = SIMILAR_WORDS, count: int = COUNT) -> DataFrame:
     """The rows of docs that stand for their class of near duplicates, other columns as they are.
 
-    Texts are near duplicates if their fingerprints over shingles of words words
-    differ in at most SIMILAR_BITS of 64 x count bits, which is how far texts with
-    a similarity of 0.8 are apart. Of each class the row with the smallest id
+    Texts are near duplicates if their sets of shingles of words words have a
+    Jaccard similarity of 0.8 or more, which is verified for each two texts whose
+    fingerprints make them candidates. Of each class the row with the smallest id
     (null last), then text hash, stays; of rows repeated exactly one.
     """
     keyed = docs.withColumn("_hash", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    found = cut(fingerprints(docs, id_col=id_col, text_col=text_col, words=words, count=count))
-    root = components(links(found, similar=True)).select("node", "root")
+    found = cut(_with_sets(docs, id_col, text_col, words, count))
+    texts = plain_docs(docs, id_col=id_col, text_col=text_col).withColumn("hash", F.xxhash64("text"))
+    root = components(similar_links(texts, found, words=words)).select(F.col("node").alias("set"), "root")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")
-    best = found.groupBy("node").agg(F.min(order).alias("best")).join(root, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best"))
+    best = found.groupBy("set").agg(F.min(order).alias("best")).join(root, "set", "left").groupBy(F.coalesce("root", "set").alias("root")).agg(F.min("best").alias("best"))
     chosen = best.select(F.col("best.doc_id").alias("_id"), F.col("best.hash").alias("_chosen"))
     kept = keyed.join(chosen, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_chosen")), "left_semi")
     return kept.dropDuplicates([id_col, "_hash"]).select(*docs.columns)

@@ -173,6 +173,37 @@ def test_similar_texts_fall_together(spark):
     assert len(kept) <= 126
 
 
+def _jaccard(a, b):
+    a, b = ({tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in (a.split(" "), b.split(" ")))
+    return len(a & b) / len(a | b)
+
+
+def test_only_texts_of_the_contracts_similarity_fall_together(spark):
+    """Pairs between 0.5 and 0.95 against brute force: nothing under 0.8 falls together, and nearly all from 0.8 on does."""
+    rows, near, r = [], {}, np.random.default_rng(8)
+    for i in range(300):
+        parts = words(1000 + i, 300).split(" ")
+        rows.append((2 * i, " ".join(parts)))
+        for at in r.choice(300, 2 + i % 16, replace=False):
+            parts[at] = "changed" + str(at)
+        rows.append((2 * i + 1, " ".join(parts)))
+        near[2 * i + 1] = _jaccard(rows[-2][1], rows[-1][1])
+    kept = {x["doc_id"] for x in simhash_golay.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert min(near.values()) < 0.6 and sum(0.65 <= j < 0.8 for j in near.values()) > 50
+    assert {2 * i for i in range(300)} <= kept
+    assert not [j for i, j in near.items() if j < 0.8 and i not in kept]
+    alike = [i in kept for i, j in near.items() if j >= 0.8]
+    print("pairs from 0.8 on:", len(alike), "missed:", sum(alike))
+    assert sum(alike) <= 0.02 * len(alike)
+
+
+def test_blocks_of_candidates_are_all_verified(spark, monkeypatch):
+    monkeypatch.setattr(simhash_golay, "VERIFY_BLOCK", 4)
+    base = words(77, 400).split(" ")
+    rows = [(i, " ".join([*base[:i], "other", *base[i + 1 :]])) for i in range(5, 395, 13)]
+    assert [x["doc_id"] for x in simhash_golay.one_of_each(spark.createDataFrame(rows + rows[:2], "doc_id long, text string")).collect()] == [5]
+
+
 def test_one_of_each_keeps_columns(spark):
     kept = simhash_golay.one_of_each(frame(spark)).collect()
     assert len({r["text"] for r in kept}) == len(kept)

@@ -1,14 +1,14 @@
 """Batch retrieval: a table of queries against a table of chunks.
 
-queries(query_id, vec) and chunks(chunk_id, vec, ...) hold unit vectors. A query
-table is a bounded input of a job (its size is checked before it is broadcast);
-chunks are of any size, are read once and never shuffled whole: each task keeps
-the best k of its own rows for each query before anything moves.
+queries(query_id, vec) and chunks(chunk_id, vec, ...) hold unit vectors, both of
+any size. Each is packed into blocks of fixed size, a block to a row; each pair of
+blocks gives the best k of its chunks for each of its queries, and only those meet
+in a shuffle. No vector passes through the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rules import CATEGORIES, ROUTES, keyword_pattern
 
-MOST_QUERIES = 20_000
+QUERY_BLOCK, CHUNK_BLOCK = 1024, 4096
 
 
 def best(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:
@@ -33,33 +33,56 @@ def vector_topk(queries: DataFrame, chunks: DataFrame, k: int, *, filter_: Colum
     """
     if filter_ is not None:
         chunks = chunks.where(filter_)
-    if queries.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries in one job; split the query table")
-    table = queries.select("query_id", "vec").toArrow()
-    ids = np.asarray(table.column("query_id"))
-    vectors = np.array(table.column("vec").to_pylist(), np.float64).reshape(len(ids), -1)
-    held = chunks.sparkSession.sparkContext.broadcast((ids, vectors))
-
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, vectors = held.value
-        top_ids = np.zeros((len(ids), 0), np.int64)
-        top_scores = np.zeros((len(ids), 0))
+    def nearest(ids: np.ndarray, own: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = np.lexsort((np.broadcast_to(own, scores.shape), -scores), axis=1)[:, :k]
+        return np.repeat(ids, order.shape[1]), own[order].ravel(), np.take_along_axis(scores, order, 1).ravel()
+
+    return best(_products(queries, chunks, nearest, digits), ["query_id"], [F.desc("score"), F.asc("chunk_id")], k)
+
+
+def all_scores(queries: DataFrame, chunks: DataFrame, *, digits: int = 6) -> DataFrame:
+    """(query_id, chunk_id, doc_id, score) of every query with every chunk, by the same products of blocks."""
+
+    def every(ids: np.ndarray, own: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return np.repeat(ids, len(own)), np.tile(own, len(ids)), scores.ravel()
+
+    # the document's id travels beside the chunk's, so that no pair needs a join
+    named = chunks.select(F.struct(F.col("chunk_id").cast("long"), F.col("doc_id").cast("long")).alias("chunk_id"), "vec")
+    return _products(queries, named, every, digits, wide=True).select("query_id", "chunk_id", "doc_id", "score")
+
+
+def _blocks(df: DataFrame, id_col: str, size: int, name: str, wide: bool = False) -> DataFrame:
+    """(name_ids, name_vecs): the rows of df that have a vector, at most size to a row, as bytes of longs and doubles."""
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, size):
+                part = batch.slice(lo, size)
+                row = [np.stack([np.asarray(c).astype(np.int64) for c in (part.column(0).flatten() if wide else [part.column(0)])], axis=1).tobytes(), part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in row], [f"{name}_ids", f"{name}_vecs"])
+
+    rows = df.select(F.col(id_col).cast("struct<chunk_id:bigint,doc_id:bigint>" if wide else "long").alias("id"), F.col("vec").cast("array<double>").alias("vec")).where(F.col("vec").isNotNull())
+    return rows.mapInArrow(packed, f"{name}_ids binary, {name}_vecs binary")
+
+
+def _products(queries: DataFrame, chunks: DataFrame, keep: Callable, digits: int, wide: bool = False) -> DataFrame:
+    """(query_id, chunk_id, score), with doc_id if chunks are named by both (wide): what keep(query ids, chunk ids, scores) takes of each pair of a query block and a chunk block."""
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows or not len(ids):
-                continue
-            found = batch.column(1).flatten().to_numpy().astype(np.float64).reshape(batch.num_rows, -1)
-            own = np.asarray(batch.column(0))
-            for lo in range(0, len(own), 4096):
-                scores = np.round((1 + vectors @ found[lo : lo + 4096].T) / 2, digits)
-                top_scores = np.concatenate([top_scores, scores], axis=1)
-                top_ids = np.concatenate([top_ids, np.broadcast_to(own[lo : lo + 4096], scores.shape)], axis=1)
-                order = np.lexsort((top_ids, -top_scores), axis=1)[:, :k]
-                top_ids, top_scores = np.take_along_axis(top_ids, order, 1), np.take_along_axis(top_scores, order, 1)
-        n = top_ids.shape[1]
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(top_ids.ravel()), pa.array(top_scores.ravel())], ["query_id", "chunk_id", "score"])
-
-    near = chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), F.col("vec").cast("array<double>").alias("vec")).where(F.col("vec").isNotNull()).mapInArrow(local, "query_id long, chunk_id long, score double")
-    return best(near, ["query_id"], [F.desc("score"), F.asc("chunk_id")], k)
+            for at in range(batch.num_rows):
+                ids, vectors, own, found = (np.frombuffer(batch.column(c)[at].as_py(), t) for c, t in enumerate((np.int64, np.float64) * 2))
+                names = own.reshape(-1, 2) if wide else own.reshape(-1, 1)
+                own = np.arange(len(names)) if wide else names[:, 0]
+                scores = np.round((1 + vectors.reshape(len(ids), -1) @ found.reshape(len(own), -1).T) / 2, digits)
+                for lo in range(0, len(ids), 128):
+                    out = keep(ids[lo : lo + 128], own, scores[lo : lo + 128])
+                    if wide:
+                        out = out[0], names[out[1], 0], out[2], names[out[1], 1]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["query_id", "chunk_id", "score", "doc_id"][: len(out)])
+
+    pairs = _blocks(queries, "query_id", QUERY_BLOCK, "q").crossJoin(_blocks(chunks, "chunk_id", CHUNK_BLOCK, "c", wide))
+    return pairs.mapInArrow(scored, "query_id long, chunk_id long, score double" + (", doc_id long" if wide else ""))
 
 
 def small_to_big(hits: DataFrame, parents: DataFrame) -> DataFrame:

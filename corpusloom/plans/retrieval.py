@@ -89,9 +89,8 @@ def doc_edges(spark, d):
 
 
 def all_scores(spark, d):
-    """(query_id, chunk_id, doc_id, score) of every chunk of the documents at hand: queries are a bounded table, so this is one block product per task."""
-    q = queries(spark, d).withColumnRenamed("vec", "_q")
-    return chunks(spark, d).select("chunk_id", "doc_id", "vec").join(F.broadcast(q)).select("query_id", "chunk_id", "doc_id", S.similarity(F.col("_q"), F.col("vec")).alias("score"))
+    """(query_id, chunk_id, doc_id, score) of every chunk of the documents at hand, by products of query and chunk blocks."""
+    return retrieve.all_scores(queries(spark, d), chunks(spark, d))
 
 
 @register(f"""WITH {SCORED}, {EDGES}, {_top(3)}, seed AS (SELECT DISTINCT query_id, doc_id FROM top), step AS (SELECT s.query_id, e.tgt AS doc_id, s.doc_id AS seed FROM seed s JOIN edges e ON e.src = s.doc_id WHERE NOT EXISTS (SELECT 1 FROM seed x WHERE x.query_id = s.query_id AND x.doc_id = e.tgt)),

@@ -387,3 +387,15 @@ def test_streams(spark, tmp_path):
     keyed = str(tmp_path / "keyed")
     Z.keyed_upserts(spark, source, "doc_id long, text string", keyed, str(tmp_path / "state2"), key=("doc_id",)).awaitTermination()
     assert spark.read.parquet(f"{keyed}/v=1").count() == 8
+
+
+def test_retrieval_takes_any_number_of_queries(spark):
+    from corpusloom.operators import retrieve
+
+    unit = "array(cos(id * 0.37D), sin(id * 0.37D)) AS vec"
+    queries = spark.range(20_500).selectExpr("id AS query_id", unit)
+    chunks = spark.range(40).selectExpr("id AS chunk_id", unit)
+    got = retrieve.vector_topk(queries, chunks, 2)
+    assert got.count() == 2 * 20_500
+    own = got.where("query_id < 40 AND rank = 1").collect()
+    assert len(own) == 40 and all(r["query_id"] == r["chunk_id"] and r["score"] == 1 for r in own)

@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -291,6 +292,47 @@ def test_packing_places_every_piece(spark):
     assert packing.packed(frame(spark, []), path).collect() == []
 
 
+def test_words_are_coded_as_the_library_codes_texts():
+    from tokenizers import Tokenizer
+
+    path = vocabulary("word_bpe_49k.json")
+    library, own, r = Tokenizer.from_file(path), packing.WordIds(path), random.Random(11)
+    parts = ["a", "B", "é", "É", "ß", "İ", "ſ", "'s", "'t", "1", "٣", "²", " ", "  ", "\n", ". ", ", ", ".", ",", "\x1c", "\x85", "\xa0", "\u3000", "\u200b", "日", "本", "\u0301", "Å", "<|endoftext|>", "<|", "-", "_", "😀", "\0", "ǅ", "ﬁ", "Σ", "ς", "word", "x" * 70]
+    texts = ["".join(r.choice(parts) for _ in range(r.randrange(25))) for _ in range(2000)] + [words(5, 3000)]
+    for _ in range(2):  # the second time from memory
+        ids, places = own.encode(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip(places, places[1:], strict=False)] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    with pytest.raises(ValueError, match="lower case"):
+        packing.WordIds(vocabulary("byte_bpe_50k.json"))
+
+
+def test_least_bins_bounds_every_packing():
+    def fewest(sizes, room):
+        best = len(sizes)
+
+        def place(at, fills):
+            nonlocal best
+            if len(fills) >= best:
+                return
+            if at == len(sizes):
+                best = len(fills)
+                return
+            for b in range(len(fills)):
+                if fills[b] + sizes[at] <= room:
+                    place(at + 1, [*fills[:b], fills[b] + sizes[at], *fills[b + 1 :]])
+            place(at + 1, [*fills, sizes[at]])
+
+        place(0, [])
+        return best
+
+    r = random.Random(3)
+    for _ in range(150):
+        sizes = [r.randrange(1, 21) for _ in range(r.randrange(1, 8))]
+        least, exact = packing.least_bins(sizes, 20), fewest(sizes, 20)
+        assert least <= exact <= len(packing.local_search(packing.best_fit(sizes, 20), sizes, 20))
+    assert packing.least_bins([11, 11, 11], 20) == 3
+
+
 def test_local_search_empties_bins():
     # best fit leaves three bins where two are enough
     sizes = [5, 4, 3, 3, 3, 2]

@@ -6,7 +6,7 @@ import tempfile
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -35,6 +35,34 @@ def plain_docs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *keep)
 
 
+#: Keys with most rows that joined_by_weight broadcasts; each other key has at most a thousandth of all rows.
+HEAVY = 1000
+
+
+def joined_by_weight(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """rows joined with keys(*on, n, ...), one row per key, where a key can have any share of rows.
+
+    n, a key's number of rows, picks the HEAVY heaviest keys: rows of these are
+    found by a broadcast of that many keys and stay where they are; all others
+    meet in a shuffle. rows is read twice, and keys, which must be stored, often.
+    """
+    heavy = keys.orderBy(F.desc("n"), *on).limit(HEAVY)
+    among = F.broadcast(heavy.select(*on))
+    return rows.join(F.broadcast(heavy), on).unionByName(rows.join(among, on, "left_anti").join(keys.join(among, on, "left_anti"), on))
+
+
+def boxed(docs: DataFrame, **keys: Column) -> DataFrame:
+    """The rows of docs as one column, box, with further columns beside it whose names can't meet docs' own."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("box"), *(x.alias(name) for name, x in keys.items()))
+
+
+def unboxed(rows: DataFrame, docs: DataFrame, new: dict[str, Column] | None = None) -> DataFrame:
+    """The columns of docs out of box, in their order; those that new names get its values, and others that it names come last."""
+    new = new or {}
+    own = [new.get(c, F.col("box").getField(c)).alias(c) for c in docs.columns]
+    return rows.select(*own, *(x.alias(c) for c, x in new.items() if c not in docs.columns))
+
+
 def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string or binary column end to end, and the n+1 offsets."""
     if isinstance(column, pa.ChunkedArray):

@@ -4,9 +4,10 @@ Strong spans (assigned secrets, access identifiers, hexadecimal keys) are always
 reported. Weak ones (short assigned secrets, account names, long mixed tokens,
 endpoints) are common in clean text; they are reported only where the part that
 completes them stands in the same scope, a block between blank lines, within
-``reach`` code points. The interval join sweeps each scope's parts once in either
-direction, so that a part meets the nearest complement on each side and never
-every other part.
+``reach`` code points and apart from them: what overlaps, as a key in an address
+does, is no second part. The interval join sweeps the ends and starts of each
+scope's parts once in either direction, so that a part meets the nearest
+complement on each side and never every other part.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import plain_docs
+from .common import boxed, plain_docs, unboxed
 
 REACH = 300
 #: The patterns that the base kinds are defined by.
@@ -31,6 +32,7 @@ KINDS = {
     "blob": (r"(?<![A-Za-z0-9+/=])(?=[A-Za-z+/]*[0-9])(?=[0-9a-z+/]*[A-Z])(?=[0-9A-Z+/]*[a-z])[A-Za-z0-9+/]{32,}={0,2}", 0, 32, "secret"),
     "endpoint": (r"""(?:https?|ftps?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqps?)://[^\s"'<>]+""", 0, 8, "endpoint"),
 }
+ROLES = ("secret", "account", "endpoint")
 BASE, WEAK = ("assign", "access", "hex"), ("short", "account", "blob", "endpoint")
 #: What each weak kind needs beside it: any role of the tuple.
 NEEDS = {"short": ("account", "endpoint"), "account": ("secret",), "blob": ("account", "endpoint"), "endpoint": ("secret",)}
@@ -73,21 +75,23 @@ def secret_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     rows = rows.withColumn("kind", F.when(F.col("inner") >= least, F.col("kind")))
     role = F.coalesce(*(F.when(F.col("kind") == i, F.lit(KINDS[n][3])) for i, n in enumerate(names)))
     rows = rows.withColumn("role", role).withColumn("scope", F.count(F.when(F.col("kind") == blank, 1)).over(own.orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, 0)))
+    # each part is an event where it starts, which looks back, and one where it stops, which looks ahead
+    events = rows.select("*", F.explode(F.array(F.lit(False), F.lit(True))).alias("opens")).withColumn("at", F.when(F.col("opens"), F.col("start")).otherwise(F.col("stop")))
     scope = Window.partitionBy("doc_id", "text_hash", "scope")
-    ahead, back = (scope.orderBy(c("start"), c("kind")).rowsBetween(Window.unboundedPreceding, -1) for c in (F.asc, F.desc))
-    for r in ("secret", "account", "endpoint"):
-        rows = rows.withColumn(f"before_{r}", F.max(F.when(F.col("role") == r, F.col("stop"))).over(ahead))
-    for r in ("secret", "account", "endpoint"):
-        rows = rows.withColumn(f"after_{r}", F.min(F.when(F.col("role") == r, F.col("start"))).over(back))
-    beside = lambda r: F.coalesce(F.col("start") - F.col(f"before_{r}") <= reach, F.lit(False)) | F.coalesce(F.col(f"after_{r}") - F.col("stop") <= reach, F.lit(False))
+    ahead, back = (scope.orderBy(c("at"), c("opens"), "kind", "start").rowsBetween(Window.unboundedPreceding, 0) for c in (F.asc, F.desc))
+    for r in ROLES:
+        events = events.withColumn(f"before_{r}", F.max(F.when(~F.col("opens") & (F.col("role") == r), F.col("stop"))).over(ahead))
+    for r in ROLES:
+        events = events.withColumn(f"after_{r}", F.min(F.when(F.col("opens") & (F.col("role") == r), F.col("start"))).over(back))
+    beside = lambda r: F.when(F.col("opens"), F.col("start") - F.col(f"before_{r}") <= reach).otherwise(F.col(f"after_{r}") - F.col("stop") <= reach)
     linked = F.lit(False)
     for name, needs in NEEDS.items():
         for r in needs:
-            linked = linked | ((F.col("kind") == names.index(name)) & beside(r))
+            linked = linked | ((F.col("kind") == names.index(name)) & F.coalesce(beside(r), F.lit(False)))
     keep = F.col("kind").isin([names.index(n) for n in BASE]) | linked
     name = F.coalesce(*(F.when(F.col("kind") == i, F.lit(n)) for i, n in enumerate(names)))
     span = F.when(keep, F.struct("start", "kind", "stop", name.alias("name")))
-    return rows.groupBy("doc_id", "text_hash").agg(F.max("copies").alias("copies"), F.array_sort(F.collect_list(span)).alias("spans"))
+    return events.groupBy("doc_id", "text_hash").agg(F.max("copies").alias("copies"), F.array_sort(F.collect_set(span)).alias("spans"))
 
 
 def report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -101,16 +105,15 @@ def report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """docs with every reported span of text_col replaced by mark; overlapping spans become one mark. Texts without spans stay as they are."""
-    spans = secret_spans(docs, id_col=id_col, text_col=text_col).where(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("spans").alias("_spans"))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    joined = docs.withColumn("_text", text).join(spans, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("_text") == F.col("_hash")), "left")
+    """docs with every reported span of text_col replaced by mark; overlapping spans become one mark. A null text gives an empty one, texts without spans and all other columns stay as they are, whatever their names."""
+    spans = secret_spans(docs, id_col=id_col, text_col=text_col).where(F.size("spans") > 0).select("doc_id", "text_hash", "spans")
+    own = boxed(docs, text=F.coalesce(F.col(text_col), F.lit("")), id=F.col(id_col).cast("long")).withColumn("hash", F.xxhash64("text"))
+    joined = own.join(spans, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash")), "left")
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(acc, s):
-        gap = F.when(s["start"] < acc["at"], F.array().cast("array<string>")).otherwise(F.array(F.substring(F.col("_text"), acc["at"].cast("int") + 1, (s["start"] - acc["at"]).cast("int")), F.lit(mark)))
+        gap = F.when(s["start"] < acc["at"], F.array().cast("array<string>")).otherwise(F.array(F.substring(F.col("text"), acc["at"].cast("int") + 1, (s["start"] - acc["at"]).cast("int")), F.lit(mark)))
         return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), F.concat(acc["out"], gap).alias("out"))
 
-    done = F.aggregate("_spans", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("_text"), acc["at"].cast("int") + 1, F.length("_text"))))
-    return joined.select(*((F.when(F.col("_spans").isNull(), F.col("_text")).otherwise(done).alias(c) if c == text_col else F.col(c)) for c in docs.columns))
-
+    done = F.aggregate("spans", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("text"), acc["at"].cast("int") + 1, F.length("text"))))
+    return unboxed(joined, docs, {text_col: F.when(F.col("spans").isNull(), F.col("text")).otherwise(done)})

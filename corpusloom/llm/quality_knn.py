@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import flat, plain_docs, slices
+from .common import boxed, flat, plain_docs, slices, unboxed
 
 SAMPLE, DIMS, NEIGHBOURS, SHARPNESS, ACCEPT, BLOCK = 4000, 40, 15, 4.0, 0.3, 512
 WORD_DIMS, REPEAT_DIMS, CLASSES = 512, 24, 13
@@ -135,16 +135,17 @@ def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     and empty texts have a score too: their vector is zero and all voters have an equal say.
     Without any usable label every score is 0.5.
     """
-    scored = _scored(docs, labels, id_col, text_col, sample).withColumn("score", F.col("_score")).drop("_score")
-    return scored.withColumn("held_out", held_out(F.col(id_col))).withColumn("predicted", (F.col("score") >= accept).cast("int"))
+    new = {"held_out": held_out(F.col("box").getField(id_col)), "score": F.col("score"), "predicted": (F.col("score") >= accept).cast("int")}
+    return unboxed(_scored(docs, labels, id_col, text_col, sample), docs, new)
 
 
 def accepted(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, accept: float = ACCEPT) -> DataFrame:
-    """The rows of docs whose score is accept or more, with docs' own columns."""
-    return _scored(docs, labels, id_col, text_col, sample).where(F.col("_score") >= accept).drop("_score")
+    """The rows of docs whose score is accept or more, with docs' own columns, whatever their names."""
+    return unboxed(_scored(docs, labels, id_col, text_col, sample).where(F.col("score") >= accept), docs)
 
 
 def _scored(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sample: int) -> DataFrame:
+    """(box, score) for each row of docs."""
     spark = docs.sparkSession
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("quality"))
     voters = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
@@ -160,18 +161,17 @@ def _scored(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, samp
         matrix, marks = matrix[order], marks[order]
         idf, basis = fit(matrix)
         model = spark.sparkContext.broadcast((idf, basis, latent(matrix, idf, basis), marks))
-    names = docs.columns
-    schema = StructType([*docs.schema.fields, StructField("_score", DoubleType())])
-    text_at = names.index(text_col)
+    own, text_at = boxed(docs), docs.columns.index(text_col)
+    schema = StructType([*own.schema.fields, StructField("score", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = flat(batch.column(text_at))
+            data, offsets = flat(batch.column(0).field(text_at))
             out = np.full(batch.num_rows, 0.5)
             for lo, hi in ((a, b) for x, y in slices(offsets, 4 << 20) for a, b in ((z, min(z + BLOCK, y)) for z in range(x, y, BLOCK))):
                 if model is not None:
                     idf, basis, vectors, own = model.value
                     out[lo:hi] = vote(latent(terms(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]), idf, basis), vectors, own)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], [*names, "_score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], ["box", "score"])
 
-    return docs.mapInArrow(run, schema)
+    return own.mapInArrow(run, schema)

@@ -24,7 +24,7 @@ def op1_phrase_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_spread.drop_boilerplate(table(spark, sf_dir, "documents"))
-    return kept.select("doc_id", "n_lines", "n_spread", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
 def op3_webp_media(spark: SparkSession, sf_dir: str) -> DataFrame:

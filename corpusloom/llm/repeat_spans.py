@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, flat, plain_docs, slices
+from .common import cut, flat, joined_by_weight, plain_docs, slices
 
 LENGTH, GRAM, GROUP_ROWS, CHUNK_ROWS, BLOCK_BYTES, STRINGS_AT_ONCE = 400, 128, 65_536, 16_384, 1 << 20, 1_000_000
 _BASES = (0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1)
@@ -128,8 +128,8 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     texts = rows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("copies"), F.min("key").alias("key")).select(*_KEY, "copies")
     stored = cut(_found(rows, length, gram).join(texts, _KEY, "left_semi").dropDuplicates(_KEY))
     each = stored.select(*_KEY, F.explode(F.arrays_zip("place", "first", "last", "code")).alias("x")).select(*_KEY, "x.*")
-    shared = each.groupBy("code").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("code", (F.col("n") > group_rows).alias("many"))
-    hits = each.join(shared, "code").groupBy(*_KEY).agg(F.collect_list(F.struct("place", "first", "last", "code", "many")).alias("hits"))
+    shared = cut(each.groupBy("code").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    hits = joined_by_weight(each, shared, ["code"]).withColumn("many", F.col("n") > group_rows).groupBy(*_KEY).agg(F.collect_list(F.struct("place", "first", "last", "code", "many")).alias("hits"))
     placed = _packed(rows).drop("doc_id").join(hits, _KEY)
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

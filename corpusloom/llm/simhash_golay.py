@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, plain_docs
+from .common import boxed, cut, plain_docs, unboxed
 from .graphs import components
 
 #: The ASCII white space of a word boundary, and the generator polynomial of the binary Golay code.
@@ -180,11 +180,12 @@ def _node(prints: np.ndarray) -> np.ndarray:
 def links(prints: DataFrame, *, similar: bool = False) -> DataFrame:
     """Links (a, b) between the nodes of prints(node, f0, ...) whose fingerprints differ in at most MAX_BITS bits, or SIMILAR_BITS if similar.
 
-    The links connect every class that the rows sharing keys connect: a key with
-    few rows gives its pairs; one with many is compared in blocks, each giving a
-    spanning forest, so that n rows give about n links for each pair of blocks
-    and never all pairs. Of the keys that two rows share only the least gives
-    their link: there they are compared as well, so what links them stays.
+    The links connect every class that the rows sharing keys connect. A key with
+    few rows gives its pairs at once, one with up to LINK_BLOCK a spanning forest
+    of its links. The rows of a larger key stream through a task into blocks of
+    that size, and each two blocks of a key are compared by themselves and give
+    a forest. Of the keys that two rows share only the least gives their link:
+    there they are compared as well, so what links them stays.
     """
     names = [c for c in prints.columns if c[0] == "f" and c[1:].isdigit()]
     own = prints.select("node", *names).distinct()
@@ -197,30 +198,78 @@ def links(prints: DataFrame, *, similar: bool = False) -> DataFrame:
                 row, key = keys_of(np.stack(columns, axis=1).view(np.uint64))
                 yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(c[row]) for c in columns)], ["key", *names])
 
+    def block(key: int, number: int, rows: np.ndarray) -> pa.RecordBatch:
+        return _told(pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), [key], [number], [rows.tobytes()])
+
+    def whole(key: np.ndarray, rows: np.ndarray, gone: int):
+        """What comes of all rows of some keys, in order of key; gone blocks of the first key went before."""
+        start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        size = np.diff(np.r_[start, len(key)])
+        large = size > LINK_BLOCK
+        large[0] |= gone > 0
+        for lo, n in zip(start[large].tolist(), size[large].tolist(), strict=True):
+            first = gone if lo == 0 else 0
+            for no, at in enumerate(range(lo, lo + n, LINK_BLOCK)):
+                yield block(int(key[lo]), first + no, rows[at : min(at + LINK_BLOCK, lo + n)])
+        here = ~np.repeat(large, size)
+        x, y = _batch(key[here], rows[here], limit, least)
+        yield _told(x, y, pa.nulls(len(x), pa.int64()), pa.nulls(len(x), pa.int32()), pa.nulls(len(x), pa.binary()))
+
     def linked(batches):
-        held = None
+        key, rows, gone = np.zeros(0, np.int64), np.zeros((0, len(names)), np.uint64), 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key = np.asarray(batch.column(0))
-            found = np.stack([np.asarray(c) for c in batch.columns[1:]], axis=1).view(np.uint64)
-            if held is not None:
-                key, found = np.concatenate([held[0], key]), np.concatenate([held[1], found])
-            last = int(np.argmax(key == key[-1]))
-            yield _batch(key[:last], found[:last], limit, least)
-            held = key[last:], found[last:]
-        if held is not None:
-            yield _batch(*held, limit, least)
+            key = np.r_[key, np.asarray(batch.column(0))]
+            rows = np.concatenate([rows, np.stack([np.asarray(c) for c in batch.columns[1:]], axis=1).view(np.uint64)])
+            if last := int(np.searchsorted(key, key[-1])):
+                yield from whole(key[:last], rows[:last], gone)
+                key, rows, gone = key[last:], rows[last:], 0
+            while len(key) >= 2 * LINK_BLOCK:
+                yield block(int(key[0]), gone, rows[:LINK_BLOCK])
+                key, rows, gone = key[LINK_BLOCK:], rows[LINK_BLOCK:], gone + 1
+        if len(key):
+            yield from whole(key, rows, gone)
+
+    def compared(batches):
+        held = None
+        for batch in batches:
+            for key, lo, hi, raw in zip(*(batch.column(c).to_pylist() for c in ("key", "lo", "hi", "rows")), strict=True):
+                found = np.frombuffer(raw, np.uint64).reshape(-1, len(names))
+                if lo == hi:
+                    a = b = np.arange(len(found))
+                elif held is None:
+                    held = found
+                    continue
+                else:
+                    a, b = np.arange(len(held)), np.arange(len(held), len(held) + len(found))
+                    found, held = np.concatenate([held, found]), None
+                x, y = _forest(found, a, b, limit)
+                mine = least(found[x], found[y]) == key
+                node = _node(found).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(node[x[mine]]), pa.array(node[y[mine]])], ["a", "b"])
 
     longs = ", ".join(f"{n} long" for n in names)
-    return own.mapInArrow(keyed, f"key long, {longs}").repartition("key").sortWithinPartitions("key", *names).mapInArrow(linked, "a long, b long").distinct()
+    met = own.mapInArrow(keyed, f"key long, {longs}").repartition("key").sortWithinPartitions("key", *names)
+    found = cut(met.mapInArrow(linked, "a long, b long, key long, block int, rows binary"))
+    blocks = found.where("rows is not null").select("key", "block", "rows")
+    counted = blocks.groupBy("key").agg((F.max("block") + 1).alias("n_blocks"))
+    each = blocks.join(counted, "key").repartition("key", "block").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+    paired = each.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "rows")
+    far = paired.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "block").mapInArrow(compared, "a long, b long")
+    return found.where("a is not null").select("a", "b").unionByName(far).distinct()
+
+
+def _told(*columns) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["a", "b", "key", "block", "rows"])
 
 
 def _apart(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return np.bitwise_count(left ^ right).sum(axis=-1, dtype=np.int64)
 
 
-def _batch(key: np.ndarray, found: np.ndarray, limit: int, least) -> pa.RecordBatch:
+def _batch(key: np.ndarray, found: np.ndarray, limit: int, least) -> tuple[np.ndarray, np.ndarray]:
     """Links among the rows of each of some whole keys, in order of key."""
     node = _node(found).view(np.int64)
     start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
@@ -233,37 +282,46 @@ def _batch(key: np.ndarray, found: np.ndarray, limit: int, least) -> pa.RecordBa
         left.append(at)
         right.append(at + step)
     for lo, n in zip(start[size > SMALL_KEY], size[size > SMALL_KEY], strict=True):
-        blocks = [np.arange(x, min(x + LINK_BLOCK, lo + n)) for x in range(lo, lo + n, LINK_BLOCK)]
-        for i, b in enumerate(blocks):
-            for a in blocks[: i + 1]:
-                x, y = _forest(found, a, b, limit)
-                left.append(x)
-                right.append(y)
+        x, y = _forest(found, own := np.arange(lo, lo + n), own, limit)
+        left.append(x)
+        right.append(y)
     x, y = np.concatenate(left), np.concatenate(right)
     here = key[x] == least(found[x], found[y])
-    return pa.RecordBatch.from_arrays([pa.array(node[x[here]]), pa.array(node[y[here]])], ["a", "b"])
+    return node[x[here]], node[y[here]]
 
 
-def _forest(found: np.ndarray, a: np.ndarray, b: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links between two blocks of rows (or within one), found on their distance matrix."""
-    close = sum(np.bitwise_count(found[a, k][:, None] ^ found[b, k][None, :]).astype(np.int16) for k in range(found.shape[1])) <= limit
-    if a is b:
-        close = np.triu(close, 1)
-    i, j = np.nonzero(close)
-    parent: dict[int, int] = {}
+def _close(left: np.ndarray, right: np.ndarray, limit: int) -> np.ndarray:
+    """Which rows of left and right lie within limit bits, as a matrix made in strips of a few MB."""
+    out = np.empty((len(left), len(right)), bool)
+    for lo in range(0, len(left), 128):
+        apart = sum(np.bitwise_count(left[lo : lo + 128, k][:, None] ^ right[:, k][None, :]).astype(np.int16) for k in range(left.shape[1]))
+        out[lo : lo + 128] = apart <= limit
+    return out
 
-    def root(x: int) -> int:
-        while (up := parent.setdefault(x, x)) != x:
-            parent[x] = x = parent.setdefault(up, up)
-        return x
 
-    kept = []
-    for n, (x, y) in enumerate(zip(a[i].tolist(), b[j].tolist(), strict=True)):
-        p, q = root(x), root(y)
-        if p != q:
-            parent[max(p, q)] = min(p, q)
-            kept.append(n)
-    return a[i[kept]], b[j[kept]]
+def _forest(found: np.ndarray, a: np.ndarray, b: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links between two blocks of rows (or within one), by a walk over their matrix that meets each row once."""
+    near = _close(found[a], found[b], limit)
+    from_side = (near, near if a is b else np.ascontiguousarray(near.T))
+    unmet = (np.ones(len(a), bool), np.ones(len(b), bool))
+    if a is b:
+        unmet = (unmet[0], unmet[0])
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for start in np.flatnonzero(near.any(axis=1)).tolist():
+        if not unmet[0][start]:
+            continue
+        unmet[0][start] = False
+        stack = [(0, start)]
+        while stack:
+            side, x = stack.pop()
+            new = np.flatnonzero(from_side[side][x] & unmet[1 - side])
+            if len(new):
+                unmet[1 - side][new] = False
+                own = (a, b)[side][x]
+                left.append(np.full(len(new), own))
+                right.append((b, a)[side][new])
+                stack += [(1 - side, y) for y in new.tolist()]
+    return np.concatenate(left), np.concatenate(right)
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS) -> DataFrame:
@@ -385,14 +443,17 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     Texts are near duplicates if their sets of shingles of words words have a
     Jaccard similarity of 0.8 or more, which is verified for each two texts whose
     fingerprints make them candidates. Of each class the row with the smallest id
-    (null last), then text hash, stays; of rows repeated exactly one.
+    (null last), then text hash, stays; of rows that share both, the one whose
+    other columns (maps aside) have the smallest hash. Texts without a word, null
+    and empty ones included, are one class: one of their rows stays.
     """
-    keyed = docs.withColumn("_hash", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
     found = cut(_with_sets(docs, id_col, text_col, words, count))
     texts = plain_docs(docs, id_col=id_col, text_col=text_col).withColumn("hash", F.xxhash64("text"))
     root = components(similar_links(texts, found, words=words)).select(F.col("node").alias("set"), "root")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")
     best = found.groupBy("set").agg(F.min(order).alias("best")).join(root, "set", "left").groupBy(F.coalesce("root", "set").alias("root")).agg(F.min("best").alias("best"))
-    chosen = best.select(F.col("best.doc_id").alias("_id"), F.col("best.hash").alias("_chosen"))
-    kept = keyed.join(chosen, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_chosen")), "left_semi")
-    return kept.dropDuplicates([id_col, "_hash"]).select(*docs.columns)
+    chosen = best.select("best.doc_id", F.col("best.hash").alias("chosen"))
+    rank = F.xxhash64(*(F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind))
+    own = boxed(docs, id=F.col(id_col).cast("long"), hash=F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), rank=rank)
+    kept = own.join(chosen, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("chosen")), "left_semi")
+    return unboxed(kept.groupBy("id", "hash").agg(F.min_by("box", "rank").alias("box")), docs)

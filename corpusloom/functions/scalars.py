@@ -13,6 +13,8 @@ REVISION_HEADER = r"(?i)\b(?:Rev(?:ision)?\.?\s*)(\d+(?:\.\d+)?)\b"
 REVISION_SHORT = r"(?i)Rev\.?\s*(\d+)"
 DAY_MONTH_YEAR = r"\b(\d{1,2})\s+(January|February|March|April|May|June|July|August|September|October|November|December)\s+(\d{4})\b"
 QUESTION_START = r"(?i)^(what|when|where|which|who|why|how|should|can|could|does|do|is|are|may|will|must|has|have|would|shall|need|did|was|were|am)\b"
+#: Fixed value: white space as Unicode has it, and the four separators that count as such beside it.
+WHITE = r"(?U)[\s\x1c-\x1f]+"
 FILE_ENDINGS = ("pdf", "doc", "docx", "xls", "xlsx", "ppt", "pptx", "zip", "csv")
 
 
@@ -29,8 +31,27 @@ def doc_id(url: Column) -> Column:
 
 
 def normalised(text: Column) -> Column:
-    """Lower case, white space collapsed and trimmed."""
-    return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
+    """Lower case, Unicode's white space collapsed and trimmed."""
+    return F.trim(F.regexp_replace(F.lower(text), WHITE, " "))
+
+
+def folded(text: Column) -> Column:
+    """text for comparison without regard to case: lower case, sharp s as ss, one lower sigma, white space collapsed and trimmed."""
+    return F.trim(F.regexp_replace(F.replace(F.translate(F.lower(text), "ς", "σ"), F.lit("ß"), F.lit("ss")), WHITE, " "))
+
+
+def unfolded_place(text: Column, at: Column) -> Column:
+    """The place in text, from zero, of the character that made the one at place at of folded(text)."""
+    lead = F.length(F.regexp_extract(text, "^" + WHITE.replace("(?U)", "(?U:") + ")", 0))
+    rest = F.substring(text, lead + 1, F.length(text))
+    before = F.substring(folded(text), F.lit(1), at)
+    n_words = F.length(before) - F.length(F.replace(before, F.lit(" "), F.lit("")))
+    words, gaps = F.split(rest, WHITE), F.regexp_extract_all(rest, F.lit(WHITE), F.lit(0))
+    total = lambda xs: F.aggregate(F.slice(xs, F.lit(1), n_words), F.lit(0), lambda n, x: n + F.length(x))
+    word, within = F.get(words, n_words), F.length(F.substring_index(before, " ", -1))
+    # where a letter became several, as many letters as don't reach the place
+    letters = F.size(F.filter(F.sequence(F.lit(1), F.length(word)), lambda i: F.length(folded(F.substring(word, F.lit(1), i))) <= within))
+    return lead + total(words) + total(gaps) + F.when(F.length(folded(word)) == F.length(word), within).otherwise(letters)
 
 
 def dedup_key(text: Column) -> Column:
@@ -44,12 +65,12 @@ def qa_id(url: Column, question: Column) -> Column:
 
 def chunk_id(doc: Column, number: Column) -> Column:
     """Id of the number-th chunk of a document."""
-    return F.substring(F.sha2(F.concat(doc, F.lit("::"), number.cast("string")), 256), 1, 32)
+    return F.substring(F.sha2(F.concat(doc, F.lit("|"), number.cast("string")), 256), 1, 32)
 
 
 def quote(text: Column, length: int = 240) -> Column:
     """One line of at most length characters, with an ellipsis where it was cut."""
-    line = F.trim(F.regexp_replace(text, r"\s+", " "))
+    line = F.trim(F.regexp_replace(text, WHITE, " "))
     return F.when(F.length(line) > length, F.concat(F.substring(line, 1, length), F.lit("…"))).otherwise(line)
 
 
@@ -300,7 +321,7 @@ def marked_text(text: Column, spans: Column) -> Column:
 
     def put(out: Column, s: Column) -> Column:
         marks = F.array_join(F.transform(F.array_sort(F.array_distinct(s["ns"])), lambda n: F.concat(F.lit("["), n.cast("string"), F.lit("]"))), "")
-        gap = F.when((s["end"] < F.length(out)) & F.substring(out, s["end"], F.lit(1)).rlike(r"^\s"), "").otherwise(" ")
+        gap = F.when((s["end"] < F.length(out)) & F.substring(out, s["end"], F.lit(1)).rlike("^" + WHITE.replace("(?U)", "(?U:") + ")"), "").otherwise(" ")
         return F.when(F.size(s["ns"]) == 0, out).otherwise(F.concat(F.substring(out, F.lit(1), s["end"]), gap, marks, F.substring(out, s["end"] + 1, F.length(out))))
 
     return F.aggregate(order, text, put)

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator, Sequence
+from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import normalised, quote, rating
+from ..functions.scalars import folded, quote, rating, unfolded_place
 
+#: Least similarity of a claim to its span and least length of a claim, what a benchmark item needs, and how many items of each type there are to be.
 FUZZY, LEAST_CLAIM = 0.85, 8
-#: What a benchmark item needs, and how many items of each type there are to be.
 REQUIRED_FIELDS = ("bench_id", "question", "paraphrases", "type", "gold_answer", "gold_qa_ids", "gold_sources", "topic_path")
 TYPE_TARGETS = {"T1": 20, "T2": 10, "T3": 10}
 LEAST_T4 = 5
@@ -171,42 +174,87 @@ def evolution(nodes: DataFrame) -> DataFrame:
 
 
 def exact_spans(answers: DataFrame, claims: DataFrame) -> DataFrame:
-    """(run_id, claim_no, start, stop) in the normalised answer, for claims of LEAST_CLAIM characters and up that stand in it; null for the others."""
-    a = answers.select("run_id", normalised(F.col("answer")).alias("_a"))
-    c = claims.select("run_id", "claim_no", normalised(F.col("claim")).alias("_c"))
-    at = F.when(F.length("_c") >= LEAST_CLAIM, F.nullif(F.instr("_a", F.col("_c")), F.lit(0)))
-    return c.join(a, "run_id").select("run_id", "claim_no", (at - 1).alias("start"), (at - 1 + F.length("_c")).alias("stop"))
+    """(run_id, claim_no, start, stop): where claims of LEAST_CLAIM characters and up stand in the answer, in places of the answer as it is; null for the others.
+
+    Case and runs of white space make no difference.
+    """
+    a = answers.select("run_id", F.col("answer").alias("_raw"), folded(F.col("answer")).alias("_a"))
+    c = claims.select("run_id", "claim_no", folded(F.col("claim")).alias("_c"))
+    at = F.when(F.length("_c") >= LEAST_CLAIM, F.nullif(F.instr("_a", F.col("_c")), F.lit(0))) - 1
+    found = c.join(a, "run_id").withColumn("_at", at)
+    last = F.col("_at") + F.length("_c") - 1
+    place = lambda x: F.when(F.col("_at").isNotNull(), unfolded_place(F.col("_raw"), x))
+    return found.select("run_id", "claim_no", place(F.col("_at")).cast("long").alias("start"), (place(last) + 1).cast("long").alias("stop"))
+
+
+def fold_with_places(text: str) -> tuple[str, list[int]]:
+    """text as folded has it, and for each of its characters the place in text that it came from."""
+    out, places = [], []
+    for at, letter in enumerate(text):
+        if letter.isspace():
+            if out and out[-1] != " ":
+                out.append(" ")
+                places.append(at)
+            elif out:
+                places[-1] = at
+        else:
+            low = letter.casefold()
+            out += low
+            places += [at] * len(low)
+    while out and out[-1] == " ":
+        out.pop()
+        places.pop()
+    return "".join(out), places
+
+
+def nearest_window(answer: str, claim: str, threshold: float = FUZZY) -> tuple[int, int] | None:
+    """(start, stop) of the window of claim's length, of those that begin at each fifth of it, that is most similar to claim by threshold or more; the first of several.
+
+    How many characters a window shares with the claim, whatever their order,
+    bounds the similarity; it is counted for all windows at once, and only those
+    whose bound can win are compared.
+    """
+    width = len(claim)
+    if len(answer) <= width:
+        return (0, len(answer)) if answer and SequenceMatcher(None, claim, answer).ratio() >= threshold else None
+    letters = {c: i for i, c in enumerate(sorted(set(claim)))}
+    wanted = np.bincount([letters[c] for c in claim], minlength=len(letters))
+    starts = np.arange(0, len(answer) - width + 1, max(1, width // 5))
+    code = np.array([letters.get(c, -1) for c in answer])
+    shared = np.zeros(len(starts), np.int64)
+    for i in range(len(letters)):
+        count = np.concatenate([[0], np.cumsum(code == i)])
+        shared += np.minimum(count[starts + width] - count[starts], wanted[i])
+    best, found = 0.0, None
+    matcher = SequenceMatcher(None, claim, "")
+    for at, bound in zip(starts.tolist(), (shared / width).tolist(), strict=True):
+        if bound >= threshold and bound > best:
+            matcher.set_seq2(answer[at : at + width])
+            if (ratio := matcher.ratio()) > best:
+                best, found = ratio, (at, at + width)
+    return found if best >= threshold else None
 
 
 def claim_spans(answers: DataFrame, claims: DataFrame, threshold: float = FUZZY) -> DataFrame:
-    """Exact spans, and for claims not found the best window of the answer with a similarity of threshold or more; start is null for unmatched claims."""
-    from difflib import SequenceMatcher
-
+    """Exact spans, and for claims not found the most similar window of the answer, by threshold or more; start is null for unmatched claims. Places are those of the answer as it is."""
     exact = exact_spans(answers, claims)
     missed = exact.where("start is null").select("run_id", "claim_no").join(claims, ["run_id", "claim_no"]).join(answers, "run_id")
-    rows = missed.select("run_id", "claim_no", normalised(F.col("claim")).alias("claim"), normalised(F.col("answer")).alias("answer"))
+    rows = missed.select("run_id", "claim_no", "claim", "answer")
 
     def fuzzy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for run, no, claim, answer in pdf.itertuples(index=False):
-                found = (0.0, None, None)
-                words, width = answer.split(" "), len(claim.split(" "))
-                starts = [0]
-                for w in words:
-                    starts.append(starts[-1] + len(w) + 1)
-                if len(claim) >= LEAST_CLAIM:
-                    for i in range(max(1, len(words) - width + 1)):
-                        window = answer[starts[i] : starts[min(i + width, len(words))] - 1]
-                        m = SequenceMatcher(None, claim, window, autojunk=False)
-                        if m.quick_ratio() >= max(threshold, found[0]) and (r := m.ratio()) >= threshold and r > found[0]:
-                            found = (r, starts[i], starts[i] + len(window))
-                out.append((run, no, found[1], found[2]))
+                text, places = fold_with_places(answer or "")
+                wanted = fold_with_places(claim or "")[0]
+                span = nearest_window(text, wanted, threshold) if len(wanted) >= LEAST_CLAIM else None
+                whole = len(answer or "") if len(text) <= len(wanted) else 0
+                out.append((run, no, *((places[span[0]], whole or places[span[1] - 1] + 1) if span else (None, None))))
             yield pd.DataFrame(out, columns=["run_id", "claim_no", "start", "stop"]).astype({"start": "Int64", "stop": "Int64"})
 
     kind = dict(claims.dtypes)
     near = rows.mapInPandas(fuzzy, f"run_id {kind['run_id']}, claim_no {kind['claim_no']}, start long, stop long")
-    return exact.where("start is not null").select("run_id", "claim_no", F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop")).unionByName(near)
+    return exact.where("start is not null").unionByName(near)
 
 
 def without_overlaps(spans: DataFrame) -> DataFrame:
@@ -214,10 +262,14 @@ def without_overlaps(spans: DataFrame) -> DataFrame:
     merged = spans.where("start is not null").groupBy("run_id", "start", "stop").agg(F.array_sort(F.collect_set("place")).alias("places"))
 
     def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[int] = []
-        order = pdf.assign(_l=pdf["start"] - pdf["stop"]).sort_values(["_l", "start"]).index
-        for i in order:
-            if all(pdf.at[i, "stop"] <= pdf.at[j, "start"] or pdf.at[i, "start"] >= pdf.at[j, "stop"] for j in kept):
+        kept, starts, stops = [], [], []
+        order = pdf.assign(_l=pdf["start"] - pdf["stop"]).sort_values(["_l", "start"])
+        for i, start, stop in zip(order.index, order["start"].tolist(), order["stop"].tolist(), strict=True):
+            # what is kept doesn't overlap, so only its neighbours can be in the way
+            at = bisect_right(starts, start)
+            if (at == 0 or stops[at - 1] <= start) and (at == len(starts) or stop <= starts[at]):
+                starts.insert(at, start)
+                stops.insert(at, stop)
                 kept.append(i)
         return pdf.loc[sorted(kept)]
 

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rules import CATEGORIES, ROUTES, keyword_pattern
+from ..functions.scalars import similarity
 
 QUERY_BLOCK, CHUNK_BLOCK = 1024, 4096
 
@@ -33,56 +34,83 @@ def vector_topk(queries: DataFrame, chunks: DataFrame, k: int, *, filter_: Colum
     """
     if filter_ is not None:
         chunks = chunks.where(filter_)
-    def nearest(ids: np.ndarray, own: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        order = np.lexsort((np.broadcast_to(own, scores.shape), -scores), axis=1)[:, :k]
-        return np.repeat(ids, order.shape[1]), own[order].ravel(), np.take_along_axis(scores, order, 1).ravel()
 
-    return best(_products(queries, chunks, nearest, digits), ["query_id"], [F.desc("score"), F.asc("chunk_id")], k)
+    def nearest(ids: np.ndarray, names: np.ndarray, scores: np.ndarray) -> list[np.ndarray]:
+        order = np.lexsort((np.broadcast_to(names[:, 0], scores.shape), -scores), axis=1)[:, :k]
+        return [np.repeat(ids, order.shape[1]), names[order, 0].ravel(), np.take_along_axis(scores, order, 1).ravel()]
 
+    return best(_products(queries, chunks, ["chunk_id"], nearest, digits), ["query_id"], [F.desc("score"), F.asc("chunk_id")], k)
 
-def all_scores(queries: DataFrame, chunks: DataFrame, *, digits: int = 6) -> DataFrame:
-    """(query_id, chunk_id, doc_id, score) of every query with every chunk, by the same products of blocks."""
 
-    def every(ids: np.ndarray, own: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return np.repeat(ids, len(own)), np.tile(own, len(ids)), scores.ravel()
+def best_chunks(queries: DataFrame, chunks: DataFrame, k: int | None = None, *, digits: int = 6) -> DataFrame:
+    """(query_id, doc_id, chunk_id, score, rank): the most similar chunk of each document, ties by chunk_id, for the k best documents of each query, or all.
 
-    # the document's id travels beside the chunk's, so that no pair needs a join
-    named = chunks.select(F.struct(F.col("chunk_id").cast("long"), F.col("doc_id").cast("long")).alias("chunk_id"), "vec")
-    return _products(queries, named, every, digits, wide=True).select("query_id", "chunk_id", "doc_id", "score")
+    A pair of blocks gives a row per query and document, or for the k best of
+    them: a document that isn't among the k best of the block with its best
+    chunk isn't among them at all.
+    """
+
+    def nearest(ids: np.ndarray, names: np.ndarray, scores: np.ndarray) -> list[np.ndarray]:
+        order = np.lexsort((names[:, 0], names[:, 1]))
+        own, ordered = names[order], scores[:, order]
+        first = np.flatnonzero(np.r_[True, own[1:, 1] != own[:-1, 1]])
+        most = np.maximum.reduceat(ordered, first, axis=1)
+        size = np.diff(np.r_[first, len(own)])
+        at = np.minimum.reduceat(np.where(ordered == np.repeat(most, size, axis=1), np.arange(len(own)), len(own)), first, axis=1)
+        docs = np.broadcast_to(own[first, 1], most.shape)
+        chosen = np.lexsort((docs, -most), axis=1)[:, :k]
+        take = lambda x: np.take_along_axis(x, chosen, 1).ravel()
+        return [np.repeat(ids, chosen.shape[1]), own[take(at), 0], take(docs), take(most)]
+
+    rows = _products(queries, chunks, ["chunk_id", "doc_id"], nearest, digits)
+    first = F.max_by(F.struct("chunk_id", "score"), F.struct("score", (-F.col("chunk_id")).alias("t"))).alias("b")
+    one = rows.groupBy("query_id", "doc_id").agg(first).select("query_id", "doc_id", "b.*")
+    ranked = one.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")))
+    return ranked if k is None else ranked.where(F.col("rank") <= k)
+
+
+def scored_documents(queries: DataFrame, chunks: DataFrame, *, digits: int = 6) -> Callable[[DataFrame], DataFrame]:
+    """How rows (query_id, doc_id) become (query_id, chunk_id, doc_id, score) of the chunks of these documents alone, by joins on their keys."""
+    named = chunks.select("doc_id", "chunk_id", F.col("vec").alias("_c"))
+    asked = queries.select("query_id", F.col("vec").alias("_q"))
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        met = pairs.select("query_id", "doc_id").distinct().join(named, "doc_id").join(asked, "query_id")
+        return met.select("query_id", "chunk_id", "doc_id", similarity(F.col("_q"), F.col("_c"), digits).alias("score"))
+
+    return scored
 
 
-def _blocks(df: DataFrame, id_col: str, size: int, name: str, wide: bool = False) -> DataFrame:
+def _blocks(df: DataFrame, ids: Sequence[str], size: int, name: str) -> DataFrame:
     """(name_ids, name_vecs): the rows of df that have a vector, at most size to a row, as bytes of longs and doubles."""
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, size):
                 part = batch.slice(lo, size)
-                row = [np.stack([np.asarray(c).astype(np.int64) for c in (part.column(0).flatten() if wide else [part.column(0)])], axis=1).tobytes(), part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).tobytes()]
+                own = np.stack([np.asarray(c).astype(np.int64) for c in part.columns[:-1]], axis=1)
+                row = [own.tobytes(), part.column(len(ids)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).tobytes()]
                 yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in row], [f"{name}_ids", f"{name}_vecs"])
 
-    rows = df.select(F.col(id_col).cast("struct<chunk_id:bigint,doc_id:bigint>" if wide else "long").alias("id"), F.col("vec").cast("array<double>").alias("vec")).where(F.col("vec").isNotNull())
+    rows = df.select(*(F.col(c).cast("long").alias(c) for c in ids), F.col("vec").cast("array<double>").alias("vec")).where(F.col("vec").isNotNull())
     return rows.mapInArrow(packed, f"{name}_ids binary, {name}_vecs binary")
 
 
-def _products(queries: DataFrame, chunks: DataFrame, keep: Callable, digits: int, wide: bool = False) -> DataFrame:
-    """(query_id, chunk_id, score), with doc_id if chunks are named by both (wide): what keep(query ids, chunk ids, scores) takes of each pair of a query block and a chunk block."""
+def _products(queries: DataFrame, chunks: DataFrame, ids: Sequence[str], keep: Callable, digits: int) -> DataFrame:
+    """(query_id, *ids, score): what keep(query ids, rows of chunk ids, scores) takes of each pair of a query block and a chunk block."""
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(batch.num_rows):
-                ids, vectors, own, found = (np.frombuffer(batch.column(c)[at].as_py(), t) for c, t in enumerate((np.int64, np.float64) * 2))
-                names = own.reshape(-1, 2) if wide else own.reshape(-1, 1)
-                own = np.arange(len(names)) if wide else names[:, 0]
-                scores = np.round((1 + vectors.reshape(len(ids), -1) @ found.reshape(len(own), -1).T) / 2, digits)
-                for lo in range(0, len(ids), 128):
-                    out = keep(ids[lo : lo + 128], own, scores[lo : lo + 128])
-                    if wide:
-                        out = out[0], names[out[1], 0], out[2], names[out[1], 1]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["query_id", "chunk_id", "score", "doc_id"][: len(out)])
+                asked, vectors, own, found = (np.frombuffer(batch.column(c)[at].as_py(), t) for c, t in enumerate((np.int64, np.float64) * 2))
+                names = own.reshape(-1, len(ids))
+                scores = np.round((1 + vectors.reshape(len(asked), -1) @ found.reshape(len(names), -1).T) / 2, digits)
+                for lo in range(0, len(asked), 128):
+                    out = keep(asked[lo : lo + 128], names, scores[lo : lo + 128])
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["query_id", *ids, "score"])
 
-    pairs = _blocks(queries, "query_id", QUERY_BLOCK, "q").crossJoin(_blocks(chunks, "chunk_id", CHUNK_BLOCK, "c", wide))
-    return pairs.mapInArrow(scored, "query_id long, chunk_id long, score double" + (", doc_id long" if wide else ""))
+    pairs = _blocks(queries, ["query_id"], QUERY_BLOCK, "q").crossJoin(_blocks(chunks, ids, CHUNK_BLOCK, "c"))
+    return pairs.mapInArrow(scored, "query_id long, " + "".join(f"{c} long, " for c in ids) + "score double")
 
 
 def small_to_big(hits: DataFrame, parents: DataFrame) -> DataFrame:
@@ -132,11 +160,12 @@ def route(queries: DataFrame, rules: Sequence[tuple] = ROUTES, text_col: str = "
     return queries.withColumn("_r", chosen).select("*", "_r.rule", "_r.categories", "_r.mode").drop("_r")
 
 
-def expand_links(hits: DataFrame, links: DataFrame, chunks: DataFrame, scored: DataFrame, *, hops: int = 1, max_expand: int = 5, contexts: Sequence[str] | None = None, categories: Sequence[str] | None = None) -> DataFrame:
+def expand_links(hits: DataFrame, links: DataFrame, scored: Callable[[DataFrame], DataFrame], *, hops: int = 1, max_expand: int = 5, contexts: Sequence[str] | None = None, categories: Sequence[str] | None = None) -> DataFrame:
     """The best leaf of each document that hit documents link to within hops, with linked_from; at most max_expand per query, then those already returned go.
 
-    hits(query_id, doc_id), links(src, tgt, link_context, category of the target),
-    scored(query_id, chunk_id, doc_id, score) of leaf chunks.
+    hits(query_id, chunk_id, doc_id), links(src, tgt, link_context, category of the
+    target); scored gives the scores of the leaf chunks of rows (query_id, doc_id),
+    as scored_documents does.
     """
     edges = links
     if contexts is not None:
@@ -151,18 +180,18 @@ def expand_links(hits: DataFrame, links: DataFrame, chunks: DataFrame, scored: D
         reached = step if reached is None else reached.unionByName(step)
         frontier, seen = step, seen.unionByName(step.select("query_id", "doc_id")).distinct()
     targets = reached.groupBy("query_id", "doc_id").agg(F.array_sort(F.collect_set("seed")).alias("linked_from"))
-    leaf = best(scored.join(targets, ["query_id", "doc_id"]), ["query_id", "doc_id"], [F.desc("score"), F.asc("chunk_id")], 1, "_n").drop("_n")
+    leaf = best(scored(targets).join(targets, ["query_id", "doc_id"]), ["query_id", "doc_id"], [F.desc("score"), F.asc("chunk_id")], 1, "_n").drop("_n")
     capped = best(leaf, ["query_id"], [F.desc("score"), F.asc("chunk_id")], max_expand)
     return capped.join(hits.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
 
 
-def expand_ancestors(hits: DataFrame, ancestors: DataFrame, scored: DataFrame, *, max_ancestors: int = 3) -> DataFrame:
+def expand_ancestors(hits: DataFrame, ancestors: DataFrame, scored: Callable[[DataFrame], DataFrame], *, max_ancestors: int = 3) -> DataFrame:
     """For each query the nearest ancestors (root to nearest in ancestors.ancestor_ids) of its hits that it has not retrieved, first seen first, each with its best leaf."""
     lines = hits.join(ancestors, "doc_id").select("query_id", "rank", F.posexplode(F.reverse("ancestor_ids")).alias("pos", "ancestor"))
     own = hits.select("query_id", F.col("doc_id").alias("ancestor")).distinct()
     first = lines.join(own, ["query_id", "ancestor"], "left_anti").groupBy("query_id", "ancestor").agg(F.min(F.struct("rank", "pos")).alias("seen"))
     chosen = best(first, ["query_id"], [F.asc("seen"), F.asc("ancestor")], max_ancestors, "place").select("query_id", F.col("ancestor").alias("doc_id"), "place")
-    return best(scored.join(chosen, ["query_id", "doc_id"]), ["query_id", "doc_id"], [F.desc("score"), F.asc("chunk_id")], 1, "_n").drop("_n").withColumnRenamed("place", "rank")
+    return best(scored(chosen).join(chosen, ["query_id", "doc_id"]), ["query_id", "doc_id"], [F.desc("score"), F.asc("chunk_id")], 1, "_n").drop("_n").withColumnRenamed("place", "rank")
 
 
 def additive(*parts: DataFrame) -> DataFrame:

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import rules as R
 from ..functions import scalars as S
 from ..operators import catalog, chunk, corpus, extract, graph, tables
-from .shared import read, register
+from .shared import WHITE, read, register
 
-NORM = "trim(regexp_replace(lower(text), '\\s+', ' ', 'g'), ' ')"
+NORM = f"trim(regexp_replace(lower(text), '{WHITE}', ' ', 'g'), ' ')"
 PATH = "regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)', 1)"
 SEGMENTS = f"list_filter(string_split({PATH}, '/'), lambda s: s <> '')"
 
@@ -57,7 +57,7 @@ def qa_ids(spark, d):
     return read(spark, d, "documents").select("doc_id", S.qa_id(F.col("source"), F.col("text")).alias("qa_id"))
 
 
-@register(f"SELECT doc_id, CASE WHEN length(q) > 240 THEN substr(q, 1, 240) || '…' ELSE q END AS quote FROM (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g'), ' ') AS q FROM documents)")
+@register(f"SELECT doc_id, CASE WHEN length(q) > 240 THEN substr(q, 1, 240) || '…' ELSE q END AS quote FROM (SELECT doc_id, trim(regexp_replace(text, '{WHITE}', ' ', 'g'), ' ') AS q FROM documents)")
 def quotes(spark, d):
     return read(spark, d, "documents").select("doc_id", S.quote(F.col("text")).alias("quote"))
 
@@ -92,7 +92,7 @@ def flat_chunks(spark, d):
 
 @register(f"""WITH {TOKENS}, n AS (SELECT doc_id, t, ceil(len(t) / 256)::BIGINT AS a, ceil(len(t) / 64)::BIGINT AS b, ceil(len(t) / 16)::BIGINT AS c, sha256('u' || doc_id) AS d FROM t WHERE len(t) > 0),
 w AS (SELECT *, 0 AS level, unnest(range(a)) AS w, 256 AS size, 0 AS base, NULL::BIGINT AS pnum FROM n UNION ALL SELECT doc_id, t, a, b, c, d, 1, w, 64, a, (w * 64) // 256 FROM (SELECT *, unnest(range(b)) AS w FROM n) UNION ALL SELECT doc_id, t, a, b, c, d, 2, w, 16, a + b, a + (w * 16) // 64 FROM (SELECT *, unnest(range(c)) AS w FROM n)),
-x AS (SELECT d AS doc_id, substr(sha256(d || '::' || (base + w)), 1, 32) AS chunk_id, CASE WHEN pnum IS NOT NULL THEN substr(sha256(d || '::' || pnum), 1, 32) END AS parent_id, level, base + w AS chunk_index, level = 2 AS is_leaf, array_to_string(t[w * size + 1:w * size + size], ' ') AS text FROM w)
+x AS (SELECT d AS doc_id, substr(sha256(d || '|' || (base + w)), 1, 32) AS chunk_id, CASE WHEN pnum IS NOT NULL THEN substr(sha256(d || '|' || pnum), 1, 32) END AS parent_id, level, base + w AS chunk_index, level = 2 AS is_leaf, array_to_string(t[w * size + 1:w * size + size], ' ') AS text FROM w)
 SELECT doc_id, chunk_id, parent_id, level, chunk_index, is_leaf, length(text) AS chars FROM x WHERE length(text) >= 80""")
 def hier_chunks(spark, d):
     docs = read(spark, d, "documents").select(F.concat(F.lit("u"), F.col("doc_id").cast("string")).alias("url"), "text")

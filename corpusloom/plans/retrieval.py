@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import rules as R
 from ..functions import scalars as S
 from ..operators import catalog, evaluate, retrieve
-from .shared import read, register
+from .shared import WHITE, read, register
 
 K = 10
 CHUNKS = "chunks AS (SELECT vec_id AS chunk_id, 1000000000 + vec_id // 4 AS parent_id, vec_id // 8 AS doc_id, 'c' || label AS category, embedding::DOUBLE[] AS vec FROM embeddings)"
@@ -88,18 +88,13 @@ def doc_edges(spark, d):
     return docs.crossJoin(F.broadcast(n)).select(F.col("doc_id").alias("src"), F.explode(F.array((F.col("doc_id") * 7 + 3) % F.col("n"), (F.col("doc_id") * 11 + 5) % F.col("n"))).alias("tgt")).distinct()
 
 
-def all_scores(spark, d):
-    """(query_id, chunk_id, doc_id, score) of every chunk of the documents at hand, by products of query and chunk blocks."""
-    return retrieve.all_scores(queries(spark, d), chunks(spark, d))
-
-
 @register(f"""WITH {SCORED}, {EDGES}, {_top(3)}, seed AS (SELECT DISTINCT query_id, doc_id FROM top), step AS (SELECT s.query_id, e.tgt AS doc_id, s.doc_id AS seed FROM seed s JOIN edges e ON e.src = s.doc_id WHERE NOT EXISTS (SELECT 1 FROM seed x WHERE x.query_id = s.query_id AND x.doc_id = e.tgt)),
 t AS (SELECT query_id, doc_id, list_sort(list(DISTINCT seed)) AS seeds FROM step GROUP BY ALL), leaf AS (SELECT c.query_id, c.chunk_id, c.doc_id, c.score, t.seeds FROM scored c JOIN t USING (query_id, doc_id) QUALIFY row_number() OVER (PARTITION BY c.query_id, c.doc_id ORDER BY c.score DESC, c.chunk_id) = 1),
 capped AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM leaf QUALIFY rank <= 5)
 SELECT query_id, chunk_id, doc_id, score, array_to_string(seeds, ',') AS linked_from, rank FROM capped WHERE NOT EXISTS (SELECT 1 FROM top WHERE top.query_id = capped.query_id AND top.chunk_id = capped.chunk_id)""")
 def link_expansion(spark, d):
     hits = _labelled(spark, d, 3)
-    out = retrieve.expand_links(hits, doc_edges(spark, d), chunks(spark, d), all_scores(spark, d), max_expand=5)
+    out = retrieve.expand_links(hits, doc_edges(spark, d), retrieve.scored_documents(queries(spark, d), chunks(spark, d)), max_expand=5)
     return out.select("query_id", "chunk_id", "doc_id", "score", F.array_join(F.col("linked_from").cast("array<string>"), ",").alias("linked_from"), "rank")
 
 
@@ -112,7 +107,7 @@ def ancestor_context(spark, d):
     lines = chunks(spark, d).select("doc_id").distinct().select("doc_id", F.array(far, near).alias("ancestor_ids"))
     lines = lines.select("doc_id", F.filter("ancestor_ids", lambda a: a != F.col("doc_id")).alias("ancestor_ids"))
     # positions count from the nearest, which drops out where it is the document itself
-    return retrieve.expand_ancestors(_labelled(spark, d, 3), lines, all_scores(spark, d)).select("query_id", "chunk_id", "doc_id", "score", "rank")
+    return retrieve.expand_ancestors(_labelled(spark, d, 3), lines, retrieve.scored_documents(queries(spark, d), chunks(spark, d))).select("query_id", "chunk_id", "doc_id", "score", "rank")
 
 
 @register(f"""WITH {SCORED}, {_top(5, "category = 'c1'", "a")}, {_top(5, "TRUE", "b")}, u AS (SELECT 0 AS o, * FROM a UNION ALL SELECT 1, * FROM b), f AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY o, rank) = 1)
@@ -124,12 +119,12 @@ def additive_union(spark, d):
 
 @register(f"WITH {SCORED}, b AS (SELECT query_id, doc_id, chunk_id, score FROM scored QUALIFY row_number() OVER (PARTITION BY query_id, doc_id ORDER BY score DESC, chunk_id) = 1) SELECT query_id, doc_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM b QUALIFY rank <= 10")
 def best_chunk_per_doc(spark, d):
-    return catalog.best_chunks(all_scores(spark, d), 10)
+    return retrieve.best_chunks(queries(spark, d), chunks(spark, d), 10)
 
 
 @register(f"WITH {SCORED} SELECT query_id, doc_id, max(score) AS score FROM scored GROUP BY ALL")
 def member_scores(spark, d):
-    return catalog.document_scores(all_scores(spark, d))
+    return retrieve.best_chunks(queries(spark, d), chunks(spark, d)).select("query_id", "doc_id", "score")
 
 
 @register(f"WITH {SCORED}, {_top(9)}, x AS (SELECT query_id, chunk_id AS run_id, score, rank, round(2 * score - 1, 6) AS cosine, chunk_id % 5 + 1 AS rating FROM top) SELECT query_id, run_id, cosine, rating, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM x WHERE cosine >= 0.2 AND rating >= 2 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank) <= 3")
@@ -253,11 +248,21 @@ def bench_validation(spark, d):
     return evaluate.benchmark_violations(items)
 
 
-ANSWERS = "c AS (SELECT conv_id AS run_id, turn, trim(regexp_replace(lower(text), '\\s+', ' ', 'g'), ' ') AS t, text FROM conversations WHERE role = 'assistant'), a AS (SELECT run_id, arg_min(t, turn) AS t FROM c GROUP BY run_id)"
+FOLD = f"trim(regexp_replace(lower(text), '{WHITE}', ' ', 'g'), ' ')"
+ANSWERS = f"c AS (SELECT conv_id AS run_id, turn, {FOLD} AS t, text FROM conversations WHERE role = 'assistant'), a AS (SELECT run_id, arg_min(t, turn) AS t, arg_min(text, turn) AS raw FROM c GROUP BY run_id)"
+
+
+def _unfolded(at: str) -> str:
+    """SQL for the place in raw of the character at place at (from zero) of t."""
+    before = f"substr(t, 1, {at})"
+    words = f"(length({before}) - length(replace({before}, ' ', '')))"
+    total = lambda xs: f"coalesce(list_sum(list_transform(({xs})[1:{words}], lambda x: length(x))), 0)"
+    return f"length(lead) + {total(f"regexp_split_to_array(rest, '{WHITE}')")} + {total(f"regexp_extract_all(rest, '{WHITE}')")} + length(regexp_extract({before}, '([^ ]*)$', 1))"
 
 
-@register(f"""WITH {ANSWERS}, k AS (SELECT run_id, turn AS claim_no, trim(regexp_replace(lower(substr(text, 1, 30)), '\\s+', ' ', 'g'), ' ') AS k FROM c), x AS (SELECT run_id, claim_no, CASE WHEN length(k) >= 8 THEN nullif(instr(t, k), 0) END - 1 AS start, length(k) AS n FROM k JOIN a USING (run_id))
-SELECT run_id, claim_no, start, start + n AS stop FROM x""")
+@register(f"""WITH {ANSWERS}, k AS (SELECT run_id, turn AS claim_no, {FOLD.replace('(text)', '(substr(text, 1, 30))')} AS k FROM c), x AS (SELECT run_id, claim_no, t, raw, CASE WHEN length(k) >= 8 THEN nullif(instr(t, k), 0) END - 1 AS place, length(k) AS n FROM k JOIN a USING (run_id)),
+y AS (SELECT *, regexp_extract(raw, '^{WHITE}') AS lead, substr(raw, length(regexp_extract(raw, '^{WHITE}')) + 1) AS rest FROM x)
+SELECT run_id, claim_no, CASE WHEN place IS NOT NULL THEN ({_unfolded("place")})::BIGINT END AS start, CASE WHEN place IS NOT NULL THEN ({_unfolded("(place + n - 1)")} + 1)::BIGINT END AS stop FROM y""")
 def exact_claim_spans(spark, d):
     rows = read(spark, d, "conversations").where("role = 'assistant'")
     answers = rows.groupBy(F.col("conv_id").alias("run_id")).agg(F.min_by("text", "turn").alias("answer"))

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: Unicode's white space and the four separators beside it, for DuckDB's regular expressions.
+WHITE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]+"
 _NARROW = {"int", "smallint", "tinyint"}
 
 

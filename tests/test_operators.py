@@ -154,16 +154,18 @@ def test_expansion_caps_before_leaving_out_what_was_returned(spark):
     hits = spark.createDataFrame([(0, 1, 1, 0.9, 1), (0, 5, 9, 0.8, 2)], "query_id long, chunk_id long, doc_id long, score double, rank int")
     links = spark.createDataFrame([(1, 2, "inline", "qa"), (1, 3, "other", "qa")], "src long, tgt long, link_context string, category string")
     scored = spark.createDataFrame([(0, 5, 2, 0.8), (0, 7, 3, 0.6)], "query_id long, chunk_id long, doc_id long, score double")
-    assert retrieve.expand_links(hits, links, scored, scored, max_expand=1).collect() == []
-    assert [r["chunk_id"] for r in retrieve.expand_links(hits, links, scored, scored, max_expand=5).collect()] == [7]
-    assert [r["chunk_id"] for r in retrieve.expand_links(hits, links, scored, scored, contexts=["inline"]).collect()] == []
+    among = lambda pairs: scored.join(pairs, ["query_id", "doc_id"], "left_semi")
+    assert retrieve.expand_links(hits, links, among, max_expand=1).collect() == []
+    assert [r["chunk_id"] for r in retrieve.expand_links(hits, links, among, max_expand=5).collect()] == [7]
+    assert [r["chunk_id"] for r in retrieve.expand_links(hits, links, among, contexts=["inline"]).collect()] == []
 
 
 def test_ancestors_nearest_first(spark):
     hits = spark.createDataFrame([(0, 1, 11, 1), (0, 2, 12, 2)], "query_id long, chunk_id long, doc_id long, rank int")
     lines = spark.createDataFrame([(11, [100, 12])], "doc_id long, ancestor_ids array<long>")
     scored = spark.createDataFrame([(0, 50, 100, 0.4), (0, 51, 12, 0.5)], "query_id long, chunk_id long, doc_id long, score double")
-    assert [r["doc_id"] for r in retrieve.expand_ancestors(hits, lines, scored).collect()] == [100]
+    among = lambda pairs: scored.join(pairs, ["query_id", "doc_id"], "left_semi")
+    assert [r["doc_id"] for r in retrieve.expand_ancestors(hits, lines, among).collect()] == [100]
 
 
 def test_filter_falls_back_per_query(spark):
@@ -327,12 +329,89 @@ def test_claim_spans(spark):
     answers = spark.createDataFrame([("r", "The limit is  18 ng per day. Other words follow here.")], "run_id string, answer string")
     claims = spark.createDataFrame([("r", 0, "the limit is 18 ng per day"), ("r", 1, "Other words follow hers"), ("r", 2, "nothing of this kind at all"), ("r", 3, "short")], "run_id string, claim_no int, claim string")
     got = {r["claim_no"]: (r["start"], r["stop"]) for r in evaluate.claim_spans(answers, claims).collect()}
-    assert got[0] == (0, 26) and got[2] == (None, None) and got[3] == (None, None)
+    assert got[0] == (0, 27) and got[2] == (None, None) and got[3] == (None, None)
     assert got[1][0] is not None
     spans = spark.createDataFrame([("r", 0, 10, 1), ("r", 5, 8, 2), ("r", 0, 10, 3), ("r", 12, 15, 4)], "run_id string, start long, stop long, place int")
     assert sorted((r["start"], r["stop"], list(r["places"])) for r in evaluate.without_overlaps(spans).collect()) == [(0, 10, [1, 3]), (12, 15, [4])]
 
 
+def test_spans_are_places_of_the_answer_as_it_is(spark):
+    cases = [
+        ("  The  limit\n\tis\u00a0\u300018 ng.  End of it", "the limit is 18 ng."),
+        ("Straße und GROSSE Straßen enden hier", "STRASSEN enden"),
+        ("Straße und GROSSE Straßen enden hier", "ße und gross"),
+        ("word\x1fother\x85third fourth", "OTHER third"),
+        ("\u2003leading only and so on  ", "leading only"),
+    ]
+    answers = spark.createDataFrame([(str(i), a) for i, (a, _) in enumerate(cases)], "run_id string, answer string")
+    claims = spark.createDataFrame([(str(i), 0, c) for i, (_, c) in enumerate(cases)], "run_id string, claim_no int, claim string")
+    got = {r["run_id"]: (r["start"], r["stop"]) for r in evaluate.exact_spans(answers, claims).collect()}
+    for i, (answer, claim) in enumerate(cases):
+        text, places = evaluate.fold_with_places(answer)
+        wanted = evaluate.fold_with_places(claim)[0]
+        at = text.find(wanted)
+        assert at >= 0 and got[str(i)] == (places[at], places[at + len(wanted) - 1] + 1)
+    assert cases[0][0][slice(*got["0"])] == "The  limit\n\tis\u00a0\u300018 ng."
+
+
+def test_nearest_window_is_the_first_best_of_all(spark):
+    from difflib import SequenceMatcher
+
+    claim = "the maximum daily intake is 18 ng"
+    for answer in ("x " * 30 + "the maximal daily intake was 18 ng and more " + "y " * 9, "the maximum dally intake is 18 ng, the maximum daily intakes is 18 ng", "nothing alike " * 9):
+        starts = range(0, len(answer) - len(claim) + 1, max(1, len(claim) // 5))
+        ratio = [SequenceMatcher(None, claim, answer[a : a + len(claim)]).ratio() for a in starts]
+        best = max(range(len(ratio)), key=lambda i: ratio[i])
+        want = (starts[best], starts[best] + len(claim)) if ratio[best] >= 0.85 else None
+        assert evaluate.nearest_window(answer, claim) == want
+    assert evaluate.nearest_window("the maximum daily intake is 18", claim) == (0, 30)
+
+
+def test_overlaps_against_all_pairs(spark):
+    import random
+
+    r = random.Random(2)
+    rows = [(str(i % 5), a := r.randrange(100), a + r.randrange(1, 15), i) for i in range(200)]
+    got = evaluate.without_overlaps(spark.createDataFrame(rows, "run_id string, start long, stop long, place int")).collect()
+    for run in "01234":
+        kept = []
+        for a, b in sorted({(a, b) for x, a, b, _ in rows if x == run}, key=lambda s: (s[0] - s[1], s[0])):
+            if all(b <= c or a >= d for c, d in kept):
+                kept.append((a, b))
+        assert sorted((x["start"], x["stop"]) for x in got if x["run_id"] == run) == sorted(kept)
+
+
+def test_white_space_as_in_unicode(spark):
+    odd = "What\u00a0\u00a0is\u3000X\x1f?\u2003 "
+    assert one(spark, S.normalised(F.col("t")), t=odd) == " ".join(odd.lower().split())
+    assert one(spark, S.quote(F.col("t")), t=odd) == " ".join(odd.split())
+
+
+def test_chunk_ids(spark):
+    import hashlib
+
+    assert one(spark, S.chunk_id(F.col("t"), F.lit(7)), t="doc") == hashlib.sha256(b"doc|7").hexdigest()[:32]
+
+
+def test_best_chunks_of_documents(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(retrieve, "CHUNK_BLOCK", 16)
+    r = np.random.default_rng(6)
+    vectors = r.integers(-2, 3, (90, 4)).astype(float)
+    chunks = spark.createDataFrame([(i, i // 7, v.tolist()) for i, v in enumerate(vectors)], "chunk_id long, doc_id long, vec array<double>").repartition(3)
+    queries = spark.createDataFrame([(i, vectors[i].tolist()) for i in range(0, 90, 20)], "query_id long, vec array<double>")
+    for k in (3, None):
+        got = sorted((x["query_id"], x["rank"], x["doc_id"], x["chunk_id"], x["score"]) for x in retrieve.best_chunks(queries, chunks, k).collect())
+        want = []
+        for q in range(0, 90, 20):
+            score = np.round((1 + vectors @ vectors[q]) / 2, 6)
+            docs = {d: min(((-score[i], i) for i in range(90) if i // 7 == d)) for d in range(13)}
+            ranked = sorted(docs, key=lambda d: (docs[d][0], d))[:k]
+            want += [(q, n + 1, d, docs[d][1], -docs[d][0]) for n, d in enumerate(ranked)]
+        assert got == sorted(want)
+
+
 def test_retriever_metadata(spark):
     spans = spark.createDataFrame([("t", "a", None, "TOOL", None, None, 1), ("t", "b", "a", "CHAIN", None, None, 2), ("t", "c", "b", "RETRIEVER", "u", "first", 3), ("t", "d", "b", "RETRIEVER", "u", "second", 4), ("t", "e", None, "RETRIEVER", "v", "outside", 5)], "trace_id string, span_id string, parent_id string, kind string, source_url string, meta string, start_ns long")
     assert [(r["tool_span"], r["source_url"], r["meta"]) for r in evaluate.retriever_metadata(spans).collect()] == [("a", "u", "first")]

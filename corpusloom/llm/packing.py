@@ -161,7 +161,7 @@ def least_bins(sizes: list[int], room: int) -> int:
     size = np.sort(np.array(sizes, np.int64))
     total = np.r_[0, np.cumsum(size)]
     least = -(-int(total[-1]) // room)
-    for low in np.unique(size[2 * size <= room]).tolist():
+    for low in np.unique(np.r_[0, size[2 * size <= room]]).tolist():
         # items over room - low share a bin with none of low or more
         alone, half = (int(np.searchsorted(size, x, side="right")) for x in (room - low, room // 2))
         middle = int(total[alone] - total[half])

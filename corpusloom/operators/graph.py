@@ -152,12 +152,17 @@ def induced(edges: DataFrame, members: DataFrame) -> DataFrame:
     return resolved_edges(edges, members)
 
 
-def drill_down(docs: DataFrame, chunks: DataFrame, edges: DataFrame, doc: Column | str | int) -> DataFrame:
-    """One document's row with its chunk, leaf, in-link and out-link counts."""
-    at = F.lit(doc) if not isinstance(doc, Column) else doc
-    counts = chunks.where(F.col("doc_id") == at).agg(F.count(F.lit(1)).alias("chunks"), F.count_if("is_leaf").alias("leaves"))
-    ends = edges.agg(F.count_if(F.col("tgt") == at).alias("links_in"), F.count_if(F.col("src") == at).alias("links_out"))
-    return docs.where(F.col("doc_id") == at).crossJoin(F.broadcast(counts)).crossJoin(F.broadcast(ends))
+def drill_downs(docs: DataFrame, chunks: DataFrame, edges: DataFrame) -> DataFrame:
+    """Documents with their chunk, leaf, in-link and out-link counts; one document is a filter on the result, which reaches every scan."""
+    owned = chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"), F.count_if("is_leaf").alias("leaves"))
+    ends = lambda c, name: edges.groupBy(F.col(c).alias("doc_id")).agg(F.count(F.lit(1)).alias(name))
+    joined = docs.join(owned, "doc_id", "left").join(ends("tgt", "links_in"), "doc_id", "left").join(ends("src", "links_out"), "doc_id", "left")
+    return joined.na.fill(0, ["chunks", "leaves", "links_in", "links_out"])
+
+
+def drill_down(docs: DataFrame, chunks: DataFrame, edges: DataFrame, doc: str | int) -> DataFrame:
+    """One document's row of drill_downs."""
+    return drill_downs(docs, chunks, edges).where(F.col("doc_id") == F.lit(doc))
 
 
 def components(edges: DataFrame, *, small: int = 3) -> DataFrame:

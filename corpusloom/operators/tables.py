@@ -59,8 +59,8 @@ def label_documents(docs: DataFrame, meta: DataFrame, badges: DataFrame, columns
 
 
 def with_raw_html(docs: DataFrame, raw: DataFrame) -> DataFrame:
-    """Documents with their raw page, one join instead of a lookup per row."""
-    return docs.join(raw.select("url", "html").dropDuplicates(["url"]), "url", "left")
+    """Documents with their raw page, one join instead of a lookup per row; of several pages of one address the first by its text."""
+    return docs.join(raw.groupBy("url").agg(F.min("html").alias("html")), "url", "left")
 
 
 def label_coverage(docs: DataFrame, labels: DataFrame, value: str, *, key: str = "doc_id", by: str = "source_type") -> DataFrame:

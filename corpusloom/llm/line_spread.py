@@ -22,10 +22,9 @@ _LINE, _DOC = ["h1", "h2"], ["doc_id", "text_hash"]
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, site, doc_chars, pos, chars, h1, h2) for each line that isn't blank; doc_chars are those of all lines of its document."""
-    parts = docs.select("doc_id", "site", F.xxhash64("text").alias("text_hash"), F.transform(F.split("text", "\n", -1), lambda x: F.trim(x)).alias("parts"))
-    total = F.aggregate("parts", F.lit(0).cast("long"), lambda n, x: n + F.length(x)).alias("doc_chars")
-    rows = parts.select("doc_id", "site", "text_hash", total, F.posexplode("parts").alias("pos", "line")).where("line <> ''")
+    """(doc_id, text_hash, site, doc_chars, pos, chars, h1, h2) for each line that isn't blank; doc_chars are those of its document."""
+    parts = docs.select("doc_id", "site", F.xxhash64("text").alias("text_hash"), F.length("text").alias("doc_chars"), F.transform(F.split("text", "\n", -1), lambda x: F.trim(x)).alias("parts"))
+    rows = parts.select(*_DOC, "site", "doc_chars", F.posexplode("parts").alias("pos", "line")).where("line <> ''")
     return rows.select(*_DOC, "site", "doc_chars", "pos", F.length("line").alias("chars"), F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"))
 
 
@@ -72,7 +71,7 @@ def oracle(min_sites: int = MIN_SITES, most_share: float = MOST_SHARE) -> str:
     """The same over documents, in DuckDB's SQL, with exact counts throughout."""
     return f"""
 WITH lines AS (
-  SELECT doc_id, coalesce(source, '') AS source, unnest(string_split(coalesce(text, ''), chr(10))) AS raw, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents
+  SELECT doc_id, coalesce(source, '') AS source, length(coalesce(text, '')) AS doc_chars, unnest(string_split(coalesce(text, ''), chr(10))) AS raw, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents
 ), placed AS (
   SELECT *, trim(raw, ' ') AS line FROM lines
 ), candidates AS (
@@ -80,7 +79,7 @@ WITH lines AS (
 ), marked AS (
   SELECT p.*, c.line IS NOT NULL AS candidate FROM placed p LEFT JOIN candidates c USING (line)
 ), judged AS (
-  SELECT *, sum(CASE WHEN candidate THEN length(line) ELSE 0 END) OVER (PARTITION BY doc_id) <= {most_share}::DOUBLE * sum(length(line)) OVER (PARTITION BY doc_id) AS beside FROM marked
+  SELECT *, sum(CASE WHEN candidate THEN length(line) ELSE 0 END) OVER (PARTITION BY doc_id) <= {most_share}::DOUBLE * doc_chars AS beside FROM marked
 ), spread AS (
   SELECT line FROM judged WHERE candidate AND beside GROUP BY line HAVING count(DISTINCT source) >= {min_sites}
 ), told AS (

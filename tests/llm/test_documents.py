@@ -263,7 +263,7 @@ def _without_boilerplate(rows, sites=5, share=0.3):
 
     split = [[(x, x.strip(" ")) for x in (t or "").split("\n")] for _, t, _ in rows]
     candidates = spread((x, rows[i][2]) for i, lines in enumerate(split) for _, x in lines if x)
-    beside = [sum(len(x) for _, x in lines if x in candidates) <= share * sum(len(x) for _, x in lines) for lines in split]
+    beside = [sum(len(x) for _, x in lines if x in candidates) <= share * len(t or "") for lines, (_, t, _) in zip(split, rows, strict=True)]
     bad = spread((x, rows[i][2]) for i, lines in enumerate(split) if beside[i] for _, x in lines if x in candidates)
     return [("\n".join(raw for raw, x in lines if x not in bad), len(lines), sum(x in bad for _, x in lines)) for lines in split]
 

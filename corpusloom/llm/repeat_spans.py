@@ -133,47 +133,54 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     placed = _packed(rows).drop("doc_id").join(hits, _KEY)
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rolls = [_Rolling(b) for b in _BASES]
-        names = [*_KEY, "code", "place", "left", "right", "w1", "w2", "start", "stop"]
+        names = [*_KEY, "code", "place", "left", "right"]
+        kinds = (*[pa.int64()] * 4, pa.int32(), pa.binary(), pa.binary())
         plain = zstandard.ZstdDecompressor().decompress
+        told = lambda out: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
         for batch in batches:
-            out, size, strings, waiting = [], 0, [], 0
+            out, size = [], 0
             for key, h1, h2, blob, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                raw = plain(blob)
-                safe = raw.replace(b"\0", b"\xff")  # no byte of UTF-8, and zero is for padding
-                many = [h for h in found if h["many"]]
-                if many:
-                    hashed = [r(np.frombuffer(raw, np.uint8), length).view(np.int64) for r in rolls]
-                    at = np.concatenate([np.arange(h["first"], h["last"] + 1) for h in many])
-                    strings.append((np.full(len(at), key), np.full(len(at), h1), np.full(len(at), h2), hashed[0][at], hashed[1][at], at))
-                    waiting += len(at)
-                    if waiting > STRINGS_AT_ONCE:
-                        out += _counted([np.concatenate(x) for x in zip(*strings, strict=True)], length)
-                        strings, waiting = [], 0
+                safe = plain(blob).replace(b"\0", b"\xff")  # no byte of UTF-8, and zero is for padding
                 for h in found:
                     first, place, last = h["first"], h["place"], h["last"]
-                    if not h["many"]:
-                        out.append((key, h1, h2, h["code"], place, safe[first:place][::-1], safe[place : last + length], None, None, None, None))
-                        size += last + length - first
-                if size > 4 << 20 or len(out) > 20_000:
-                    yield pa.RecordBatch.from_arrays(_columns(out), names)
+                    out.append((key, h1, h2, h["code"], place, safe[first:place][::-1], safe[place : last + length]))
+                    size += last + length - first
+                if size > 4 << 20:
+                    yield told(out)
                     out, size = [], 0
-            if strings:
-                out += _counted([np.concatenate(x) for x in zip(*strings, strict=True)], length)
             if out:
-                yield pa.RecordBatch.from_arrays(_columns(out), names)
+                yield told(out)
 
-    seen = placed.mapInArrow(contexts, "key long, h1 long, h2 long, code long, place int, left binary, right binary, w1 long, w2 long, start int, stop int")
-    few = seen.where("code is not null").select(*_KEY, "code", "place", "left", "right").repartition("code").sortWithinPartitions("code", *_KEY, "place")
+    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rolls = [_Rolling(b) for b in _BASES]
+        plain = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            held, waiting = [], 0
+            for key, h1, h2, blob, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                hashed = [r(np.frombuffer(plain(blob), np.uint8), length).view(np.int64) for r in rolls]
+                at = np.concatenate([np.arange(h["first"], h["last"] + 1) for h in found])
+                held.append((np.full(len(at), key), np.full(len(at), h1), np.full(len(at), h2), hashed[0][at], hashed[1][at], at))
+                waiting += len(at)
+                if waiting > STRINGS_AT_ONCE:
+                    yield _counted([np.concatenate(x) for x in zip(*held, strict=True)], length)
+                    held, waiting = [], 0
+            if held:
+                yield _counted([np.concatenate(x) for x in zip(*held, strict=True)], length)
+
+    # suffixes of groups that can be gathered, and of the others
+    rare, common = (placed.withColumn("hits", F.filter("hits", test)).where(F.size("hits") > 0) for test in (lambda h: ~h["many"], lambda h: h["many"]))
+    few = rare.mapInArrow(contexts, "key long, h1 long, h2 long, code long, place int, left binary, right binary").repartition("code").sortWithinPartitions("code", *_KEY, "place")
     spans = few.mapInArrow(_intervals(length), "key long, h1 long, h2 long, start int, stop int, repeat long")
-    certain = seen.where("code is null and stop is not null").select(*_KEY, "start", "stop", F.col("w1").alias("repeat"))
-    strings = seen.where("code is null and stop is null")
-    twice = strings.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w1", "w2")
-    single = strings.where("start is not null").join(twice, ["w1", "w2"]).select(*_KEY, "start", (F.col("start") + length).cast("int").alias("stop"), F.col("w1").alias("repeat"))
+    # what a batch has counted depends on its rows, so it is stored before it is read again
+    counted = cut(common.mapInArrow(strings, "key long, h1 long, h2 long, w1 long, w2 long, start int, stop int"))
+    certain = counted.where("stop is not null").select(*_KEY, "start", "stop", F.col("w1").alias("repeat"))
+    each = counted.where("stop is null")
+    twice = each.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w1", "w2")
+    single = each.where("start is not null").join(twice, ["w1", "w2"]).select(*_KEY, "start", (F.col("start") + length).cast("int").alias("stop"), F.col("w1").alias("repeat"))
     return texts, spans.unionByName(certain).unionByName(single)
 
 
-def _counted(strings: list[np.ndarray], length: int) -> list[tuple]:
+def _counted(strings: list[np.ndarray], length: int) -> pa.RecordBatch:
     """Rows for strings (key, h1, h2, w1, w2, start) of one batch.
 
     A string met once is put out with its place, to be counted with the other
@@ -183,28 +190,24 @@ def _counted(strings: list[np.ndarray], length: int) -> list[tuple]:
     key, h1, h2, w1, w2, start = strings
     order = np.lexsort((start, w2, w1))
     a, b = w1[order], w2[order]
-    fresh = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
-    at = np.flatnonzero(fresh)
+    at = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
     count = np.diff(np.r_[at, len(a)])
-    once = order[at[count == 1]]
-    out = [(*x[:3], None, None, None, None, *x[3:], None) for x in zip(*(c[once].tolist() for c in (key, h1, h2, w1, w2, start)), strict=True)]
-    told = order[at[count > 1]]
-    out += [(None, None, None, None, None, None, None, x, y, None, None) for x, y in zip(w1[told].tolist(), w2[told].tolist(), strict=True)]
+    once, told = order[at[count == 1]], order[at[count > 1]]
     again = np.zeros(len(key), bool)
     again[order] = np.repeat(count > 1, count)
     again = np.flatnonzero(again)
-    if len(again):
-        again = again[np.lexsort((start[again], h2[again], h1[again], key[again]))]
-        k, x, y, s = key[again], h1[again], h2[again], start[again]
-        head = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1]) | (s[1:] > s[:-1] + 1)])
-        tail = np.r_[head[1:], len(s)] - 1
-        out += [(*r[:3], None, None, None, None, r[3], None, r[4], r[5] + length) for r in zip(*(c.tolist() for c in (k[head], x[head], y[head], w1[again][head], s[head], s[tail])), strict=True)]
-    return out
-
-
-def _columns(rows: list[tuple]) -> list[pa.Array]:
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
-    return [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+    again = again[np.lexsort((start[again], h2[again], h1[again], key[again]))]
+    k, x, y, s = key[again], h1[again], h2[again], start[again]
+    head = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1]) | (s[1:] > s[:-1] + 1)][: len(s)])
+    tail = np.r_[head[1:], len(s)][: len(head)] - 1
+    none = lambda n, kind: pa.nulls(n, kind)
+    long, int_ = pa.int64(), pa.int32()
+    of_keys = [pa.concat_arrays([pa.array(c[once], long), none(len(told), long), pa.array(c[again][head], long)]) for c in (key, h1, h2)]
+    first = pa.concat_arrays([pa.array(w1[once], long), pa.array(w1[told], long), pa.array(w1[again][head], long)])
+    second = pa.concat_arrays([pa.array(w2[once], long), pa.array(w2[told], long), none(len(head), long)])
+    starts = pa.concat_arrays([pa.array(start[once], int_), none(len(told), int_), pa.array(s[head], int_)])
+    stops = pa.concat_arrays([none(len(once) + len(told), int_), pa.array(s[tail] + length, int_)])
+    return pa.RecordBatch.from_arrays([*of_keys, first, second, starts, stops], [*_KEY, "w1", "w2", "start", "stop"])
 
 
 def _intervals(length: int):

@@ -168,7 +168,7 @@ def _scored(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, samp
         for batch in batches:
             data, offsets = flat(batch.column(0).field(text_at))
             out = np.full(batch.num_rows, 0.5)
-            for lo, hi in ((a, b) for x, y in slices(offsets, 4 << 20) for a, b in ((z, min(z + BLOCK, y)) for z in range(x, y, BLOCK))):
+            for lo, hi in ((a, b) for x, y in slices(offsets, 1 << 20) for a, b in ((z, min(z + BLOCK, y)) for z in range(x, y, BLOCK))):
                 if model is not None:
                     idf, basis, vectors, own = model.value
                     out[lo:hi] = vote(latent(terms(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]), idf, basis), vectors, own)

@@ -77,8 +77,9 @@ def codeword_keys() -> list[list[int]]:
     code = (data << 11 | rest) << 1
     code |= np.bitwise_count(code) & 1
     out = []
-    for lo in range(0, 65536, 4096):
-        distance = np.bitwise_count(np.arange(lo, lo + 4096)[:, None] ^ code[None, :])
+    code = code.astype(np.uint32)
+    for lo in range(0, 65536, 256):
+        distance = np.bitwise_count(np.arange(lo, lo + 256, dtype=np.uint32)[:, None] ^ code[None, :])
         near = distance == distance.min(axis=1, keepdims=True)
         out += [np.flatnonzero(row).tolist() for row in near]
     return out

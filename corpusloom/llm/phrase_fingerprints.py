@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import plain_docs, slices
 
-BINS, KEPT_FROM, BLOCK_BYTES, BUCKET_ROWS, MOST_BUCKETS = 64, 2, 1 << 20, 1024, 8192
+BINS, KEPT_FROM, BLOCK_BYTES, BUCKET_ROWS, MOST_BUCKETS = 64, 2, 1 << 20, 1024, 65_536
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -180,8 +180,8 @@ def with_neighbours(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     Ids are cut into buckets at quantiles, which are ids themselves (8 bytes for
     each of at most MOST_BUCKETS); a task adds to each bucket a copy of the next
     bucket's first document, so one shuffle of compressed texts brings all
-    neighbours together, and a sorted bucket is read as a stream with one document
-    held back. After the last document comes the first. Rows that share an id have
+    neighbours together, and a bucket is read as a stream from its greatest id
+    down, of which only the last document met is held. After the last document comes the first. Rows that share an id have
     the same next document, the one with the next greater id (of several rows with
     it, the one whose text compresses most); rows without an id come first and count as smaller than any id.
     """
@@ -189,7 +189,7 @@ def with_neighbours(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     keyed = plain_docs(docs, id_col=id_col, text_col=text_col).withColumn("key", F.coalesce("doc_id", F.lit(least)))
     total, first = keyed.agg(F.count(F.lit(1)), F.min("key")).first()
     buckets = min(MOST_BUCKETS, max(1, total // BUCKET_ROWS))
-    found = keyed.agg(F.percentile_approx("key", [i / buckets for i in range(buckets)], 10 * MOST_BUCKETS)).first()[0] or []
+    found = keyed.agg(F.percentile_approx("key", [i / buckets for i in range(buckets)], 10 * buckets)).first()[0] or []
     bounds = np.unique(np.array([first, *found] if total else [], np.int64))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,8 +197,16 @@ def with_neighbours(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             keys = np.asarray(batch.column("key"))
             bucket = np.searchsorted(bounds, keys, side="right") - 1
+            packed = [small(t.encode()) for t in batch.column("text").to_pylist()]
+            blobs = pa.array(packed, pa.binary())
+            # of a batch's rows with a bound's id one can be the first document
             heads = np.flatnonzero(bounds[np.maximum(bucket, 0)] == keys)
-            blobs = pa.array([small(t.encode()) for t in batch.column("text").to_pylist()], pa.binary())
+            best: dict[int, int] = {}
+            for i in heads.tolist():
+                at = best.setdefault(int(keys[i]), i)
+                if (len(packed[i]), packed[i]) < (len(packed[at]), packed[at]):
+                    best[int(keys[i])] = i
+            heads = np.array(list(best.values()), np.int64)
             take = np.r_[np.arange(len(keys)), heads]
             target = np.r_[bucket, (bucket[heads] - 1) % max(1, len(bounds))]
             copy = np.r_[np.zeros(len(keys), bool), np.ones(len(heads), bool)]
@@ -207,26 +215,23 @@ def with_neighbours(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     dealt = keyed.mapInArrow(deal, "bucket long, copy boolean, doc_id long, key long, blob binary")
     out = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return dealt.repartition("bucket").sortWithinPartitions("bucket", "copy", "key", F.length("blob"), "blob").mapInArrow(_stream, out)
+    order = ("bucket", F.desc("copy"), F.desc("key"), F.desc(F.length("blob")), F.desc("blob"))
+    return dealt.repartition("bucket").sortWithinPartitions(*order).mapInArrow(_stream, out)
 
 
 def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come by bucket and id, the copy of the next bucket's first row last; rows wait until a row with another key follows."""
+    """Rows come by bucket, copies of the next bucket's first document before the others, ids and sizes descending: what comes last of an id is the next document of the id after it."""
     plain = zstandard.ZstdDecompressor().decompress
-    # (bucket, key) of the waiting rows, their ids and texts
-    state, waiting, ready, size = None, [], [], 0
+    at, last, following, ready, size = None, "", "", [], 0
     for batch in batches:
         for bucket, copy, doc, key, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             text = plain(blob).decode()
-            if state is not None and state[0] == bucket and (copy or state[1] != key):
-                # of several rows with the next key the first one counts
-                for d, t in waiting:
-                    ready.append((d, t, text))
-                    size += len(t)
-                waiting = []
             if not copy:
-                state = (bucket, key)
-                waiting.append((doc, text))
+                if (bucket, key) != at:
+                    at, following = (bucket, key), last
+                ready.append((doc, text, following))
+                size += len(text)
+            last = text
             if size >= BLOCK_BYTES:
                 yield _told(ready)
                 ready, size = [], 0

@@ -59,6 +59,25 @@ def test_neighbours_with_null_and_repeated_ids(spark):
     assert phrase_fingerprints.with_neighbours(frame(spark, [])).collect() == []
 
 
+def test_neighbours_over_many_buckets(spark, monkeypatch):
+    """Ids that many rows share stand in many buckets' bounds; each row is followed by the next greater id's smallest document."""
+    import zstandard
+
+    monkeypatch.setattr(phrase_fingerprints, "BUCKET_ROWS", 3)
+    r = np.random.default_rng(3)
+    rows = [(int(i), words(int(500 + r.integers(0, 40)), int(r.integers(0, 12)))) for i in r.choice([None, 7, 7, 7, *range(10, 40)], 120) if i is not None] + [(None, words(9, n)) for n in range(20)]
+    small = lambda t: (len(b := zstandard.ZstdCompressor(level=1).compress(t.encode())), b)
+    key = lambda i: -(1 << 63) if i is None else i
+    first = {}
+    for i, t in rows:
+        first[key(i)] = min(first.get(key(i), t), t, key=small)
+    order = sorted(first)
+    after = {k: first[order[(n + 1) % len(order)]] for n, k in enumerate(order)}
+    want = sorted((key(i), hashlib.sha256(phrase_fingerprints.edited(t, after[key(i)]).encode()).hexdigest()) for i, t in rows)
+    got = phrase_fingerprints.with_neighbours(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert sorted((key(x["doc_id"]), x["edited_sha256"]) for x in got) == want
+
+
 # ---------------------------------------------------------------- 6
 
 

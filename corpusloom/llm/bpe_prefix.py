@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 
 from .common import Remembered, plain_docs
 
-MOST_WORDS, MOST_PAIRS = 400_000, 400_000
+MOST_WORDS, MOST_CHARS, MOST_PAIRS = 400_000, 64, 400_000
 #: White space as Unicode defines it, and the pre-tokenizer's pattern over it.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
@@ -40,7 +40,7 @@ def byte_letters() -> list[str]:
 
 
 class PrefixEncoder(Remembered):
-    """Maps a run of text to its ids as little-endian unsigned 32-bit bytes; remembers up to twice MOST_WORDS runs."""
+    """Maps a run of text to its ids as little-endian unsigned 32-bit bytes; remembers up to twice MOST_WORDS runs of at most MOST_CHARS characters."""
 
     def __init__(self, path: str):
         super().__init__(MOST_WORDS)
@@ -110,7 +110,8 @@ class PrefixEncoder(Remembered):
             else:
                 ids = self.word_ids(run.encode().decode("latin-1").translate(self.letters))
                 out = pack(f"<{len(ids)}I", *ids)
-        self.put(run, out)
+        if len(run) <= MOST_CHARS:
+            self.put(run, out)
         return out
 
     def encode(self, text: str) -> bytes:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import hub_key
+from ..functions.scalars import hub_key, substance
 
 
 def grouped_members(members: DataFrame, edges: DataFrame) -> DataFrame:
@@ -66,6 +68,13 @@ def fresh_candidates(candidates: DataFrame, known: DataFrame, n: int) -> DataFra
     return candidates.join(known.select(F.col("seed").alias("doc_id")), "doc_id", "left_anti").orderBy(F.desc("score"), "doc_id").limit(n)
 
 
+def substances(queries: DataFrame, fetch: Callable[[DataFrame], DataFrame], *, limit: int = 15) -> DataFrame:
+    """What is known of each query(query): fetch turns them into (query, payload) rows, from a table or a service; queries without a payload aren't found."""
+    got = queries.select("query").distinct()
+    found = got.join(fetch(got).select("query", "payload"), "query", "left")
+    return found.select(substance(F.col("query"), F.coalesce("payload", F.lit("{}")), limit).alias("s")).select("s.*")
+
+
 def hub_keys(candidates: DataFrame, existing: DataFrame, *, url: str = "source_url") -> DataFrame:
     """A key per candidate from its address, with a number where the key is taken or repeated."""
     keyed = candidates.withColumn("_k", hub_key(F.col(url)))

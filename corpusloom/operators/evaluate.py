@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -90,6 +90,20 @@ def score_floor(rows: DataFrame, least: float) -> DataFrame:
     return rows.where(F.when(F.col("score").isNull(), F.raise_error(F.lit("a row without a score"))).otherwise(F.col("score") >= least))
 
 
+#: Judges by name: functions of the columns question and prediction that give a score from 0 to 1; more can be put in.
+JUDGES: dict[str, Callable[[Column, Column], Column]] = {"exact": lambda question, prediction: (folded(question) == folded(prediction)).cast("double"), "overlap": lambda question, prediction: _overlap(question, prediction)}
+
+
+def _overlap(question: Column, prediction: Column) -> Column:
+    asked, said = (F.array_distinct(F.split(folded(x), " ")) for x in (question, prediction))
+    return F.round(F.size(F.array_intersect(asked, said)) / F.size(asked), 6)
+
+
+def scored_by(rows: DataFrame, judge: str | Callable[[Column, Column], Column], *, question: str = "question", prediction: str = "prediction") -> DataFrame:
+    """D3: rows with score, from a named judge or any function of the two columns (a pandas UDF, say)."""
+    return rows.withColumn("score", (JUDGES[judge] if isinstance(judge, str) else judge)(F.col(question), F.col(prediction)))
+
+
 def review_verdict(scores: DataFrame, threshold: float, *, by: str = "run_id") -> DataFrame:
     """Whether all usable scores (above zero) of a run reach the threshold; a run without any fails."""
     usable = F.when(F.col("score") > 0, F.col("score") >= threshold)

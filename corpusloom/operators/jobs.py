@@ -19,6 +19,11 @@ def build_tables(parsed: DataFrame, typed_links: DataFrame, meta: DataFrame, bad
     return {"documents": docs.drop("text"), "chunks": nested_chunks(fresh, sizes=sizes), "links": graph.link_edges(typed_links, docs)}
 
 
+def rebuilt_links(made: dict[str, DataFrame], typed_links: DataFrame) -> dict[str, DataFrame]:
+    """The tables of build_tables with their links made anew from typed links; documents and chunks are as they were."""
+    return made | {"links": graph.link_edges(typed_links, made["documents"])}
+
+
 def build_memberships(hubs: DataFrame, docs: DataFrame, edges: DataFrame, meta: DataFrame, keys: Sequence[str], *, most_hops: int = 2) -> tuple[DataFrame, DataFrame]:
     """(meta, docs) with topic_hubs of this build's hubs; every seed must be a document. meta and docs are joined by doc_id."""
     catalog.unresolved_seeds(hubs, docs, fail=True)

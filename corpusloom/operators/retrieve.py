@@ -223,6 +223,20 @@ def retrieve(queries: DataFrame, chunks: DataFrame, *, k: int = 10, oversample:
     return best(shaped, ["query_id"], [F.asc("rank")], k)
 
 
+#: Properties of a hit's document, and what stands for a missing one.
+PROVENANCE = {"source_url": "", "title": "", "category": "other", "doc_type": "", "audience": "", "site_topic": "", "source_type": "", "topic_path": "", "reference_number": "", "revision": ""}
+
+
+def shaped(hits: DataFrame, docs: DataFrame, *, origin: str = "vector") -> DataFrame:
+    """One flat row per hit(query_id, rank, score, returned_id, matched_id, doc_id, ...) with its document's properties, defaults for missing ones and for documents that aren't there, the origin of the hit and its place in the site tree."""
+    has = lambda df, c, kind: F.col(c) if c in df.columns else F.lit(None).cast(kind)
+    own = docs.select("doc_id", *(has(docs, c, "string").cast("string").alias(f"_{c}") for c in PROVENANCE), has(docs, "depth", "int").cast("int").alias("depth"), has(docs, "parent_id", "string").cast("string").alias("parent_id"))
+    rows = hits.join(own, "doc_id", "left")
+    filled = [F.coalesce(F.nullif(F.col(f"_{c}"), F.lit("")), F.lit(default)).alias(c) for c, default in PROVENANCE.items()]
+    came = F.coalesce(has(hits, "origin", "string"), F.lit(origin)).alias("origin")
+    return rows.select("query_id", "rank", "score", "returned_id", F.coalesce(has(hits, "matched_id", "long"), "returned_id").alias("matched_id"), "doc_id", came, *filled, "depth", "parent_id")
+
+
 def steered(queries: DataFrame, chunks: DataFrame, *, k: int = 10, oversample: int = 4) -> DataFrame:
     """Retrieval for queries(query_id, text, vec, source_category): an explicit category, else the routing rule, steers each query.
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions import scalars as S
-from ..operators import catalog, corpus, evaluate, extract, graph, retrieve, tables
+from ..operators import catalog, corpus, evaluate, extract, graph, jobs, retrieve, tables
 from ..sources import pages as P
 from .corpus import HREFS, PATH, WALK, WORDS, part_docs, part_edges, part_hubs
 from .retrieval import CHUNKS
@@ -332,3 +332,41 @@ def sampled_sentences(spark, d):
     docs = read(spark, d, "documents").select("doc_id", "source", "text")
     found = corpus.sentences(docs).join(docs.select("doc_id", "source"), "doc_id")
     return corpus.sampled_sentences(found, 5).select("source", "doc_id", "pos")
+
+
+@register(f"WITH {CHUNKS}, h AS (SELECT chunk_id, doc_id, category FROM chunks WHERE chunk_id % 3 <> 0) SELECT chunk_id AS query_id, chunk_id AS returned_id, chunk_id AS matched_id, doc_id, 'vector' AS origin, CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'u' || doc_id END AS source_url, CASE WHEN doc_id % 5 = 0 OR doc_id % 2 = 0 THEN 'other' ELSE 'epar' END AS category, CASE WHEN doc_id % 5 <> 0 THEN doc_id % 4 END AS depth FROM h")
+def shaped_rows(spark, d):
+    """Hits whose documents are partly missing, or lack a category."""
+    rows = read(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.floor(F.col("vec_id") / 8).cast("long").alias("doc_id"))
+    docs = rows.select("doc_id").distinct().where("doc_id % 5 <> 0").select("doc_id", _text("u", "doc_id").alias("source_url"), F.when(F.col("doc_id") % 2 == 1, "epar").alias("category"), (F.col("doc_id") % 4).alias("depth"))
+    hits = rows.where("chunk_id % 3 <> 0").select(F.col("chunk_id").alias("query_id"), F.lit(1).alias("rank"), F.lit(0.5).alias("score"), F.col("chunk_id").alias("returned_id"), "doc_id")
+    return retrieve.shaped(hits, docs).select("query_id", "returned_id", "matched_id", "doc_id", "origin", "source_url", "category", "depth")
+
+
+@register("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS score FROM documents WHERE trim(text, ' ') <> '' AND length(text) < 4000")
+def judged_exemplars(spark, d):
+    """D3: predictions that repeat the question in other case and spacing, or don't."""
+    docs = read(spark, d, "documents").where("trim(text) <> '' and length(text) < 4000")
+    said = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("\n  "), F.col("text"), F.lit(" "))).otherwise(F.concat(F.col("text"), F.lit(" more")))
+    return evaluate.scored_by(docs.select("doc_id", F.col("text").alias("question"), said.alias("prediction")), "exact").select("doc_id", "score")
+
+
+@register("SELECT p_brand AS query, CASE WHEN bool_or(p_partkey % 50 = 0) THEN min(p_type) END AS name, bool_or(p_partkey % 50 = 0) AS found FROM part GROUP BY p_brand")
+def fetched_substances(spark, d):
+    """A fetcher that reads payloads from a table."""
+    part = read(spark, d, "part")
+    payloads = part.groupBy(F.col("p_brand").alias("query")).agg(F.min("p_type").alias("t"), F.bool_or(F.col("p_partkey") % 50 == 0).alias("some")).where("some")
+    payload = F.to_json(F.struct(F.struct(F.struct(F.array(F.struct(F.col("t").alias("Title"))).alias("Properties")).alias("PropertyTable")).alias("properties")))
+    return catalog.substances(part.select(F.col("p_brand").alias("query")), lambda asked: asked.join(payloads, "query").select("query", payload.alias("payload"))).select("query", "name", "found")
+
+
+@register("SELECT p_partkey AS src, p_partkey + 1 AS tgt FROM part WHERE p_partkey + 1 IN (SELECT p_partkey FROM part)")
+def rebuilt_links(spark, d):
+    """The links of a graph made anew."""
+    ids = read(spark, d, "part").select(F.col("p_partkey").alias("n"))
+    address = lambda x: F.concat(F.lit("http://p/"), x.cast("string"))
+    docs = ids.select(S.doc_id(address(F.col("n"))).alias("doc_id"), F.col("n"))
+    typed = ids.select(address(F.col("n")).alias("src_url"), address(F.col("n") + 1).alias("tgt_url"), F.lit("").alias("anchor"))
+    made = jobs.rebuilt_links({"documents": docs, "chunks": docs, "links": docs}, typed)
+    named = lambda c: docs.select(F.col("doc_id").alias(c), F.col("n").alias(f"{c}_n"))
+    return made["links"].join(named("src"), "src").join(named("tgt"), "tgt").select(F.col("src_n").alias("src"), F.col("tgt_n").alias("tgt"))

@@ -478,3 +478,35 @@ def test_retrieval_takes_any_number_of_queries(spark):
     assert got.count() == 2 * 20_500
     own = got.where("query_id < 40 AND rank = 1").collect()
     assert len(own) == 40 and all(r["query_id"] == r["chunk_id"] and r["score"] == 1 for r in own)
+
+
+def test_sinks_and_projections(spark, tmp_path):
+    from corpusloom.sources import pages
+
+    rows = spark.createDataFrame([(1, "a\tb", None), (2, "x", "y")], "id int, sentence string, note string")
+    pages.write_inventory(rows, str(tmp_path / "i"))
+    assert sorted(map(tuple, spark.read.csv(str(tmp_path / "i"), header=True).collect())) == [("1", "a\tb", None), ("2", "x", "y")]
+    pages.write_sentences(rows, str(tmp_path / "s"))
+    assert sorted(map(tuple, spark.read.csv(str(tmp_path / "s"), header=True, sep="\t").collect())) == [("1", "a\tb", None), ("2", "x", "y")]
+    edges = spark.createDataFrame([(1, 2), (2, 9), (2, 1)], "src int, tgt int")
+    docs, kept = pages.projected(spark.createDataFrame([(1, "t", 0), (2, "u", 0)], "doc_id int, title string, rest int"), edges, ["title"])
+    assert docs.columns == ["doc_id", "title"] and sorted(map(tuple, kept.select("src", "tgt").collect())) == [(1, 2), (2, 1)]
+
+
+def test_sampled_edges_are_the_same_each_time(spark):
+    from corpusloom.operators import graph
+
+    edges = spark.range(200).selectExpr("id as src", "id * 7 % 200 as tgt")
+    one_time, again = (graph.sampled_edges(edges.repartition(n), 20).collect() for n in (2, 5))
+    assert one_time == again and len(set(one_time)) == 20
+    assert graph.sampled_edges(edges, 20, seed=1).collect() != one_time
+
+
+def test_processors_in_order(spark):
+    out = retrieve.apply_processors(spark.range(10), [lambda df: df.where("id > 3"), lambda df: df.limit(0).unionByName(df.selectExpr("id + 1 as id"))])
+    assert sorted(r["id"] for r in out.collect()) == [5, 6, 7, 8, 9, 10]
+
+
+def test_passage_lines(spark):
+    got = spark.range(1).select(S.numbered_line(F.lit(2), F.lit("u"), F.lit("qa"), F.lit(0.5), F.lit("text"))).first()[0]
+    assert got == "[2] source=u category=qa score=0.500\ntext"

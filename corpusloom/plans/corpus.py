@@ -377,7 +377,7 @@ def topic_catalog(spark, d):
     return catalog.topic_catalog(rows, edges, scores).select("hub", "group_id", "score", "members", "title", "place", "total")
 
 
-@register(None)
+@register("SELECT doc_id, length(text) AS chars FROM documents")
 def incremental_docs(spark, d):
     """Documents through a file stream that runs to its end, as a batch table."""
     import uuid

@@ -49,5 +49,43 @@ def test_query_runs(spark, name):
     assert entry.queries()[name](spark, FOLDER).count() > 0
 
 
+def test_claim_spans_against_all_windows(spark, duck):
+    """Exact places by search in the folded answer, else the best of all windows; overlaps go by comparing all pairs."""
+    from difflib import SequenceMatcher
+
+    from corpusloom.operators.evaluate import fold_with_places
+
+    runs = {}
+    for run, turn, text in duck.sql("SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant' ORDER BY conv_id, turn").fetchall():
+        runs.setdefault(run, []).append((turn, text))
+    want = []
+    for run, turns in runs.items():
+        answer, places = fold_with_places(turns[0][1])
+        spans = {}
+        for turn, text in turns:
+            claim = fold_with_places(text.split(".")[0])[0]
+            if len(claim) < 8:
+                continue
+            at, size = answer.find(claim), len(claim)
+            if at < 0 and len(answer) <= size:
+                at, size = (0, len(answer)) if answer and SequenceMatcher(None, claim, answer).ratio() >= 0.85 else (-1, 0)
+            elif at < 0:
+                matcher, best = SequenceMatcher(None, claim, ""), 0.0
+                for a in range(0, len(answer) - size + 1, max(1, size // 5)):
+                    matcher.set_seq2(answer[a : a + size])
+                    if matcher.ratio() > best:
+                        best, at = matcher.ratio(), a
+                at = at if best >= 0.85 else -1
+            if at >= 0:
+                spans.setdefault((places[at], places[at + size - 1] + 1), []).append(turn)
+        kept = []
+        for a, b in sorted(spans, key=lambda s: (s[0] - s[1], s[0])):
+            if all(b <= c or a >= d for c, d in kept):
+                kept.append((a, b))
+        want += [(run, a, b, ",".join(map(str, sorted(spans[a, b])))) for a, b in kept]
+    got = entry.queries()["claim_spans"](spark, FOLDER).select("run_id", "start", "stop", "places").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import boxed, cut, plain_docs, unboxed
+from .common import boxed, cut, flat, plain_docs, slices, unboxed
 from .graphs import components
 
 #: The ASCII white space of a word boundary, and the generator polynomial of the binary Golay code.
@@ -30,6 +30,8 @@ SHINGLE_WORDS, MAX_BITS, LINK_BLOCK, SMALL_KEY = 3, 3, 2048, 8
 SIMILAR_WORDS, COUNT, SIMILAR_BITS = 5, 3, 44
 #: Texts of one block of candidates, of which each pair is verified.
 VERIFY_BLOCK = 256
+#: Bytes of text whose words are hashed at once.
+TEXT_BYTES = 1 << 20
 
 _LOWER = {c: c + 32 for c in range(65, 91)}
 _BREAK = {ord(c): " " for c in SPACE}
@@ -48,6 +50,74 @@ def shingle_hashes(text: str, words: int) -> np.ndarray:
     return np.fromiter((digest(s, 42) for s in map(str.encode, shingles)), np.uint64)
 
 
+@lru_cache(1)
+def _byte_tables() -> tuple[np.ndarray, np.ndarray]:
+    """For each byte, the one it counts as (letters in lower case), and whether it ends a word."""
+    low, white = np.arange(256, dtype=np.uint8), np.zeros(256, bool)
+    low[65:91] += 32
+    white[[ord(c) for c in SPACE]] = True
+    return low, white
+
+
+@lru_cache(1)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse modulo 2**64."""
+    base = 0x9E3779B97F4A7C15
+    return tuple(np.cumprod(np.r_[np.uint64(1), np.full(2 * TEXT_BYTES, x, np.uint64)], dtype=np.uint64) for x in (base, pow(base, -1, 1 << 64)))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
+
+
+def _word_hashes(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places where words start, their hashes) in at most 2 x TEXT_BYTES bytes; a word also ends where breaks says that a text does."""
+    low, white = _byte_tables()
+    blank = white[data]
+    starts = np.flatnonzero(~blank & (breaks[:-1] | np.r_[True, blank[:-1]]))
+    ends = np.flatnonzero(~blank & (breaks[1:] | np.r_[blank[1:], True])) + 1
+    up, down = _powers()
+    total = np.r_[np.uint64(0), np.cumsum((low[data].astype(np.uint64) + np.uint64(1)) * up[: len(data)], dtype=np.uint64)]
+    return starts, _mixed((total[ends] - total[starts]) * down[starts])
+
+
+def shingle_sets(column: pa.Array, words: int) -> list[np.ndarray]:
+    """For each text of a column, the distinct hashes of its shingles: 64-bit hashes of words put together in order; a text of fewer words is one shingle."""
+    data, offsets = flat(column)
+    out: list[np.ndarray] = []
+    for lo, hi in slices(offsets, TEXT_BYTES):
+        own, at = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+        breaks = np.zeros(len(own) + 1, bool)
+        breaks[at] = True
+        starts, hashes, begin = [], [], 0
+        while begin < len(own):
+            # a long text is cut at white space, or in the middle of a word as long as a piece
+            end = min(begin + TEXT_BYTES, len(own))
+            gap = np.flatnonzero(_byte_tables()[1][own[end : end + TEXT_BYTES]])
+            end = len(own) if end == len(own) else end + (int(gap[0]) if len(gap) else min(TEXT_BYTES, len(own) - end))
+            x, h = _word_hashes(own[begin:end], breaks[begin : end + 1])
+            starts.append(x + begin)
+            hashes.append(h)
+            begin = end
+        start, word = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((starts, np.int64), (hashes, np.uint64)))
+        text = np.searchsorted(at, start, side="right") - 1
+        count = np.bincount(text, minlength=hi - lo)
+        first = np.cumsum(count) - count
+        joined = word[: max(0, len(word) - words + 1)]
+        for k in range(1, words):
+            joined = _mixed(joined * np.uint64(0x94D049BB133111EB) + word[k : k + len(joined)])
+        for n, a in zip(count.tolist(), first.tolist(), strict=True):
+            if n >= words:
+                out.append(np.unique(joined[a : a + n - words + 1]))
+            else:
+                h = word[a : a + min(n, 1)]
+                for k in range(1, n):
+                    h = _mixed(h * np.uint64(0x94D049BB133111EB) + word[a + k : a + k + 1])
+                out.append(h)
+    return out
+
+
 def fingerprint(text: str, words: int = SHINGLE_WORDS, count: int = 1) -> list[int]:
     """Majorities of the bits of the shingles' XXH64, as an unsigned number; further ones, of the same hashes mixed anew."""
     return _majorities(shingle_hashes(text, words), count)
@@ -343,14 +413,14 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def _with_sets(docs: DataFrame, id_col: str, text_col: str, words: int, count: int) -> DataFrame:
-    """fingerprints of docs, with set: a hash of the text's set of shingles."""
+    """(doc_id, hash, set, node, f0, ...): fingerprints of the distinct shingles of docs, with set: a hash of all of them."""
     names = [f"f{k}" for k in range(count)]
 
     def run(batches):
         for batch in batches:
-            found = [shingle_hashes(t, words) for t in batch.column(1).to_pylist()]
+            found = shingle_sets(batch.column(1), words)
             prints = np.array([_majorities(h, count) for h in found], np.uint64).reshape(-1, count)
-            sets = np.array([xxhash.xxh64_intdigest(np.unique(h).tobytes()) for h in found], np.uint64)
+            sets = np.array([xxhash.xxh64_intdigest(h.tobytes()) for h in found], np.uint64)
             columns = [pa.array(np.ascontiguousarray(c).view(np.int64)) for c in (sets, _node(prints), *prints.T)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], ["doc_id", "hash", "set", "node", *names])
 
@@ -408,7 +478,7 @@ def similar_links(docs: DataFrame, found: DataFrame, *, words: int = SIMILAR_WOR
 
     def shingled(batches):
         for batch in batches:
-            sets = [np.unique(shingle_hashes(t, words)).tobytes() for t in batch.column(0).to_pylist()]
+            sets = [h.tobytes() for h in shingle_sets(batch.column(0), words)]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(sets, pa.binary())], [*batch.schema.names[1:], "shingles"])
 
     longs = ", ".join(f"{n} long" for n in names)

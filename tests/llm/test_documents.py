@@ -254,6 +254,31 @@ def test_only_texts_of_the_contracts_similarity_fall_together(spark):
     assert sum(alike) <= 0.02 * len(alike)
 
 
+def test_shingle_sets_are_equal_where_the_words_are(monkeypatch):
+    import pyarrow as pa
+
+    def plain(text, n):
+        parts = re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+        return {tuple(parts[i : i + n]) for i in range(max(1, len(parts) - n + 1))} if parts else set()
+
+    r = np.random.default_rng(5)
+    parts = ["a", "B", "b", "é", "É", " ", "  ", "\n", "\t", "c\x0b", "\x85", "\xa0", "word", "日本 "]
+    texts = [t or "" for _, t, *_ in documents()] + ["".join(parts[i] for i in r.integers(0, len(parts), r.integers(0, 60))) for _ in range(300)]
+    small = simhash_golay.shingle_sets(pa.array(texts), 5)
+    monkeypatch.setattr(simhash_golay, "TEXT_BYTES", 700)
+    simhash_golay._powers.cache_clear()
+    number = {}
+    for text, own, cut in zip(texts, small, simhash_golay.shingle_sets(pa.array(texts), 5), strict=True):
+        want = plain(text, 5)
+        assert len(own) == len(want)
+        if max(map(len, text.split(" "))) < 700:
+            assert (own == cut).all()
+        number.setdefault(frozenset(own.tolist()), set()).add(frozenset(want))
+    simhash_golay._powers.cache_clear()
+    assert all(len(v) == 1 for v in number.values())
+    assert len(number) == len({frozenset(plain(t, 5)) for t in texts})
+
+
 def test_blocks_of_candidates_are_all_verified(spark, monkeypatch):
     monkeypatch.setattr(simhash_golay, "VERIFY_BLOCK", 4)
     base = words(77, 400).split(" ")

@@ -29,7 +29,7 @@ SHINGLE_WORDS, MAX_BITS, LINK_BLOCK, SMALL_KEY = 3, 3, 2048, 8
 #: For classes by similarity: words of a shingle, fingerprints, and bits of 64 x COUNT that nearly all texts of which 0.8 of all shingles are shared stay within.
 SIMILAR_WORDS, COUNT, SIMILAR_BITS = 5, 3, 44
 #: Texts of one block of candidates, of which each pair is verified.
-VERIFY_BLOCK = 256
+VERIFY_BLOCK = 512
 #: Bytes of text whose words are hashed at once.
 TEXT_BYTES = 1 << 20
 

@@ -38,7 +38,8 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents, each with its place in a sequence."""
-    return packing.packed(docs, vocabulary("word_bpe_49k.json"))
+    # the workers' memory is also that of the other stages
+    return packing.packed(docs, vocabulary("word_bpe_49k.json"), most_words=100_000)
 
 
 def _counted(out: DataFrame, docs: DataFrame) -> DataFrame:

@@ -38,8 +38,8 @@ def plain(texts: pa.Array) -> pa.Array:
 class WordIds(Remembered):
     """Ids of texts by the words between white space, from a tokenizer that reads them in lower case, drops white space and never joins letters with other marks; another one is refused."""
 
-    def __init__(self, path: str):
-        super().__init__(MOST_WORDS)
+    def __init__(self, path: str, most_words: int = MOST_WORDS):
+        super().__init__(most_words)
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -110,15 +110,19 @@ class WordIds(Remembered):
 
 
 @lru_cache(2)
-def word_ids(path: str) -> WordIds:
-    return WordIds(path)
+def word_ids(path: str, most_words: int) -> WordIds:
+    return WordIds(path, most_words)
 
 
-def pieces(docs: DataFrame, path: str, *, length: int = LENGTH, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32) of every document: its ids and end_id, cut only if they are more than length. An empty or null text is the end_id alone."""
+def pieces(docs: DataFrame, path: str, *, length: int = LENGTH, end_id: int = END_ID, most_words: int = MOST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32) of every document: its ids and end_id, cut only if they are more than length. An empty or null text is the end_id alone.
+
+    A worker remembers up to twice most_words words, some 200 bytes each, also
+    while it runs other operators' tasks.
+    """
 
     def run(batches):
-        words, end = word_ids(path), end_id.to_bytes(4, "little")
+        words, end = word_ids(path, most_words), end_id.to_bytes(4, "little")
         for batch in batches:
             docs, texts, rows = batch.column(0).to_pylist(), batch.column(1), []
             for lo, hi in slices(flat(texts)[1], TEXT_BYTES):
@@ -260,6 +264,6 @@ def pack(found: DataFrame, *, length: int = LENGTH, group_rows: int = GROUP_ROWS
     return found.select("*", part).groupBy("part").applyInPandas(run, schema)
 
 
-def packed(docs: DataFrame, path: str, *, length: int = LENGTH, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def packed(docs: DataFrame, path: str, *, length: int = LENGTH, end_id: int = END_ID, most_words: int = MOST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of all documents with their places in sequences of at most length ids. An empty table gives no rows; rows without a doc_id and repeated rows are packed like any other."""
-    return pack(cut(pieces(docs, path, length=length, end_id=end_id, id_col=id_col, text_col=text_col)), length=length)
+    return pack(cut(pieces(docs, path, length=length, end_id=end_id, most_words=most_words, id_col=id_col, text_col=text_col)), length=length)

@@ -167,10 +167,12 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
             if held:
                 yield _counted([np.concatenate(x) for x in zip(*held, strict=True)], length)
 
-    # suffixes of groups that can be gathered, and of the others
+    # suffixes of groups that can be gathered, and of the others, if there are any
     rare, common = (placed.withColumn("hits", F.filter("hits", test)).where(F.size("hits") > 0) for test in (lambda h: ~h["many"], lambda h: h["many"]))
     few = rare.mapInArrow(contexts, "key long, h1 long, h2 long, code long, place int, left binary, right binary").repartition("code").sortWithinPartitions("code", *_KEY, "place")
     spans = few.mapInArrow(_intervals(length), "key long, h1 long, h2 long, start int, stop int, repeat long")
+    if (shared.agg(F.max("n")).first()[0] or 0) <= group_rows:
+        return texts, spans
     # what a batch has counted depends on its rows, so it is stored before it is read again
     counted = cut(common.mapInArrow(strings, "key long, h1 long, h2 long, w1 long, w2 long, start int, stop int"))
     certain = counted.where("stop is not null").select(*_KEY, "start", "stop", F.col("w1").alias("repeat"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -88,6 +89,13 @@ def slices(offsets: np.ndarray, most_bytes: int) -> list[tuple[int, int]]:
     return out
 
 
+def parts(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Batches of at most so many rows, for code that makes Python objects of whole batches."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
 class Remembered(dict):
     """What a task has computed per key, in two generations of at most most entries each.
 

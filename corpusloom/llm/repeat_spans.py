@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, flat, joined_by_weight, plain_docs, slices
+from .common import cut, flat, joined_by_weight, parts, plain_docs, slices
 
 LENGTH, GRAM, GROUP_ROWS, CHUNK_ROWS, BLOCK_BYTES, STRINGS_AT_ONCE = 400, 128, 65_536, 16_384, 1 << 20, 1_000_000
 _BASES = (0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1)
@@ -66,14 +66,14 @@ def minimizers(data: np.ndarray, offsets: np.ndarray, rolling: _Rolling, length:
     """(text, place, first, last, hash) for each minimizer of texts laid end to end: it is the minimizer of the strings that start from first to last."""
     if len(data) < length:
         return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64))
-    parts, step = [], (1 << _PLACE_BITS) - length
+    found, step = [], (1 << _PLACE_BITS) - length
     for lo in range(0, len(data) - length + 1, step):
         block = data[lo : lo + step + length - 1]
         hashes = rolling(block, gram)
         ranked = (hashes & ~np.uint64((1 << _PLACE_BITS) - 1)) | np.arange(len(hashes), dtype=np.uint64)
         place = (_sliding_least(ranked, length - gram + 1) & np.uint64((1 << _PLACE_BITS) - 1)).astype(np.int64)
-        parts.append((place + lo, hashes[place]))
-    place, code = (np.concatenate(x) for x in zip(*parts, strict=True))
+        found.append((place + lo, hashes[place]))
+    place, code = (np.concatenate(x) for x in zip(*found, strict=True))
     text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(place)]
     start = np.flatnonzero(np.arange(len(place)) + length <= offsets[1:][text])
     place, text, code = place[start], text[start], code[start]
@@ -96,7 +96,7 @@ def _packed(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1).compress
-        for batch in batches:
+        for batch in parts(batches):
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([press(t.encode()) for t in batch.column(4).to_pylist()], pa.binary())], ["doc_id", *_KEY, "blob"])
 
     return rows.mapInArrow(run, "doc_id long, key long, h1 long, h2 long, blob binary")
@@ -105,7 +105,7 @@ def _packed(rows: DataFrame) -> DataFrame:
 def _found(rows: DataFrame, length: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling = _Rolling(_BASES[0])
-        for batch in batches:
+        for batch in parts(batches):
             data, offsets = flat(batch.column(3))
             for lo, hi in slices(offsets, BLOCK_BYTES):
                 text, place, first, last, code = minimizers(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], rolling, length, gram)
@@ -137,7 +137,7 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         kinds = (*[pa.int64()] * 4, pa.int32(), pa.binary(), pa.binary())
         plain = zstandard.ZstdDecompressor().decompress
         told = lambda out: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
-        for batch in batches:
+        for batch in parts(batches):
             out, size = [], 0
             for key, h1, h2, blob, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 safe = plain(blob).replace(b"\0", b"\xff")  # no byte of UTF-8, and zero is for padding
@@ -327,7 +327,7 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     rows = _packed(_keyed(docs, id_col, text_col)).join(info, _KEY, "left").select("doc_id", "blob", "copies", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             out = []
             for doc, blob, copies, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 raw = zstandard.decompress(blob)

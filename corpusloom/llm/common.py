@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,13 +23,26 @@ def cut(df: DataFrame) -> DataFrame:
     session (unit tests, notebooks) gets a temporary folder of its own, any other
     a folder in its warehouse, which all executors share.
     """
-    spark = df.sparkSession
+    _shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder of the session's checkpoints, set where it is unset."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir")
         alone = sc.master.startswith("local") and not sc.master.startswith("local-cluster")
         sc.setCheckpointDir(named or (tempfile.mkdtemp(prefix="corpusloom-checkpoint-") if alone else f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"))
-    return df.checkpoint(eager=True)
+    return sc.getCheckpointDir()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a table of Parquet files beside the checkpoints, in columns and compressed: for tables that are large beside their input."""
+    spark = df.sparkSession
+    folder = f"{_shared_folder(spark)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
 
 
 def plain_docs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_prefix, line_spread, packing, page_wrapper, phrase_fingerprints, quality_knn, repeat_spans, secret_links, simhash_golay, webp_media
+from . import bpe_prefix, line_spread, packing, page_wrapper, phrase_fingerprints, quality_knn, repeat_spans, secret_links, simhash_golay, source_divergence, webp_media
 from .common import table
 
 
@@ -60,6 +60,11 @@ def op10_bpe_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_prefix.digests(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergences between the sources of each language, and each source's foremost terms, over all documents."""
+    return source_divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -77,9 +82,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_links": op8_secret_links,
     "op9_page_wrapper": op9_page_wrapper,
     "op10_bpe_prefix": op10_bpe_prefix,
+    "op11_source_divergence": op11_source_divergence,
     "pipeline": pipeline,
 }
 
 ORACLES: dict[str, str] = {
     "op2_line_spread": line_spread.oracle(),
+    "op11_source_divergence": source_divergence.oracle(),
 }

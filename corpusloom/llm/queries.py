@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_prefix, line_spread, packing, page_wrapper, phrase_fingerprints, quality_knn, repeat_spans, secret_links, simhash_golay, source_divergence, webp_media
+from . import bpe_prefix, hard_negatives, line_spread, packing, page_wrapper, phrase_fingerprints, quality_knn, repeat_spans, secret_links, simhash_golay, source_divergence, webp_media
 from .common import table
 
 
@@ -65,6 +65,11 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence.audit(table(spark, sf_dir, "documents"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of each anchor and positive among all embeddings."""
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -83,10 +88,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_page_wrapper": op9_page_wrapper,
     "op10_bpe_prefix": op10_bpe_prefix,
     "op11_source_divergence": op11_source_divergence,
+    "op12_hard_negatives": op12_hard_negatives,
     "pipeline": pipeline,
 }
 
 ORACLES: dict[str, str] = {
     "op2_line_spread": line_spread.oracle(),
     "op11_source_divergence": source_divergence.oracle(),
+    "op12_hard_negatives": hard_negatives.oracle(),
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_prefix, hard_negatives, line_spread, packing, page_wrapper, phrase_fingerprints, quality_knn, repeat_spans, secret_links, simhash_golay, source_divergence, webp_media
+from . import bpe_prefix, hard_negatives, line_spread, odd_sketches, packing, page_wrapper, phrase_fingerprints, quality_knn, repeat_spans, secret_links, simhash_golay, source_divergence, webp_media
 from .common import table
 
 
@@ -70,6 +70,11 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(table(spark, sf_dir, "embeddings"))
 
 
+def op13_odd_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of all documents by shingles of four words."""
+    return odd_sketches.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -89,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bpe_prefix": op10_bpe_prefix,
     "op11_source_divergence": op11_source_divergence,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_odd_sketches": op13_odd_sketches,
     "pipeline": pipeline,
 }
 

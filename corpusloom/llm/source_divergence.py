@@ -1,11 +1,11 @@
 """How the sources of a language differ in their words: exact divergences of smoothed term frequencies.
 
 Texts are factored into chunks between ASCII white space, which no term crosses.
-Each batch of documents gives its distinct chunks with the documents that hold
+Each batch of documents counts its distinct chunks and the documents that hold
 them, every distinct chunk of the corpus is tokenized once, and its terms are
 joined back to the batches' chunks: there they give occurrences by source and,
-as unions of sets of documents, the documents of a term. Chunks whose terms
-can't reach the least number of documents are left behind before that join.
+where the counts of chunks leave it open, the distinct documents of a term.
+Chunks whose terms can't reach the least number of documents stay behind.
 """
 
 from __future__ import annotations
@@ -28,84 +28,115 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SMOOTH, SCALE, LEAST_DOCS, TOP_TERMS = 5, 1_000_000_000, 30, 50
 #: Text bytes and rows that are factored at once.
 SLICE_BYTES, SLICE_ROWS = 16 << 20, 1 << 15
+#: Up to so many hashes of chunks, or a quarter as many terms, are broadcast (about 64 MB); more meet in a shuffle.
+BROADCAST_ROWS = 2_000_000
 #: Terms and sources of a block whose differences are summed at once.
 TERM_BLOCK, SOURCE_BLOCK = 4096, 64
 
-_CHUNKS = "batch long, lang string, chunk string, docs array<short>, uses array<struct<source: string, n: long>>"
-
-
-def _factored(texts: pa.Array, lang: pa.Array, source: pa.Array, batch: int) -> pa.RecordBatch:
-    """The distinct chunks of each language in some documents: numbers of the documents that hold one, and its uses by source."""
-    chunks = pc.ascii_split_whitespace(texts)
-    # lengths of null-free lists, and their values without what slicing left over
-    length = pc.list_value_length(chunks).to_numpy(zero_copy_only=False).astype(np.int64)
-    coded = pc.dictionary_encode(chunks.flatten())
-    names, code = coded.dictionary, np.asarray(coded.indices, np.int64)
-    languages, sources = (pc.dictionary_encode(c) for c in (lang, source))
-    n_docs = len(texts)
-    doc = np.repeat(np.arange(n_docs), length)
-    own_lang, own_source = (np.asarray(c.indices, np.int64) for c in (languages, sources))
-    key, count = np.unique((own_lang[doc] * len(names) + code) * n_docs + doc, return_counts=True)
-    row, held = np.divmod(key, max(n_docs, 1))
-    start = np.flatnonzero(np.r_[True, row[1:] != row[:-1]][: len(row)])
-    # uses by source, in the order of rows
-    number = np.cumsum(np.r_[True, row[1:] != row[:-1]][: len(row)]) - 1
-    use, at = np.unique(number * max(1, len(sources.dictionary)) + own_source[held], return_inverse=True)
-    n = np.bincount(at, weights=count, minlength=len(use)).astype(np.int64)
-    used_by, used = np.divmod(use, max(1, len(sources.dictionary)))
-    first = np.searchsorted(used_by, np.arange(len(start) + 1))
-    uses = pa.StructArray.from_arrays([sources.dictionary.take(pa.array(used)), pa.array(n)], ["source", "n"])
-    columns = [
-        pa.array(np.full(len(start), batch, np.int64)),
-        languages.dictionary.take(pa.array(row[start] // max(1, len(names)))),
-        names.take(pa.array(row[start] % max(1, len(names)))),
-        pa.ListArray.from_arrays(pa.array(np.r_[start, len(row)], pa.int32()), pa.array(held.astype(np.int16))),
-        pa.ListArray.from_arrays(pa.array(first, pa.int32()), uses),
-    ]
-    return pa.RecordBatch.from_arrays(columns, ["batch", "lang", "chunk", "docs", "uses"])
-
-
-def chunks(docs: DataFrame) -> DataFrame:
-    """(batch, lang, chunk, docs, uses) of docs(text, lang, source), nulls as ''; docs are numbers of rows within the batch."""
+_COUNTED = "lang string, chunk string, n_docs int"
+_TOLD = "batch long, lang string, chunk string, docs array<short>, sources array<string>, uses array<int>"
+
+
+class _Factored:
+    """The distinct chunks of each language in some documents, as arrays: row holds a number of language and chunk for each document and chunk of it."""
+
+    def __init__(self, texts: pa.Array, lang: pa.Array):
+        chunks = pc.ascii_split_whitespace(texts)
+        length = pc.list_value_length(chunks).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = pc.dictionary_encode(chunks.flatten())
+        self.names, code = coded.dictionary, np.asarray(coded.indices, np.int64)
+        self.languages = pc.dictionary_encode(lang)
+        doc = np.repeat(np.arange(len(texts)), length)
+        key = (np.asarray(self.languages.indices, np.int64)[doc] * len(self.names) + code) * len(texts) + doc
+        key, self.count = np.unique(key, return_counts=True)
+        self.row, self.held = np.divmod(key, max(len(texts), 1))
+        self.new = np.r_[True, self.row[1:] != self.row[:-1]][: len(key)]
+        self.start = np.flatnonzero(self.new)
+        self.n_docs = np.diff(np.r_[self.start, len(key)])
+
+    def keys(self) -> list[pa.Array]:
+        lang, chunk = np.divmod(self.row[self.start], max(1, len(self.names)))
+        return [self.languages.dictionary.take(pa.array(lang)), self.names.take(pa.array(chunk))]
+
+    def counted(self) -> pa.RecordBatch:
+        """How many of the documents hold each chunk."""
+        return pa.RecordBatch.from_arrays([*self.keys(), pa.array(self.n_docs.astype(np.int32))], ["lang", "chunk", "n_docs"])
+
+    def told(self, source: pa.Array, batch: int, least_docs: int) -> pa.RecordBatch:
+        """Which documents hold a chunk, if they are fewer than least_docs, and its uses by source."""
+        sources = pc.dictionary_encode(source)
+        n_sources = max(1, len(sources.dictionary))
+        use, at = np.unique((np.cumsum(self.new) - 1) * n_sources + np.asarray(sources.indices, np.int64)[self.held], return_inverse=True)
+        used_by, used = np.divmod(use, n_sources)
+        first = pa.array(np.searchsorted(used_by, np.arange(len(self.start) + 1)), pa.int32())
+        few = self.n_docs < least_docs
+        docs = pa.array(np.cumsum(np.r_[0, np.where(few, self.n_docs, 0)]), pa.int32())
+        columns = [
+            pa.array(np.full(len(self.start), batch, np.int64)),
+            *self.keys(),
+            pa.ListArray.from_arrays(docs, pa.array(self.held[np.repeat(few, self.n_docs)].astype(np.int16))),
+            pa.ListArray.from_arrays(first, sources.dictionary.take(pa.array(used))),
+            pa.ListArray.from_arrays(first, pa.array(np.bincount(at, weights=self.count, minlength=len(use)).astype(np.int32))),
+        ]
+        return pa.RecordBatch.from_arrays(columns, ["batch", "lang", "chunk", "docs", "sources", "uses"])
+
+
+def chunks(docs: DataFrame, least_docs: int | None = None) -> DataFrame:
+    """The chunks of docs(text, lang, source) batch by batch: (lang, chunk, n_docs), or (batch, lang, chunk, docs, sources, uses) if least_docs is given.
+
+    docs are numbers of rows within the batch, told where they are fewer than least_docs.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
+        number = TaskContext.get().partitionId() << 20
         for whole in batches:
             for top in range(0, whole.num_rows, SLICE_ROWS):
                 part = whole.slice(top, SLICE_ROWS)
                 for lo, hi in slices(flat(part.column(0))[1], SLICE_BYTES):
-                    out = _factored(*(c.slice(lo, hi - lo) for c in part.columns), number)
+                    texts, lang, source = (c.slice(lo, hi - lo) for c in part.columns)
+                    found = _Factored(texts, lang)
+                    out = found.counted() if least_docs is None else found.told(source, number, least_docs)
                     number += 1
                     for at in range(0, out.num_rows, 20_000):
                         yield out.slice(at, 20_000)
 
-    return docs.select("text", "lang", "source").mapInArrow(run, _CHUNKS)
+    return docs.select("text", "lang", "source").mapInArrow(run, _COUNTED if least_docs is None else _TOLD)
 
 
 def term_counts(docs: DataFrame, *, least_docs: int = LEAST_DOCS) -> DataFrame:
     """(lang, source, term, n) of terms in at least least_docs documents of their language: occurrences in each source that has any; stored.
 
-    docs(text, lang, source) has no nulls. A term's documents are bounded by the
-    sum over its chunks, so most chunks go before sets of documents are joined.
+    docs(text, lang, source) has no nulls. A term has at least as many documents
+    as one of its chunks, and at most as many as all of them together; only where
+    least_docs lies between, documents are told apart. Texts are read twice:
+    uses by source are gathered for chunks of terms that may be kept.
     """
-    factored = written(chunks(docs))
-    known = factored.groupBy("chunk", "lang").agg(F.sum(F.size("docs").cast("long")).alias("docs"))
+    known = chunks(docs).repartition("chunk").groupBy("chunk", "lang").agg(F.sum("n_docs").alias("docs"))
     spread = known.groupBy("chunk").agg(F.collect_list(F.struct("lang", "docs")).alias("langs"))
-    term = F.explode(F.regexp_extract_all(F.translate("chunk", UPPER, LOWER), F.lit(f"({TERM})")))
-    tokens = spread.select("chunk", "langs", term.alias("term")).groupBy("chunk", "term").agg(F.count(F.lit(1)).alias("times"), F.first("langs").alias("langs"))
-    terms = written(tokens.select("chunk", "term", "times", F.explode("langs").alias("x")).select("chunk", "term", "times", "x.lang", "x.docs"))
-    likely = terms.groupBy("lang", "term").agg(F.sum("docs").alias("most")).where(F.col("most") >= least_docs).select("lang", "term")
-    wanted = terms.join(likely, ["lang", "term"]).select("lang", "chunk", "term", "times")
-
-    # the least number of documents is told beside the uses, under no source
-    back = factored.join(wanted, ["lang", "chunk"])
-    uses = F.transform("uses", lambda u: F.struct(u["source"].alias("source"), (u["n"] * F.col("times")).alias("n")))
-    met = back.select("lang", "batch", "term", "docs", uses.alias("uses")).groupBy("lang", "term", "batch")
-    sets = met.agg(F.size(F.array_distinct(F.flatten(F.collect_list("docs")))).cast("long").alias("docs"), F.flatten(F.collect_list("uses")).alias("uses"))
-    told = F.concat(F.array(F.struct(F.lit(None).cast("string").alias("source"), F.col("docs").alias("n"))), "uses")
-    summed = written(sets.select("lang", "term", F.explode(told).alias("u")).groupBy("lang", F.col("u.source").alias("source"), "term").agg(F.sum("u.n").alias("n")))
-    kept = summed.where(F.col("source").isNull() & (F.col("n") >= least_docs)).select("lang", "term")
-    return cut(summed.where("source is not null").join(kept, ["lang", "term"]).select("lang", "source", "term", "n"))
+    # a term that a chunk has twice comes twice, and so do its uses below
+    tokens = spread.select("chunk", "langs", F.explode(F.regexp_extract_all(F.translate("chunk", UPPER, LOWER), F.lit(f"({TERM})"))).alias("term"))
+    terms = written(tokens.select("chunk", "term", F.inline("langs")))
+    likely = terms.groupBy("lang", "term").agg(F.sum("docs").alias("most"), (F.max("docs") >= least_docs).alias("sure")).where(F.col("most") >= least_docs).drop("most")
+    wanted = written(terms.drop("docs").join(_small(written(likely)), ["lang", "term"]))
+
+    met = chunks(docs, least_docs)
+    key = F.xxhash64("lang", "chunk")
+    if wanted.count() <= BROADCAST_ROWS:
+        # most chunks meet no term: they needn't travel
+        met = met.join(F.broadcast(wanted.select(key.alias("_key")).distinct()), key == F.col("_key"), "left_semi")
+    met = met.join(wanted, ["lang", "chunk"])
+    uses = F.transform(F.arrays_zip("sources", "uses"), lambda u: F.struct(u["sources"].alias("source"), F.lit(None).cast("long").alias("doc"), u["uses"].cast("long").alias("n")))
+    places = F.transform("docs", lambda d: F.struct(F.lit(None).cast("string").alias("source"), (F.col("batch") * SLICE_ROWS + d).alias("doc"), F.lit(0).cast("long").alias("n")))
+    told = met.select("lang", "term", "sure", F.inline(F.when(F.col("sure"), uses).otherwise(F.concat(uses, places))))
+    summed = written(told.groupBy("lang", "term", "sure", "source", "doc").agg(F.sum("n").alias("n")))
+    unsure = summed.where("not sure and doc is not null").groupBy("lang", "term").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= least_docs).select("lang", "term")
+    used = summed.where("doc is null").select("lang", "source", "term", "n", "sure")
+    return cut(used.where("sure").drop("sure").unionByName(used.where("not sure").drop("sure").join(unsure, ["lang", "term"])))
+
+
+def _small(rows: DataFrame) -> DataFrame:
+    """Stored rows, marked for a broadcast if they are few enough."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS // 4 else rows
 
 
 def _share(n: Column, total: Column, terms: Column) -> Column:

@@ -409,11 +409,94 @@ def test_all_articles_of_a_page_are_joined(spark):
     assert _texts(spark, page, 1) == want[:1]
 
 
+def _outlined(page):
+    return page_wrapper.outline(page_wrapper.tree(page))
+
+
 def test_tree_matching():
-    a, b = (page_wrapper.outline([page_wrapper.tree(x)]) for x in ("<div><p>a</p><ul><li>x</ul></div>", "<div><h1>t</h1><p>b</p><ul><li>y<li>z</ul></div>"))
-    size, pairs = page_wrapper.match(a, b)
-    assert size == len(pairs) == 5
-    assert [(x["l"], y["l"]) for x, y in pairs].count(("p", "p")) == 1
+    a, b = map(_outlined, ("<div><p>a</p><ul><li>x</ul></div>", "<div><h1>t</h1><p>b</p><ul><li>y<li>z</ul></div>"))
+    matching = page_wrapper.Matching(a, b)
+    pairs = matching.pairs()
+    assert matching.size() == len(pairs) == 5
+    assert [(a.labels[x], b.labels[y]) for x, y in pairs].count(("p", "p")) == 1
+
+
+def test_tree_matching_is_the_largest():
+    """Against the plain recurrence over all pairs of children, on small random trees."""
+    r = random.Random(2)
+
+    def grown(depth):
+        return "".join(f"<{t}>{grown(depth - 1) if depth else ''}</{t}>" for t in (r.choice(["div", "b", "i"]) for _ in range(r.randint(0, 3))))
+
+    def largest(a, b, i=0, j=0):
+        if a.labels[i] != b.labels[j]:
+            return 0
+        best = [[0] * (len(b.kids[j]) + 1) for _ in range(len(a.kids[i]) + 1)]
+        for x, p in enumerate(a.kids[i], 1):
+            for y, q in enumerate(b.kids[j], 1):
+                best[x][y] = max(best[x - 1][y], best[x][y - 1], best[x - 1][y - 1] + largest(a, b, p, q))
+        return best[-1][-1] + 1
+
+    for _ in range(300):
+        a, b = _outlined(grown(3)), _outlined(grown(3))
+        matching = page_wrapper.Matching(a, b)
+        pairs = matching.pairs()
+        assert matching.size() == len(pairs) == len(set(pairs)) == largest(a, b)
+        assert all(a.labels[x] == b.labels[y] and (not x or (a.parent[x], b.parent[y]) in pairs) for x, y in pairs)
+
+
+def test_alignments_in_halves_are_as_heavy(monkeypatch):
+    r = random.Random(4)
+    weight = np.array([[3, 0, 1], [0, 2, 0], [1, 0, 5]])
+    for _ in range(50):
+        x, y = ([r.randrange(3) for _ in range(r.randrange(30))] for _ in "ab")
+        whole = page_wrapper.aligned(x, y, weight)
+        with monkeypatch.context() as m:
+            m.setattr(page_wrapper, "CELLS", 4)
+            halved = page_wrapper.aligned(x, y, weight)
+        assert sum(weight[x[a], y[b]] for a, b in whole) == sum(weight[x[a], y[b]] for a, b in halved)
+        assert all(a < c and b < d for (a, b), (c, d) in zip(halved, halved[1:], strict=False))
+
+
+def test_deep_pages(spark):
+    deep = ["<html><body>" + start * 5000 + "text {i} of {w}" + end * 5000 for start, end in (("<div>", "</div>"), ("<font>", ""), ("<ul><li>", ""))]
+    for page in deep:
+        assert _texts(spark, page, 6) == [f"text {i} of {words(i, 40)}" for i in range(6)]
+        assert _texts(spark, page, 1) == [f"text 0 of {words(0, 40)}"]
+
+
+def test_many_siblings_are_aligned_fast():
+    import time
+
+    r = random.Random(6)
+    page = lambda n: "<html><body>" + "".join(f"<h2>{i}</h2><p>{i} {'<em>e</em>' * r.randint(0, 3)}</p>" for i in range(n)) + "</body></html>"
+    a, b = _outlined(page(2000)), _outlined(page(1990))
+    start = time.process_time()
+    assert len(page_wrapper.Matching(a, b).pairs()) >= 2 * 1990
+    # 49 s when all pairs of siblings are matched
+    assert time.process_time() - start < 4
+
+
+def test_forms_around_the_text(spark):
+    """Pages whose server puts all of them into a form; a form beside the text stays out."""
+    page = """<html><body><form action="/{i}"><div class="menu">Home {i}</div><article><h1>Title {i}</h1><p>{w}</p></article><input></form><form><label>Search</label></form></body></html>"""
+    want = [f"Title {i}\n{words(i, 40)}" for i in range(8)]
+    assert _texts(spark, page) == want
+    assert _texts(spark, page, 1) == want[:1]
+    bare = """<html><body><form><div id="menu">Home</div><div class="page"><h1>Title {i}</h1><p>{w}</p></div></form><form>Log in</form></body></html>"""
+    assert _texts(spark, bare) == want
+    login = """<html><body><div class="nav">Home</div><form><label>User</label><label>Word</label></form></body></html>"""
+    assert _texts(spark, login) == [""] * 8
+    assert _texts(spark, login, 1) == [""]
+
+
+def test_names_of_chrome_around_the_text(spark):
+    """A name doesn't overrule text that varies from page to page, unless it is beside the text."""
+    page = """<html><body><div class="nav">Home</div><div class="search-results-study"><h1>Title {i}</h1><p>{w}</p></div><div class="comments">nice {i} {w} {w} {w} {w} {w} {w} {w}</div></body></html>"""
+    want = [f"Title {i}\n{words(i, 40)}" for i in range(8)]
+    assert _texts(spark, page) == want
+    beside = """<html><body><article><h1>Title {i}</h1><div class="promo">Buy {i}</div><p>{w}</p></article><div class="related"><article>Teaser {i}</article></div></body></html>"""
+    assert _texts(spark, beside) == want
 
 
 # ---------------------------------------------------------------- pipeline

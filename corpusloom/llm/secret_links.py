@@ -7,7 +7,9 @@ completes them stands in the same scope, a block between blank lines, within
 ``reach`` code points and apart from them: what overlaps, as a key in an address
 does, is no second part. The interval join sweeps the ends and starts of each
 scope's parts once in either direction, so that a part meets the nearest
-complement on each side and never every other part.
+complement on each side and never every other part. A bare hexadecimal key is a
+commit or a checksum as often as a secret: it completes nothing by itself, only
+where a word of credentials introduces it.
 """
 
 from __future__ import annotations
@@ -22,14 +24,15 @@ REACH = 300
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
-#: kind: (pattern, group whose length counts, least length of it, role); the order breaks ties between spans.
+#: kind: (pattern, group whose length counts, least length of it, role); the order breaks ties between spans. What is told in prose is no span of its own.
 KINDS = {
     "assign": (ASSIGN, 2, 12, "secret"),
     "access": (ACCESS, 0, 18, "account"),
-    "hex": (HEX, 0, 16, "secret"),
+    "hex": (HEX, 0, 16, None),
     "short": (ASSIGN, 2, 6, "secret"),
     "account": (r"""((?i:client_?id|account|user_?name|login|access_?key_?id))["']?\x20*[:=]\x20*["']?([A-Za-z0-9._@-]+)""", 2, 4, "account"),
     "blob": (r"(?<![A-Za-z0-9+/=])(?=[A-Za-z+/]*[0-9])(?=[0-9a-z+/]*[A-Z])(?=[0-9A-Z+/]*[a-z])[A-Za-z0-9+/]{32,}={0,2}", 0, 32, "secret"),
+    "told": (r"""(?<![A-Za-z0-9])(?i:passw(?:or)?d|passphrase|secret|token|credentials?|(?:api|secret|private|access)[ _-]?key)(?:[\x20:='"]+(?:is|was|key|value))?[\x20:='"]+[0-9a-f]{16,}""", 0, 16, "secret"),
     "endpoint": (r"""(?:https?|ftps?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqps?)://[^\s"'<>]+""", 0, 8, "endpoint"),
 }
 ROLES = ("secret", "account", "endpoint")
@@ -42,9 +45,10 @@ _HIT = "array<struct<kind:int,i:int,gap:int,size:int,inner:int>>"
 def _hits(text: Column, kind: int, pattern: str, group: int) -> Column:
     """The matches of a pattern, each with the length of the gap before it."""
     lengths = lambda x: F.transform(x, lambda s: F.length(s))
-    found = lambda g: lengths(F.regexp_extract_all(text, F.lit(pattern), F.lit(g)))
-    zipped = F.arrays_zip(lengths(F.split(text, pattern, -1)), found(0), *([found(group)] if group else []))
-    rows = F.transform(zipped, lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("i"), x["0"].alias("gap"), x["1"].alias("size"), x["2" if group else "1"].alias("inner")))
+    zipped = F.arrays_zip(lengths(F.split(text, pattern, -1)), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+    # a match is matched alike by itself, so its group is cut from it
+    inner = lambda m: F.length(F.regexp_extract(m, pattern, group) if group else m)
+    rows = F.transform(zipped, lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("i"), x["0"].alias("gap"), F.length(x["1"]).alias("size"), inner(x["1"]).alias("inner")))
     return F.when(text.rlike(pattern), rows).otherwise(F.array().cast(_HIT))
 
 

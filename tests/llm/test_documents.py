@@ -449,6 +449,32 @@ def test_planted_credentials_and_clean_links(spark):
     assert not any(weak[len(secret) + i] for i in range(len(clean)))
 
 
+def test_hashes_beside_links_and_names_are_no_credentials(spark):
+    """Commits and checksums near addresses and names link nothing; the same hashes as values of a credential do."""
+    forms = [
+        ("Download the tool at https://example.org/tool{i}.tar.gz (md5 {h})", 0),
+        ("Fixed in commit {h} , see https://git.example.org/issues/{i}", 0),
+        ("user_name: alice{i} wrote about sha {h}", 0),
+        ("login: robot{i}, build {h} of https://ci.example.org/{i}", 0),
+        ("the token of https://a.example.org/{i} expired; sha256 {h}", 0),
+        ("connect to https://db{i}.example.org with the token {h}", 1),
+        ("login: robot{i}, secret key is {h}", 1),
+        ("https://x{i}.example.org/ user_name=robot{i} api_key={h}", 2),
+        ("client_id=app{i} {h} and password: pw{i}word at https://y.example.org", 3),
+    ]
+    rows, want = [], {}
+    for i in range(20):
+        for n, (form, weak) in enumerate(forms):
+            digest = hashlib.md5(f"{i}-{n}".encode()).hexdigest()
+            rows.append((len(rows), words(400 + i, 20) + " " + form.replace("{i}", str(i)).replace("{h}", digest) + " " + words(500 + n, 20)))
+            want[rows[-1][0]] = weak
+    got = {x["doc_id"]: x for x in secret_links.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in rows:
+        assert got[i]["spans"] == _linked(t), t
+        assert sum(got[i][f"n_{n}"] for n in secret_links.WEAK) == want[i], t
+        assert got[i]["base_sha256"] == hashlib.sha256(_base(t).encode()).hexdigest()
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(SECRETS)], "doc_id long, text string, _extra int")
     got = {r["doc_id"]: r["text"] for r in secret_links.redact(df).collect()}

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, joined_by_weight
+from .common import cut, joined_by_weight, parts
 
 #: Pairs that share an end and are checked together, rows of a bucket that are compared with each other at once, and rows of buckets compared by shifts.
 PART, BLOCK, SMALL = 256, 1024, 8
@@ -47,6 +47,19 @@ def checked(pairs: DataFrame, data: DataFrame, check: Callable[[bytes, list[byte
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def shingled(docs: DataFrame, wanted: DataFrame, sets_of: Callable[[pa.Array], list[np.ndarray]]) -> DataFrame:
+    """(node, data) for each row of wanted(node, doc_id, hash): the set of its text, one of docs(doc_id, text, hash)."""
+
+    def run(batches):
+        for batch in parts(batches, 2000):
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([h.tobytes() for h in sets_of(batch.column("text"))], pa.binary())], ["node", "data"])
+
+    names = wanted.select("node", F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"))
+    texts = docs.join(names, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash")))
+    # rows repeated with their id have equal texts
+    return texts.select("node", "text").mapInArrow(run, "node long, data binary").dropDuplicates(["node"])
+
+
 def alike(own: bytes, others: list[bytes]) -> np.ndarray:
     """Which sets of hashes have a Jaccard similarity of 0.8 or more to one."""
     x = np.frombuffer(own, np.uint64)

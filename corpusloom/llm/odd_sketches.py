@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, joined_by_weight, parts, plain_docs, written
 from .graphs import components
-from .near_links import across, alike, checked
+from .near_links import across, alike, checked, shingled
 from .simhash_golay import shingle_sets
 
 #: Words of a shingle, and the similarity of linked sets.
@@ -114,19 +114,6 @@ def sketched(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, hash long, node long, n_shingles long, bands array<long>, data binary")
 
 
-def shingled(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(node, data) for each row of wanted(node, doc_id, hash): the set of its text, one of docs(doc_id, text, hash)."""
-
-    def run(batches):
-        for batch in parts(batches, 2000):
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([h.tobytes() for h in shingle_sets(batch.column("text"), words)], pa.binary())], ["node", "data"])
-
-    names = wanted.select("node", F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"))
-    texts = docs.join(names, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash")))
-    # rows repeated with their id have equal texts
-    return texts.select("node", "text").mapInArrow(run, "node long, data binary").dropDuplicates(["node"])
-
-
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs.
 
@@ -146,7 +133,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     # each with the least of its key: most classes are connected by that
     data, nodes = own.select("node", "data"), met.select("node").distinct()
-    sets = written(shingled(plain, own.join(nodes, "node", "left_semi"), words))
+    sets = written(shingled(plain, own.join(nodes, "node", "left_semi"), lambda texts: shingle_sets(texts, words)))
     likely = cut(checked(met.where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")), data, _one_near))
     first = cut(checked(likely, sets, alike))
     # then all that share a key but no class

@@ -19,8 +19,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import boxed, cut, flat, plain_docs, slices, unboxed
+from .common import boxed, cut, flat, plain_docs, slices, unboxed, written
 from .graphs import components
+from .near_links import across, alike, checked, shingled
 
 #: The ASCII white space of a word boundary, and the generator polynomial of the binary Golay code.
 SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -28,8 +29,6 @@ GOLAY = 0b101011100011
 SHINGLE_WORDS, MAX_BITS, LINK_BLOCK, SMALL_KEY = 3, 3, 2048, 8
 #: For classes by similarity: words of a shingle, fingerprints, and bits of 64 x COUNT that nearly all texts of which 0.8 of all shingles are shared stay within.
 SIMILAR_WORDS, COUNT, SIMILAR_BITS = 5, 3, 44
-#: Texts of one block of candidates, of which each pair is verified.
-VERIFY_BLOCK = 512
 #: Bytes of text whose words are hashed at once.
 TEXT_BYTES = 1 << 20
 
@@ -427,85 +426,40 @@ def _with_sets(docs: DataFrame, id_col: str, text_col: str, words: int, count: i
     return plain_docs(docs, id_col=id_col, text_col=text_col).withColumn("hash", F.xxhash64("text")).mapInArrow(run, "doc_id long, hash long, set long, node long, " + ", ".join(f"{n} long" for n in names))
 
 
-def verified(block: list[tuple], limit: int = SIMILAR_BITS) -> list[tuple[int, int]]:
-    """Links among the rows (set, block, fingerprints, shingles) of one or two blocks that connect all pairs, of different blocks if there are two, within limit bits whose shingles have a Jaccard similarity of 0.8 or more."""
-    names, blocks = [r[0] for r in block], np.array([r[1] for r in block])
-    prints = np.array([r[2] for r in block], np.int64).view(np.uint64)
-    sets = [np.frombuffer(r[3], np.uint64) for r in block]
-    apart = sum(np.bitwise_count(prints[:, k][:, None] ^ prints[:, k][None, :]).astype(np.int16) for k in range(prints.shape[1]))
-    wanted = np.triu(apart <= limit, 1)
-    if blocks.min() != blocks.max():
-        wanted &= blocks[:, None] != blocks[None, :]
-    # of the shared shingles of two sets there are at most as many as the smaller has
-    size = np.array(list(map(len, sets)))
-    wanted &= 5 * np.minimum.outer(size, size) >= 4 * np.maximum.outer(size, size)
-    i, j = np.nonzero(wanted)
-    order = np.argsort(apart[i, j], kind="stable")
-    parent = list(range(len(block)))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = x = parent[parent[x]]
-        return x
-
-    out = []
-    for x, y in zip(i[order].tolist(), j[order].tolist(), strict=True):
-        p, q = root(x), root(y)
-        if p != q and 9 * len(np.intersect1d(sets[x], sets[y], assume_unique=True)) >= 4 * (len(sets[x]) + len(sets[y])):
-            parent[q] = p
-            out.append((names[x], names[y]))
-    return out
+def _likely(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which rows of fingerprints, as bytes, lie within SIMILAR_BITS."""
+    return np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= SIMILAR_BITS
 
 
 def similar_links(docs: DataFrame, found: DataFrame, *, words: int = SIMILAR_WORDS) -> DataFrame:
-    """Links (a, b) between the shingle sets of found(doc_id, hash, set, node, f0, ...) that are similar by 0.8 or more.
+    """Links (a, b) between the shingle sets of found(doc_id, hash, set, node, f0, ...) that connect all that are similar by 0.8 or more.
 
-    Candidates are the texts of a component of links by fingerprint; their sets
-    are cut into blocks, and each pair of blocks of a component is verified.
-    docs(doc_id, hash, text) are the texts.
+    Of the links by fingerprint, which connect each class of candidates, each is
+    checked on the full sets. Pairs of a class within SIMILAR_BITS that are not
+    connected by then are checked as well. docs(doc_id, hash, text) are the texts.
     """
     names = [c for c in found.columns if c[0] == "f" and c[1:].isdigit()]
     one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash", "node", *names)).alias("x")
     own = cut(found.groupBy("set").agg(one).select("set", "x.doc_id", "x.hash", "x.node", *(f"x.{n}" for n in names)))
-    root = components(links(own, similar=True)).select("node", "root")
+    near = cut(links(own, similar=True))
+    root = components(near).select("node", "root")
     classed = own.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    counted = classed.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    n_blocks = F.ceil(F.col("n") / VERIFY_BLOCK).cast("int")
-    members = classed.join(counted, "root").select("root", "set", "doc_id", "hash", *names, n_blocks.alias("n_blocks"))
-    members = members.withColumn("block", F.pmod(F.xxhash64("set"), F.col("n_blocks")).cast("int"))
-    # rows repeated with their id have equal texts
-    texts = docs.join(members.withColumnRenamed("doc_id", "_id").withColumnRenamed("hash", "_hash"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash")))
-
-    def shingled(batches):
-        for batch in batches:
-            sets = [h.tobytes() for h in shingle_sets(batch.column(0), words)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(sets, pa.binary())], [*batch.schema.names[1:], "shingles"])
-
-    longs = ", ".join(f"{n} long" for n in names)
-    sets = texts.select("text", "root", "set", "block", "n_blocks", *names).mapInArrow(shingled, f"root long, set long, block int, n_blocks int, {longs}, shingles binary")
-    other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other")
-    paired = sets.select("root", "set", "block", *names, "shingles", other).select("root", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "set", "block", *names, "shingles")
-
-    def checked(batches):
-        at, held = None, []
-
-        def told():
-            # rows repeated with their id come once
-            got = verified(list({r[0]: r for r in held}.values()))
-            return pa.RecordBatch.from_arrays([pa.array([x[c] for x in got], pa.int64()) for c in (0, 1)], ["a", "b"])
-
-        for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns]
-            for root, lo, hi, name, block, *prints, blob in zip(*columns, strict=True):
-                if (root, lo, hi) != at:
-                    if held:
-                        yield told()
-                    at, held = (root, lo, hi), []
-                held.append((name, block, prints, blob))
-        if held:
-            yield told()
-
-    return paired.repartition("root", "lo", "hi").sortWithinPartitions("root", "lo", "hi").mapInArrow(checked, "a long, b long")
+    counted = classed.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("root")
+    members = cut(classed.join(counted, "root"))
+    sets = written(shingled(docs, members.select(F.col("set").alias("node"), "doc_id", "hash"), lambda texts: shingle_sets(texts, words)))
+
+    # sets of equal fingerprints by the least of them, and that for other fingerprints
+    lead = members.groupBy("node").agg(F.min("set").alias("lead"))
+    same = members.join(lead, "node").where("set <> lead").select(F.col("set").alias("a"), F.col("lead").alias("b"))
+    ends = [lead.select(F.col("node").alias(c), F.col("lead").alias(f"lead_{c}")) for c in ("a", "b")]
+    far = near.join(ends[0], "a").join(ends[1], "b").select(F.greatest("lead_a", "lead_b").alias("a"), F.least("lead_a", "lead_b").alias("b"))
+    first = cut(same.unionByName(far).distinct())
+    good = cut(checked(first, sets, alike))
+    joined = members.select(F.col("set").alias("node"), "root", *names).join(components(good).select("node", F.col("root").alias("comp")), "node", "left")
+    data = F.unhex(F.concat(*(F.lpad(F.hex(n), 16, "0") for n in names)))
+    rows = cut(joined.select(F.col("root").alias("key"), "node", F.coalesce("comp", "node").alias("comp"), data.alias("data")))
+    rest = across(rows, _likely, 8 * len(names)).join(first, ["a", "b"], "left_anti")
+    return good.unionByName(checked(rest, sets, alike))
 
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = SIMILAR_WORDS, count: int = COUNT) -> DataFrame:

@@ -31,17 +31,6 @@ def memberships_of(docs: DataFrame, asked: DataFrame) -> DataFrame:
     return by("doc_id").unionByName(by("source_url")).select("ask", F.explode("topic_hubs").alias("hub")).distinct()
 
 
-def document_scores(scored: DataFrame) -> DataFrame:
-    """(query_id, doc_id, score): the best chunk of each document."""
-    return scored.groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
-
-
-def best_chunks(scored: DataFrame, limit: int) -> DataFrame:
-    """The best chunk of each document, the limit best documents per query."""
-    one = scored.groupBy("query_id", "doc_id").agg(F.max_by(F.struct("chunk_id", "score"), F.struct("score", (-F.col("chunk_id")).alias("t"))).alias("b")).select("query_id", "doc_id", "b.*")
-    return one.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))).where(F.col("rank") <= limit)
-
-
 def within_budget(chunks: DataFrame, budget: int, *, by: str = "query_id", order: str = "rank", text: str = "text", per_token: int = 4) -> DataFrame:
     """Ranked chunks while their characters stay within per_token x budget; the first is always kept, the first overflow ends the list, blanks are passed over."""
     w = Window.partitionBy(by).orderBy(order)

@@ -272,7 +272,10 @@ def claim_spans(answers: DataFrame, claims: DataFrame, threshold: float = FUZZY)
 
 
 def without_overlaps(spans: DataFrame) -> DataFrame:
-    """Of overlapping spans the longer, then the earlier; equal ranges merge their places."""
+    """Of overlapping spans the longer, then the earlier; equal ranges merge their places.
+
+    The distinct spans of a run meet in one task: as many as an answer has claims.
+    """
     merged = spans.where("start is not null").groupBy("run_id", "start", "stop").agg(F.array_sort(F.collect_set("place")).alias("places"))
 
     def greedy(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -246,11 +246,11 @@ def steered(queries: DataFrame, chunks: DataFrame, *, k: int = 10, oversample: i
     plan = route(queries).withColumn("explicit", parse_categories(F.col("source_category")))
     plan = plan.withColumn("wanted", F.when(F.size("explicit") > 0, F.col("explicit")).otherwise(F.coalesce("categories", F.array().cast("array<string>"))))
     plan = plan.withColumn("mode", F.when(F.size("explicit") > 0, "filter").otherwise(F.coalesce("mode", F.lit("plain")))).select("query_id", "wanted", "mode")
-    pool = retrieve(queries, chunks, k=k * oversample, merge=True).join(F.broadcast(plan), "query_id")
+    pool = retrieve(queries, chunks, k=k * oversample, merge=True).join(plan, "query_id")
     fitting = F.array_contains("wanted", F.col("category"))
     filtered = pool.where((F.col("mode") == "filter") & fitting)
     empty = plan.where("mode = 'filter'").join(filtered.select("query_id").distinct(), "query_id", "left_anti").select("query_id", F.lit(True).alias("_empty"))
-    joined = pool.join(F.broadcast(empty), "query_id", "left").where((F.col("mode") != "filter") | fitting | F.col("_empty"))
+    joined = pool.join(empty, "query_id", "left").where((F.col("mode") != "filter") | fitting | F.col("_empty"))
     note = F.when(F.col("_empty"), "filter was empty, unfiltered").when(F.col("mode") == "filter", "filtered").when(F.col("mode") == "prefer", "preferred").otherwise("")
     place = F.when(F.col("mode") == "prefer", F.coalesce(F.nullif(F.array_position("wanted", F.col("category")), F.lit(0)), F.size("wanted") + 1)).otherwise(F.lit(0))
     ranked = best(joined, ["query_id"], [F.asc("rank")], k, "_n").drop("_n")

@@ -8,10 +8,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def last_rows(rows: DataFrame, key: Sequence[str]) -> DataFrame:
+    """The greatest row of each key by the other columns; nulls in keys are values like others."""
+    rest = [c for c in rows.columns if c not in key]
+    if not rest:
+        return rows.distinct()
+    return rows.groupBy(*key).agg(F.max(F.struct(*rest)).alias("_r")).select(*key, "_r.*").select(*rows.columns)
+
+
 def upsert(old: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFrame:
     """New rows by key in place of old ones; of several new rows with a key the greatest counts."""
-    last = new.groupBy(*key).agg(F.max(F.struct(*(c for c in new.columns if c not in key))).alias("_r")).select(*key, "_r.*").select(*new.columns)
-    return old.join(new.select(*key).distinct(), list(key), "left_anti").unionByName(last, allowMissingColumns=True)
+    return old.join(new.select(*key).distinct(), list(key), "left_anti").unionByName(last_rows(new, key), allowMissingColumns=True)
 
 
 def upsert_counts(old: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFrame:

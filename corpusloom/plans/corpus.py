@@ -380,16 +380,40 @@ def topic_catalog(spark, d):
 @register("SELECT doc_id, length(text) AS chars FROM documents")
 def incremental_docs(spark, d):
     """Documents through a file stream that runs to its end, as a batch table."""
-    import uuid
+    from ..streaming import incremental
 
-    from ..streaming.incremental import resumable_build
-
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
-    target = f"{base.rstrip('/')}/incremental-{uuid.uuid4().hex}"
+    target = incremental.scratch(spark)
     schema = read(spark, d, "documents").select("doc_id", "text").schema
-    query = resumable_build(spark, f"{d}/documents.parquet", schema, f"{target}/out", f"{target}/state", lambda b: b.select("doc_id", F.length("text").alias("chars")))
+    query = incremental.resumable_build(spark, f"{d}/documents.parquet", schema, f"{target}/out", f"{target}/state", lambda b: b.select("doc_id", F.length("text").alias("chars")))
     query.awaitTermination()
-    return spark.read.parquet(f"{target}/out")
+    return spark.read.parquet(f"{target}/out").select("doc_id", "chars")
+
+
+@register("""WITH r AS (SELECT l_orderkey AS k, l_partkey, l_quantity, l_linenumber AS batch FROM lineitem), x AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY k, batch ORDER BY l_partkey DESC, l_quantity DESC) = 1)
+SELECT CASE WHEN k % 50 <> 0 THEN k END AS k, l_partkey, l_quantity FROM x WHERE k % 50 <> 0 QUALIFY row_number() OVER (PARTITION BY k ORDER BY batch DESC) = 1
+UNION ALL (SELECT NULL, l_partkey, l_quantity FROM r WHERE k % 50 = 0 QUALIFY row_number() OVER (ORDER BY batch DESC, l_partkey DESC, l_quantity DESC) = 1)""")
+def upserted_table(spark, d):
+    """The lines of orders put into a keyed table, first those with number one, each change twice; some keys are null."""
+    from ..streaming import incremental, keyed
+
+    lines = read(spark, d, "lineitem").select(F.when(F.col("l_orderkey") % 50 != 0, F.col("l_orderkey")).alias("k"), "l_partkey", "l_quantity", "l_linenumber")
+    target = incremental.scratch(spark)
+    for number in range(1, 8):
+        for _ in range(2):
+            keyed.put(lines.where(F.col("l_linenumber") == number).drop("l_linenumber"), target, ["k"], number, buckets=16)
+    return keyed.table(spark, target)
+
+
+@register("""WITH r AS (SELECT DISTINCT l_orderkey AS k, l_linenumber AS batch FROM lineitem), m AS (SELECT batch, k, max(l_partkey) FILTER (WHERE TRUE) AS p FROM (SELECT l_orderkey AS k, l_linenumber AS batch, l_partkey % 5 AS l_partkey FROM lineitem) GROUP BY ALL),
+o AS (SELECT batch, k, p, lag(p) OVER (PARTITION BY k ORDER BY batch) AS before FROM m) SELECT batch, count(before) AS matched, count(*) FILTER (WHERE before IS NOT NULL AND before <> p) AS modified, count(*) FILTER (WHERE before IS NULL) AS upserted FROM o GROUP BY batch""")
+def upsert_counts(spark, d):
+    """How many keys each change of a keyed table matched, changed and added."""
+    from ..streaming import incremental, keyed
+
+    lines = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), (F.col("l_partkey") % 5).alias("p"), "l_linenumber")
+    target = incremental.scratch(spark)
+    counts = [(n, *keyed.put(lines.where(F.col("l_linenumber") == n).drop("l_linenumber"), target, ["k"], n, buckets=8).values()) for n in range(1, 8)]
+    return spark.createDataFrame(counts, "batch long, matched long, modified long, upserted long")
 
 
 @register("SELECT c_mktsegment AS cluster, count(*) FILTER (WHERE c_custkey % 2 = 0) AS pages, count(*) FILTER (WHERE c_custkey % 2 = 1) AS pdfs, sum(c_custkey % 4)::BIGINT AS questions, FALSE AS thin, round(100 * sum(c_custkey % 3) / (sum(c_custkey % 5) + sum(c_custkey % 3)), 1) AS completeness FROM customer GROUP BY ALL")

@@ -278,17 +278,35 @@ def claim_spans(spark, d):
     return evaluate.without_overlaps(spans).select("run_id", "start", "stop", F.array_join(F.col("places").cast("array<string>"), ",").alias("places"))
 
 
-@register("""WITH r AS (SELECT user_id AS run_id, ts, value, event_id FROM events WHERE event_type = 'click'), last AS (SELECT run_id, arg_max(round(value, 6), ts) AS rating FROM r GROUP BY run_id HAVING count(DISTINCT ts) = count(*)),
-f AS (SELECT user_id AS run_id, min(ts) AS ts FROM events GROUP BY user_id) SELECT f.run_id, last.rating FROM f JOIN last USING (run_id)""")
+RATED = "r AS (SELECT user_id AS run_id, ts, round(value, 6) AS rating FROM events WHERE event_type = 'click'), last AS (SELECT run_id, rating FROM r QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY ts DESC, rating DESC) = 1)"
+
+
+def rated_events(spark, d):
+    """Clicks as ratings of users' runs, all events as entries."""
+    events = read(spark, d, "events")
+    clicks = events.where("event_type = 'click'").select(F.col("user_id").alias("run_id"), "ts", F.round("value", 6).alias("rating"))
+    return events.select(F.col("user_id").alias("run_id"), "ts", "event_id"), clicks
+
+
+@register(f"WITH {RATED}, f AS (SELECT DISTINCT user_id AS run_id FROM events) SELECT run_id, last.rating FROM f JOIN last USING (run_id) WHERE rating IS NOT NULL")
 def ratings(spark, d):
     from ..streaming.incremental import current_ratings
 
+    entries, clicks = rated_events(spark, d)
+    return current_ratings(entries.drop("event_id"), clicks).where("rating is not null").select("run_id", "rating")
+
+
+@register(f"WITH {RATED}, f AS (SELECT user_id AS run_id, ts, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1) SELECT run_id, event_id, last.rating FROM f LEFT JOIN last USING (run_id)")
+def rated_log(spark, d):
+    """Z3: two streams of the events, entries and ratings, as a keyed table of runs."""
+    from ..streaming import incremental, keyed
+
     events = read(spark, d, "events")
-    clicks = events.where("event_type = 'click'").select(F.col("user_id").alias("run_id"), "ts", F.round("value", 6).alias("rating"))
-    # runs with two ratings at one moment have no last one
-    sure = clicks.groupBy("run_id").agg(F.count_distinct("ts").alias("a"), F.count(F.lit(1)).alias("b")).where("a = b").select("run_id")
-    entries = events.select(F.col("user_id").alias("run_id"), "ts")
-    return current_ratings(entries, clicks.join(sure, "run_id", "left_semi")).where("rating is not null").select("run_id", "rating")
+    target = incremental.scratch(spark)
+    stream = lambda: incremental.files(spark, f"{d}/events.parquet", events.schema)
+    clicks = stream().where("event_type = 'click'").select(F.col("user_id").alias("run_id"), "ts", F.round("value", 6).alias("rating"))
+    incremental.rated_log(spark, stream().select(F.col("user_id").alias("run_id"), "ts", "event_id"), clicks, f"{target}/out", f"{target}/state").awaitTermination()
+    return keyed.table(spark, f"{target}/out").select("run_id", "event_id", "rating")
 
 
 @register("SELECT event_id, CASE event_id % 3 WHEN 0 THEN CASE WHEN event_id % 2 = 0 THEN 5.0 ELSE 1.0 END WHEN 1 THEN round((event_id % 11) / 10 * 5, 6) ELSE (event_id % 5 + 1)::DOUBLE END::DOUBLE AS rating FROM events")

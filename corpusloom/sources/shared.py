@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -13,10 +13,15 @@ def stored(df: DataFrame) -> DataFrame:
     Without one a local session (tests, notebooks) gets a temporary folder, any
     other a folder in its warehouse, which all executors share.
     """
-    spark = df.sparkSession
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of the session's checkpoints, set where it is unset."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         alone = sc.master.startswith("local") and not sc.master.startswith("local-cluster")
         folder = tempfile.mkdtemp(prefix="corpusloom-") if alone else f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or folder)
-    return df.checkpoint(eager=True)
+    return sc.getCheckpointDir()

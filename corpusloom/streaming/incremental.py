@@ -1,36 +1,68 @@
-"""Incremental builds: the batch jobs over file streams, with the stream's checkpoint for resume."""
+"""Incremental builds over file streams, with the stream's checkpoint for resume and its state for what was seen."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import uuid
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.tables import upsert
+from ..sources.shared import shared_folder
+from . import keyed
+
+
+def first_of_each(stream: DataFrame, key: str) -> DataFrame:
+    """The first row of each key of a stream, null keys included: rows of later batches with a key that was seen go.
+
+    The stream's state holds a mark for each key, so nothing that was written is
+    read again. Of several new rows of one batch the one with the least JSON stays.
+    """
+    def one(_: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.exists:
+            return
+        state.update((True,))
+        least = reduce(lambda a, b: a if a["_order"].iloc[0] <= b["_order"].iloc[0] else b, (p.sort_values("_order", kind="stable").head(1) for p in parts if len(p)))
+        yield least.drop(columns=["_order", "_key"])
+
+    rows = stream.withColumn("_key", F.col(key).cast("string")).withColumn("_order", F.to_json(F.struct(*stream.columns)))
+    return rows.groupBy("_key").applyInPandasWithState(one, stream.schema, "seen boolean", "append", "NoTimeout")
 
 
 def resumable_build(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, build: Callable[[DataFrame], DataFrame], *, key: str = "doc_id", files_per_batch: int = 8) -> StreamingQuery:
-    """Build over the new files of a folder, appended to target; rows whose key target has already are passed over.
+    """Build over the new files of a folder, a micro-batch to target/batch=N; source rows whose key came before are passed over.
 
-    A crash loses one micro-batch at most: it runs again, and what it had written
-    is recognised by its keys.
+    A crash loses one micro-batch at most: it runs again and writes its folder
+    anew. Keys are known by the state in checkpoint, so a target that another
+    checkpoint made is an error.
     """
+    if _exists(spark, target) and not _exists(spark, checkpoint):
+        raise ValueError(f"{target} was not built with the checkpoint {checkpoint}")
 
     def each(batch: DataFrame, number: int) -> None:
-        done = _existing(spark, target, key)
-        rows = build(batch).dropDuplicates([key])
-        (rows if done is None else rows.join(done, key, "left_anti")).write.mode("append").parquet(target)
+        build(batch).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
-    stream = _files(spark, source, schema).option("maxFilesPerTrigger", files_per_batch)
-    return _load(stream, source, spark).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    stream = _load(_files(spark, source, schema).option("maxFilesPerTrigger", files_per_batch), source, spark)
+    return first_of_each(stream, key).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def _files(spark: SparkSession, source: str, schema):
     return spark.readStream.format("parquet").schema(schema)
 
 
+def files(spark: SparkSession, source: str, schema) -> DataFrame:
+    """The Parquet files of a folder, or one file, as a stream."""
+    return _load(_files(spark, source, schema), source, spark)
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder beside the checkpoints, which all executors share."""
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+
+
 def _load(reader, source: str, spark: SparkSession) -> DataFrame:
     """A folder of files, or one file as the only one of its folder that counts."""
     path = spark._jvm.org.apache.hadoop.fs.Path(source)
@@ -39,23 +71,44 @@ def _load(reader, source: str, spark: SparkSession) -> DataFrame:
     return reader.load(source)
 
 
-def _existing(spark: SparkSession, path: str, key: str) -> DataFrame | None:
+def _exists(spark: SparkSession, path: str) -> bool:
     root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not root.getFileSystem(spark._jsc.hadoopConfiguration()).exists(root):
-        return None
-    return spark.read.parquet(path).select(key)
+    return root.getFileSystem(spark._jsc.hadoopConfiguration()).exists(root)
+
+
+def keyed_upserts(spark: SparkSession, source: str, schema: str, folder: str, checkpoint: str, key: Sequence[str] = ("url", "parser", "parser_version"), *, files_per_batch: int = 1000) -> StreamingQuery:
+    """Rows of new files put into a keyed table (keyed.table), a change for each micro-batch; late or repeated rows change nothing twice."""
+
+    def each(batch: DataFrame, number: int) -> None:
+        keyed.put(batch, folder, key, number + 1)
+
+    stream = _load(_files(spark, source, schema).option("maxFilesPerTrigger", files_per_batch), source, spark)
+    return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def rated_runs(entries: DataFrame, ratings: DataFrame) -> DataFrame:
+    """Z3: (run_id, entry, rating): each run's first entry(run_id, ts, ...) and last rating(run_id, ts, rating), over tables or streams.
+
+    Over streams it is a state of one row for each run, whenever its entry and its
+    ratings come: use update mode. Of ratings of one moment the greatest counts, of
+    entries of one moment the least by its other columns.
+    """
+    rest = [c for c in entries.columns if c not in ("run_id", "ts")]
+    none = F.lit(None)
+    entry = F.struct("ts", *rest)
+    first = entries.select("run_id", entry.alias("entry"), none.cast("struct<ts:timestamp,rating:double>").alias("last"))
+    kind = first.schema["entry"].dataType
+    last = ratings.select("run_id", none.cast(kind).alias("entry"), F.struct(F.col("ts").cast("timestamp").alias("ts"), F.col("rating").cast("double").alias("rating")).alias("last"))
+    return first.unionByName(last).groupBy("run_id").agg(F.min("entry").alias("entry"), F.max("last").alias("last")).select("run_id", "entry", F.col("last.rating").alias("rating"))
 
 
-def keyed_upserts(spark: SparkSession, source: str, schema: str, folder: str, checkpoint: str, key: Sequence[str] = ("url", "parser", "parser_version")) -> StreamingQuery:
-    """Rows of new files put into the next version of a keyed table; late or repeated rows change nothing twice."""
+def rated_log(spark: SparkSession, entries: DataFrame, ratings: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """Z3: the streams of entries and ratings as a keyed table (keyed.table) of runs; a late rating changes its run's row."""
 
     def each(batch: DataFrame, number: int) -> None:
-        target = f"{folder}/v={number + 1}"
-        before = _existing(spark, f"{folder}/v={number}", key[0])
-        old = spark.read.parquet(f"{folder}/v={number}") if before is not None else spark.createDataFrame([], batch.schema)
-        upsert(old, batch, list(key)).write.mode("overwrite").parquet(target)
+        keyed.put(batch.where("entry is not null").select("run_id", "entry.*", "rating"), folder, ["run_id"], number + 1)
 
-    return _load(_files(spark, source, schema), source, spark).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return rated_runs(entries, ratings).writeStream.outputMode("update").foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def current_ratings(entries: DataFrame, ratings: DataFrame) -> DataFrame:

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Sequence
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..functions.html import Element, parse
+from ..sources.shared import stored
+from . import elements as E
 
 #: Patterns of question headings, references and mentions.
 QA_HEADING = r"(?m)^#{1,3}\s+(?:\*{1,2})?\s*(\d+)\.\s+(.+?)(?:\*{1,2})?$"
@@ -19,10 +19,12 @@ SEE_QA = r"(?i)\b(?:see\s+(?:Q\s*&\s*A|Q\s*and\s*A)\s*(?:no\.?|number)?\s*(\d+)|
 MARKDOWN_LINK = r"\[([^\]\n]+)\]\((https?://[^)\s]+)\)"
 HREF = r"""(?is)<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))[^>]*>(.*?)(?=</a>|<a\b|$)"""
 SKIPPED_SCHEMES = r"(?i)^(mailto|tel|javascript|data|blob):"
-SKIP_TAGS = frozenset("script style noscript svg button form input nav".split())
-SKIP_CLASSES = frozenset({"bcl-inpage-navigation", "breadcrumb", "dropdown-menu"})
-TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt td th blockquote ul ol dl table".split())
-CARD_CLASSES = frozenset({"bcl-listing", "listing-item", "bcl-content-banner"})
+SKIP_TAGS = tuple("script style noscript svg button form input nav".split())
+SKIP_CLASSES = ("bcl-inpage-navigation", "breadcrumb", "dropdown-menu")
+TEXT_TAGS = tuple("p h1 h2 h3 h4 h5 h6 li dd dt td th blockquote ul ol dl table".split())
+CARD_CLASSES = ("bcl-listing", "listing-item", "bcl-content-banner")
+#: Elements whose start and end tags end a line of the main text.
+LINE_TAGS = (*E.BLOCKS, "br")
 CONTEXT_PRIORITY = {"file_component": 3, "card_or_listing": 2, "inline": 1, "other": 0}
 
 
@@ -138,66 +140,27 @@ def note_lines(steps: DataFrame, *, key: str = "step_id", output: str = "output"
 # ---------------------------------------------------------------- HTML, by element
 
 
-def _candidates(e: Element, skip_tags: frozenset[str], context: str | None, out: list[tuple]) -> None:
-    for c in e.children:
-        if not isinstance(c, Element) or c.tag in skip_tags or c.classes & SKIP_CLASSES:
-            continue
-        if "bcl-file" in c.classes:
-            title = c.find(cls="file-title")
-            kind = next((v for k, v in c.attrs.items() if k.endswith("-document-type")), None)
-            out.extend((a.attrs["href"], (title.text() if title else "") or a.text(), "file_component", kind) for a in c.find_all("a") if a.attrs.get("href"))
-        elif c.classes & CARD_CLASSES:
-            _candidates(c, skip_tags, "card_or_listing", out)
-        elif c.tag == "a":
-            if c.attrs.get("href"):
-                out.append((c.attrs["href"], c.text(), context or "other", None))
-        elif context:
-            _candidates(c, skip_tags, context, out)
-        elif c.tag in TEXT_TAGS:
-            out.extend((a.attrs["href"], a.text(), "inline", None) for a in c.find_all("a") if a.attrs.get("href"))
-        else:
-            _candidates(c, skip_tags, None, out)
-
-
-def page_elements(pages: DataFrame, *, root_tag: str = "main", root_class: str | None = "main-content-wrapper", audience_class: str = "bg-category", topic_class: str = "bg-topic", skip_tags: frozenset[str] = SKIP_TAGS, key: str = "page_id", html: str = "html") -> DataFrame:
-    """One parse per page: (key, links, audience, site_topic, questions, main_text).
+def page_elements(pages: DataFrame, *, root_tag: str = "main", root_class: str | None = "main-content-wrapper", audience_class: str = "bg-category", topic_class: str = "bg-topic", skip_tags: Sequence[str] = SKIP_TAGS, key: str = "page_id", html: str = "html") -> DataFrame:
+    """(key, links, audience, site_topic, questions, main_text) of pages, by their table of elements.
 
     Links are candidates (href, anchor, context, document_type) in page order, in
-    the content root only; without a root there are none. A badge class matches
-    by its ending.
+    the content root only; without a root there are none, and the main text is that
+    of the whole page. A badge class matches by its ending.
     """
-
-    def badge(root: Element | None, name: str) -> str | None:
-        found = next((s for s in root.find_all("span") if any(c.endswith(name) for c in s.classes)), None) if root else None
-        if not found:
-            return None
-        return (found.find("span", "label") or found).text() or None
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for page, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                tree = parse(source)
-                root = tree.find(root_tag, root_class)
-                links: list[tuple] = []
-                if root:
-                    _candidates(root, skip_tags, None, links)
-                questions = []
-                for item in tree.find_all(cls="accordion-item"):
-                    header, body = item.find(cls="accordion-header"), item.find(cls="accordion-body")
-                    heading = ((header.find("button") or header).text() if header else "") or ""
-                    answer = body.text() if body else ""
-                    if heading and answer:
-                        questions.append({"question": heading, "answer": answer})
-                blocks = [e.text() for e in (root or tree).walk() if e.tag in TEXT_TAGS and e.tag not in ("ul", "ol", "dl", "table")]
-                out.append((page, [dict(zip(("href", "anchor", "context", "document_type"), x, strict=True)) for x in links], badge(root, audience_class), badge(root, topic_class), questions, "\n".join(b for b in blocks if b)))
-            link = pa.struct([(n, pa.string()) for n in ("href", "anchor", "context", "document_type")])
-            kinds = (batch.column(0).type, pa.list_(link), pa.string(), pa.string(), pa.list_(pa.struct([("question", pa.string()), ("answer", pa.string())])), pa.string())
-            columns = zip(*out, strict=True) if out else [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [key, "links", "audience", "site_topic", "questions", "main_text"])
-
-    kind = pages.schema[key].dataType.simpleString()
-    return pages.select(key, html).mapInArrow(run, f"{key} {kind}, links array<struct<href:string,anchor:string,context:string,document_type:string>>, audience string, site_topic string, questions array<struct<question:string,answer:string>>, main_text string")
+    rows = stored(E.tokens(pages, key=key, html=html))
+    root_is = (F.col("name") == root_tag) & (E.has_class(F.col("attrs"), root_class) if root_class else F.lit(True))
+    root = E.content_root(rows, root_is, key=key)
+    found = E.link_candidates(root, skip_tags=skip_tags, skip_classes=SKIP_CLASSES, text_tags=TEXT_TAGS, card_classes=CARD_CLASSES, file_class="bcl-file", title_class="file-title", key=key)
+    gathered = lambda df, name, *cols: df.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", *cols))), lambda x: F.struct(*(x[c].alias(c) for c in cols))).alias(name))
+    links = gathered(found, "links", "href", "anchor", "context", "document_type")
+    questions = gathered(E.accordion_items(rows, key=key), "questions", "question", "answer")
+    labels = E.badges(root, {"audience": audience_class, "site_topic": topic_class}, key=key)
+    text = E.main_texts(E.content_root(rows, root_is, key=key, or_all=True), blocks=LINE_TAGS, skip_tags=skip_tags, key=key)
+    out = pages.select(key)
+    for part in (links, labels, questions, text):
+        out = out.join(part, key, "left")
+    none = lambda c: F.coalesce(c, F.array().cast(out.schema[c].dataType))
+    return out.select(key, none("links").alias("links"), "audience", "site_topic", none("questions").alias("questions"), F.coalesce("main_text", F.lit("")).alias("main_text"))
 
 
 def typed_links(elements: DataFrame, *, domains: tuple[str, ...], key: str = "page_id", url: str = "url") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import rules as R
 from ..functions import scalars as S
 from ..operators import catalog, chunk, corpus, extract, graph, tables
+from ..operators import elements as E
 from .shared import WHITE, read, register
 
 NORM = f"trim(regexp_replace(lower(text), '{WHITE}', ' ', 'g'), ' ')"
@@ -133,16 +134,99 @@ def page_links(spark, d):
     return extract.page_anchors(read(spark, d, "pages")).select("page_id", "pos", "tgt_url")
 
 
-@register(None)
-def content_links(spark, d):
+# pages with cards, files, badges and questions put into their articles
+CRAFT = ("replace(replace(html, '<article>', '<article><div class=\"listing-item\"><a href=\"/card' || page_id || '\">Card</a></div><div class=\"bcl-file\" data-x-document-type=\"Leaflet\"><span class=\"file-title\">File <b>one</b></span><a href=\"/f' || page_id || '.pdf\">get</a></div><span class=\"x-bg-category\"><i>not</i><span class=\"label\">Human</span></span><span class=\"bg-topic\">Topic ' || page_id % 5 || '</span>'), "
+    "'</article>', '<p>See <a href=\"/card' || page_id || '\">here</a><form><a href=\"/skipped\">s</a></form><div class=\"accordion-item\"><h2 class=\"accordion-header\">Q <button>Is it ' || page_id || '?</button></h2><div class=\"accordion-body\"><p>Yes<p>and <b>more</div></div><div class=\"accordion-item\"><h2 class=\"accordion-header\">No body</h2></div></article>')")
+
+
+def crafted(spark, d):
     pages = read(spark, d, "pages")
-    found = extract.page_elements(pages, root_tag="body", root_class=None, skip_tags=extract.SKIP_TAGS - {"nav"}).join(pages.select("page_id", "url"), "page_id")
-    return extract.typed_links(found, domains=("example.com", "example.org", "example.net"))
+    return pages.select("page_id", "url", F.expr(CRAFT).alias("html"))
+
+
+def _quoted(*names: str) -> str:
+    return ", ".join(f"'{n}'" for n in names)
+
+
+_TAG, _DROPPED = (x.replace("'", "''") for x in (E.TAG, E.DROPPED))
+#: Tokens and elements of a table g(page_id, url, html), numbered by their tags, and plain words after each tag.
+ELEMENTS = f"""c AS (SELECT page_id, regexp_replace(coalesce(html, ''), '{_DROPPED}', ' ', 'g') AS clean FROM g),
+k AS (SELECT page_id, unnest(range(len(x))) AS pos, unnest(list_concat([''], t)) AS tag, unnest(x) AS text FROM (SELECT page_id, regexp_extract_all(clean, '{_TAG}') AS t, string_split_regex(clean, '{_TAG}') AS x FROM c)),
+n AS (SELECT page_id, pos, text, lower(regexp_extract(tag, '^{_TAG}$', 2)) AS name, regexp_extract(tag, '^{_TAG}$', 3) AS attrs, starts_with(tag, '</') AS closing FROM k),
+s AS (SELECT *, CASE WHEN name = '' OR name IN ({_quoted(*E.VOID)}) OR ends_with(attrs, '/') THEN 0 WHEN closing THEN -1 ELSE 1 END AS side FROM n),
+o AS (SELECT *, sum(side) OVER (PARTITION BY page_id, name ORDER BY pos) - CASE WHEN side = 1 THEN 1 ELSE 0 END AS nest FROM s),
+m AS (SELECT page_id, pos, CASE WHEN lead(side) OVER w = -1 THEN lead(pos) OVER w END AS stop FROM o WHERE side <> 0 WINDOW w AS (PARTITION BY page_id, name, nest ORDER BY pos)),
+p AS (SELECT s.*, m.stop FROM s LEFT JOIN m ON m.page_id = s.page_id AND m.pos = s.pos AND s.side = 1),
+h AS (SELECT page_id, pos, stop FROM p WHERE stop IS NOT NULL AND name IN ({_quoted(*E.CONTAINERS)})),
+u AS (SELECT p.page_id, p.pos, min(h.stop) AS around FROM p JOIN h ON h.page_id = p.page_id AND h.pos < p.pos AND p.pos < h.stop WHERE p.side = 1 AND p.stop IS NULL GROUP BY ALL),
+b AS (SELECT p.page_id, p.pos, min(q.pos) AS block FROM p JOIN p q ON q.page_id = p.page_id AND q.pos > p.pos AND NOT q.closing AND q.name IN ({_quoted(*E.BLOCKS)}) WHERE p.side = 1 AND p.stop IS NULL AND p.name NOT IN ({_quoted(*E.CONTAINERS)}) GROUP BY ALL),
+z AS (SELECT page_id, count(*) AS size FROM p GROUP BY page_id),
+e AS (SELECT p.page_id, p.pos AS pre, CASE WHEN side = 0 THEN p.pos ELSE coalesce(stop, least(coalesce(around, size), coalesce(block, size))) END AS post, name, attrs,
+  regexp_extract(attrs, '(?is)(?:^|[\\s"''/])class\\s*=\\s*"([^"]*)"', 1) AS cls, regexp_extract(attrs, '(?is)(?:^|[\\s"''/])href\\s*=\\s*"([^"]*)"', 1) AS href FROM p JOIN z USING (page_id) LEFT JOIN u USING (page_id, pos) LEFT JOIN b USING (page_id, pos) WHERE name <> '' AND NOT closing),
+x AS (SELECT page_id, pos, trim(regexp_replace(regexp_replace(replace(replace(replace(text, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;?', '&', 'g'), '\\s+', ' ', 'g'), ' ') AS t FROM p)"""
+
 
+def _of_class(alias: str, name: str) -> str:
+    return f"regexp_matches({alias}.cls, '(?:^|\\s)(?:{name})(?:\\s|$)')"
 
-@register(None)
+
+def _inside(inner: str, outer: str, at: str = "pre") -> str:
+    return f"{outer}.page_id = {inner}.page_id AND {outer}.pre {'<' if at == 'pre' else '<='} {inner}.{at} AND {inner}.{at} < {outer}.post"
+
+
+@register(f"WITH g AS (SELECT * FROM pages), {ELEMENTS} SELECT page_id, pre, post, name FROM e")
+def element_table(spark, d):
+    """Elements of pages, numbered by their start and end tags; some have no end tag."""
+    return E.tokens(read(spark, d, "pages")).where("post is not null").select("page_id", F.col("pos").alias("pre"), "post", "name")
+
+
+HOST = "regexp_extract(g.url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1)"
+
+
+@register(f"""WITH g AS (SELECT page_id, url, {CRAFT} AS html FROM pages), {ELEMENTS}, root AS (SELECT page_id, min(pre) AS pre, arg_min(post, pre) AS post FROM e WHERE name = 'body' GROUP BY page_id),
+l AS (SELECT e.page_id, e.pre, e.post, e.href, (SELECT max(f.pre) FROM e f WHERE {_inside("e", "f")} AND {_of_class("f", "bcl-file")}) AS file, EXISTS (SELECT 1 FROM e f WHERE {_inside("e", "f")} AND {_of_class("f", "|".join(extract.CARD_CLASSES))}) AS card,
+  EXISTS (SELECT 1 FROM e f WHERE {_inside("e", "f")} AND f.name IN ({_quoted(*extract.TEXT_TAGS)})) AS flow, EXISTS (SELECT 1 FROM e f WHERE {_inside("e", "f")} AND (f.name IN ('button', 'form') OR {_of_class("f", "|".join(extract.SKIP_CLASSES))})) AS skip
+  FROM e JOIN root r ON {_inside("e", "r")} WHERE e.name = 'a' AND e.href <> ''),
+y AS (SELECT l.*, CASE WHEN file IS NOT NULL THEN 3 WHEN card THEN 2 WHEN flow THEN 1 ELSE 0 END AS priority, (SELECT string_agg(t, ' ' ORDER BY pos) FROM x WHERE x.page_id = l.page_id AND l.pre <= pos AND pos < l.post AND t <> '') AS own,
+  (SELECT string_agg(t, ' ' ORDER BY pos) FROM x JOIN e f ON {_inside("x", "f", "pos")} AND {_of_class("f", "file-title")} JOIN e q ON q.page_id = f.page_id AND q.pre = l.file AND q.pre < f.pre AND f.pre < q.post WHERE x.page_id = l.page_id AND t <> '') AS title FROM l WHERE NOT skip),
+w AS (SELECT y.page_id, {HOST} || regexp_replace(replace(href, '&amp;', '&'), '#.*$', '') AS tgt_url, lower(regexp_extract(g.url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)) AS h, regexp_replace(g.url, '#.*$', '') AS self, coalesce(title, own, '') AS anchor, priority, pre FROM y JOIN g USING (page_id) WHERE starts_with(href, '/'))
+SELECT page_id, tgt_url, anchor[1:200] AS anchor, CASE WHEN regexp_matches(lower(tgt_url), '^[^?#]*\\.(pdf|doc|docx|xls|xlsx|ppt|pptx|zip|csv)$') THEN 'file' WHEN h = 'example.com' OR ends_with(h, '.example.com') THEN 'page' ELSE 'external' END AS kind, CASE priority WHEN 3 THEN 'file_component' WHEN 2 THEN 'card_or_listing' WHEN 1 THEN 'inline' ELSE 'other' END AS link_context, CASE WHEN priority = 3 THEN 'Leaflet' END AS document_type
+FROM w WHERE tgt_url <> self QUALIFY row_number() OVER (PARTITION BY page_id, tgt_url ORDER BY priority DESC, pre) = 1""")
+def content_links(spark, d):
+    """Links of pages with their contexts; a target that has several keeps the richest."""
+    pages = crafted(spark, d)
+    found = extract.page_elements(pages, root_tag="body", root_class=None, skip_tags=("button", "form")).join(pages.select("page_id", "url"), "page_id")
+    return extract.typed_links(found, domains=("example.com",)).select("page_id", "tgt_url", "anchor", "kind", "link_context", "document_type")
+
+
+@register(f"""WITH g AS (SELECT page_id, url, {CRAFT} AS html FROM pages), {ELEMENTS}, f AS (SELECT e.page_id, min(e.pre) AS pre, arg_min(e.post, e.pre) AS post, which FROM e JOIN (VALUES ('audience', '\\S*bg-category'), ('site_topic', '\\S*bg-topic')) v(which, pattern) ON regexp_matches(cls, '(?:^|\\s)(?:' || pattern || ')(?:\\s|$)') WHERE name = 'span' GROUP BY e.page_id, which),
+q AS (SELECT f.page_id, which, coalesce(min(b.pre), f.pre) AS pre, coalesce(arg_min(b.post, b.pre), f.post) AS post FROM f LEFT JOIN e b ON {_inside("b", "f")} AND b.name = 'span' AND {_of_class("b", "label")} GROUP BY f.page_id, which, f.pre, f.post),
+t AS (SELECT q.page_id, which, string_agg(t, ' ' ORDER BY pos) AS text FROM q JOIN x ON {_inside("x", "q", "pos")} WHERE t <> '' GROUP BY ALL)
+SELECT g.page_id, max(text) FILTER (WHERE which = 'audience') AS audience, max(text) FILTER (WHERE which = 'site_topic') AS site_topic FROM g LEFT JOIN t USING (page_id) GROUP BY g.page_id""")
+def page_badges(spark, d):
+    """X11: audience and topic badges of pages."""
+    return extract.page_elements(crafted(spark, d), root_tag="article", root_class=None).select("page_id", "audience", "site_topic")
+
+
+@register(f"""WITH g AS (SELECT page_id, url, {CRAFT} AS html FROM pages), {ELEMENTS}, i AS (SELECT * FROM e WHERE {_of_class("e", "accordion-item")}),
+a AS (SELECT i.page_id, i.pre, (SELECT string_agg(t, ' ' ORDER BY pos) FROM x JOIN e b ON {_inside("x", "b", "pos")} AND b.name = 'button' AND {_inside("b", "i")} WHERE t <> '') AS button, (SELECT string_agg(t, ' ' ORDER BY pos) FROM x JOIN e b ON {_inside("x", "b", "pos")} AND {_of_class("b", "accordion-header")} AND {_inside("b", "i")} WHERE t <> '') AS heading,
+  (SELECT string_agg(t, ' ' ORDER BY pos) FROM x JOIN e b ON {_inside("x", "b", "pos")} AND {_of_class("b", "accordion-body")} AND {_inside("b", "i")} WHERE t <> '') AS answer FROM i)
+SELECT page_id, coalesce(button, heading) AS question, answer FROM a WHERE answer IS NOT NULL AND coalesce(button, heading) IS NOT NULL""")
+def accordion_questions(spark, d):
+    """Questions and answers of accordion items."""
+    pages = crafted(spark, d)
+    found = extract.page_elements(pages).join(pages.select("page_id", "url"), "page_id")
+    records = extract.accordion_qa(found, url="page_id")
+    return records.select(F.col("source_url").alias("page_id"), "question", "answer")
+
+
+@register(f"""WITH g AS (SELECT page_id, url, {CRAFT} AS html FROM pages), {ELEMENTS}, r AS (SELECT page_id, min(pre) AS pre, arg_min(post, pre) AS post FROM e WHERE name = 'article' GROUP BY page_id),
+y AS (SELECT x.page_id, x.pos, t, (SELECT count(*) FROM p WHERE p.page_id = x.page_id AND r.pre <= p.pos AND p.pos <= x.pos AND p.name IN ({_quoted(*extract.LINE_TAGS)})) AS line FROM x JOIN r ON {_inside("x", "r", "pos")} WHERE t <> '' AND NOT EXISTS (SELECT 1 FROM e f WHERE {_inside("x", "f", "pos")} AND f.name IN ({_quoted(*extract.SKIP_TAGS)}))),
+l AS (SELECT page_id, line, string_agg(t, ' ' ORDER BY pos) AS t FROM y GROUP BY ALL), t AS (SELECT page_id, string_agg(t, chr(10) ORDER BY line) AS main_text FROM l GROUP BY page_id)
+SELECT page_id, length(coalesce(main_text, '')) AS extracted_chars, CASE WHEN coalesce(main_text, '') = '' THEN 'empty_input' WHEN length(main_text) < 200 THEN 'landing_page_below_min_chars' ELSE '' END AS error, sha256(coalesce(main_text, '')) AS text_sha FROM g LEFT JOIN t USING (page_id)""")
 def main_text(spark, d):
-    found = extract.parsed_pages(extract.page_elements(read(spark, d, "pages"), root_tag="article", root_class=None))
+    """The text of pages' articles, a line for each block."""
+    found = extract.parsed_pages(extract.page_elements(crafted(spark, d), root_tag="article", root_class=None))
     return found.select("page_id", "extracted_chars", "error", F.sha2("main_text", 256).alias("text_sha"))
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import folded, quote, rating, unfolded_place
+from ..sources.shared import stored
 
 #: Least similarity of a claim to its span and least length of a claim, what a benchmark item needs, and how many items of each type there are to be.
 FUZZY, LEAST_CLAIM = 0.85, 8
@@ -301,18 +302,31 @@ def tool_steps(events: DataFrame, *, by: str = "run_id") -> DataFrame:
     return events.withColumn("seq", F.row_number().over(Window.partitionBy(by).orderBy("start_ns", "span_id"))).withColumn("duration_ms", F.round((F.col("end_ns") - F.col("start_ns")) / 1e6, 3))
 
 
+def tool_ancestors(spans: DataFrame, *, most_rounds: int = 40) -> DataFrame:
+    """(trace_id, span_id, tool) for each tool span above a span of spans(trace_id, span_id, parent_id, kind), at any height.
+
+    By pointer jumping: each round doubles the height that pointers leap and that
+    tools are known up to, so a chain of n spans takes log2(n) rounds. A parent that
+    is no span ends a chain; spans that are their own ancestors are an error.
+    """
+    ids = spans.select("trace_id", F.col("span_id").alias("up"), (F.col("kind") == "TOOL").alias("tool"))
+    jump = stored(spans.where("parent_id is not null").select("trace_id", "span_id", F.col("parent_id").alias("up")).join(ids, ["trace_id", "up"]))
+    found = jump.where("tool").select("trace_id", "span_id", F.col("up").alias("tool"))
+    jump = jump.select("trace_id", "span_id", "up")
+    for _ in range(most_rounds):
+        if jump.isEmpty():
+            return found
+        ahead = found.select("trace_id", F.col("span_id").alias("up"), "tool")
+        found = stored(found.unionByName(jump.join(ahead, ["trace_id", "up"]).select("trace_id", "span_id", "tool")))
+        further = jump.select("trace_id", F.col("span_id").alias("up"), F.col("up").alias("far"))
+        jump = stored(jump.join(further, ["trace_id", "up"]).select("trace_id", "span_id", F.col("far").alias("up")))
+    raise ValueError("spans that are their own ancestors")
+
+
 def retriever_metadata(spans: DataFrame) -> DataFrame:
-    """(tool_span, source_url, meta): retriever spans(trace_id, span_id, parent_id, kind, source_url, meta, start_ns) below each tool span; the first writer per address counts."""
-    spans.createOrReplaceTempView("_spans_of_traces")
-    closure = spans.sparkSession.sql("""
-        WITH RECURSIVE up(trace_id, span_id, ancestor) AS (
-          SELECT trace_id, span_id, parent_id FROM _spans_of_traces WHERE parent_id IS NOT NULL
-          UNION ALL
-          SELECT u.trace_id, u.span_id, s.parent_id FROM up u JOIN _spans_of_traces s ON s.trace_id = u.trace_id AND s.span_id = u.ancestor WHERE s.parent_id IS NOT NULL
-        ) SELECT * FROM up""")
-    tools = spans.where("kind = 'TOOL'").select("trace_id", F.col("span_id").alias("ancestor"))
-    found = closure.join(tools, ["trace_id", "ancestor"]).join(spans.where("kind = 'RETRIEVER' and source_url is not null"), ["trace_id", "span_id"])
-    return found.groupBy("trace_id", F.col("ancestor").alias("tool_span"), "source_url").agg(F.min_by("meta", F.struct("start_ns", "span_id")).alias("meta"))
+    """(trace_id, tool_span, source_url, meta): retriever spans(trace_id, span_id, parent_id, kind, source_url, meta, start_ns) below each tool span; the first writer per address counts."""
+    found = tool_ancestors(spans).join(spans.where("kind = 'RETRIEVER' and source_url is not null"), ["trace_id", "span_id"])
+    return found.groupBy("trace_id", F.col("tool").alias("tool_span"), "source_url").agg(F.min_by("meta", F.struct("start_ns", "span_id")).alias("meta"))
 
 
 def rated_runs(assessments: DataFrame, runs: DataFrame, least: float = 1.0) -> DataFrame:

@@ -1,9 +1,10 @@
 """Batch retrieval: a table of queries against a table of chunks.
 
-queries(query_id, vec) and chunks(chunk_id, vec, ...) hold unit vectors, both of
-any size. Each is packed into blocks of fixed size, a block to a row; each pair of
-blocks gives the best k of its chunks for each of its queries, and only those meet
-in a shuffle. No vector passes through the driver.
+queries(query_id, vec) and chunks(chunk_id, vec, ...) hold vectors, both tables of
+any size. Chunks are packed into blocks of bounded size, those near one pivot
+together, with their centre and radius. A query first meets the block whose centre
+is nearest, whose k-th score bounds what can win; then only blocks that can still
+hold a winner. No vector of a query or chunk passes through the driver.
 """
 
 from __future__ import annotations
@@ -12,13 +13,18 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rules import CATEGORIES, ROUTES, keyword_pattern
 from ..functions.scalars import similarity
+from ..sources.shared import stored
 
-QUERY_BLOCK, CHUNK_BLOCK = 1024, 4096
+#: Chunks of a block, queries that meet it at once, chunks from which on they are dealt to pivots, and how many pivots at most.
+CHUNK_BLOCK, ASKED, LEAST_DEALT, PIVOTS = 4096, 8192, 1 << 16, 256
+#: Up to so many blocks the driver knows centres of, to bound their scores; with more of them each query meets all.
+CENTRES = 1 << 14
 
 
 def best(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:
@@ -39,7 +45,7 @@ def vector_topk(queries: DataFrame, chunks: DataFrame, k: int, *, filter_: Colum
         order = np.lexsort((np.broadcast_to(names[:, 0], scores.shape), -scores), axis=1)[:, :k]
         return [np.repeat(ids, order.shape[1]), names[order, 0].ravel(), np.take_along_axis(scores, order, 1).ravel()]
 
-    return best(_products(queries, chunks, ["chunk_id"], nearest, digits), ["query_id"], [F.desc("score"), F.asc("chunk_id")], k)
+    return best(_products(queries, chunks, ["chunk_id"], nearest, digits, k), ["query_id"], [F.desc("score"), F.asc("chunk_id")], k)
 
 
 def best_chunks(queries: DataFrame, chunks: DataFrame, k: int | None = None, *, digits: int = 6) -> DataFrame:
@@ -62,7 +68,7 @@ def best_chunks(queries: DataFrame, chunks: DataFrame, k: int | None = None, *,
         take = lambda x: np.take_along_axis(x, chosen, 1).ravel()
         return [np.repeat(ids, chosen.shape[1]), own[take(at), 0], take(docs), take(most)]
 
-    rows = _products(queries, chunks, ["chunk_id", "doc_id"], nearest, digits)
+    rows = _products(queries, chunks, ["chunk_id", "doc_id"], nearest, digits, k)
     first = F.max_by(F.struct("chunk_id", "score"), F.struct("score", (-F.col("chunk_id")).alias("t"))).alias("b")
     one = rows.groupBy("query_id", "doc_id").agg(first).select("query_id", "doc_id", "b.*")
     ranked = one.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")))
@@ -81,36 +87,107 @@ def scored_documents(queries: DataFrame, chunks: DataFrame, *, digits: int = 6)
     return scored
 
 
-def _blocks(df: DataFrame, ids: Sequence[str], size: int, name: str) -> DataFrame:
-    """(name_ids, name_vecs): the rows of df that have a vector, at most size to a row, as bytes of longs and doubles."""
+def _floats(column: pa.Array, size: int) -> np.ndarray:
+    """Lists of numbers as rows of a matrix; shorter ones end in zeros."""
+    length = np.asarray(column.value_lengths(), np.int64)
+    if len(length) and (length == size).all():
+        return np.asarray(column.flatten(), np.float64).reshape(-1, size)
+    out = np.zeros((len(length), size))
+    row = np.repeat(np.arange(len(length)), length)
+    out[row, np.arange(len(row)) - np.repeat(np.cumsum(length) - length, length)] = np.asarray(column.flatten(), np.float64)
+    return out
 
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, size):
-                part = batch.slice(lo, size)
-                own = np.stack([np.asarray(c).astype(np.int64) for c in part.columns[:-1]], axis=1)
-                row = [own.tobytes(), part.column(len(ids)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).tobytes()]
-                yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in row], [f"{name}_ids", f"{name}_vecs"])
 
-    rows = df.select(*(F.col(c).cast("long").alias(c) for c in ids), F.col("vec").cast("array<double>").alias("vec")).where(F.col("vec").isNotNull())
-    return rows.mapInArrow(packed, f"{name}_ids binary, {name}_vecs binary")
+def _width(*columns: pa.Array) -> int:
+    return max((int(np.asarray(c.value_lengths()).max(initial=0)) for c in columns), default=0)
 
 
-def _products(queries: DataFrame, chunks: DataFrame, ids: Sequence[str], keep: Callable, digits: int) -> DataFrame:
-    """(query_id, *ids, score): what keep(query ids, rows of chunk ids, scores) takes of each pair of a query block and a chunk block."""
+def _dealt(chunks: DataFrame, ids: Sequence[str], n: int) -> DataFrame:
+    """(block, centre, radius, rows): chunks packed by the pivot they are nearest to; the pivots are chunks, the first by a hash of their id."""
+    own = chunks.select(*(F.col(c).cast("long").alias(c) for c in ids), F.col("vec").cast("array<double>").alias("vec")).where(F.col("vec").isNotNull())
+    pivots = own.orderBy(F.xxhash64(ids[0]), ids[0]).limit(min(PIVOTS, n // CHUNK_BLOCK)).toArrow().column("vec").combine_chunks() if n >= LEAST_DEALT else None
 
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(batch.num_rows):
-                asked, vectors, own, found = (np.frombuffer(batch.column(c)[at].as_py(), t) for c, t in enumerate((np.int64, np.float64) * 2))
-                names = own.reshape(-1, len(ids))
-                scores = np.round((1 + vectors.reshape(len(asked), -1) @ found.reshape(len(names), -1).T) / 2, digits)
-                for lo in range(0, len(asked), 128):
-                    out = keep(asked[lo : lo + 128], names, scores[lo : lo + 128])
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["query_id", *ids, "score"])
-
-    pairs = _blocks(queries, ["query_id"], QUERY_BLOCK, "q").crossJoin(_blocks(chunks, ids, CHUNK_BLOCK, "c"))
-    return pairs.mapInArrow(scored, "query_id long, " + "".join(f"{c} long, " for c in ids) + "score double")
+            size = _width(batch.column("vec"), pivots)
+            at = np.argmax(_floats(batch.column("vec"), size) @ _floats(pivots, size).T, axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at.astype(np.int32))], [*batch.schema.names, "cell"])
+
+    rows = own.withColumn("cell", F.lit(0)) if pivots is None else own.mapInArrow(cells, ", ".join(f"{c} long" for c in ids) + ", vec array<double>, cell int")
+    # at most as many cells as pivots
+    sizes = rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / CHUNK_BLOCK).cast("int").alias("parts"))
+    named = rows.join(F.broadcast(sizes), "cell").withColumn("part", F.pmod(F.xxhash64(*ids), F.col("parts")).cast("int"))
+
+    def packed(key: tuple, table: pa.Table) -> pa.Table:
+        vec = table.column("vec").combine_chunks()
+        values = _floats(vec, _width(vec))
+        centre = values.mean(axis=0)
+        radius = float(np.sqrt(((values - centre) ** 2).sum(axis=1).max()))
+        names = np.stack([np.asarray(table.column(c)) for c in ids], axis=1)
+        return pa.table({"cell": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([key[1].as_py()], pa.int32()), "centre": pa.array([centre.tolist()], pa.list_(pa.float64())), "radius": pa.array([radius]), "ids": pa.array([names.tobytes()], pa.binary()), "vecs": pa.array([values.tobytes()], pa.binary())})
+
+    made = named.groupBy("cell", "part").applyInArrow(packed, "cell int, part int, centre array<double>, radius double, ids binary, vecs binary")
+    return stored(made.select((F.shiftleft(F.col("cell").cast("long"), 32) + F.col("part")).alias("block"), "centre", "radius", "ids", "vecs"))
+
+
+def _met(blocks: DataFrame, asked: DataFrame, ids: Sequence[str], keep: Callable, digits: int, n_queries: int) -> DataFrame:
+    """(query_id, *ids, score): what keep(query ids, rows of chunk ids, scores) takes of each block for the asked(query_id, vec, block) that meet it."""
+    n_parts = max(1, -(-n_queries // ASKED))
+    sent = asked.select("block", F.pmod(F.xxhash64("query_id"), F.lit(n_parts)).cast("int").alias("part"), "query_id", "vec")
+    kept = blocks.select("block", F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1))).alias("part"), "ids", "vecs")
+
+    def scored(table: pa.Table) -> pa.Table:
+        given = table.column("ids").is_valid()
+        block, rows = table.filter(given), table.filter(pc.invert(given))
+        out = []
+        if block.num_rows and rows.num_rows:
+            names = np.frombuffer(block.column("ids")[0].as_py(), np.int64).reshape(-1, len(ids))
+            found = np.frombuffer(block.column("vecs")[0].as_py(), np.float64).reshape(len(names), -1)
+            vec = rows.column("vec").combine_chunks()
+            values = _floats(vec, max(_width(vec), found.shape[1]))[:, : found.shape[1]]
+            asks = np.asarray(rows.column("query_id"))
+            for lo in range(0, len(asks), 128):
+                out.append(keep(asks[lo : lo + 128], names, np.round((1 + values[lo : lo + 128] @ found.T) / 2, digits)))
+        columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * (1 + len(ids)) + [np.zeros(0)]
+        return pa.table(dict(zip(["query_id", *ids, "score"], columns, strict=True)))
+
+    return kept.unionByName(sent, allowMissingColumns=True).groupBy("block", "part").applyInArrow(scored, "query_id long, " + "".join(f"{c} long, " for c in ids) + "score double")
+
+
+def _bounded(queries: DataFrame, centres: pa.Table, digits: int, *, all_of: bool) -> DataFrame:
+    """queries with block: the one whose bound is greatest, or, if all_of, each whose bound reaches the query's least score, tau."""
+    blocks, radii = np.asarray(centres.column("block")), np.asarray(centres.column("radius"))
+    vec = centres.column("centre").combine_chunks()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 512):
+                batch = whole.slice(lo, 512)
+                size = _width(batch.column("vec"), vec)
+                values = _floats(batch.column("vec"), size)
+                norm = np.sqrt((values**2).sum(axis=1))
+                # no chunk of a block is more like the query; a little room for floating point
+                most = np.round((1 + values @ _floats(vec, size).T + norm[:, None] * radii) / 2 + 1e-9 * (1 + norm[:, None]) + 10.0**-digits, digits)
+                row, at = np.nonzero(most >= np.asarray(batch.column("tau"))[:, None]) if all_of else (np.arange(len(most)), np.argmax(most, axis=1))
+                yield pa.RecordBatch.from_arrays([batch.column("query_id").take(pa.array(row)), batch.column("vec").take(pa.array(row)), pa.array(blocks[at])], ["query_id", "vec", "block"])
+
+    return queries.mapInArrow(run, "query_id long, vec array<double>, block long")
+
+
+def _products(queries: DataFrame, chunks: DataFrame, ids: Sequence[str], keep: Callable, digits: int, k: int | None) -> DataFrame:
+    """(query_id, *ids, score): what keep takes of each block of chunks for each query, for all blocks that can hold one of its k best (or all if k is None)."""
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("vec").cast("array<double>").alias("vec")).where(F.col("vec").isNotNull())
+    n_queries, n = asked.count(), chunks.where(F.col("vec").isNotNull()).count()
+    blocks = _dealt(chunks, ids, n)
+    if k is None or n < LEAST_DEALT or n // CHUNK_BLOCK > CENTRES:
+        # as many numbers as there are blocks
+        every = blocks.agg(F.collect_list("block").alias("all"))
+        return _met(blocks, asked.crossJoin(F.broadcast(every)).select("query_id", "vec", F.explode("all").alias("block")), ids, keep, digits, n_queries)
+    centres = blocks.select("block", "centre", "radius").toArrow()
+    near = _met(blocks, _bounded(asked, centres, digits, all_of=False), ids, keep, digits, n_queries)
+    least = near.groupBy("query_id").agg(F.min("score").alias("tau"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select("query_id", "tau")
+    bounded = stored(asked.join(least, "query_id", "left").withColumn("tau", F.coalesce("tau", F.lit(float("-inf")))))
+    return _met(blocks, _bounded(bounded, centres, digits, all_of=True), ids, keep, digits, n_queries)
 
 
 def small_to_big(hits: DataFrame, parents: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
@@ -295,14 +296,83 @@ def labels_by_group(spark, d):
     return out[0].unionByName(out[1])
 
 
-@register(f"WITH p AS (SELECT page_id, url, {PATH} AS path FROM pages), k AS (SELECT page_id, CASE WHEN path IN ('', '/') THEN '' ELSE path END AS path, page_id % 7 AS hub FROM p) SELECT hub, count(*) AS pages, count(nullif(path, '')) AS with_path FROM k GROUP BY hub")
+GRAPH = """t AS (SELECT doc_id AS n, 'u' || doc_id AS url, sha256('u' || doc_id) AS id, text, list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '') AS t FROM documents WHERE trim(text, ' ') <> ''),
+l AS (SELECT DISTINCT a.id AS src, b.id AS tgt FROM t a JOIN t b ON b.n IN ((a.n * 7 + 3) % 1000, (a.n * 11 + 5) % 1000) WHERE a.id <> b.id),
+x AS (SELECT id, level, array_to_string(t[w * size + 1:w * size + size], ' ') AS text FROM (SELECT id, t, 0 AS level, 256 AS size, unnest(range(ceil(len(t) / 256)::BIGINT)) AS w FROM t UNION ALL SELECT id, t, 1, 64, unnest(range(ceil(len(t) / 64)::BIGINT)) FROM t UNION ALL SELECT id, t, 2, 16, unnest(range(ceil(len(t) / 16)::BIGINT)) FROM t)),
+c AS (SELECT id, count(*) AS chunks, count(*) FILTER (WHERE level = 2) AS leaves, sum(length(text))::BIGINT AS chars FROM x WHERE length(text) >= 80 GROUP BY id), o AS (SELECT src AS id, count(*) AS links FROM l GROUP BY src)"""
+
+
+def graph_inputs(spark, d):
+    """Parsed documents with addresses, typed links by arithmetic, labels of some, badges of all."""
+    docs = read(spark, d, "documents")
+    url = lambda x: F.concat(F.lit("u"), x.cast("string"))
+    n = F.col("doc_id")
+    parsed = docs.select(url(n).alias("url"), F.when(n % 3 == 0, "application/pdf").otherwise("text/html").alias("content_type"), "text")
+    links = docs.select(url(n).alias("src_url"), F.explode(F.array((n * 7 + 3) % 1000, (n * 11 + 5) % 1000)).alias("m")).select("src_url", url(F.col("m")).alias("tgt_url"), F.lit("").alias("anchor"))
+    meta = read(spark, d, "labels").select(url(n).alias("url"), F.nullif(F.col("toxic").cast("string"), F.lit("0")).alias("audience"), F.col("quality").cast("string").alias("site_topic"))
+    return parsed, links, meta, parsed.select("url", F.lit("page").alias("audience"), F.lit("own").alias("site_topic"))
+
+
+@register(f"""WITH {GRAPH} SELECT t.url, CASE WHEN n % 3 = 0 THEN 'pdf' ELSE 'html' END AS source_type, strlen(text) AS raw_byte_size, CASE WHEN m.doc_id IS NOT NULL THEN nullif(toxic, 0)::VARCHAR WHEN n % 3 <> 0 THEN 'page' END AS audience, CASE WHEN m.doc_id IS NOT NULL THEN quality::VARCHAR WHEN n % 3 <> 0 THEN 'own' END AS site_topic,
+coalesce(chunks, 0) AS chunks, coalesce(leaves, 0) AS leaves, coalesce(chars, 0) AS chars, coalesce(links, 0) AS links FROM t LEFT JOIN labels m ON m.doc_id = t.n LEFT JOIN c USING (id) LEFT JOIN o USING (id)""")
 def graph_build(spark, d):
-    """Document, chunk and link tables of pages, counted by a group of pages."""
-    pages = read(spark, d, "pages").select((F.col("page_id") % 7).alias("hub"), "page_id", S.url_path(F.col("url")).alias("path"))
-    docs = pages.select(F.col("page_id").alias("doc_id"), "hub")
-    chunks = pages.where("path not in ('', '/')").select("page_id", F.col("page_id").alias("chunk_id"), F.col("page_id").alias("doc_id"))
-    made = tables.graph_tables(docs.unionByName(docs), chunks.unionByName(chunks), pages.select(F.col("page_id").alias("src"), F.col("page_id").alias("tgt")))
-    return made["documents"].join(made["chunks"].select("doc_id", "chunk_id"), "doc_id", "left").groupBy("hub").agg(F.count(F.lit(1)).alias("pages"), F.count("chunk_id").alias("with_path"))
+    """Documents with labels and sizes, nested chunks and links of a graph, counted by document."""
+    made = jobs.build_tables(*graph_inputs(spark, d), sizes=(256, 64, 16))
+    chunks = made["chunks"].groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"), F.count_if("is_leaf").alias("leaves"), F.sum(F.length("text")).alias("chars"))
+    links = made["links"].groupBy(F.col("src").alias("doc_id")).agg(F.count(F.lit(1)).alias("links"))
+    rows = made["documents"].join(chunks, "doc_id", "left").join(links, "doc_id", "left").na.fill(0, ["chunks", "leaves", "chars", "links"])
+    return rows.select("url", "source_type", "raw_byte_size", "audience", "site_topic", "chunks", "leaves", "chars", "links")
+
+
+@register(f"WITH {GRAPH} SELECT t.url, chunks, leaves FROM t JOIN c USING (id) WHERE n % 2 = 1")
+def graph_build_resumed(spark, d):
+    """A build that goes on: half of the documents have their chunks already."""
+    parsed, *rest = graph_inputs(spark, d)
+    old = parsed.where("cast(substring(url, 2) as long) % 2 = 0").select(S.doc_id(F.col("url")).alias("doc_id"))
+    made = jobs.build_tables(parsed, *rest, chunked=old, sizes=(256, 64, 16))
+    chunks = made["chunks"].groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"), F.count_if("is_leaf").alias("leaves"))
+    return made["documents"].join(chunks, "doc_id").select("url", "chunks", "leaves")
+
+
+@register(f"""WITH {WALK}, k AS (SELECT DISTINCT hub FROM m), n AS (SELECT id, list(DISTINCT hub) AS hubs FROM m GROUP BY id), w AS (SELECT id, CASE id % 3 WHEN 0 THEN [category, 'old'] WHEN 1 THEN ['kept'] END AS had FROM p),
+s AS (SELECT w.id, list_sort(list_distinct(list_concat(list_filter(coalesce(had, []), lambda x: NOT starts_with(x, 'Brand#')), coalesce(hubs, [])))) AS hubs FROM w LEFT JOIN n USING (id) WHERE had IS NOT NULL OR hubs IS NOT NULL)
+SELECT p.id AS doc_id, array_to_string(coalesce(s.hubs, []), ',') AS hubs FROM p LEFT JOIN s USING (id)""")
+def membership_build(spark, d):
+    """Members of all hubs, stamped on labels that some parts have and set on the documents."""
+    docs = part_docs(spark, d)
+    had = F.when(F.col("doc_id") % 3 == 0, F.array("category", F.lit("old"))).when(F.col("doc_id") % 3 == 1, F.array(F.lit("kept")))
+    meta = docs.select("doc_id", had.alias("topic_hubs")).where("topic_hubs is not null")
+    hubs = part_hubs(spark, d)
+    # a build names its hubs, a key for each brand
+    keys = [r["hub"] for r in hubs.select("hub").collect()]
+    _, out = jobs.build_memberships(hubs, docs, part_edges(spark, d), meta, keys)
+    return out.select("doc_id", F.array_join("topic_hubs", ",").alias("hubs"))
+
+
+@register("""WITH m AS (SELECT doc_id AS url, 'a' || doc_id % 4 AS audience, 's' || doc_id % 3 AS site_topic, CASE WHEN doc_id % 5 <> 0 THEN 'd' || doc_id % 5 END AS doc_type FROM documents WHERE doc_id % 4 <> 3), b AS (SELECT doc_id AS url, CASE WHEN quality = 1 THEN 'good' END AS audience, 'l' || toxic AS site_topic FROM labels), t AS (SELECT doc_id AS url, CASE WHEN doc_id % 6 = 0 THEN NULL ELSE lang END AS type FROM documents WHERE doc_id % 2 = 0),
+x AS (SELECT coalesce(m.url, b.url) AS url, CASE WHEN b.url IS NOT NULL THEN b.audience ELSE m.audience END AS audience, CASE WHEN b.url IS NOT NULL THEN b.site_topic ELSE m.site_topic END AS site_topic, doc_type, CASE WHEN b.url IS NOT NULL THEN 'now' END AS provenance_badges FROM m FULL JOIN b USING (url))
+SELECT coalesce(x.url, t.url) AS url, audience, site_topic, CASE WHEN t.url IS NOT NULL THEN t.type ELSE doc_type END AS doc_type, provenance_badges, CASE WHEN t.url IS NOT NULL THEN 'now' END AS provenance_doc_type FROM x FULL JOIN t USING (url)""")
+def label_enrichment(spark, d):
+    """Labels with the badges of pages and the document types of an export; lost labels clear, blank types are null."""
+    docs, n = read(spark, d, "documents"), F.col("doc_id")
+    meta = docs.where(n % 4 != 3).select(n.alias("url"), F.concat(F.lit("a"), (n % 4).cast("string")).alias("audience"), F.concat(F.lit("s"), (n % 3).cast("string")).alias("site_topic"), F.when(n % 5 != 0, F.concat(F.lit("d"), (n % 5).cast("string"))).alias("doc_type"))
+    badges = read(spark, d, "labels").select(n.alias("url"), F.when(F.col("quality") == 1, "good").alias("audience"), _text("l", "toxic").alias("site_topic"))
+    types = docs.where(n % 2 == 0).select(n.alias("url"), F.when(n % 6 == 0, "").otherwise(F.col("lang")).alias("type"))
+    return jobs.enrich_labels(meta, badges, types, stamp=F.lit("now"))[0].select("url", "audience", "site_topic", "doc_type", "provenance_badges", "provenance_doc_type")
+
+
+SPANS = "s AS (SELECT conv_id AS trace_id, turn AS span_id, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS parent_id, CASE WHEN turn % 3 = 0 THEN 'TOOL' ELSE 'RETRIEVER' END AS kind, CASE WHEN turn % 4 <> 3 THEN 'u' || length(text) % 2 END AS source_url, length(text) AS meta FROM conversations)"
+
+
+@register(f"""WITH RECURSIVE {SPANS}, up AS (SELECT trace_id, span_id, parent_id AS a FROM s WHERE parent_id IS NOT NULL UNION ALL SELECT up.trace_id, up.span_id, s.parent_id FROM up JOIN s ON s.trace_id = up.trace_id AND s.span_id = up.a WHERE s.parent_id IS NOT NULL)
+SELECT up.trace_id, up.a AS tool_span, r.source_url, arg_min(r.meta, r.span_id) AS meta FROM up JOIN s t ON t.trace_id = up.trace_id AND t.span_id = up.a AND t.kind = 'TOOL' JOIN s r ON r.trace_id = up.trace_id AND r.span_id = up.span_id AND r.kind = 'RETRIEVER' AND r.source_url IS NOT NULL GROUP BY ALL""")
+def retriever_spans(spark, d):
+    """Turns of a conversation as a chain of spans, some of them tools."""
+    turns = read(spark, d, "conversations")
+    size, turn = F.length("text"), F.col("turn")
+    before = F.lag("turn").over(Window.partitionBy("conv_id").orderBy("turn"))
+    spans = turns.select(F.col("conv_id").alias("trace_id"), turn.alias("span_id"), before.alias("parent_id"), F.when(turn % 3 == 0, "TOOL").otherwise("RETRIEVER").alias("kind"), F.when(turn % 4 != 3, F.concat(F.lit("u"), (size % 2).cast("string"))).alias("source_url"), size.cast("long").alias("meta"), turn.alias("start_ns"))
+    return evaluate.retriever_metadata(spans)
 
 
 STEER = ("impurity", "EPAR", "nothing")

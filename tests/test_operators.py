@@ -510,3 +510,40 @@ def test_processors_in_order(spark):
 def test_passage_lines(spark):
     got = spark.range(1).select(S.numbered_line(F.lit(2), F.lit("u"), F.lit("qa"), F.lit(0.5), F.lit("text"))).first()[0]
     assert got == "[2] source=u category=qa score=0.500\ntext"
+
+
+def test_blocks_that_cannot_win_are_skipped(spark, monkeypatch):
+    """Clustered vectors: the same rows as by all products, while most pairs of queries and blocks are skipped; ties and short vectors too."""
+    import numpy as np
+
+    monkeypatch.setattr(retrieve, "CHUNK_BLOCK", 64)
+    monkeypatch.setattr(retrieve, "LEAST_DEALT", 1000)
+    r = np.random.default_rng(11)
+    centres = r.normal(size=(40, 16))
+    vectors = centres[r.integers(0, 40, 3000)] + r.normal(size=(3000, 16)) * 0.05
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    vectors[::9] = np.round(vectors[::9], 1)
+    rows = [(i, i // 3, v.tolist()) for i, v in enumerate(vectors)] + [(3000, 5000, [0.5]), (3001, 5001, None)]
+    vectors = np.concatenate([vectors, np.eye(1, 16) * 0.5])
+    chunks = spark.createDataFrame(rows, "chunk_id long, doc_id long, vec array<double>").repartition(3)
+    queries = chunks.where("chunk_id % 25 = 0").selectExpr("chunk_id AS query_id", "vec")
+    asked, met = [], retrieve._met
+    monkeypatch.setattr(retrieve, "_met", lambda blocks, rows, *x: (asked.append((rows.count(), blocks.count())), met(blocks, rows, *x))[1])
+    ids = list(range(0, 3001, 25))
+    score = np.round((1 + vectors[ids] @ vectors.T) / 2, 6)
+    got = sorted((x["query_id"], x["rank"], x["chunk_id"], x["score"]) for x in retrieve.vector_topk(queries, chunks, 7).collect())
+    order = [np.lexsort((np.arange(3001), -s))[:7] for s in score]
+    assert got == sorted((q, n + 1, int(c), float(s[c])) for q, s, o in zip(ids, score, order, strict=True) for n, c in enumerate(o))
+    (first, n_blocks), (second, _) = asked
+    skipped = 1 - (first + second) / (len(ids) * n_blocks)
+    print("blocks", n_blocks, "share of pairs skipped", round(skipped, 3))
+    assert first == len(ids) and n_blocks > 40 and skipped > 0.5
+    docs = sorted((x["query_id"], x["rank"], x["doc_id"], x["chunk_id"]) for x in retrieve.best_chunks(queries, chunks, 4).collect())
+    want = []
+    for q, s in zip(ids, score, strict=True):
+        best = {}
+        for c in np.lexsort((np.arange(3001), -s)).tolist():
+            best.setdefault(rows[c][1], c)
+        ranked = sorted(best, key=lambda d: (-s[best[d]], d))[:4]
+        want += [(q, n + 1, d, best[d]) for n, d in enumerate(ranked)]
+    assert docs == sorted(want)

@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, joined_by_weight, parts
+from .common import cut, joined_by_weight, parts, written
+from .graphs import components
 
 #: Pairs that share an end and are checked together, rows of a bucket that are compared with each other at once, and rows of buckets compared by shifts.
 PART, BLOCK, SMALL = 256, 1024, 8
@@ -72,9 +73,53 @@ def alike(own: bytes, others: list[bytes]) -> np.ndarray:
     return out
 
 
-def across(rows: DataFrame, near: Callable[[np.ndarray, np.ndarray], np.ndarray], width: int) -> DataFrame:
+def connected(met: DataFrame, first: DataFrame, data: DataFrame, sets: DataFrame, near: Callable[[np.ndarray, np.ndarray], np.ndarray], apart: Callable[[np.ndarray, np.ndarray], np.ndarray], width: int) -> DataFrame:
+    """Links (a, b), a over b, that connect all nodes which share a key, are near and have sets alike; stored.
+
+    met(key, node) are the nodes of keys, data(node, data) what near and apart
+    compare, sets(node, data) what is checked in the end. Pairs are checked in
+    rounds, each only between nodes that no link connects by then: those of first;
+    then each node with the one it is least apart from, in a quarter of the keys;
+    then each with the node of its key that has most links; at last all pairs. So
+    a class that some member is alike to most of gives few pairs, whatever its size.
+    """
+    done, links = first.distinct(), None
+    done = cut(checked(done, data, _near_one(near, width)))
+    links = cut(checked(done, sets, alike))
+    for turn in ("closest", "hub", "all"):
+        roots = cut(components(links))
+        classed = met.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("comp"))
+        mixed = classed.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("greatest")).where("least <> greatest").select("key")
+        apart_rows = classed.join(mixed, "key")
+        if turn == "hub":
+            ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+            rows = cut(apart_rows.join(ends, "node", "left").withColumn("n", F.coalesce("n", F.lit(0))))
+            hubs = cut(rows.groupBy("key").agg(F.max_by(F.struct("node", "comp"), F.struct("n", F.negative("node"))).alias("hub"), F.count(F.lit(1)).alias("n")))
+            paired = joined_by_weight(rows.drop("n"), hubs, ["key"]).where("comp <> hub.comp").select(F.greatest("node", "hub.node").alias("a"), F.least("node", "hub.node").alias("b"))
+            pairs = checked(paired.distinct().join(done, ["a", "b"], "left_anti"), data, _near_one(near, width))
+        else:
+            rows = written((apart_rows.where("key & 3 = 0") if turn == "closest" else apart_rows).join(data, "node"))
+            pairs = across(rows, near, width, apart if turn == "closest" else None).join(done, ["a", "b"], "left_anti")
+        pairs = cut(pairs)
+        links = cut(links.unionByName(checked(pairs, sets, alike)))
+        done = done.unionByName(pairs)
+    return links
+
+
+def _near_one(near: Callable[[np.ndarray, np.ndarray], np.ndarray], width: int) -> Callable[[bytes, list[bytes]], np.ndarray]:
+    def check(own: bytes, others: list[bytes]) -> np.ndarray:
+        y = np.frombuffer(b"".join(others), np.uint8).reshape(-1, width)
+        return near(np.repeat(np.frombuffer(own, np.uint8)[None], len(y), axis=0), y)
+
+    return check
+
+
+def across(rows: DataFrame, near: Callable[[np.ndarray, np.ndarray], np.ndarray], width: int, apart: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """The distinct pairs (a, b), a over b, of nodes that share a key but no component and are near; rows(key, node, comp, data).
 
+    If apart is given, a node of a larger key has only the pair that is least apart
+    in each block that it meets.
+
     Of a key's rows those outside its largest component, the odd ones, meet all
     others; blocks of odd rows meet blocks of rows, so a large component beside few
     odd rows costs as many comparisons as rows. near compares arrays of data, width
@@ -109,6 +154,8 @@ def across(rows: DataFrame, near: Callable[[np.ndarray, np.ndarray], np.ndarray]
             for x in who.tolist():
                 at = own[comp[own] != comp[x]]
                 at = at[near(data[at], np.repeat(data[x : x + 1], len(at), axis=0))]
+                if apart is not None and len(at) > 1:
+                    at = at[[np.lexsort((node[at], apart(data[at], np.repeat(data[x : x + 1], len(at), axis=0))))[0]]]
                 left.append(np.full(len(at), node[x]))
                 right.append(node[at])
         x, y = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in (left, right))

@@ -6,6 +6,8 @@ bitmap that holds, bit by bit, the parity of how many samples fall there. Of two
 sets the bitmaps differ in places of samples that only one has, so the number of
 ones of their XOR tells how many samples differ, most precisely where few do.
 Pairs under a key whose bitmaps are near get an exact check on their full sets.
+A second bitmap holds the parities of the full set: its XOR has at most as many
+ones as the sets differ in members, which rules out pairs for certain.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, joined_by_weight, parts, plain_docs, written
 from .graphs import components
-from .near_links import across, alike, checked, shingled
+from .near_links import connected, shingled
 from .simhash_golay import shingle_sets
 
 #: Words of a shingle, and the similarity of linked sets.
@@ -30,8 +32,10 @@ SHINGLE_WORDS, SIMILAR = 4, 0.8
 BANDS, ROWS, BITS = 40, 4, 512
 #: Standard deviations by which a pair of similarity 0.8 may differ in more bits than expected.
 SIGMAS = 6.0
-#: Hashes that are sampled at once, and bytes of a sketch with the size of its set.
-PIECE, WIDTH = 8192, BITS // 8 + 8
+#: Bits of the parities of a full set.
+SET_BITS = 1024
+#: Hashes that are sampled at once, and bytes of a set's size and bitmaps.
+PIECE, WIDTH = 8192, 8 + BITS // 8 + SET_BITS // 8
 
 
 @lru_cache(1)
@@ -85,17 +89,32 @@ def similarity(ones: np.ndarray) -> np.ndarray:
     return np.maximum(0.0, 1 - apart / (2 * BANDS * ROWS))
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """The parities of a set's hashes by place."""
+    return np.packbits(np.bincount(((hashes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % SET_BITS, minlength=SET_BITS).astype(np.uint8) & 1)
+
+
+def _ones(x: np.ndarray, y: np.ndarray, lo: int, hi: int) -> np.ndarray:
+    words = (np.ascontiguousarray(v[:, lo:hi]).view(np.uint64) for v in (x, y))
+    return np.bitwise_count(np.bitwise_xor(*words)).sum(axis=1, dtype=np.int64)
+
+
+def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many places of their samples' bitmaps rows differ."""
+    return _ones(x, y, 8, 8 + BITS // 8)
+
+
 def near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Which rows of two arrays of sizes and bitmaps may be of sets that are similar."""
     ones, off = differing(SIMILAR)
     a, b = (np.ascontiguousarray(v[:, :8]).view(np.int64).ravel() for v in (x, y))
-    fits = 100 * np.minimum(a, b) >= round(100 * SIMILAR) * np.maximum(a, b)
-    return fits & (np.bitwise_count(x[:, 8:] ^ y[:, 8:]).sum(axis=1, dtype=np.int64) <= ones + SIGMAS * off)
-
-
-def _one_near(own: bytes, others: list[bytes]) -> np.ndarray:
-    y = np.frombuffer(b"".join(others), np.uint8).reshape(-1, WIDTH)
-    return near(np.repeat(np.frombuffer(own, np.uint8)[None], len(y), axis=0), y)
+    good = np.flatnonzero(100 * np.minimum(a, b) >= round(100 * SIMILAR) * np.maximum(a, b))
+    good = good[apart(x[good], y[good]) <= ones + SIGMAS * off]
+    # similar sets differ in a ninth of their members together at most
+    good = good[9 * _ones(x[good], y[good], 8 + BITS // 8, WIDTH) <= a[good] + b[good]]
+    out = np.zeros(len(x), bool)
+    out[good] = True
+    return out
 
 
 def sketched(docs: DataFrame, words: int) -> DataFrame:
@@ -106,7 +125,7 @@ def sketched(docs: DataFrame, words: int) -> DataFrame:
             sets = shingle_sets(batch.column("text"), words)
             size = np.array(list(map(len, sets)), np.int64)
             keys, bitmaps = sketches(np.array([samples(h) for h in sets], np.uint32).reshape(-1, BANDS * ROWS))
-            data = np.concatenate([size[:, None].view(np.uint8), bitmaps], axis=1)
+            data = np.concatenate([size[:, None].view(np.uint8), bitmaps, np.array([parities(h) for h in sets], np.uint8).reshape(-1, SET_BITS // 8)], axis=1)
             node = np.array([xxhash.xxh64_intdigest(h.tobytes()) for h in sets], np.uint64).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("hash"), pa.array(node), pa.array(size), lists, pa.array([r.tobytes() for r in data], pa.binary())], ["doc_id", "hash", "node", "n_shingles", "bands", "data"])
@@ -131,19 +150,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     shared = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lead")).where("n > 1"))
     met = written(joined_by_weight(rows, shared, ["key"]).select("key", "node", "lead"))
 
-    # each with the least of its key: most classes are connected by that
     data, nodes = own.select("node", "data"), met.select("node").distinct()
     sets = written(shingled(plain, own.join(nodes, "node", "left_semi"), lambda texts: shingle_sets(texts, words)))
-    likely = cut(checked(met.where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")), data, _one_near))
-    first = cut(checked(likely, sets, alike))
-    # then all that share a key but no class
-    classes = cut(components(first))
-    classed = met.select("key", "node").join(classes, "node", "left").select("key", "node", F.coalesce("root", "node").alias("comp"))
-    mixed = classed.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("greatest")).where("least <> greatest").select("key")
-    apart = written(classed.join(mixed, "key").join(data, "node"))
-    rest = across(apart, near, WIDTH).join(likely, ["a", "b"], "left_anti")
-    more = checked(rest, sets, alike)
-    linked = components(first.unionByName(more)).select("node", "root")
+    # first each with the least of its key
+    least = met.where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b"))
+    linked = components(connected(met.select("key", "node"), least, data, sets, near, apart, WIDTH)).select("node", "root")
     ids = own.select("node", "doc_id").join(linked, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     named = ids.join(ids.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("node", "component_id")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))

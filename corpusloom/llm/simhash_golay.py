@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import boxed, cut, flat, plain_docs, slices, unboxed, written
 from .graphs import components
-from .near_links import across, alike, checked, shingled
+from .near_links import connected, shingled
 
 #: The ASCII white space of a word boundary, and the generator polynomial of the binary Golay code.
 SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -426,17 +426,21 @@ def _with_sets(docs: DataFrame, id_col: str, text_col: str, words: int, count: i
     return plain_docs(docs, id_col=id_col, text_col=text_col).withColumn("hash", F.xxhash64("text")).mapInArrow(run, "doc_id long, hash long, set long, node long, " + ", ".join(f"{n} long" for n in names))
 
 
+def _differing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many bits rows of fingerprints, as bytes, differ."""
+    return np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+
+
 def _likely(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Which rows of fingerprints, as bytes, lie within SIMILAR_BITS."""
-    return np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= SIMILAR_BITS
+    return _differing(x, y) <= SIMILAR_BITS
 
 
 def similar_links(docs: DataFrame, found: DataFrame, *, words: int = SIMILAR_WORDS) -> DataFrame:
     """Links (a, b) between the shingle sets of found(doc_id, hash, set, node, f0, ...) that connect all that are similar by 0.8 or more.
 
     Of the links by fingerprint, which connect each class of candidates, each is
-    checked on the full sets. Pairs of a class within SIMILAR_BITS that are not
-    connected by then are checked as well. docs(doc_id, hash, text) are the texts.
+    checked on the full sets; then pairs of a class within SIMILAR_BITS, as long as
+    they are not connected. docs(doc_id, hash, text) are the texts.
     """
     names = [c for c in found.columns if c[0] == "f" and c[1:].isdigit()]
     one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash", "node", *names)).alias("x")
@@ -453,13 +457,9 @@ def similar_links(docs: DataFrame, found: DataFrame, *, words: int = SIMILAR_WOR
     same = members.join(lead, "node").where("set <> lead").select(F.col("set").alias("a"), F.col("lead").alias("b"))
     ends = [lead.select(F.col("node").alias(c), F.col("lead").alias(f"lead_{c}")) for c in ("a", "b")]
     far = near.join(ends[0], "a").join(ends[1], "b").select(F.greatest("lead_a", "lead_b").alias("a"), F.least("lead_a", "lead_b").alias("b"))
-    first = cut(same.unionByName(far).distinct())
-    good = cut(checked(first, sets, alike))
-    joined = members.select(F.col("set").alias("node"), "root", *names).join(components(good).select("node", F.col("root").alias("comp")), "node", "left")
     data = F.unhex(F.concat(*(F.lpad(F.hex(n), 16, "0") for n in names)))
-    rows = cut(joined.select(F.col("root").alias("key"), "node", F.coalesce("comp", "node").alias("comp"), data.alias("data")))
-    rest = across(rows, _likely, 8 * len(names)).join(first, ["a", "b"], "left_anti")
-    return good.unionByName(checked(rest, sets, alike))
+    of = members.select(F.col("set").alias("node"), F.col("root").alias("key"), data.alias("data"))
+    return connected(of.select("key", "node"), same.unionByName(far), of.select("node", "data"), sets, _likely, _differing, 8 * len(names))
 
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = SIMILAR_WORDS, count: int = COUNT) -> DataFrame:

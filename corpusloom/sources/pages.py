@@ -51,12 +51,16 @@ def document_rows(parsed: DataFrame) -> DataFrame:
 
 
 def document_types(spark: SparkSession, path: str) -> DataFrame:
-    """(url, type) of a malformed JSON export: records by their braces, two fields by pattern, the last type per address."""
-    text = spark.read.text(path, wholetext=True)
-    records = text.select(F.posexplode(F.regexp_extract_all("value", F.lit(r"\{[^{}]*\}"), F.lit(0))).alias("pos", "r"))
+    """(url, type) of a malformed JSON export: records by their braces, two fields by pattern, the last type per address.
+
+    Lines end at closing braces, wherever line breaks stand, so a large file is
+    read in splits; what follows the last brace counts if it has both fields.
+    Records follow each other by file, split and place.
+    """
+    rows = spark.read.option("lineSep", "}").text(path).select(F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("n")).alias("pos"), F.regexp_extract("value", r"\{([^{}]*)$", 1).alias("r"))
     field = lambda n: F.regexp_extract("r", rf'"{n}"\s*:\s*"([^"]*)"', 1)
-    rows = records.select("pos", field("document_url").alias("url"), field("type").alias("type")).where("url <> ''")
-    return rows.groupBy("url").agg(F.max_by("type", "pos").alias("type"))
+    named = rows.select("pos", field("document_url").alias("url"), field("type").alias("type")).where("url <> ''")
+    return named.groupBy("url").agg(F.max_by("type", "pos").alias("type"))
 
 
 def write_corpus(parts: dict[str, DataFrame], folder: str) -> None:
@@ -67,12 +71,12 @@ def write_corpus(parts: dict[str, DataFrame], folder: str) -> None:
 
 def write_inventory(rows: DataFrame, folder: str) -> None:
     """An inventory as CSV with a header."""
-    rows.write.mode("overwrite").csv(folder, header=True)
+    rows.write.mode("overwrite").csv(folder, header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def write_sentences(rows: DataFrame, folder: str) -> None:
     """Sentences as tab-separated values with a header."""
-    rows.write.mode("overwrite").csv(folder, sep="\t", header=True)
+    rows.write.mode("overwrite").csv(folder, sep="\t", header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def write_version(df: DataFrame, folder: str, version: int) -> str:

@@ -240,6 +240,10 @@ def test_bitmaps_estimate_similarity():
     at = ones[1::2]
     assert abs(at.mean() - mean) < off / 2 and 0.6 * off < at.std() < 1.3 * off
     assert (at <= mean + odd_sketches.SIGMAS * off).all() and not keys
+    x, y = r.integers(0, 1 << 63, (2, 300), dtype=np.uint64)
+    for n in (0, 10, 150, 300):
+        z = np.r_[x[n:], y[:n]]
+        assert np.bitwise_count(odd_sketches.parities(x) ^ odd_sketches.parities(z)).sum() <= 2 * n
     wrong = np.abs(odd_sketches.similarity(ones) - want)
     assert wrong[want > 0.9].mean() < wrong[want < 0.6].mean() < 0.1
     assert (ones[want < 0.4] > mean + odd_sketches.SIGMAS * off).mean() > 0.8

@@ -241,9 +241,10 @@ def pack(found: DataFrame, *, length: int = LENGTH, group_rows: int = GROUP_ROWS
     """Adds sequence_id and offset to pieces.
 
     Pieces are dealt by hash to groups of about group_rows, as many as the input
-    needs, and each group is packed by itself; a group wastes less than one
-    sequence against its total, so the waste stays under one in thousands at any
-    size. found must be cheap to read again (stored or checkpointed).
+    needs, and each group is packed by itself, so a group may have a sequence more
+    than its pieces need together with others'. The local search may stop above the
+    least number of sequences where pieces are hard to combine. found must be cheap
+    to read again (stored or checkpointed).
     """
     groups = max(1, -(-found.count() // group_rows))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from bisect import bisect_right
 from collections.abc import Callable, Iterator, Sequence
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -232,14 +233,12 @@ def nearest_window(answer: str, claim: str, threshold: float = FUZZY) -> tuple[i
     width = len(claim)
     if len(answer) <= width:
         return (0, len(answer)) if answer and SequenceMatcher(None, claim, answer).ratio() >= threshold else None
-    letters = {c: i for i, c in enumerate(sorted(set(claim)))}
-    wanted = np.bincount([letters[c] for c in claim], minlength=len(letters))
+    asked, code = (np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32) for x in (claim, answer))
     starts = np.arange(0, len(answer) - width + 1, max(1, width // 5))
-    code = np.array([letters.get(c, -1) for c in answer])
     shared = np.zeros(len(starts), np.int64)
-    for i in range(len(letters)):
-        count = np.concatenate([[0], np.cumsum(code == i)])
-        shared += np.minimum(count[starts + width] - count[starts], wanted[i])
+    for letter, wanted in zip(*np.unique(asked, return_counts=True), strict=True):
+        count = np.concatenate([[0], np.cumsum(code == letter)])
+        shared += np.minimum(count[starts + width] - count[starts], wanted)
     best, found = 0.0, None
     matcher = SequenceMatcher(None, claim, "")
     for at, bound in zip(starts.tolist(), (shared / width).tolist(), strict=True):
@@ -257,10 +256,12 @@ def claim_spans(answers: DataFrame, claims: DataFrame, threshold: float = FUZZY)
     rows = missed.select("run_id", "claim_no", "claim", "answer")
 
     def fuzzy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # an answer has several claims
+        fold = lru_cache(256)(fold_with_places)
         for pdf in batches:
             out = []
             for run, no, claim, answer in pdf.itertuples(index=False):
-                text, places = fold_with_places(answer or "")
+                text, places = fold(answer or "")
                 wanted = fold_with_places(claim or "")[0]
                 span = nearest_window(text, wanted, threshold) if len(wanted) >= LEAST_CLAIM else None
                 whole = len(answer or "") if len(text) <= len(wanted) else 0

@@ -112,10 +112,19 @@ def cross_reference_census(pages: DataFrame, inventory: DataFrame, *, key: str =
 
 
 def concepts_from_rdf(spark, path: str, *, namespaces: tuple[str, ...] = (), stop: tuple[str, ...] = (), limit: int = 100) -> DataFrame:
-    """(label): class labels of an RDF/XML file, or their camel-case names split; four letters and up, no stop words, the longest limit."""
-    rows = spark.read.format("xml").option("rowTag", "owl:Class").option("attributePrefix", "_").load(path)
-    about = F.col("`_rdf:about`") if "_rdf:about" in rows.columns else F.lit("")
-    label = F.col("`rdfs:label`").cast("string") if "rdfs:label" in rows.columns else F.lit(None).cast("string")
+    """(label): class labels of an RDF/XML file, or their camel-case names split; four letters and up, no stop words, the longest limit.
+
+    Records end at end tags of classes, so a large file is read in splits; a class
+    within another one counts by itself.
+    """
+    rows = spark.read.option("lineSep", "</owl:Class>").text(path)
+    # what follows a start tag, up to the next one or the end tag
+    parts = rows.select(F.explode(F.slice(F.split("value", r"<owl:Class\b", -1), 2, 1 << 30)).alias("part"))
+    attributes = F.regexp_extract("part", r"^([^>]*)>", 1)
+    about = E.unescaped(E.attribute(attributes, "rdf:about"))
+    label = E.unescaped(F.regexp_extract("part", r"<rdfs:label\b[^>]*>([^<]*)<", 1))
+    rows = parts.select(about.alias("about"), label.alias("text"))
+    about, label = F.col("about"), F.col("text")
     if namespaces:
         rows = rows.where(F.coalesce(about.rlike("|".join(namespaces)), F.lit(False)))
     name = F.regexp_replace(F.regexp_extract(about, r"([^/#]+)$", 1), r"(?<=[a-z])(?=[A-Z])", " ")

@@ -122,9 +122,13 @@ def best_chunk_per_doc(spark, d):
     return retrieve.best_chunks(queries(spark, d), chunks(spark, d), 10)
 
 
-@register(f"WITH {SCORED} SELECT query_id, doc_id, max(score) AS score FROM scored GROUP BY ALL")
+@register(f"WITH {SCORED} SELECT query_id, doc_id, max(score) AS score FROM scored WHERE doc_id BETWEEN query_id // 8 AND query_id // 8 + 10 GROUP BY ALL")
 def member_scores(spark, d):
-    return retrieve.best_chunks(queries(spark, d), chunks(spark, d)).select("query_id", "doc_id", "score")
+    """The documents of a query's topic, eleven in a row, by their best chunks."""
+    asked = queries(spark, d)
+    own = F.floor(F.col("query_id") / 8).cast("long")
+    members = asked.select("query_id", F.explode(F.sequence(own, own + 10)).alias("doc_id"))
+    return retrieve.member_scores(asked, chunks(spark, d), members)
 
 
 @register(f"WITH {SCORED}, {_top(9)}, x AS (SELECT query_id, chunk_id AS run_id, score, rank, round(2 * score - 1, 6) AS cosine, chunk_id % 5 + 1 AS rating FROM top) SELECT query_id, run_id, cosine, rating, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM x WHERE cosine >= 0.2 AND rating >= 2 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank) <= 3")

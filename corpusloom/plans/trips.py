@@ -74,6 +74,18 @@ def projected_graph(spark, d):
     return nodes.join(counted, "doc_id", "left").groupBy("category").agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("edges"))
 
 
+@register("""WITH c AS (SELECT CASE WHEN p_partkey % 2 = 0 THEN lower(trim(p_type, ' ')) || ' & ' || p_size ELSE 'case of size' || p_partkey % 300 END AS label FROM part WHERE p_partkey % 3 > 0) SELECT DISTINCT label FROM c WHERE length(label) >= 4 AND label <> 'case of size7' ORDER BY length(label) DESC, label LIMIT 200""")
+def concept_labels(spark, d):
+    """Concepts of an RDF/XML file: labels, or names in camel case; some are of another namespace, some stand in others."""
+    n, size = F.col("p_partkey"), F.col("p_size")
+    about = F.when(n % 3 == 0, "http://other.org/").otherwise("http://x.org/o#")
+    named = _joined('<owl:Class rdf:about="', about, "CaseOfSize", n % 300, '"/>')
+    told = _joined('<owl:Class\n rdf:about="', about, "N", n, '">\n<rdfs:label xml:lang="en"> ', F.col("p_type"), " &amp; ", size, " </rdfs:label><owl:equivalentClass><owl:Class><owl:unionOf/></owl:Class></owl:equivalentClass>\n</owl:Class>")
+    folder = scratch(spark)
+    read(spark, d, "part").select(F.when(n % 2 == 0, told).otherwise(named).alias("value")).write.text(folder)
+    return extract.concepts_from_rdf(spark, folder, namespaces=("http://x.org/",), stop=("case of size7",), limit=200)
+
+
 # ---------------------------------------------------------------- Markdown questions
 
 WORD = "regexp_replace(text, '[^A-Za-z ]', '', 'g')[1:30]"

@@ -62,6 +62,14 @@ def priority_reorder(spark, d):
     return retrieve.prefer(_labelled(spark, d, K), ["c4", "c2"]).select("query_id", "chunk_id", "category", "rank")
 
 
+@register(f"WITH {SCORED}, {_top(K)} SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY category DESC, rank) AS rank FROM top WHERE chunk_id % 2 = 0")
+def processed_hits(spark, d):
+    """Post-processors in order: a filter, then a new order."""
+    order = Window.partitionBy("query_id").orderBy(F.desc("category"), "rank")
+    steps = (lambda df: df.where("chunk_id % 2 = 0"), lambda df: df.withColumn("rank", F.row_number().over(order)))
+    return retrieve.apply_processors(_labelled(spark, d, K), steps).select("query_id", "chunk_id", "rank")
+
+
 @register(f"""WITH {SCORED}, {_top(K, "category = 'c2'", "a")}, {_top(K, "TRUE", "b")}, u AS (SELECT 0 AS v, query_id, chunk_id, rank FROM a UNION ALL SELECT 1, query_id, chunk_id, rank FROM b),
 o AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY v, rank) = 1) SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY v, rank, chunk_id) AS rank FROM o""")
 def multi_query_merge(spark, d):

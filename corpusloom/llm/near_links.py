@@ -12,20 +12,17 @@ from pyspark.sql import functions as F
 from .common import cut, joined_by_weight, parts, written
 from .graphs import components
 
-#: Pairs that share an end and are checked together, rows of a bucket that are compared with each other at once, and rows of buckets compared by shifts.
-PART, BLOCK, SMALL = 256, 1024, 8
+#: Parts that the pairs of one end are dealt to, rows of a bucket that are compared with each other at once, and rows of buckets compared by shifts.
+PARTS, BLOCK, SMALL = 64, 2048, 8
 
 
 def checked(pairs: DataFrame, data: DataFrame, check: Callable[[bytes, list[bytes]], np.ndarray]) -> DataFrame:
     """The distinct pairs(a, b) whose data(node, data) pass check(of b, of several a).
 
-    An end b with many pairs is cut into parts of about PART of them, each with a
-    copy of b's data; those of a travel once for each pair.
+    The pairs of an end b are dealt to PARTS parts, each with a copy of b's data;
+    those of a travel once for each pair and stream past it.
     """
-    own = pairs.distinct()
-    sizes = cut(own.groupBy("b").agg(F.count(F.lit(1)).alias("n")))
-    parts = joined_by_weight(own, sizes, ["b"]).select("a", "b", F.pmod(F.xxhash64("a"), F.ceil(F.col("n") / PART)).cast("int").alias("part"))
-    parts = cut(parts)
+    parts = pairs.distinct().withColumn("part", F.pmod(F.xxhash64("a"), F.lit(PARTS)).cast("int"))
     need = parts.select("b", "part", F.col("a").alias("node"), F.lit(True).alias("other")).unionByName(parts.select("b", "part", F.col("b").alias("node"), F.lit(False).alias("other")).distinct())
     dealt = need.join(data, "node").select("b", "part", "other", "node", "data").repartition("b", "part").sortWithinPartitions("b", "part", "other")
 
@@ -74,36 +71,33 @@ def alike(own: bytes, others: list[bytes]) -> np.ndarray:
 
 
 def connected(met: DataFrame, first: DataFrame, data: DataFrame, sets: DataFrame, near: Callable[[np.ndarray, np.ndarray], np.ndarray], apart: Callable[[np.ndarray, np.ndarray], np.ndarray], width: int) -> DataFrame:
-    """Links (a, b), a over b, that connect all nodes which share a key, are near and have sets alike; stored.
+    """(node, root) of the nodes that links connect: links are pairs which share a key, are near and have sets alike.
 
     met(key, node) are the nodes of keys, data(node, data) what near and apart
     compare, sets(node, data) what is checked in the end. Pairs are checked in
-    rounds, each only between nodes that no link connects by then: those of first;
-    then each node with the one it is least apart from, in a quarter of the keys;
-    then each with the node of its key that has most links; at last all pairs. So
-    a class that some member is alike to most of gives few pairs, whatever its size.
+    rounds: those of first(a, b), a over b; then, between nodes that aren't known to
+    be connected, each with the one it is least apart from, in an eighth of the
+    keys; at last all pairs. So a class that some member is alike to most of gives
+    few pairs, whatever its size.
     """
-    done, links = first.distinct(), None
-    done = cut(checked(done, data, _near_one(near, width)))
+    done = cut(checked(first, data, _near_one(near, width)))
     links = cut(checked(done, sets, alike))
-    for turn in ("closest", "hub", "all"):
-        roots = cut(components(links))
-        classed = met.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("comp"))
-        mixed = classed.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("greatest")).where("least <> greatest").select("key")
-        apart_rows = classed.join(mixed, "key")
-        if turn == "hub":
-            ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
-            rows = cut(apart_rows.join(ends, "node", "left").withColumn("n", F.coalesce("n", F.lit(0))))
-            hubs = cut(rows.groupBy("key").agg(F.max_by(F.struct("node", "comp"), F.struct("n", F.negative("node"))).alias("hub"), F.count(F.lit(1)).alias("n")))
-            paired = joined_by_weight(rows.drop("n"), hubs, ["key"]).where("comp <> hub.comp").select(F.greatest("node", "hub.node").alias("a"), F.least("node", "hub.node").alias("b"))
-            pairs = checked(paired.distinct().join(done, ["a", "b"], "left_anti"), data, _near_one(near, width))
-        else:
-            rows = written((apart_rows.where("key & 3 = 0") if turn == "closest" else apart_rows).join(data, "node"))
-            pairs = across(rows, near, width, apart if turn == "closest" else None).join(done, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
+    for turn in ("closest", "all"):
+        classed = met.join(_labels(links), "node", "left").select("key", "node", F.coalesce("label", "node").alias("comp"))
+        some = classed.where("key & 7 = 0") if turn == "closest" else classed
+        mixed = some.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("greatest")).where("least <> greatest").select("key")
+        rows = written(some.join(mixed, "key").join(data, "node"))
+        pairs = cut(across(rows, near, width, apart if turn == "closest" else None).join(done, ["a", "b"], "left_anti"))
         links = cut(links.unionByName(checked(pairs, sets, alike)))
         done = done.unionByName(pairs)
-    return links
+    return components(links)
+
+
+def _labels(links: DataFrame) -> DataFrame:
+    """(node, label) for the nodes of links: those of one label are connected, and those around one node have one label."""
+    both = links.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("other")))
+    least = both.groupBy("node").agg(F.least("node", F.min("other")).alias("least"))
+    return both.join(least.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.least("node", F.min("least")).alias("label"))
 
 
 def _near_one(near: Callable[[np.ndarray, np.ndarray], np.ndarray], width: int) -> Callable[[bytes, list[bytes]], np.ndarray]:

@@ -22,7 +22,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, joined_by_weight, parts, plain_docs, written
-from .graphs import components
 from .near_links import connected, shingled
 from .simhash_golay import shingle_sets
 
@@ -154,7 +153,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     sets = written(shingled(plain, own.join(nodes, "node", "left_semi"), lambda texts: shingle_sets(texts, words)))
     # first each with the least of its key
     least = met.where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b"))
-    linked = components(connected(met.select("key", "node"), least, data, sets, near, apart, WIDTH)).select("node", "root")
+    linked = connected(met.select("key", "node"), least, data, sets, near, apart, WIDTH)
     ids = own.select("node", "doc_id").join(linked, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     named = ids.join(ids.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("node", "component_id")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))

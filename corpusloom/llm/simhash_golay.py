@@ -435,8 +435,8 @@ def _likely(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return _differing(x, y) <= SIMILAR_BITS
 
 
-def similar_links(docs: DataFrame, found: DataFrame, *, words: int = SIMILAR_WORDS) -> DataFrame:
-    """Links (a, b) between the shingle sets of found(doc_id, hash, set, node, f0, ...) that connect all that are similar by 0.8 or more.
+def similar_classes(docs: DataFrame, found: DataFrame, *, words: int = SIMILAR_WORDS) -> DataFrame:
+    """(node, root) of the shingle sets of found(doc_id, hash, set, node, f0, ...) that links of a similarity of 0.8 or more connect.
 
     Of the links by fingerprint, which connect each class of candidates, each is
     checked on the full sets; then pairs of a class within SIMILAR_BITS, as long as
@@ -459,7 +459,7 @@ def similar_links(docs: DataFrame, found: DataFrame, *, words: int = SIMILAR_WOR
     far = near.join(ends[0], "a").join(ends[1], "b").select(F.greatest("lead_a", "lead_b").alias("a"), F.least("lead_a", "lead_b").alias("b"))
     data = F.unhex(F.concat(*(F.lpad(F.hex(n), 16, "0") for n in names)))
     of = members.select(F.col("set").alias("node"), F.col("root").alias("key"), data.alias("data"))
-    return connected(of.select("key", "node"), same.unionByName(far), of.select("node", "data"), sets, _likely, _differing, 8 * len(names))
+    return connected(of.select("key", "node"), same.unionByName(far.where("a <> b")), of.select("node", "data"), sets, _likely, _differing, 8 * len(names))
 
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = SIMILAR_WORDS, count: int = COUNT) -> DataFrame:
@@ -474,7 +474,7 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """
     found = cut(_with_sets(docs, id_col, text_col, words, count))
     texts = plain_docs(docs, id_col=id_col, text_col=text_col).withColumn("hash", F.xxhash64("text"))
-    root = components(similar_links(texts, found, words=words)).select(F.col("node").alias("set"), "root")
+    root = similar_classes(texts, found, words=words).select(F.col("node").alias("set"), "root")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")
     best = found.groupBy("set").agg(F.min(order).alias("best")).join(root, "set", "left").groupBy(F.coalesce("root", "set").alias("root")).agg(F.min("best").alias("best"))
     chosen = best.select("best.doc_id", F.col("best.hash").alias("chosen"))

@@ -281,7 +281,7 @@ def test_shingle_sets_are_equal_where_the_words_are(monkeypatch):
 
 def test_blocks_of_candidates_are_all_verified(spark, monkeypatch):
     monkeypatch.setattr(near_links, "BLOCK", 4)
-    monkeypatch.setattr(near_links, "PART", 4)
+    monkeypatch.setattr(near_links, "PARTS", 4)
     base = words(77, 400).split(" ")
     rows = [(i, " ".join([*base[:i], "other", *base[i + 1 :]])) for i in range(5, 395, 13)]
     assert [x["doc_id"] for x in simhash_golay.one_of_each(spark.createDataFrame(rows + rows[:2], "doc_id long, text string")).collect()] == [5]

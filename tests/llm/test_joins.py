@@ -207,10 +207,10 @@ def _clusters():
     return list(enumerate(rows))
 
 
-@pytest.mark.parametrize("block", [1024, 3])
+@pytest.mark.parametrize("block", [2048, 3])
 def test_near_duplicates_by_odd_sketches(spark, monkeypatch, block):
     monkeypatch.setattr(near_links, "BLOCK", block)
-    monkeypatch.setattr(near_links, "PART", block)
+    monkeypatch.setattr(near_links, "PARTS", min(block, 64))
     rows = _clusters() + [(1000 + i, t) for i, t, *_ in documents() if i is not None] + [(None, rows_text) for rows_text in (words(70, 300), "only here null")]
     got = odd_sketches.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
     assert sorted(map(tuple, got), key=str) == _linked_rows(rows)

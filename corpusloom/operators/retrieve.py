@@ -87,11 +87,6 @@ def scored_documents(queries: DataFrame, chunks: DataFrame, *, digits: int = 6)
     return scored
 
 
-def member_scores(queries: DataFrame, chunks: DataFrame, members: DataFrame, *, digits: int = 6) -> DataFrame:
-    """(query_id, doc_id, score): the best chunk of each of members(query_id, doc_id); only their chunks are scored."""
-    return scored_documents(queries, chunks, digits=digits)(members).groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
-
-
 def _floats(column: pa.Array, size: int) -> np.ndarray:
     """Lists of numbers as rows of a matrix; shorter ones end in zeros."""
     length = np.asarray(column.value_lengths(), np.int64)

@@ -49,6 +49,13 @@ def test_query_runs(spark, name):
     assert entry.queries()[name](spark, FOLDER).count() > 0
 
 
+def test_member_scores_of_all_documents(spark, duck):
+    """Each query has a score for each document, in the query as in its SQL."""
+    n = duck.sql("SELECT count(*) FILTER (vec_id % 20 = 0) * count(DISTINCT vec_id // 8) FROM embeddings").fetchall()[0][0]
+    assert entry.queries()["member_scores"](spark, FOLDER).count() == n
+    assert len(duck.sql(entry.oracle_sql()["member_scores"]).fetchall()) == n
+
+
 def test_claim_spans_against_all_windows(spark, duck):
     """Exact places by search in the folded answer, else the best of all windows; overlaps go by comparing all pairs."""
     from difflib import SequenceMatcher

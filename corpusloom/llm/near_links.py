@@ -14,6 +14,19 @@ from .graphs import components
 
 #: Parts that the pairs of one end are dealt to, rows of a bucket that are compared with each other at once, and rows of buckets compared by shifts.
 PARTS, BLOCK, SMALL = 64, 2048, 8
+#: Bits of the parities of a full set.
+SET_BITS = 1024
+
+
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """The parities of a set's hashes by place."""
+    return np.packbits(np.bincount(((hashes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % SET_BITS, minlength=SET_BITS).astype(np.uint8) & 1)
+
+
+def ones(x: np.ndarray, y: np.ndarray, lo: int, hi: int) -> np.ndarray:
+    """In how many bits of their bytes lo to hi rows differ."""
+    words = (np.ascontiguousarray(v[:, lo:hi]).view(np.uint64) for v in (x, y))
+    return np.bitwise_count(np.bitwise_xor(*words)).sum(axis=1, dtype=np.int64)
 
 
 def checked(pairs: DataFrame, data: DataFrame, check: Callable[[bytes, list[bytes]], np.ndarray]) -> DataFrame:
@@ -70,24 +83,25 @@ def alike(own: bytes, others: list[bytes]) -> np.ndarray:
     return out
 
 
-def connected(met: DataFrame, first: DataFrame, data: DataFrame, sets: DataFrame, near: Callable[[np.ndarray, np.ndarray], np.ndarray], apart: Callable[[np.ndarray, np.ndarray], np.ndarray], width: int) -> DataFrame:
+def connected(met: DataFrame, first: DataFrame, data: DataFrame, sets: DataFrame, near: Callable[[np.ndarray, np.ndarray], np.ndarray], width: int, apart: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """(node, root) of the nodes that links connect: links are pairs which share a key, are near and have sets alike.
 
     met(key, node) are the nodes of keys, data(node, data) what near and apart
     compare, sets(node, data) what is checked in the end. Pairs are checked in
     rounds: those of first(a, b), a over b; then, between nodes that aren't known to
     be connected, each with the one it is least apart from, in an eighth of the
-    keys; at last all pairs. So a class that some member is alike to most of gives
-    few pairs, whatever its size.
+    keys, or, without apart, with the one that most are near to, in each key; at
+    last all pairs. So a class that some member is alike to most of gives few pairs,
+    whatever its size.
     """
     done = cut(checked(first, data, _near_one(near, width)))
     links = cut(checked(done, sets, alike))
-    for turn in ("closest", "all"):
+    for one in ("hub" if apart is None else apart, None):
         classed = met.join(_labels(links), "node", "left").select("key", "node", F.coalesce("label", "node").alias("comp"))
-        some = classed.where("key & 7 = 0") if turn == "closest" else classed
+        some = classed.where("key & 7 = 0") if callable(one) else classed
         mixed = some.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("greatest")).where("least <> greatest").select("key")
         rows = written(some.join(mixed, "key").join(data, "node"))
-        pairs = cut(across(rows, near, width, apart if turn == "closest" else None).join(done, ["a", "b"], "left_anti"))
+        pairs = cut(across(rows, near, width, one).join(done, ["a", "b"], "left_anti"))
         links = cut(links.unionByName(checked(pairs, sets, alike)))
         done = done.unionByName(pairs)
     return components(links)
@@ -108,11 +122,12 @@ def _near_one(near: Callable[[np.ndarray, np.ndarray], np.ndarray], width: int)
     return check
 
 
-def across(rows: DataFrame, near: Callable[[np.ndarray, np.ndarray], np.ndarray], width: int, apart: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
+def across(rows: DataFrame, near: Callable[[np.ndarray, np.ndarray], np.ndarray], width: int, one: Callable[[np.ndarray, np.ndarray], np.ndarray] | str | None = None) -> DataFrame:
     """The distinct pairs (a, b), a over b, of nodes that share a key but no component and are near; rows(key, node, comp, data).
 
-    If apart is given, a node of a larger key has only the pair that is least apart
-    in each block that it meets.
+    If one is given, a node of a larger key has only one pair in each block that it
+    meets: that which is least apart by this function, or, for "hub", that with the
+    row which most of those meeting the block are near to.
 
     Of a key's rows those outside its largest component, the odd ones, meet all
     others; blocks of odd rows meet blocks of rows, so a large component beside few
@@ -145,13 +160,25 @@ def across(rows: DataFrame, near: Callable[[np.ndarray, np.ndarray], np.ndarray]
             right.append(node[at + step])
         for lo, n in zip(start[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
             own, who = (lo + np.flatnonzero(asks[lo : lo + n] == x) for x in (False, True))
-            for x in who.tolist():
-                at = own[comp[own] != comp[x]]
-                at = at[near(data[at], np.repeat(data[x : x + 1], len(at), axis=0))]
-                if apart is not None and len(at) > 1:
-                    at = at[[np.lexsort((node[at], apart(data[at], np.repeat(data[x : x + 1], len(at), axis=0))))[0]]]
+            near_to = np.zeros((len(who), len(own)), bool) if one == "hub" else None
+            for n_x, x in enumerate(who.tolist()):
+                mine = np.flatnonzero(comp[own] != comp[x])
+                at = own[mine]
+                good = near(data[at], np.repeat(data[x : x + 1], len(at), axis=0))
+                if near_to is not None:
+                    near_to[n_x, mine] = good
+                    continue
+                at = at[good]
+                if one is not None and len(at) > 1:
+                    at = at[[np.lexsort((node[at], one(data[at], np.repeat(data[x : x + 1], len(at), axis=0))))[0]]]
                 left.append(np.full(len(at), node[x]))
                 right.append(node[at])
+            if near_to is not None and near_to.size:
+                by_most = np.lexsort((node[own], -near_to.sum(axis=0)))
+                hub = by_most[np.argmax(near_to[:, by_most], axis=1)]
+                has = near_to.any(axis=1)
+                left.append(node[who[has]])
+                right.append(node[own[hub[has]]])
         x, y = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in (left, right))
         both = np.unique(np.stack([np.maximum(x, y), np.minimum(x, y)], axis=1), axis=0) if len(x) else np.zeros((0, 2), np.int64)
         return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in both.T], ["a", "b"])

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, joined_by_weight, parts, plain_docs, written
-from .near_links import connected, shingled
+from .near_links import SET_BITS, connected, ones, parities, shingled
 from .simhash_golay import shingle_sets
 
 #: Words of a shingle, and the similarity of linked sets.
@@ -31,8 +31,6 @@ SHINGLE_WORDS, SIMILAR = 4, 0.8
 BANDS, ROWS, BITS = 40, 4, 512
 #: Standard deviations by which a pair of similarity 0.8 may differ in more bits than expected.
 SIGMAS = 6.0
-#: Bits of the parities of a full set.
-SET_BITS = 1024
 #: Hashes that are sampled at once, and bytes of a set's size and bitmaps.
 PIECE, WIDTH = 8192, 8 + BITS // 8 + SET_BITS // 8
 
@@ -88,29 +86,19 @@ def similarity(ones: np.ndarray) -> np.ndarray:
     return np.maximum(0.0, 1 - apart / (2 * BANDS * ROWS))
 
 
-def parities(hashes: np.ndarray) -> np.ndarray:
-    """The parities of a set's hashes by place."""
-    return np.packbits(np.bincount(((hashes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % SET_BITS, minlength=SET_BITS).astype(np.uint8) & 1)
-
-
-def _ones(x: np.ndarray, y: np.ndarray, lo: int, hi: int) -> np.ndarray:
-    words = (np.ascontiguousarray(v[:, lo:hi]).view(np.uint64) for v in (x, y))
-    return np.bitwise_count(np.bitwise_xor(*words)).sum(axis=1, dtype=np.int64)
-
-
 def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """In how many places of their samples' bitmaps rows differ."""
-    return _ones(x, y, 8, 8 + BITS // 8)
+    return ones(x, y, 8, 8 + BITS // 8)
 
 
 def near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Which rows of two arrays of sizes and bitmaps may be of sets that are similar."""
-    ones, off = differing(SIMILAR)
+    expected, off = differing(SIMILAR)
     a, b = (np.ascontiguousarray(v[:, :8]).view(np.int64).ravel() for v in (x, y))
     good = np.flatnonzero(100 * np.minimum(a, b) >= round(100 * SIMILAR) * np.maximum(a, b))
-    good = good[apart(x[good], y[good]) <= ones + SIGMAS * off]
+    good = good[apart(x[good], y[good]) <= expected + SIGMAS * off]
     # similar sets differ in a ninth of their members together at most
-    good = good[9 * _ones(x[good], y[good], 8 + BITS // 8, WIDTH) <= a[good] + b[good]]
+    good = good[9 * ones(x[good], y[good], 8 + BITS // 8, WIDTH) <= a[good] + b[good]]
     out = np.zeros(len(x), bool)
     out[good] = True
     return out
@@ -153,7 +141,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     sets = written(shingled(plain, own.join(nodes, "node", "left_semi"), lambda texts: shingle_sets(texts, words)))
     # first each with the least of its key
     least = met.where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b"))
-    linked = connected(met.select("key", "node"), least, data, sets, near, apart, WIDTH)
+    linked = connected(met.select("key", "node"), least, data, sets, near, WIDTH, apart)
     ids = own.select("node", "doc_id").join(linked, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     named = ids.join(ids.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("node", "component_id")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))

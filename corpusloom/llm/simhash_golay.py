@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import boxed, cut, flat, plain_docs, slices, unboxed, written
 from .graphs import components
-from .near_links import connected, shingled
+from .near_links import SET_BITS, connected, ones, parities, shingled
 
 #: The ASCII white space of a word boundary, and the generator polynomial of the binary Golay code.
 SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -29,6 +29,8 @@ GOLAY = 0b101011100011
 SHINGLE_WORDS, MAX_BITS, LINK_BLOCK, SMALL_KEY = 3, 3, 2048, 8
 #: For classes by similarity: words of a shingle, fingerprints, and bits of 64 x COUNT that nearly all texts of which 0.8 of all shingles are shared stay within.
 SIMILAR_WORDS, COUNT, SIMILAR_BITS = 5, 3, 44
+#: Bytes of a set's size and parities.
+BOUND = 8 + SET_BITS // 8
 #: Bytes of text whose words are hashed at once.
 TEXT_BYTES = 1 << 20
 
@@ -412,7 +414,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def _with_sets(docs: DataFrame, id_col: str, text_col: str, words: int, count: int) -> DataFrame:
-    """(doc_id, hash, set, node, f0, ...): fingerprints of the distinct shingles of docs, with set: a hash of all of them."""
+    """(doc_id, hash, set, data, node, f0, ...): fingerprints of the distinct shingles of docs, with set: a hash of all of them, and data: their number, parities and fingerprints."""
     names = [f"f{k}" for k in range(count)]
 
     def run(batches):
@@ -420,31 +422,35 @@ def _with_sets(docs: DataFrame, id_col: str, text_col: str, words: int, count: i
             found = shingle_sets(batch.column(1), words)
             prints = np.array([_majorities(h, count) for h in found], np.uint64).reshape(-1, count)
             sets = np.array([xxhash.xxh64_intdigest(h.tobytes()) for h in found], np.uint64)
-            columns = [pa.array(np.ascontiguousarray(c).view(np.int64)) for c in (sets, _node(prints), *prints.T)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], ["doc_id", "hash", "set", "node", *names])
+            size = np.array(list(map(len, found)), np.int64)
+            data = np.concatenate([size[:, None].view(np.uint8), np.array([parities(h) for h in found], np.uint8).reshape(-1, SET_BITS // 8), prints.view(np.uint8)], axis=1)
+            columns = [pa.array([r.tobytes() for r in data], pa.binary()), *(pa.array(np.ascontiguousarray(c).view(np.int64)) for c in (_node(prints), *prints.T))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sets.view(np.int64)), *columns], ["doc_id", "hash", "set", "data", "node", *names])
 
-    return plain_docs(docs, id_col=id_col, text_col=text_col).withColumn("hash", F.xxhash64("text")).mapInArrow(run, "doc_id long, hash long, set long, node long, " + ", ".join(f"{n} long" for n in names))
-
-
-def _differing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """In how many bits rows of fingerprints, as bytes, differ."""
-    return np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+    return plain_docs(docs, id_col=id_col, text_col=text_col).withColumn("hash", F.xxhash64("text")).mapInArrow(run, "doc_id long, hash long, set long, data binary, node long, " + ", ".join(f"{n} long" for n in names))
 
 
 def _likely(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return _differing(x, y) <= SIMILAR_BITS
+    """Which rows of two arrays of sizes, parities and fingerprints lie within SIMILAR_BITS and may be of sets of a similarity of 0.8."""
+    good = np.flatnonzero(ones(x, y, BOUND, x.shape[1]) <= SIMILAR_BITS)
+    a, b = (np.ascontiguousarray(v[good, :8]).view(np.int64).ravel() for v in (x, y))
+    # such sets differ in a ninth of their members together at most, and in no fewer than their parities do
+    kept = (5 * np.minimum(a, b) >= 4 * np.maximum(a, b)) & (9 * ones(x[good], y[good], 8, BOUND) <= a + b)
+    out = np.zeros(len(x), bool)
+    out[good[kept]] = True
+    return out
 
 
 def similar_classes(docs: DataFrame, found: DataFrame, *, words: int = SIMILAR_WORDS) -> DataFrame:
-    """(node, root) of the shingle sets of found(doc_id, hash, set, node, f0, ...) that links of a similarity of 0.8 or more connect.
+    """(node, root) of the shingle sets of found(doc_id, hash, set, data, node, f0, ...) that links of a similarity of 0.8 or more connect.
 
     Of the links by fingerprint, which connect each class of candidates, each is
-    checked on the full sets; then pairs of a class within SIMILAR_BITS, as long as
-    they are not connected. docs(doc_id, hash, text) are the texts.
+    checked on the full sets; then pairs of a class within SIMILAR_BITS whose sizes
+    and parities allow it, as long as they are not connected. docs(doc_id, hash, text) are the texts.
     """
     names = [c for c in found.columns if c[0] == "f" and c[1:].isdigit()]
-    one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash", "node", *names)).alias("x")
-    own = cut(found.groupBy("set").agg(one).select("set", "x.doc_id", "x.hash", "x.node", *(f"x.{n}" for n in names)))
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash", "node", "data", *names)).alias("x")
+    own = cut(found.groupBy("set").agg(one).select("set", "x.doc_id", "x.hash", "x.node", "x.data", *(f"x.{n}" for n in names)))
     near = cut(links(own, similar=True))
     root = components(near).select("node", "root")
     classed = own.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -457,9 +463,8 @@ def similar_classes(docs: DataFrame, found: DataFrame, *, words: int = SIMILAR_W
     same = members.join(lead, "node").where("set <> lead").select(F.col("set").alias("a"), F.col("lead").alias("b"))
     ends = [lead.select(F.col("node").alias(c), F.col("lead").alias(f"lead_{c}")) for c in ("a", "b")]
     far = near.join(ends[0], "a").join(ends[1], "b").select(F.greatest("lead_a", "lead_b").alias("a"), F.least("lead_a", "lead_b").alias("b"))
-    data = F.unhex(F.concat(*(F.lpad(F.hex(n), 16, "0") for n in names)))
-    of = members.select(F.col("set").alias("node"), F.col("root").alias("key"), data.alias("data"))
-    return connected(of.select("key", "node"), same.unionByName(far.where("a <> b")), of.select("node", "data"), sets, _likely, _differing, 8 * len(names))
+    of = members.select(F.col("set").alias("node"), F.col("root").alias("key"), "data")
+    return connected(of.select("key", "node"), same.unionByName(far.where("a <> b")), of.select("node", "data"), sets, _likely, BOUND + 8 * len(names))
 
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = SIMILAR_WORDS, count: int = COUNT) -> DataFrame:

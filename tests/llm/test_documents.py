@@ -254,6 +254,32 @@ def test_only_texts_of_the_contracts_similarity_fall_together(spark):
     assert sum(alike) <= 0.02 * len(alike)
 
 
+def test_a_large_class_of_near_copies_gives_few_pairs(spark, monkeypatch):
+    """Most of these copies lie just under 0.8 of each other, and those above it reach each other in many ways."""
+    from corpusloom.llm import near_links
+
+    r, base, rows = np.random.default_rng(3), words(77, 150).split(" "), []
+    for i in range(250):
+        parts = list(base)
+        for at in r.choice(150, r.integers(1, 8), replace=False):
+            parts[at] = f"changed{r.integers(30)}"
+        rows.append((i, " ".join(parts)))
+    counted, checked = [], near_links.checked
+
+    def counting(pairs, data, check):
+        if check is near_links.alike:
+            counted.append(pairs.count())
+        return checked(pairs, data, check)
+
+    monkeypatch.setattr(near_links, "checked", counting)
+    kept = {x["doc_id"] for x in simhash_golay.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = [{tuple(p[k : k + 5]) for k in range(146)} for p in (t.split(" ") for _, t in rows)]
+    linked = [(i, j) for i in range(250) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    print("links", len(linked), "pairs checked", counted)
+    assert kept == set(range(250)) - {x for c in _classes(linked) for x in c if x != min(c)}
+    assert len(linked) > 2000 and sum(counted) < 1500
+
+
 def test_shingle_sets_are_equal_where_the_words_are(monkeypatch):
     import pyarrow as pa
 

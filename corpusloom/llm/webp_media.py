@@ -730,19 +730,23 @@ def read_files(files: list[bytes]) -> list[np.ndarray]:
 # ---------------------------------------------------------------- columns
 
 
-def store(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, media binary): each text as a lossless WebP file. A null or empty text is one row of blanks; equal texts give equal files."""
+_STORED = "doc_id long, n_bytes long, media binary"
+_READ = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+
+
+def _written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        data, offsets = flat(batch.column(1))
+        for lo, hi in slices(offsets, BLOCK_BYTES):
+            raw = data[offsets[lo] : offsets[hi]].tobytes()
+            own = (offsets[lo : hi + 1] - offsets[lo]).tolist()
+            media = write_files([raw[a:b] for a, b in zip(own[:-1], own[1:], strict=True)])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(own), pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = flat(batch.column(1))
-            for lo, hi in slices(offsets, BLOCK_BYTES):
-                raw = data[offsets[lo] : offsets[hi]].tobytes()
-                own = (offsets[lo : hi + 1] - offsets[lo]).tolist()
-                media = write_files([raw[a:b] for a, b in zip(own[:-1], own[1:], strict=True)])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(own), pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return plain_docs(docs, id_col=id_col, text_col=text_col).mapInArrow(run, "doc_id long, n_bytes long, media binary")
+def store(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_bytes, media binary): each text as a lossless WebP file. A null or empty text is one row of blanks; equal texts give equal files."""
+    return plain_docs(docs, id_col=id_col, text_col=text_col).mapInArrow(_written, _STORED)
 
 
 def _pixels(media: list[bytes]) -> Iterator[tuple[bytes, np.ndarray]]:
@@ -778,15 +782,20 @@ def feature(payload: bytes) -> str:
     return f"{len(rgb) // WIDTH};" + ",".join(map(str, rgb.sum(axis=0, dtype=np.int64).tolist())) + ";" + ",".join(map(str, np.bincount(light, minlength=8).tolist()))
 
 
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        media = batch.column(2).to_pylist()
+        rows = [(len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(m), hashlib.sha256(m).hexdigest(), feature(p)) for m, (p, _) in zip(media, _pixels(media), strict=True)]
+        columns = zip(*rows, strict=True) if rows else [()] * 6
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+
+
 def read_back(stored: DataFrame) -> DataFrame:
     """Digests of the payloads decoded from stored(doc_id, n_bytes, media)."""
+    return stored.mapInArrow(_digests, _READ)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            media = batch.column(2).to_pylist()
-            rows = [(len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(m), hashlib.sha256(m).hexdigest(), feature(p)) for m, (p, _) in zip(media, _pixels(media), strict=True)]
-            columns = zip(*rows, strict=True) if rows else [()] * 6
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    return stored.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+def stored_and_read(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """read_back(store(docs)) in one Python worker a task: a block of files is read back before the next is written, and none travels."""
+    return plain_docs(docs, id_col=id_col, text_col=text_col).mapInArrow(lambda batches: _digests(_written(batches)), _READ)

@@ -200,6 +200,17 @@ def test_texts_round_trip_as_pictures(spark):
     assert webp_media.read_back(webp_media.store(frame(spark, []))).collect() == []
 
 
+def test_files_are_read_back_by_the_worker_that_wrote_them(spark):
+    """With the rows of two passes, and one pass of Python: another one holds its own worker in each task."""
+    from corpusloom.llm import queries
+
+    rows = sorted(webp_media.stored_and_read(frame(spark)).collect(), key=str)
+    assert rows == sorted(webp_media.read_back(webp_media.store(frame(spark))).collect(), key=str)
+    assert webp_media.stored_and_read(frame(spark, [])).collect() == []
+    df = queries.op3_webp_media(spark, "/root/testdata/sf0.001")
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
 # ---------------------------------------------------------------- 4
 
 

@@ -81,6 +81,24 @@ class _Factored:
         return pa.RecordBatch.from_arrays(columns, ["batch", "lang", "chunk", "docs", "sources", "uses"])
 
 
+def _factored(batches: Iterator[pa.RecordBatch], number: int, least_docs: int | None) -> Iterator[pa.RecordBatch]:
+    """The chunks of batches(text, lang, source), slice by slice; number is that of the first slice."""
+    for whole in batches:
+        for top in range(0, whole.num_rows, SLICE_ROWS):
+            part = whole.slice(top, SLICE_ROWS)
+            for lo, hi in slices(flat(part.column(0))[1], SLICE_BYTES):
+                texts, lang, source = (c.slice(lo, hi - lo) for c in part.columns)
+                found = _Factored(texts, lang)
+                out = found.counted() if least_docs is None else found.told(source, number, least_docs)
+                number += 1
+                del found
+                for at in range(0, out.num_rows, 20_000):
+                    yield out.slice(at, 20_000)
+                # neither the next slice nor a worker that is used again holds this one
+                del out
+                pa.default_memory_pool().release_unused()
+
+
 def chunks(docs: DataFrame, least_docs: int | None = None) -> DataFrame:
     """The chunks of docs(text, lang, source) batch by batch: (lang, chunk, n_docs), or (batch, lang, chunk, docs, sources, uses) if least_docs is given.
 
@@ -88,17 +106,7 @@ def chunks(docs: DataFrame, least_docs: int | None = None) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 20
-        for whole in batches:
-            for top in range(0, whole.num_rows, SLICE_ROWS):
-                part = whole.slice(top, SLICE_ROWS)
-                for lo, hi in slices(flat(part.column(0))[1], SLICE_BYTES):
-                    texts, lang, source = (c.slice(lo, hi - lo) for c in part.columns)
-                    found = _Factored(texts, lang)
-                    out = found.counted() if least_docs is None else found.told(source, number, least_docs)
-                    number += 1
-                    for at in range(0, out.num_rows, 20_000):
-                        yield out.slice(at, 20_000)
+        yield from _factored(batches, TaskContext.get().partitionId() << 20, least_docs)
 
     return docs.select("text", "lang", "source").mapInArrow(run, _COUNTED if least_docs is None else _TOLD)
 

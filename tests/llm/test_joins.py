@@ -81,6 +81,27 @@ def test_divergences(spark, monkeypatch):
     assert source_divergence.audit(df.limit(0)).collect() == []
 
 
+def test_slices_go_before_the_next_one_is_factored(monkeypatch):
+    """Nothing of a slice is held when the next one takes its memory."""
+    import weakref
+
+    import pyarrow as pa
+
+    held = []
+
+    class Watched(source_divergence._Factored):
+        def __init__(self, *columns):
+            assert not [x for x in held if x() is not None]
+            held.append(weakref.ref(self))
+            super().__init__(*columns)
+
+    monkeypatch.setattr(source_divergence, "SLICE_BYTES", 100)
+    monkeypatch.setattr(source_divergence, "_Factored", Watched)
+    batch = pa.RecordBatch.from_pydict({"text": [words(i, 30) for i in range(9)], "lang": ["en"] * 9, "source": ["s"] * 9})
+    rows = [sum(x.num_rows for x in source_divergence._factored([batch, batch], 0, least)) for least in (None, 30)]
+    assert len(held) == 36 and rows[0] == rows[1] > 300
+
+
 # ---------------------------------------------------------------- 12
 
 

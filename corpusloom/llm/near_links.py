@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, joined_by_weight, parts, written
+from .common import cut, joined_by_weight, lean, parts, written
 from .graphs import components
 
 #: Parts that the pairs of one end are dealt to, rows of a bucket that are compared with each other at once, and rows of buckets compared by shifts.
@@ -55,7 +55,7 @@ def checked(pairs: DataFrame, data: DataFrame, check: Callable[[bytes, list[byte
                     right += b[good].tolist()
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (left, right)], ["a", "b"])
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(lean(run), "a long, b long")
 
 
 def shingled(docs: DataFrame, wanted: DataFrame, sets_of: Callable[[pa.Array], list[np.ndarray]]) -> DataFrame:
@@ -68,7 +68,7 @@ def shingled(docs: DataFrame, wanted: DataFrame, sets_of: Callable[[pa.Array], l
     names = wanted.select("node", F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"))
     texts = docs.join(names, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash")))
     # rows repeated with their id have equal texts
-    return texts.select("node", "text").mapInArrow(run, "node long, data binary").dropDuplicates(["node"])
+    return texts.select("node", "text").mapInArrow(lean(run), "node long, data binary").dropDuplicates(["node"])
 
 
 def alike(own: bytes, others: list[bytes]) -> np.ndarray:
@@ -201,4 +201,4 @@ def across(rows: DataFrame, near: Callable[[np.ndarray, np.ndarray], np.ndarray]
         if held is not None:
             yield pairs(np.zeros(len(held[0]), np.int64), *held[1:])
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(lean(run), "a long, b long").distinct()

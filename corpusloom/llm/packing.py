@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Remembered, cut, flat, plain_docs, slices
+from .common import Remembered, cut, flat, lean, plain_docs, slices
 
 LENGTH, END_ID, GROUP_ROWS = 4096, 1, 16_384
 #: Words remembered by a task, the longest of them, words of one text for the tokenizer, and bytes of text handled at once.
@@ -136,7 +136,7 @@ def pieces(docs: DataFrame, path: str, *, length: int = LENGTH, end_id: int = EN
             columns = zip(*rows, strict=True) if rows else [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return plain_docs(docs, id_col=id_col, text_col=text_col).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return plain_docs(docs, id_col=id_col, text_col=text_col).mapInArrow(lean(run), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def best_fit(sizes: list[int], room: int) -> list[list[int]]:

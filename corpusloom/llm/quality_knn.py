@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import boxed, flat, plain_docs, slices, unboxed
+from .common import boxed, flat, lean, plain_docs, slices, unboxed
 
 SAMPLE, DIMS, NEIGHBOURS, SHARPNESS, ACCEPT, BLOCK = 4000, 40, 15, 4.0, 0.3, 512
 WORD_DIMS, REPEAT_DIMS, CLASSES = 512, 24, 13
@@ -118,7 +118,7 @@ def _term_rows(docs: DataFrame) -> DataFrame:
                 packed = [r.tobytes() for r in terms(*flat(part.column("text"))).astype(np.float16)]
                 yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()), part.column("quality")], ["terms", "quality"])
 
-    return docs.select("text", "quality").mapInArrow(run, "terms binary, quality int")
+    return docs.select("text", "quality").mapInArrow(lean(run), "terms binary, quality int")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -174,4 +174,4 @@ def _scored(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, samp
                     out[lo:hi] = vote(latent(terms(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]), idf, basis), vectors, own)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], ["box", "score"])
 
-    return own.mapInArrow(run, schema)
+    return own.mapInArrow(lean(run), schema)

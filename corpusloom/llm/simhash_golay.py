@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import boxed, cut, flat, plain_docs, slices, unboxed, written
+from .common import boxed, cut, flat, lean, parts, plain_docs, slices, unboxed, written
 from .graphs import components
 from .near_links import SET_BITS, connected, ones, parities, shingled
 
@@ -322,13 +322,13 @@ def links(prints: DataFrame, *, similar: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(node[x[mine]]), pa.array(node[y[mine]])], ["a", "b"])
 
     longs = ", ".join(f"{n} long" for n in names)
-    met = own.mapInArrow(keyed, f"key long, {longs}").repartition("key").sortWithinPartitions("key", *names)
-    found = cut(met.mapInArrow(linked, "a long, b long, key long, block int, rows binary"))
+    met = own.mapInArrow(lean(keyed), f"key long, {longs}").repartition("key").sortWithinPartitions("key", *names)
+    found = cut(met.mapInArrow(lean(linked), "a long, b long, key long, block int, rows binary"))
     blocks = found.where("rows is not null").select("key", "block", "rows")
     counted = blocks.groupBy("key").agg((F.max("block") + 1).alias("n_blocks"))
     each = blocks.join(counted, "key").repartition("key", "block").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
     paired = each.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "rows")
-    far = paired.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "block").mapInArrow(compared, "a long, b long")
+    far = paired.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "block").mapInArrow(lean(compared), "a long, b long")
     return found.where("a is not null").select("a", "b").unionByName(far).distinct()
 
 
@@ -418,7 +418,7 @@ def _with_sets(docs: DataFrame, id_col: str, text_col: str, words: int, count: i
     names = [f"f{k}" for k in range(count)]
 
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches, 2000):
             found = shingle_sets(batch.column(1), words)
             prints = np.array([_majorities(h, count) for h in found], np.uint64).reshape(-1, count)
             sets = np.array([xxhash.xxh64_intdigest(h.tobytes()) for h in found], np.uint64)
@@ -427,7 +427,7 @@ def _with_sets(docs: DataFrame, id_col: str, text_col: str, words: int, count: i
             columns = [pa.array([r.tobytes() for r in data], pa.binary()), *(pa.array(np.ascontiguousarray(c).view(np.int64)) for c in (_node(prints), *prints.T))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sets.view(np.int64)), *columns], ["doc_id", "hash", "set", "data", "node", *names])
 
-    return plain_docs(docs, id_col=id_col, text_col=text_col).withColumn("hash", F.xxhash64("text")).mapInArrow(run, "doc_id long, hash long, set long, data binary, node long, " + ", ".join(f"{n} long" for n in names))
+    return plain_docs(docs, id_col=id_col, text_col=text_col).withColumn("hash", F.xxhash64("text")).mapInArrow(lean(run), "doc_id long, hash long, set long, data binary, node long, " + ", ".join(f"{n} long" for n in names))
 
 
 def _likely(x: np.ndarray, y: np.ndarray) -> np.ndarray:

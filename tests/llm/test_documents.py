@@ -3,6 +3,7 @@
 import hashlib
 import os
 import re
+import time
 
 import numpy as np
 import pytest
@@ -21,6 +22,49 @@ def _by_id(df):
 # ---------------------------------------------------------------- 1
 
 
+def test_stored_tables_leave_no_shuffles(spark):
+    """A pipeline of hundreds of small shuffles fills the disk otherwise: their files stay until the driver collects garbage."""
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles() -> set[str]:
+        return set(re.findall(r"shuffle_\d+_\d+_\d+", blocks.getAllFiles().mkString(" ")))
+
+    def rows():
+        return spark.range(3000).selectExpr("id % 7 as k", "id").groupBy("k").count().groupBy("count").agg(F.sum("k"))
+
+    spark.conf.unset("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    for store in (common.cut, common.written):
+        before = shuffles()
+        assert sorted(map(tuple, store(rows()).collect())) == sorted(map(tuple, rows().collect()))
+        rows().collect()
+        assert shuffles() - before  # of the plain queries, which may run again
+        before = shuffles()
+        store(rows())
+        end = time.time() + 20
+        while (left := shuffles() - before) and time.time() < end:
+            time.sleep(0.1)
+        assert not left
+    # the setting is the session's again
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_workers_give_memory_back_after_a_task():
+    def resident() -> int:
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * os.sysconf("SC_PAGESIZE") >> 20
+
+    def run(batches):
+        held = [np.ones(8192) for _ in range(4000)]
+        last.append(np.ones(8192))  # above them, so that the C library keeps them
+        del held
+        yield from batches
+
+    last, before = [], resident()
+    assert list(run([1])) == [1] and resident() - before > 150
+    assert list(common.lean(run)([1, 2])) == [1, 2]
+    assert resident() - before < 80
+
+
 def test_fingerprints_do_not_depend_on_neighbours_in_a_batch():
     texts = [t or "" for _, t, *_ in documents()]
     together = phrase_fingerprints.sketches(texts)

@@ -8,7 +8,7 @@ back-references; recent colours through the colour cache; the rest by prefix
 codes fitted to each picture. The reader knows every part of the format: prefix
 codes and groups of them, back-references, colour cache, and the predictor,
 cross-colour, subtract-green and palette transforms. It decodes many pictures in
-lockstep, a pixel of each at a time, so that the work is done on arrays.
+lockstep, a code of each at a time, and finds the pixels of all codes at once.
 """
 
 from __future__ import annotations
@@ -199,8 +199,10 @@ def _coded(bits: _Bits, row: np.ndarray, colour: np.ndarray, across: np.ndarray,
     cached = np.zeros(n, bool)
     if cache_bits:
         slot = (colour.astype(np.uint64) * np.uint64(CACHE_FACTOR) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - cache_bits)
-        order = np.lexsort((np.arange(n), slot, row))
-        was = np.r_[False, (row[order][1:] == row[order][:-1]) & (slot[order][1:] == slot[order][:-1]) & (colour[order][1:] == colour[order][:-1])]
+        # by picture and slot, in order of place
+        key = np.sort((number << cache_bits) + slot.astype(np.int64) << 32 | np.arange(n))
+        order, cell = key & 0xFFFFFFFF, key >> 32
+        was = np.r_[False, (cell[1:] == cell[:-1]) & (colour[order][1:] == colour[order][:-1])]
         cached[order] = was
         cached &= step == 0
     literal = (step == 0) & ~cached
@@ -239,8 +241,10 @@ def write_pictures(payload: np.ndarray, offsets: np.ndarray) -> list[bytes]:
     bits.add(every, SIGNATURE, 8)
     bits.add(every, (WIDTH - 1) | (pixels // WIDTH - 1) << 14, 28)
     bits.add(every, 0, 4)
-    order = np.lexsort((colour, row))
-    fresh = np.r_[True, (colour[order][1:] != colour[order][:-1]) | (row[order][1:] != row[order][:-1])]
+    shade = row << 24 | colour & 0xFFFFFF
+    order = np.argsort(shade)
+    shade = shade[order]
+    fresh = np.r_[True, shade[1:] != shade[:-1]]
     shades = np.bincount(row[order][fresh], minlength=n)
     few = shades <= 16
     # pictures of few colours: a palette, its colours as differences, and several indices to a pixel
@@ -346,14 +350,20 @@ class _Reader:
         return self.window >> at & (1 << n) - 1
 
     def peek(self, n: int) -> int:
-        out = self.read(n)
-        self.at -= n
-        return out
+        at = self.at - self.low
+        if at + n > 2048:
+            self.read(n)
+            self.at -= n
+            at = self.at - self.low
+        return self.window >> at & (1 << n) - 1
 
 
 @lru_cache(256)
-def _table_of(lengths: tuple[int, ...]) -> tuple[list[int], int]:
-    """Symbol << 4 | length for each pattern of the next bits, and how many bits that is."""
+def _table_of(bits: int, count: int) -> tuple[list[int], int]:
+    """Symbol << 4 | length for each pattern of the next bits, and how many bits that is, for a code of count lengths of three bits each."""
+    lengths = [0] * 19
+    for i, s in enumerate(CODE_ORDER[:count]):
+        lengths[s] = bits >> 3 * i & 7
     most = max(lengths)
     order, _, whole = canonical(np.array([lengths]), max(most, 1))
     used = [s for s in order[0].tolist() if lengths[s]]
@@ -376,27 +386,28 @@ def _read_code(r: _Reader, symbols: int) -> np.ndarray:
             out[r.read(8)] = 1
         return out
     count = 4 + r.read(4)
-    own = [0] * 19
-    for s in CODE_ORDER[:count]:
-        own[s] = r.read(3)
-    table, width = _table_of(tuple(own))
+    table, width = _table_of(r.read(3 * count), count)
     left = 2 + r.read(2 + 2 * r.read(3)) if r.read(1) else symbols
-    at, last, read, peek = 0, 8, r.read, r.peek
+    at, last, mask, peek = 0, 8, (1 << width) - 1, r.peek
     while at < symbols and left:
         left -= 1
-        found = table[peek(width)]
-        r.at += found & 15
-        s = found >> 4
+        bits = peek(width + 7)  # with those that tell how often
+        found = table[bits & mask]
+        used, s = found & 15, found >> 4
+        bits >>= used
         if s < 16:
             out[at] = s
             at += 1
             last = s or last
         elif s == 16:
-            n = 3 + read(2)
+            n = 3 + (bits & 3)
             out[at : at + n] = last
-            at += n
+            at, used = at + n, used + 2
+        elif s == 17:
+            at, used = at + 3 + (bits & 7), used + 3
         else:
-            at += 3 + read(3) if s == 17 else 11 + read(7)
+            at, used = at + 11 + (bits & 127), used + 7
+        r.at += used
     used = np.flatnonzero(out)
     if len(used) == 1:
         out[used] = 16
@@ -468,7 +479,7 @@ def _tables(codes: list[np.ndarray], bits: int) -> np.ndarray:
     for i, c in enumerate(codes):
         lengths[i, : len(c)] = c
     single = (lengths == 16).any(axis=1)
-    out = np.zeros((len(codes), 1 << bits), np.int32)
+    out = np.zeros((len(codes), 1 << bits), np.uint16)
     out[single] = (lengths[single] == 16).argmax(axis=1)[:, None] << 4
     rest = np.flatnonzero(~single)
     if len(rest):
@@ -483,26 +494,21 @@ def _tables(codes: list[np.ndarray], bits: int) -> np.ndarray:
 
 
 def lockstep(jobs: list[_Job]) -> tuple[list[np.ndarray], np.ndarray]:
-    """Pixels (as 0xAARRGGBB) of entropy-coded pictures, and the bit after each; one pixel of every picture at a step."""
+    """Pixels (as 0xAARRGGBB) of entropy-coded pictures, and the bit after each; one code of every picture at a step, pixels of all at the end."""
     pixels = np.array([j.across * j.height for j in jobs], np.int64)
-    order = np.argsort(-pixels, kind="stable")
-    jobs, pixels = [jobs[i] for i in order], pixels[order]
-    group_at = np.cumsum([0, *(len(j.codes) for j in jobs)])
+    group_at = np.cumsum([0, *(len(j.codes) for j in jobs)])[:-1]
     tables, masks = [], []
     for k in range(5):
         codes = [g[k] for j in jobs for g in j.codes]
-        bits = max(int(np.where(c == 16, 0, c).max()) for c in codes)
-        tables.append(_tables(codes, bits).ravel())
-        masks.append(bits)
+        masks.append(max(int(np.where(c == 16, 0, c).max()) for c in codes))
+        tables.append(_tables(codes, masks[k]).ravel())
     data = b"".join(j.data for j in jobs) + b"\0" * 16
     begin = np.cumsum([0, *(len(j.data) for j in jobs[:-1])])
-    words = np.ndarray((len(data) - 8,), "<u8", data, 0, (1,))
+    # 64 bits from every second byte on, of which 49 stand whatever the bit begun at
+    words = np.ndarray(((len(data) - 8) // 2,), "<u8", data, 0, (2,)).copy()
     at = begin * 8 + np.array([j.at for j in jobs], np.int64)
     across = np.array([j.across for j in jobs], np.int64)
     cache_bits = np.array([j.cache_bits for j in jobs], np.int64)
-    cache_size = 1 << int(cache_bits.max())
-    caches = np.zeros(len(jobs) * cache_size, np.int64) if cache_bits.any() else None
-    lane = np.arange(len(jobs))
     grouped = any(j.groups is not None for j in jobs)
     if grouped:
         maps = [j.groups if j.groups is not None else np.zeros((1, 1), np.int64) for j in jobs]
@@ -510,76 +516,109 @@ def lockstep(jobs: list[_Job]) -> tuple[list[np.ndarray], np.ndarray]:
         map_wide = np.array([m.shape[1] for m in maps])
         cells = np.concatenate([m.ravel() for m in maps])
         group_bits = np.array([j.group_bits if j.groups is not None else 20 for j in jobs], np.int64)
-    out_at = np.cumsum(pixels) - pixels
-    out = np.zeros(int(pixels.sum()), np.int64)
-    left, back = np.zeros(len(jobs), np.int64), np.zeros(len(jobs), np.int64)
-    near = near_offsets()
-    copying = False
-    for step in range(int(pixels[0])):
-        m = int(np.searchsorted(-pixels, -step, side="left")) if step else len(jobs)
-        if m == 0:
-            break
-        target = out_at[:m] + step
-        group = group_at[:m]
+    near, together = near_offsets(), sum(masks[:4]) <= 49
+
+    def bits_at(here: np.ndarray) -> np.ndarray:
+        return words[here >> 4] >> (here & 15).astype(np.uint64)
+
+    def symbol(k: int, group: np.ndarray, bits: np.ndarray) -> np.ndarray:
+        """Symbol << 4 | length of code k that bits begin with."""
+        return tables[k][(group << masks[k]) + (bits & np.uint64((1 << masks[k]) - 1)).view(np.int64)].astype(np.int64)
+
+    def more_bits(prefix: np.ndarray, here: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The value of a length or distance prefix, with its extra bits, and the bit after them."""
+        extra = np.where(prefix < 4, 0, (prefix - 2) >> 1)
+        read = bits_at(here).view(np.int64) & ((1 << extra) - 1)
+        return np.where(prefix < 4, prefix + 1, ((2 + (prefix & 1)) << extra) + read + 1), here + extra
+
+    lane, done, end, group = np.arange(len(jobs)), np.zeros(len(jobs), np.int64), at.copy(), group_at
+    told: list[tuple[np.ndarray, ...]] = []
+    while len(lane):
         if grouped:
-            y, x = np.divmod(step, across[:m])
-            group = group + cells[map_at[:m] + (y >> group_bits[:m]) * map_wide[:m] + (x >> group_bits[:m])]
-
-        def next_symbol(k: int, which: np.ndarray | slice, group=group, m=m) -> np.ndarray:
-            """Reads one symbol of code k in some of the first m pictures and moves on in them."""
-            here = at[:m][which]
-            pattern = (words[here >> 3] >> (here & 7).astype(np.uint64)).astype(np.int64) & ((1 << masks[k]) - 1)
-            found = tables[k][(group[which] << masks[k]) + pattern]
-            at[:m][which] = here + (found & 15)
-            return found >> 4
-
-        def more_bits(prefix: np.ndarray, which: np.ndarray, m=m) -> np.ndarray:
-            """The value of a length or distance prefix, with its extra bits read."""
-            extra = np.where(prefix < 4, 0, (prefix - 2) >> 1)
-            here = at[:m][which]
-            read = (words[here >> 3] >> (here & 7).astype(np.uint64)).astype(np.int64) & ((1 << extra) - 1)
-            at[:m][which] = here + extra
-            return np.where(prefix < 4, prefix + 1, ((2 + (prefix & 1)) << extra) + read + 1)
-
-        if copying:
-            busy = left[:m] > 0
-            free = np.flatnonzero(~busy)
-        else:
-            free = slice(None)
-        green = next_symbol(0, free)
-        plain = green < LITERALS
-        if plain.all():
-            some, symbols = free, green
-        else:
-            free = lane[:m][free]
-            some, symbols = free[plain], green[plain]
-            refer = free[(green >= LITERALS) & (green < LITERALS + LENGTHS)]
+            y, x = np.divmod(done, across[lane])
+            group = group_at[lane] + cells[map_at[lane] + (y >> group_bits[lane]) * map_wide[lane] + (x >> group_bits[lane])]
+        bits = bits_at(at)
+        found = symbol(0, group, bits)
+        green, used = found >> 4, found & 15
+        value, all_used = green << 8, used.copy()
+        for k, shift in ((1, 16), (2, 0), (3, 24)):
+            bits = bits >> (found & 15).view(np.uint64) if together else bits_at(at + all_used)
+            found = symbol(k, group, bits)
+            value |= found >> 4 << shift
+            all_used += found & 15
+        literal = green < LITERALS
+        size = np.ones(len(lane), np.int64)
+        if not literal.all():
+            other = np.flatnonzero(~literal)
+            all_used[other] = used[other]
+            # the place in the cache, or the distance
+            value[other] = green[other] - LITERALS - LENGTHS
+            refer = other[green[other] < LITERALS + LENGTHS]
             if len(refer):
-                left[refer] = more_bits(green[(green >= LITERALS) & (green < LITERALS + LENGTHS)] - LITERALS, refer)
-                code = more_bits(next_symbol(4, refer), refer)
+                length, here = more_bits(green[refer] - LITERALS, at[refer] + used[refer])
+                found = symbol(4, group[refer], bits_at(here))
+                code, here = more_bits(found >> 4, here + (found & 15))
                 short = np.minimum(code, 120) - 1
-                back[refer] = np.where(code > 120, code - 120, np.maximum(near[short, 0] + near[short, 1] * across[refer], 1))
-            hit = free[green >= LITERALS + LENGTHS]
-            if len(hit):
-                out[target[hit]] = caches[hit * cache_size + green[green >= LITERALS + LENGTHS] - LITERALS - LENGTHS]
-        if not isinstance(some, np.ndarray) or len(some):
-            red = next_symbol(1, some)
-            blue = next_symbol(2, some)
-            alpha = next_symbol(3, some)
-            out[target[some]] = alpha.astype(np.int64) << 24 | red << 16 | symbols << 8 | blue
-        busy = np.flatnonzero(left[:m] > 0)
-        copying = len(busy) > 0
-        if copying:
-            out[target[busy]] = out[target[busy] - back[busy]]
-            left[busy] -= 1
-            copying = bool((left[:m] > 0).any())
-        if caches is not None:
-            colour = out[target]
-            slot = (colour * CACHE_FACTOR & 0xFFFFFFFF) >> (32 - cache_bits[:m])
-            caches[lane[:m] * cache_size + np.where(cache_bits[:m] > 0, slot, 0)] = colour
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
-    return [out[out_at[i] : out_at[i] + pixels[i]] for i in place], (at - begin * 8)[place]
+                value[refer] = np.where(code > 120, code - 120, np.maximum(near[short, 0] + near[short, 1] * across[lane[refer]], 1))
+                if (value[refer] > done[refer]).any():
+                    raise ValueError("a reference to before the picture")
+                size[refer] = np.minimum(length, pixels[lane[refer]] - done[refer])
+                all_used[refer] = here - at[refer]
+        told.append((lane.astype(np.int32), green.astype(np.int16), value.astype(np.uint32), size.astype(np.int32)))
+        at, done = at + all_used, done + size
+        left = done < pixels[lane]
+        if not left.all():
+            end[lane[~left]] = at[~left]
+            lane, at, done, group = lane[left], at[left], done[left], group[left]
+    out = _pixels_of(*(np.concatenate(c) for c in zip(*told, strict=True)), pixels, cache_bits)
+    return np.split(out, np.cumsum(pixels)[:-1]), end - begin * 8
+
+
+def _pixels_of(lane: np.ndarray, green: np.ndarray, value: np.ndarray, size: np.ndarray, pixels: np.ndarray, cache_bits: np.ndarray) -> np.ndarray:
+    """The pixels of all pictures end to end, from their codes: a colour, a place in the cache or a distance, each for size pixels. Each pixel points to an earlier one of its colour."""
+    order = np.argsort(lane.astype(np.uint16) if len(pixels) <= 1 << 16 else lane, kind="stable")
+    green, value, size = green[order], value[order].astype(np.int64), size[order]
+    total = int(pixels.sum())
+    first = np.cumsum(size, dtype=np.int64) - size
+    out, source = np.zeros(total, np.int64), np.arange(total)
+    literal, hit = green < LITERALS, green >= LITERALS + LENGTHS
+    out[first[literal]] = value[literal]
+    refer = np.flatnonzero(~literal & ~hit)
+    count = size[refer].astype(np.int64)
+    copied = np.repeat(first[refer] - np.cumsum(count) + count, count) + np.arange(count.sum())
+    source[copied] = copied - np.repeat(value[refer], count)
+    _followed(source, copied)
+    if hit.any():
+        hits = first[hit]
+        slot = out.astype(np.uint64) * np.uint64(CACHE_FACTOR) & np.uint64(0xFFFFFFFF)
+        owner = np.repeat(np.arange(len(pixels)), pixels)
+        slot = (slot >> (np.uint64(32) - cache_bits.astype(np.uint64))[owner]).view(np.int64)
+        slot[hits] = value[hit]
+        slot[copied] = slot[source[copied]]
+        cached = np.flatnonzero((cache_bits > 0)[owner])
+        # by place in the cache, in order: the last one there that is no hit itself has the colour
+        key = np.sort((owner[cached] << int(cache_bits.max())) + slot[cached] << 32 | cached)
+        pixel, place = key & 0xFFFFFFFF, key >> 32
+        is_hit = np.zeros(total, bool)
+        is_hit[hits] = True
+        asks = is_hit[pixel]
+        last = np.maximum.accumulate(np.where(asks, -1, np.arange(len(key))))
+        asking, last = pixel[asks], last[asks]
+        known = (last >= 0) & (place[last] == place[asks])
+        source[asking[known]] = pixel[last[known]]
+        copied = np.concatenate([copied, hits])
+        _followed(source, copied)
+    out[copied] = out[source[copied]]
+    return out
+
+
+def _followed(source: np.ndarray, some: np.ndarray) -> None:
+    """Lets some pixels point to where their chains of earlier pixels begin."""
+    while len(some):
+        now = source[some]
+        then = source[now]
+        source[some] = then
+        some = some[then != now]
 
 
 def _split(argb: np.ndarray) -> np.ndarray:
@@ -674,11 +713,11 @@ def read_pictures(data: list[bytes]) -> list[np.ndarray]:
     out, lo = [], 0
     while lo < len(pictures):
         # as many at once as their code tables may take
-        hi, longest, groups = lo, 1, 0
+        hi, longest, groups = lo, np.zeros(5, np.int64), 0
         while hi < len(pictures):
-            longest = max(longest, *(int(np.where(c == 16, 0, c).max()) for g in pictures[hi].codes for c in g[:1]))
+            longest = np.maximum(longest, [max(int(np.where(g[k] == 16, 0, g[k]).max()) for g in pictures[hi].codes) for k in range(5)])
             groups += len(pictures[hi].codes)
-            if hi > lo and groups * 20 << longest > TABLE_BYTES:
+            if hi > lo and 2 * groups * int((1 << longest).sum()) > TABLE_BYTES:
                 break
             hi += 1
         part = pictures[lo:hi]

@@ -200,6 +200,21 @@ def test_texts_round_trip_as_pictures(spark):
     assert webp_media.read_back(webp_media.store(frame(spark, []))).collect() == []
 
 
+def test_pictures_are_read_by_codes_and_not_by_pixels(monkeypatch):
+    """Copied pixels, and places of the cache that copies fill, are found for all pictures at once; a step takes a whole reference."""
+    codes, found = [], webp_media._pixels_of
+    monkeypatch.setattr(webp_media, "_pixels_of", lambda lane, *rest: (codes.append(len(lane)), found(lane, *rest))[1])
+    rng = np.random.default_rng(5)
+    lines = [rng.integers(0, 256, 192, np.uint8).tobytes() for _ in range(3)]
+    texts = [b"", b"x", b"ab" * 9000, b"".join(lines[i] for i in rng.integers(0, 3, 90))]
+    # pixels of forty colours in any order: literals, hits, runs of hits and runs of copies
+    texts += [b"".join(bytes([c, c ^ 7, 3 * c & 255]) * int(n) for c, n in zip(rng.integers(0, 40, m), rng.integers(1, 9, m), strict=True)) for m in (5, 60, 700)]
+    files = webp_media.write_files(texts)
+    for text, (payload, _) in zip(texts, webp_media._pixels(files), strict=True):
+        assert payload == text + b" " * (-len(text) % 192 if text else 192)
+    assert max(codes) < sum(max(len(t), 1) for t in texts) / 3 / 2
+
+
 def test_files_are_read_back_by_the_worker_that_wrote_them(spark):
     """With the rows of two passes, and one pass of Python: another one holds its own worker in each task."""
     from corpusloom.llm import queries

@@ -4,8 +4,10 @@ import hashlib
 import os
 import re
 import time
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -156,6 +158,50 @@ def test_repeats_take_empty_tables_and_null_ids(spark):
     assert len(repeat_spans.without_repeats(frame(spark)).collect()) == len(documents())
 
 
+def _most_held(run):
+    """MB of Python's and numpy's memory that run takes at most, beside what there is."""
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_repeats_take_little_memory_beside_their_rows():
+    """26,000 suffixes of 17 MB, most of them shared by two, and 600,000 strings counted together, 29 MB as rows."""
+    r = np.random.default_rng(5)
+    n = 13_000
+    rights, lefts = ([x.tobytes() for x in r.integers(97, 123, (n, w), np.uint8)] for w in (400, 272))
+    code, key, place = np.repeat(np.arange(n), 2), np.arange(2 * n), np.full(2 * n, 272, np.int32)
+    columns = [key, key, key, code, place, pa.array([x for x in lefts for _ in range(2)], pa.binary()), pa.array([x for x in rights for _ in range(2)], pa.binary())]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "h1", "h2", "code", "place", "left", "right"])
+    spans = []
+    assert _most_held(lambda: spans.extend(repeat_spans._intervals(400)([batch]))) < 120
+    assert sum(b.num_rows for b in spans) == 2 * n and set(pa.Table.from_batches(spans)["stop"].to_pylist()) == {672}
+
+    w = r.integers(0, 1 << 62, (600, 1000))
+    w[1] = w[0]
+    texts, strings = [[i, i, i] for i in range(600)], [(np.full(1000, i, np.int32), x, x, np.arange(1000, dtype=np.int32)) for i, x in enumerate(w)]
+    told = []
+    assert _most_held(lambda: told.append(repeat_spans._counted(texts, strings, 400))) < 70
+    rows = told[0].to_pylist()
+    assert len(rows) == 598_000 + 1000 + 2
+    assert [(x["key"], x["start"], x["stop"]) for x in rows if x["stop"] is not None] == [(0, 0, 1399), (1, 0, 1399)]
+
+
+def test_tasks_of_repeats_give_memory_back(spark, monkeypatch):
+    """Each function that a task runs is one that gives its memory back after it."""
+    given = []
+    monkeypatch.setattr(repeat_spans, "lean", lambda run: given.append(run) or common.lean(run))
+    plain = type(spark.range(0)).mapInArrow
+    ran = []
+    monkeypatch.setattr(type(spark.range(0)), "mapInArrow", lambda self, run, *a: ran.append(run) or plain(self, run, *a))
+    rows = [(i, words(40, 200)) for i in range(4)]
+    repeat_spans.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"), group_rows=2)
+    assert len(given) == len(ran) >= 6 and {x.__wrapped__ for x in ran} == set(given)
+
+
 def test_interval_tree():
     # suffixes aaa, aab, ab, b
     assert sorted(repeat_spans.scan([2, 1, 0])) == [(0, 1, 2), (0, 2, 1), (0, 3, 0)]

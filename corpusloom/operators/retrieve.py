@@ -10,6 +10,7 @@ hold a winner. No vector of a query or chunk passes through the driver.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,8 @@ from ..sources.shared import stored
 
 #: Chunks of a block, queries that meet it at once, chunks from which on they are dealt to pivots, and how many pivots at most.
 CHUNK_BLOCK, ASKED, LEAST_DEALT, PIVOTS = 4096, 8192, 1 << 16, 256
+#: Queries of a part and cells of a table of scores where each query meets every chunk; rows from which on a document is split, and partitions at most.
+ASKED_ALL, SCORES, LARGE, MOST_TASKS = 2048, 1 << 19, 1024, 1 << 14
 #: Up to so many blocks the driver knows centres of, to bound their scores; with more of them each query meets all.
 CENTRES = 1 << 14
 
@@ -53,8 +56,11 @@ def best_chunks(queries: DataFrame, chunks: DataFrame, k: int | None = None, *,
 
     A pair of blocks gives a row per query and document, or for the k best of
     them: a document that isn't among the k best of the block with its best
-    chunk isn't among them at all.
+    chunk isn't among them at all. For all documents there is nothing to leave out:
+    a document's chunks stand together, and what a task finds of them is final.
     """
+    if k is None:
+        return _every_document(queries, chunks, digits).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")))
 
     def nearest(ids: np.ndarray, names: np.ndarray, scores: np.ndarray) -> list[np.ndarray]:
         order = np.lexsort((names[:, 0], names[:, 1]))
@@ -68,11 +74,92 @@ def best_chunks(queries: DataFrame, chunks: DataFrame, k: int | None = None, *,
         take = lambda x: np.take_along_axis(x, chosen, 1).ravel()
         return [np.repeat(ids, chosen.shape[1]), own[take(at), 0], take(docs), take(most)]
 
-    rows = _products(queries, chunks, ["chunk_id", "doc_id"], nearest, digits, k)
+    one = _best_of_pairs(_products(queries, chunks, ["chunk_id", "doc_id"], nearest, digits, k))
+    return one.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))).where(F.col("rank") <= k)
+
+
+def _best_of_pairs(rows: DataFrame) -> DataFrame:
+    """(query_id, doc_id, chunk_id, score): of the rows of a query and a document the one with the best score, ties by chunk_id."""
     first = F.max_by(F.struct("chunk_id", "score"), F.struct("score", (-F.col("chunk_id")).alias("t"))).alias("b")
-    one = rows.groupBy("query_id", "doc_id").agg(first).select("query_id", "doc_id", "b.*")
-    ranked = one.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")))
-    return ranked if k is None else ranked.where(F.col("rank") <= k)
+    return rows.groupBy("query_id", "doc_id").agg(first).select("query_id", "doc_id", "b.*")
+
+
+def _every_document(queries: DataFrame, chunks: DataFrame, digits: int) -> DataFrame:
+    """(query_id, doc_id, chunk_id, score): the best chunk of each document for each query.
+
+    Documents are dealt to blocks and queries to parts by hashes of their ids, and a
+    task reads a block's chunks before the queries of a part, a few of which it
+    scores at a time. Only documents of over LARGE chunks are split, and only their
+    rows, and those of query ids that come repeatedly, meet again.
+    """
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("vec").cast("array<double>").alias("vec")).where(F.col("vec").isNotNull())
+    own = chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("vec").cast("array<double>").alias("vec")).where(F.col("vec").isNotNull())
+    times = asked.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    sizes = own.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    counted = lambda df, most: df.agg(F.coalesce(F.sum(F.when(F.col("n") <= most, F.col("n"))), F.lit(0)), F.coalesce(F.sum(F.when(F.col("n") > most, F.col("n"))), F.lit(0))).first()
+    (once, often), (whole, split) = counted(times, 1), counted(sizes, LARGE)
+    single, small, met = asked, own, None
+    if split:
+        # at most one in LARGE of all chunks is a row of this
+        large = F.broadcast(sizes.where(F.col("n") > LARGE).select(F.col("doc_id").alias("_id")))
+        is_large = F.col("doc_id").eqNullSafe(F.col("_id"))
+        small = own.join(large, is_large, "left_anti")
+    if often:
+        repeated = times.where("n > 1").select(F.col("query_id").alias("_id"))
+        comes_again = F.col("query_id").eqNullSafe(F.col("_id"))
+        single = asked.join(repeated, comes_again, "left_anti")
+        met = _scored(asked.join(repeated, comes_again, "left_semi"), often, own, whole + split, ["chunk_id", "vec"], digits)
+    if split:
+        rows = _scored(single, once, own.join(large, is_large, "left_semi"), split, ["chunk_id", "vec"], digits)
+        met = rows if met is None else met.unionByName(rows)
+    final = _scored(single, once, small, whole, ["doc_id"], digits)
+    return final if met is None else final.unionByName(_best_of_pairs(met))
+
+
+def _scored(asked: DataFrame, n_asked: int, chunks: DataFrame, n: int, by: Sequence[str], digits: int) -> DataFrame:
+    """(query_id, doc_id, chunk_id, score): the best chunk of each document that stands in a block, for each query and each block; by: what deals chunks to blocks."""
+    n_blocks, n_parts = max(1, -(-n // CHUNK_BLOCK)), max(1, -(-n_asked // ASKED_ALL))
+    each = lambda size: F.explode(F.sequence(F.lit(0), F.lit(size - 1)))
+    dealt = lambda size, *of: F.pmod(F.xxhash64(*of), F.lit(size)).cast("int")
+    kept = chunks.select(dealt(n_blocks, *by).alias("block"), each(n_parts).alias("part"), F.lit(False).alias("asks"), "doc_id", F.col("chunk_id").alias("id"), "vec")
+    sent = asked.select(each(n_blocks).alias("block"), dealt(n_parts, "query_id", "vec").alias("part"), F.lit(True).alias("asks"), F.lit(None).cast("long").alias("doc_id"), F.col("query_id").alias("id"), "vec")
+    rows = kept.unionByName(sent).repartition(min(n_blocks * n_parts, MOST_TASKS), "block", "part").sortWithinPartitions("block", "part", "asks", "doc_id", "id")
+    return rows.mapInArrow(lambda batches: _best_in_blocks(batches, digits), "query_id long, doc_id long, chunk_id long, score double")
+
+
+def _best_in_blocks(batches: Iterator[pa.RecordBatch], digits: int) -> Iterator[pa.RecordBatch]:
+    """Batches (query_id, doc_id, chunk_id, score) of batches (block, part, asks, doc_id, id, vec) in that order: in each block and part chunks come before queries. One block and a table of SCORES cells are held."""
+    key, gathered, block = None, [], None
+    for batch in batches:
+        place = np.stack([np.asarray(batch.column(c)).astype(np.int64) for c in ("block", "part", "asks")])
+        cuts = np.flatnonzero(np.r_[True, (place[:, 1:] != place[:, :-1]).any(axis=0), True]) if batch.num_rows else ()
+        for lo, hi in pairwise(cuts):
+            rows, now = batch.slice(lo, hi - lo), tuple(place[:2, lo])
+            if not place[2, lo]:
+                if now != key:
+                    key, gathered, block = now, [], None
+                gathered.append(rows)
+            elif now == key:
+                if block is None:
+                    block, gathered = _documents(pa.Table.from_batches(gathered).combine_chunks()), []
+                values, docs, chunks, first, vec = *block, rows.column("vec")
+                asks, many = _floats(vec, max(_width(vec), values.shape[1]))[:, : values.shape[1]], max(1, SCORES // len(values))
+                for at in range(0, len(asks), many):
+                    scores = np.round((1 + asks[at : at + many] @ values.T) / 2, digits)
+                    most = np.maximum.reduceat(scores, first, axis=1)
+                    # the first of a document's chunks that reach its best score
+                    hit = np.where(scores == np.repeat(most, np.diff(np.r_[first, len(values)]), axis=1), np.arange(len(values)), len(values))
+                    best_at = np.minimum.reduceat(hit, first, axis=1)
+                    ids = rows.column("id").slice(at, len(most)).take(pa.array(np.repeat(np.arange(len(most)), len(first))))
+                    yield pa.RecordBatch.from_arrays([ids, docs.take(pa.array(np.tile(np.arange(len(first)), len(most)))), chunks.take(pa.array(best_at.ravel())), pa.array(most.ravel())], ["query_id", "doc_id", "chunk_id", "score"])
+
+
+def _documents(rows: pa.Table) -> tuple[np.ndarray, pa.Array, pa.Array, np.ndarray]:
+    """Vectors of chunks in the order of their documents, the documents' ids, the chunks' ids, and each document's first place."""
+    docs, chunks, vec = (rows.column(c).combine_chunks() for c in ("doc_id", "id", "vec"))
+    own, none = np.asarray(docs.fill_null(0)), np.asarray(docs.is_null())
+    first = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (none[1:] != none[:-1])])
+    return _floats(vec, _width(vec)), docs.take(pa.array(first)), chunks, first
 
 
 def scored_documents(queries: DataFrame, chunks: DataFrame, *, digits: int = 6) -> Callable[[DataFrame], DataFrame]:

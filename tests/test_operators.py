@@ -412,6 +412,39 @@ def test_best_chunks_of_documents(spark, monkeypatch):
         assert got == sorted(want)
 
 
+def test_every_document_of_split_documents_and_repeated_queries(spark, monkeypatch):
+    import numpy as np
+
+    for name, n in (("CHUNK_BLOCK", 16), ("ASKED_ALL", 3), ("SCORES", 40), ("LARGE", 9)):
+        monkeypatch.setattr(retrieve, name, n)
+    r = np.random.default_rng(8)
+    vectors = r.integers(-2, 3, (120, 4)).astype(float)
+    doc = [None if i < 5 else 1 if i < 60 else i // 7 for i in range(120)]
+    chunks = spark.createDataFrame([(i, doc[i], v.tolist()) for i, v in enumerate(vectors)], "chunk_id long, doc_id long, vec array<double>").repartition(3)
+    asked = [(q, vectors[q * 9 % 120] * (1 + n)) for n, q in enumerate([*range(11), 4, 4, 7])]
+    queries = spark.createDataFrame([(q, v.tolist()) for q, v in asked], "query_id long, vec array<double>")
+    got = retrieve.best_chunks(queries, chunks)
+    want = {}
+    for q, v in asked:
+        for i in range(120):
+            want[q, doc[i]] = min(want.get((q, doc[i]), (9e9, 0)), (-float(np.round((1 + vectors[i] @ v) / 2, 6)), i))
+    assert {(x["query_id"], x["doc_id"]): (-x["score"], x["chunk_id"]) for x in got.collect()} == want
+    assert got.count() == len(want)
+
+
+def test_every_document_is_scored_a_few_queries_at_a_time(spark):
+    """No task gathers the pairs of a block, neither in one table of Python nor in a shuffle."""
+    import pyarrow as pa
+
+    vectors = spark.range(300).selectExpr("id AS chunk_id", "id DIV 3 AS doc_id", "array(id / 300D, 1D) AS vec")
+    plan = retrieve.best_chunks(vectors.selectExpr("chunk_id AS query_id", "vec"), vectors).select("query_id", "doc_id", "score")._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInArrow" not in plan and "Aggregate" not in plan
+    n = 1 << 12
+    rows = pa.table({"block": pa.array([0] * (n + 2000), pa.int32()), "part": pa.array([0] * (n + 2000), pa.int32()), "asks": [False] * n + [True] * 2000, "doc_id": pa.array([*range(n), *[None] * 2000], pa.int64()), "id": pa.array([*range(n), *range(2000)], pa.int64()), "vec": pa.array([[1.0, i] for i in range(n + 2000)], pa.list_(pa.float64()))})
+    sizes = [b.num_rows for b in retrieve._best_in_blocks(iter(rows.to_batches(1000)), 6)]
+    assert sum(sizes) == n * 2000 and max(sizes) <= retrieve.SCORES
+
+
 def test_retriever_metadata(spark):
     spans = spark.createDataFrame([("t", "a", None, "TOOL", None, None, 1), ("t", "b", "a", "CHAIN", None, None, 2), ("t", "c", "b", "RETRIEVER", "u", "first", 3), ("t", "d", "b", "RETRIEVER", "u", "second", 4), ("t", "e", None, "RETRIEVER", "v", "outside", 5)], "trace_id string, span_id string, parent_id string, kind string, source_url string, meta string, start_ns long")
     assert [(r["tool_span"], r["source_url"], r["meta"]) for r in evaluate.retriever_metadata(spans).collect()] == [("a", "u", "first")]

@@ -50,19 +50,33 @@ def markdown_qa(docs: DataFrame, *, url: str = "url", markdown: str = "markdown"
     answers = F.split("body", QA_HEADING, -1)
     clean = lambda x: F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"^\s+|\s+$", ""), r"\*{1,2}", ""), r"\n{3,}", "\n\n")
     strip = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
-    own = docs.select(F.col(url).alias("source_url"), text.alias("text"), body.alias("body")).where(F.col("source_url").isNotNull())
-    pairs = own.select("source_url", "text", F.posexplode(F.arrays_zip(numbers.alias("n"), titles.alias("q"), F.slice(answers, 2, F.greatest(F.size(answers) - 1, F.lit(0))).alias("a"))).alias("pos", "x"))
-    rows = pairs.select("source_url", "text", "pos", F.col("x")["n"].cast("int").alias("seq"), strip(F.replace(F.col("x")["q"], F.lit("*"), F.lit(""))).alias("question"), strip(clean(F.col("x")["a"])).alias("answer")).where("question <> '' and answer <> ''")
+    own = docs.select(F.col(url).alias("source_url"), text.alias("text"), F.xxhash64(text).alias("_text"), body.alias("body")).where(F.col("source_url").isNotNull())
+    pairs = own.select("source_url", "text", "_text", F.posexplode(F.arrays_zip(numbers.alias("n"), titles.alias("q"), F.slice(answers, 2, F.greatest(F.size(answers) - 1, F.lit(0))).alias("a"))).alias("pos", "x"))
+    # what is left when stars and white space at the ends go
+    told = pairs.where(F.col("x")["q"].rlike(r"[^\s*]") & F.col("x")["a"].rlike(r"[^\s*]"))
+    rows = told.select("source_url", "text", "_text", "pos", F.col("x")["n"].cast("int").alias("seq"), strip(F.replace(F.col("x")["q"], F.lit("*"), F.lit(""))).alias("question"), strip(clean(F.col("x")["a"])).alias("answer"))
     rows = rows.withColumn("qa_id", S.qa_id(F.col("source_url"), F.col("question")))
-    records = rows.select("source_url", "pos", "seq", "qa_id", "question", "answer", F.lit("pdf").alias("source_type"), S.qa_title(F.col("text")).alias("source_title"), S.loose_reference(F.col("text")).alias("reference_number"), S.short_revision(F.col("text")).alias("revision"), S.topic_path_short(F.col("source_url")).alias("topic_path"), S.confidence(F.col("question"), pdf=True).alias("extraction_confidence"))
-    return records.join(cross_references(records), ["source_url", "pos"], "left").withColumn("cross_refs", F.coalesce("cross_refs", F.array().cast("array<string>")))
+    records = rows.select("source_url", "_text", "pos", "seq", "qa_id", "question", "answer", F.lit("pdf").alias("source_type"), S.qa_title(F.col("text")).alias("source_title"), S.loose_reference(F.col("text")).alias("reference_number"), S.short_revision(F.col("text")).alias("revision"), S.topic_path_short(F.col("source_url")).alias("topic_path"), S.confidence(F.col("question"), pdf=True).alias("extraction_confidence"))
+    return cross_references(records)
 
 
 def cross_references(records: DataFrame) -> DataFrame:
-    """(source_url, pos, cross_refs): ids of the questions an answer refers to by number, in order; of several with one number the last counts, unknown numbers drop."""
-    last = records.groupBy("source_url", "seq").agg(F.max_by("qa_id", "pos").alias("ref"))
-    named = records.select("source_url", "pos", F.posexplode(F.regexp_extract_all("answer", F.lit(CROSS_REFERENCE), F.lit(1))).alias("at", "n")).select("source_url", "pos", "at", F.col("n").try_cast("int").alias("seq"))
-    return named.join(last, ["source_url", "seq"]).groupBy("source_url", "pos").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "ref"))), lambda x: x["ref"]).alias("cross_refs"))
+    """Records with cross_refs and cross_questions: ids and questions that an answer refers to by number, in order; of several with one number the last counts, unknown numbers drop.
+
+    Each text is read once: a record goes along with its number, meets the answers
+    that name this by source and number, and what they found meets at its place.
+    """
+    own = [c for c in records.columns if c not in ("source_url", "pos", "_text")]
+    numbers = F.transform(F.regexp_extract_all("answer", F.lit(CROSS_REFERENCE), F.lit(1)), lambda n, at: F.struct(at.alias("at"), n.try_cast("int").alias("number")))
+    named = records.withColumn("x", F.explode(F.concat(F.array(F.struct(F.lit(-1).alias("at"), F.col("seq").alias("number"))), numbers)))
+    each = named.select("source_url", "pos", "_text", "x.*", *(F.when(F.col("x.at") < 0, F.col(c)).alias(c) for c in own))
+    last = F.max(F.when(F.col("at") < 0, F.struct("pos", "qa_id", "question"))).over(Window.partitionBy("source_url", "number"))
+    met = each.withColumn("_last", F.when((F.col("at") >= 0) & F.col("number").isNotNull(), last))
+    found = F.array_sort(F.collect_set(F.when(F.col("_last").isNotNull(), F.struct("at", "_last")))).alias("_found")
+    # texts that are alike find the same, and come back as often
+    one = met.groupBy("source_url", "pos", "_text").agg(*(F.first(c, ignorenulls=True).alias(c) for c in own), F.sum(F.when(F.col("at") < 0, 1).otherwise(0)).cast("int").alias("_n"), found)
+    refs, questions = F.col("_found._last.qa_id"), F.col("_found._last.question")
+    return one.select("source_url", "pos", *own, refs.alias("cross_refs"), questions.alias("cross_questions"), F.explode(F.array_repeat(F.lit(0), F.col("_n"))).alias("_again")).drop("_again")
 
 
 def markdown_links(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -96,7 +96,9 @@ k AS (SELECT doc_id, seq, arg_max(question, pos) AS target FROM r GROUP BY ALL)
 def markdown_questions(spark, d):
     """Numbered questions of Markdown texts; of two with one number the last is meant, unknown numbers mean none."""
     n = F.col("doc_id")
-    word = F.trim(F.substring(F.regexp_replace("text", "[^A-Za-z ]", ""), 1, 30))
+    # the first 30 letters and spaces; a text is matched no further than they reach
+    first = F.regexp_extract("text", r"\A(?:[^A-Za-z ]*+[A-Za-z ]){0,30}+", 0)
+    word = F.trim(F.regexp_replace(first, "[^A-Za-z ]", ""))
     count = (n % 4 + 2).cast("int")
 
     def part(i):
@@ -106,13 +108,9 @@ def markdown_questions(spark, d):
     docs = read(spark, d, "documents").select("doc_id", word.alias("w"), count.alias("n"))
     text = _joined("# Title\n\n", F.array_join(F.transform(F.sequence(F.lit(0), count - 1), part), ""), "## Annex\n## 7. Not this?\nno\n")
     records = extract.markdown_qa(docs.select(_joined("u", n).alias("url"), text.alias("markdown")))
-    named = records.select("source_url", "qa_id", "question").dropDuplicates(["source_url", "qa_id"])
-    refs = records.select("source_url", "pos", F.posexplode("cross_refs").alias("at", "ref")).join(named.select("source_url", F.col("qa_id").alias("ref"), F.col("question").alias("target")), ["source_url", "ref"])
     # the next one comes before the first, where there is a next one
-    size = F.size("cross_refs")
-    pick = refs.groupBy("source_url", "pos").agg(F.max_by("target", "at").alias("first_question"), F.min_by("target", "at").alias("other"))
-    out = records.join(pick, ["source_url", "pos"], "left")
-    return out.select(F.substring("source_url", F.lit(2), F.lit(20)).cast("long").alias("doc_id"), F.col("pos").cast("long").alias("pos"), "seq", "question", F.col("extraction_confidence").alias("confidence"), F.when(size == 2, F.col("other")).alias("next_question"), "first_question")
+    size, asked = F.size("cross_refs"), F.col("cross_questions")
+    return records.select(F.substring("source_url", F.lit(2), F.lit(20)).cast("long").alias("doc_id"), F.col("pos").cast("long").alias("pos"), "seq", "question", F.col("extraction_confidence").alias("confidence"), F.when(size == 2, F.get(asked, F.lit(0))).alias("next_question"), F.get(asked, size - 1).alias("first_question"))
 
 
 # ---------------------------------------------------------------- traces and answers

@@ -118,5 +118,16 @@ def test_raw_html_of_pages_that_share_an_address(spark, tmp_path):
     assert got == want
 
 
+def test_markdown_questions_of_repeated_documents(spark, tmp_path):
+    texts = [(0, "a b"), (1, "It's 1, or 2"), (1, "It's 1, or 2"), (2, ""), (3, "\u00e9\u00e9 " + "x" * 40), (3, "\u00e9\u00e9 " + "x" * 40), (3, "\u00e9\u00e9 " + "x" * 40), (7, "1" * 90000 + "of \n" * 9), (11, "  " * 20 + "late"), (None, "no")]
+    got, want = _rows(spark, tmp_path, "markdown_questions", documents=spark.createDataFrame(texts, "doc_id long, text string"))
+    assert got == want
+
+
+def test_markdown_questions_read_each_text_once(spark):
+    plan = entry.queries()["markdown_questions"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Join" not in plan
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0

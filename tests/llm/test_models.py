@@ -471,6 +471,63 @@ def test_tree_matching_is_the_largest():
         assert all(a.labels[x] == b.labels[y] and (not x or (a.parent[x], b.parent[y]) in pairs) for x, y in pairs)
 
 
+def _inline(r):
+    return "<p>" + "".join(f"<{t}>x</{t}>" for t in (r.choice(["a", "b", "i", "em", "code"]) for _ in range(r.randint(0, 7)))) + "</p>"
+
+
+def test_many_distinct_siblings_are_weighed():
+    """Over 65,536 pairs of distinct structures: the match is the largest, not any of equal labels."""
+    r = random.Random(9)
+    some = list({_inline(r): 0 for _ in range(620)})
+    a, b = (_outlined("<div>" + "<h2>t</h2>".join(x) + "</div>") for x in (some, [_inline(r), *(x for n, x in enumerate(some) if n % 9), _inline(r)]))
+
+    def common(x, y, of):
+        best = [0] * (len(y) + 1)
+        for p in x:
+            before = list(best)
+            for n, q in enumerate(y, 1):
+                best[n] = max(best[n - 1], before[n], before[n - 1] + of(p, q))
+        return best[-1]
+
+    left, right = ([(o.labels[k], [o.labels[c] for c in o.kids[k]]) for k in o.kids[1]] for o in (a, b))
+    assert len({a.shape[k] for k in a.kids[1]}) * len({b.shape[k] for k in b.kids[1]}) > 1 << 16
+    known = {}
+
+    def size(x, y):
+        if x[0] != y[0]:
+            return 0
+        key = (*x[1], "", *y[1])
+        if key not in known:
+            known[key] = 1 + common(x[1], y[1], lambda p, q: int(p == q))
+        return known[key]
+
+    matching = page_wrapper.Matching(a, b)
+    assert len(matching.pairs()) == matching.size() == 2 + common(left, right, size)
+
+
+def test_weights_by_rows_are_the_largest(monkeypatch):
+    r = random.Random(3)
+
+    def grown(depth):
+        return "".join(f"<{t}>{grown(depth - 1) if depth else ''}</{t}>" for t in (r.choice(["div", "b", "i"]) for _ in range(r.randint(0, 3))))
+
+    for cells in (1 << 22, 4):
+        for _ in range(150):
+            a, b = _outlined(grown(3)), _outlined(grown(3))
+            plain = page_wrapper.Matching(a, b).size()
+            with monkeypatch.context() as m:
+                m.setattr(page_wrapper, "WEIGHED", 0)
+                m.setattr(page_wrapper, "CELLS", cells)
+                matching = page_wrapper.Matching(a, b)
+                assert len(matching.pairs()) == matching.size() == plain
+
+
+def test_text_beside_odd_markup(spark):
+    """An empty svg, a lone quote and an empty comment take nothing of the text after them; xmp is shown as it stands."""
+    page = """<html><body><article><p>One {i} <svg class="s"/>two {w}</p><p title=it's>Don't {i} stop</p><!--><p>Seen {i}</p><!-- not --!><xmp>&lt;b {i}></xmp></article><svg><title>no</title></svg></body></html>"""
+    assert _texts(spark, page) == [f"One {i} two {words(i, 40)}\nDon't {i} stop\nSeen {i}\n&lt;b {i}>" for i in range(8)]
+
+
 def test_alignments_in_halves_are_as_heavy(monkeypatch):
     r = random.Random(4)
     weight = np.array([[3, 0, 1], [0, 2, 0], [1, 0, 5]])
